@@ -1,13 +1,16 @@
 """The registered queries of this package and the SQL that they are compared with."""
 
-from . import fingerprints, mixing, quality
+from . import fingerprints, licenses, mixing, pieces, pii, quality
 
 
 def queries():
     return {
         "op1_quality_rules": quality.op1_quality_rules,
+        "op5_pseudonyms": pii.op5_pseudonyms,
+        "op6_license_scan": licenses.op6_license_scan,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
+        "op10_sentencepiece": pieces.op10_sentencepiece,
     }
 
 
