@@ -1,12 +1,13 @@
 """The registered queries of this package and the SQL that they are compared with."""
 
-from . import fingerprints, language, licenses, minhash, mixing, pieces, pii, quality
+from . import fingerprints, language, licenses, minhash, mixing, pieces, pii, quality, warc
 
 
 def queries():
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_language_id": language.op2_language_id,
+        "op3_warc": warc.op3_warc,
         "op4_near_duplicates": minhash.op4_near_duplicates,
         "op5_pseudonyms": pii.op5_pseudonyms,
         "op6_license_scan": licenses.op6_license_scan,
