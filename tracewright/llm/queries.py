@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that they are compared with."""
 
-from . import fingerprints, language, licenses, minhash, mixing, pieces, pii, quality, warc
+from . import fingerprints, language, licenses, minhash, mixing, pieces, pii, quality, scoring, warc
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_near_duplicates": minhash.op4_near_duplicates,
         "op5_pseudonyms": pii.op5_pseudonyms,
         "op6_license_scan": licenses.op6_license_scan,
+        "op7_lm_scores": scoring.op7_lm_scores,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_sentencepiece": pieces.op10_sentencepiece,

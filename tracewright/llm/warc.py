@@ -36,13 +36,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from .common import shared_dir, table
 
 MIN_BYTES = 0
 BLOCK = 1 << 20
-SCHEMA = "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_length bigint, payload binary"
+# spelt out: the reader's planner has no session to parse a schema string
+SCHEMA = StructType(
+    [StructField(n, StringType()) for n in ("record_id", "record_type", "target_uri", "refers_to", "payload_digest")]
+    + [StructField("payload_length", LongType()), StructField("payload", BinaryType())]
+)
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -170,7 +174,7 @@ class WarcSource(DataSource):
         return "tw_warc"
 
     def schema(self):
-        every = StructType.fromDDL(SCHEMA)
+        every = SCHEMA
         chosen = [c.strip() for c in self.options.get("columns", ",".join(every.names)).split(",")]
         return StructType([every[c] for c in chosen])
 
@@ -199,7 +203,7 @@ class WarcReader(DataSourceReader):
 
         if not partition.path:
             return
-        every = StructType.fromDDL(SCHEMA)
+        every = SCHEMA
         schema = to_arrow_schema(StructType([every[n] for n in self.names]))
         at = [every.names.index(n) for n in self.names]
 
@@ -234,7 +238,7 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """All records, through Spark's binary file reader: for stores that only Spark can open."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
+    schema = to_arrow_schema(SCHEMA)
 
     def work(batches):
         for batch in batches:
@@ -242,7 +246,6 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                 raw = pa.BufferReader(content.as_buffer())
                 yield _batch([row_of(*r) for r in parse(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw)], schema)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(work, SCHEMA)
 
 
