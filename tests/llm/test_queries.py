@@ -1,0 +1,133 @@
+"""The queries against their SQL, or against plain Python over the same small tables."""
+
+import hashlib
+import math
+import re
+import zlib
+from base64 import b32encode
+from collections import Counter
+
+import duckdb
+import pytest
+from compare import in_duckdb, in_spark
+
+from tracewright.llm import minhash, pieces, queries, scoring, warc
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, coalesce(text, '') FROM '{SF}/documents.parquet'").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_same_rows_as_sql(spark, name):
+    assert in_spark(queries.queries()[name](spark, SF)) == in_duckdb(queries.oracle_sql()[name], SF)
+
+
+def test_language_is_right_on_held_out_documents(spark):
+    rows = queries.queries()["op2_language_id"](spark, SF).collect()
+    truth = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SF}/documents.parquet'").fetchall())
+    held = [r for r in rows if r["held_out"] and truth[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert len(rows) == len(truth) and sum(r["lang_pred"] == truth[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_archives_give_every_page_back(spark):
+    pages = duckdb.sql(f"SELECT page_id, coalesce(html, '') FROM '{SF}/pages.parquet'").fetchall()
+    last = {}
+    for page_id, html in pages:
+        last[html] = max(last.get(html, page_id), page_id)
+    want = {i: (len(h.encode()), b32encode(hashlib.sha1(h.encode()).digest()).decode(), "response" if last[h] == i else "revisit", None if last[h] == i else last[h]) for i, h in pages}
+    rows = queries.queries()["op3_warc"](spark, SF).collect()
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in rows} == want and len(rows) == len(want)
+    assert all(r["digest_ok"] for r in rows)
+
+
+def test_archives_of_hard_pages(spark, tmp_path):
+    rows = [(1, "u\r\nX-Evil: 1", "WARC/1.1\r\n\r\nnot a record"), (2, None, None), (3, "v", ""), (4, "w", "á\n" * 50_000)]
+    warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string"), str(tmp_path / "a"))
+    got = warc.read(spark, str(tmp_path / "a"))
+    assert sorted(r["payload_length"] for r in got.collect()) == [0, 0, 24, 150_000]
+    assert got.where("record_type = 'revisit'").select("refers_to").collect() == [("<urn:page:3>",)]
+    assert warc.read_binary(spark, str(tmp_path / "a")).count() == 4
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark, texts):
+    distinct = sorted(set(texts.values()))
+    parent = {t: t for t in distinct}
+
+    def root(t):
+        while parent[t] != t:
+            t = parent[t]
+        return t
+
+    for k, a in enumerate(distinct):
+        rest = distinct[k + 1 :]
+        for b, s in zip(rest, minhash.similarities([a.encode()] * len(rest), [b.encode() for b in rest]) if rest else [], strict=True):
+            if max(s) >= 0.8:
+                parent[root(a)] = root(b)
+    want = {}
+    for i, t in texts.items():
+        want.setdefault(root(t), set()).add(i)
+    got = {}
+    rows = queries.queries()["op4_near_duplicates"](spark, SF).collect()
+    for r in rows:
+        got.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert sum(r["is_kept"] for r in rows) == len(want)
+
+
+def test_pieces_are_the_library_s(spark, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=pieces.model_bytes())
+    for r in queries.queries()["op10_sentencepiece"](spark, SF).collect():
+        ids = sp.encode(texts[r["doc_id"]], add_eos=True)
+        assert r["n_tokens"] == len(ids) and r["aligned"]
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_license_places_by_brute_force(spark, texts):
+    phrases = ("under the mit license", "apache license version 2", "cc by nc")
+    for r in queries.queries()["op6_license_scan"](spark, SF).collect():
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]])
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
+        places = [k for p in phrases for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(places))
+        assert (r["first_word"], r["last_word"]) == ((min(places), max(places)) if places else (None, None))
+
+
+def test_scores_by_brute_force(spark, texts):
+    rows = {r["doc_id"]: r for r in queries.queries()["op7_lm_scores"](spark, SF).collect()}
+    tokens = {i: [*WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)), None] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in texts}
+    c = Counter(x for i, ts in tokens.items() if not held[i] for x in ts)
+    n, v = sum(c.values()), len(c)
+    assert rows.keys() == tokens.keys()
+    for i, ts in tokens.items():
+        want = sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in ts)
+        assert (rows[i]["held_out"], rows[i]["n_tokens"], rows[i]["n_known"], rows[i]["train_tokens"]) == (held[i], len(ts), sum(x in c for x in ts), n)
+        assert rows[i]["base_score"] == pytest.approx(want, rel=1e-9) and rows[i]["score"] <= 0
+    new = [i for i in texts if held[i]]
+    assert sum(rows[i]["score"] for i in new) > sum(rows[i]["base_score"] for i in new)
+
+
+def test_scores_are_the_same_beyond_the_broadcast_bound(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "doc_id % 5 = 1 AS held_out", "text")
+    model = scoring.train(docs.where("not held_out"), part_bytes=50_000)
+    assert model.parts > 3
+    assert in_spark(scoring.score(docs, model)) == in_spark(scoring.score(docs, model, bound=0))
+
+
+HARD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c d e f g " * 3000, "en", "a", 42000), (3, "a b c d e f g " * 3000, "en", "a", 42000), (4, "ß \U0001f600 mail x@y.org 4111 1111 1111 1111", None, None, 40), (None, "loose", "xx", "b", 5)]
+
+
+@pytest.mark.parametrize("rows", [HARD, []], ids=["hard", "empty"])
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n != "op3_warc"))
+def test_hard_and_empty_tables(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS kept", "1 AS node").write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(queries.queries()[name](spark, str(tmp_path)).collect()) == len(rows)
