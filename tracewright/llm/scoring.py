@@ -38,13 +38,13 @@ from .hashing import mix, word_hashes
 FOLDS, HELD_OUT = 5, 1
 BASE = 1.5
 LEVELS = 64
-BITS, PROBES = 10, 6
+BITS, PROBES = 8, 5
 #: Weight of the shorter run's probability, in sightings of the context: for runs of two, of three.
 K_TWO, K_THREE = 500.0, 10.0
 #: Most bytes of segments that are broadcast.
 BOUND = 256 << 20
-#: Bytes of text for each part of the model, each chunk, and each count in a worker.
-PART, CHUNK, COUNTED = 16 << 20, 8 << 20, 4 << 20
+#: Bytes of text for each part of the model, each chunk, and what a worker counts or scores at a time.
+PART, CHUNK, COUNTED, SCORED = 4 << 20, 8 << 20, 4 << 20, 1 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 SEGMENT = "part int, bits binary, keys binary, counts binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -71,7 +71,7 @@ def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs_of(tokens: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
-    """Keys per counted token: one, two and three (the runs that end in it), before (the token before it), pair (the two before it)."""
+    """Keys per counted token: one, two and three (the runs that end in it), pair (the two before it)."""
     wide = n + 2
     starts = np.cumsum(wide) - wide
     counted = np.ones(len(tokens), bool)
@@ -85,11 +85,16 @@ def runs_of(tokens: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
 
         two, context = pair(b, c), pair(a, b)
         three = mix(mix(context + np.uint64(3)) * np.uint64(0xD6E8FEB86659FD93) + c)
-    return {"one": c, "before": b, "two": two, "pair": context, "three": three}
+    return {"one": c, "two": two, "pair": context, "three": three}
+
+
+#: The run that stands before a text's first token.
+HEAD = runs_of(np.array([START, START, END]), np.array([1]))["pair"]
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (keys >> np.uint64(40)).astype(np.int64) % parts
+    """Ranges of keys, so that sorted keys lie part by part."""
+    return ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
 
 
 def _events(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -116,21 +121,39 @@ def make_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return packed.tobytes() + bytes([size % 8])
 
 
-class Segment:
-    def __init__(self, bits: bytes, keys: bytes, counts: bytes):
-        self.bits = np.frombuffer(bits, np.uint8)[:-1]
-        self.size = len(self.bits) * 8 - (-bits[-1] % 8)
-        self.keys, self.counts = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i8")
+class Filter:
+    """The segments of some parts, laid end to end; keys of other parts aren't known."""
+
+    def __init__(self, parts: int, rows):
+        self.parts = parts
+        self.starts, self.sizes = np.zeros(parts, np.uint64), np.zeros(parts, np.uint64)
+        bits, keys, counts, at = bytearray(), [], [], 0
+        for r in rows:
+            self.starts[r["part"]] = at * 8
+            self.sizes[r["part"]] = (len(r["bits"]) - 1) * 8 - (-r["bits"][-1] % 8)
+            bits += memoryview(r["bits"])[:-1]
+            at += len(r["bits"]) - 1
+            keys.append(np.frombuffer(r["keys"], "<u8"))
+            counts.append(np.frombuffer(r["counts"], "<i8"))
+        self.bits = np.frombuffer(bits, np.uint8)
+        self.keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
+        order = np.argsort(self.keys)
+        self.keys, self.counts = self.keys[order], np.concatenate([*counts, np.zeros(0, np.int64)])[order]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probed event by event until one is missing."""
         out = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
+        part = part_of(keys, self.parts)
+        left = np.flatnonzero(self.sizes[part])
         for j in range(1, LEVELS + 1):
-            events, hit = _events(keys[left], np.int64(j)), np.ones(len(left), bool)
-            for place in _places(events, self.size):
-                hit &= (self.bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
-            left = left[hit]
+            starts, sizes = self.starts[part[left]], self.sizes[part[left]]
+            event = _events(keys[left], np.int64(j))
+            step = mix(event) | np.uint64(1)
+            for k in range(PROBES):
+                with np.errstate(over="ignore"):
+                    place = starts + ((event + np.uint64(k) * step) >> np.uint64(8)) % sizes
+                hit = (self.bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                left, event, step, starts, sizes = left[hit], event[hit], step[hit], starts[hit], sizes[hit]
             if not len(left):
                 break
             out[left] = j
@@ -173,12 +196,9 @@ def _counter(parts: int):
             runs = runs_of(tokens, n)
             rows = []
             firsts = np.full(len(n), START, np.uint64)
-            heads = runs_of(np.array([START, START, END]), np.array([1]))["pair"]
-            for order, keys in ((1, np.concatenate([runs["one"], firsts])), (2, np.concatenate([runs["two"], np.repeat(heads, len(n))])), (3, runs["three"])):
+            for order, keys in ((1, np.concatenate([runs["one"], firsts])), (2, np.concatenate([runs["two"], np.repeat(HEAD, len(n))])), (3, runs["three"])):
                 keys, counts = np.unique(keys, return_counts=True)
                 part = part_of(keys, parts)
-                order_by = np.argsort(part, kind="stable")
-                keys, counts, part = keys[order_by], counts[order_by], part[order_by]
                 edges = np.searchsorted(part, np.arange(parts + 1))
                 for p in np.unique(part):
                     s = slice(edges[p], edges[p + 1])
@@ -238,11 +258,21 @@ def _scores(texts: list[bytes], exact, levels, tokens: int, distinct: int):
     found, n = tokens_of(texts)
     runs = runs_of(found, n)
     owner = np.repeat(np.arange(len(n)), n)
-    c = exact(runs["one"])
+    firsts = np.cumsum(n) - n
+
+    def shifted(values, first):
+        # what stands before a token is what was asked for one place earlier
+        out = np.concatenate([np.zeros(1, values.dtype), values[:-1]])
+        out[firsts] = first
+        return out
+
+    keys, back = np.unique(runs["one"], return_inverse=True)
+    c = exact(keys)[back]
     one = (c + 0.5) / (tokens + 0.5 * (distinct + 1))
-    before = exact(runs["before"])
-    two = (np.minimum(_COUNTS[levels(runs["two"])], before) + K_TWO * one) / (before + K_TWO)
-    pair = _COUNTS[levels(runs["pair"])]
+    before = shifted(c, exact(np.array([START]))[0])
+    found_two = _COUNTS[levels(runs["two"])]
+    two = (np.minimum(found_two, before) + K_TWO * one) / (before + K_TWO)
+    pair = shifted(found_two, _COUNTS[levels(HEAD)][0])
     three = (np.minimum(_COUNTS[levels(runs["three"])], pair) + K_THREE * two) / (pair + K_THREE)
 
     def total(p):
@@ -259,29 +289,14 @@ def _result(held, got, tokens: int) -> pa.RecordBatch:
 
 
 def _by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
-    rows = model.segments.collect()  # at most BOUND bytes
-    shared = docs.sparkSession.sparkContext.broadcast({r["part"]: (bytes(r["bits"]), bytes(r["keys"]), bytes(r["counts"])) for r in rows})
-    parts, tokens, distinct = model.parts, model.tokens, model.distinct
+    # at most BOUND bytes, fetched a partition at a time
+    shared = docs.sparkSession.sparkContext.broadcast(Filter(model.parts, model.segments.toLocalIterator()))
+    tokens, distinct = model.tokens, model.distinct
 
     def work(batches):
-        segments = {p: Segment(*s) for p, s in shared.value.items()}
-
-        def each(name):
-            def look(keys):
-                keys, back = np.unique(keys, return_inverse=True)
-                out, part = np.zeros(len(keys), np.int64), part_of(keys, parts)
-                order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.unique(part):
-                    at = order[edges[p] : edges[p + 1]]
-                    if p in segments:
-                        out[at] = getattr(segments[p], name)(keys[at])
-                return out[back]
-
-            return look
-
-        for held in _sliced(batches, COUNTED):
-            got = _scores([t for b in held for t in _texts(b.column("text"))], each("exact"), each("levels"), tokens, distinct)
+        known = shared.value
+        for held in _sliced(batches, SCORED):
+            got = _scores([t for b in held for t in _texts(b.column("text"))], known.exact, known.levels, tokens, distinct)
             yield _result(held, got, tokens)
 
     return docs.mapInArrow(work, SCORES)
@@ -303,7 +318,7 @@ def _by_chunks(docs: DataFrame, model: Model, chunk_bytes: int = CHUNK) -> DataF
                     asked.setdefault(int(c), []).extend(texts[k] for k in np.flatnonzero(own == c))
             for c, texts in asked.items():
                 runs = runs_of(*tokens_of(texts))
-                keys = [np.unique(np.concatenate([runs["one"], runs["before"]])), np.unique(np.concatenate([runs["two"], runs["pair"], runs["three"]]))]
+                keys = [np.unique(np.append(runs["one"], START)), np.unique(np.concatenate([runs["two"], HEAD, runs["three"]]))]
                 for kind, k in enumerate(keys):
                     part = part_of(k, parts)
                     found = np.unique(part)
@@ -312,10 +327,10 @@ def _by_chunks(docs: DataFrame, model: Model, chunk_bytes: int = CHUNK) -> DataF
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
         values = []
-        own = [Segment(r["bits"], r["keys"], r["counts"]) for r in segments.to_pylist()]
+        own = Filter(parts, segments.to_pylist())
         for kind, keys in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
             keys = np.frombuffer(keys, "<u8")
-            got = (own[0].levels(keys) if kind else own[0].exact(keys)) if own else np.zeros(len(keys), np.int64)
+            got = own.levels(keys) if kind else own.exact(keys)
             values.append(got.astype("<i8").tobytes())
         return pa.Table.from_arrays([asked.column("chunk"), asked.column("kind"), asked.column("keys"), pa.array(values, pa.binary())], ["chunk", "kind", "keys", "values"])
 
