@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from base64 import b32encode
@@ -80,6 +81,34 @@ def test_near_duplicates_are_those_of_all_pairs(spark, texts):
     assert sum(r["is_kept"] for r in rows) == len(want)
 
 
+def test_near_duplicates_by_rare_shingles_alone(spark, monkeypatch):
+    """A group of near copies about the limit, flat and with repeats, and texts alike in one passage, without pivots after the first."""
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
+    tried, real = [], minhash.rare_pairs
+    monkeypatch.setattr(minhash, "rare_pairs", lambda rare: tried.append(real(rare)) or tried[-1])
+    draw = random.Random(7)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        words = base + base[:40] * (k % 3) if k < 60 else base[:80] + [f"own{k}x{j}" for j in range(30)]
+        for _ in range(k % 5):
+            words = [*words[: (at := draw.randrange(len(words)))], f"new{draw.random()}", *words[at + 1 :]]
+        texts.append(" ".join(words))
+    parent = list(range(len(texts)))
+
+    def root(k):
+        return k if parent[k] == k else root(parent[k])
+
+    for a in range(len(texts)):
+        rest = list(range(a + 1, len(texts)))
+        for b, s in zip(rest, minhash.similarities([texts[a].encode()] * len(rest), [texts[b].encode() for b in rest]) if rest else [], strict=True):
+            if max(s) >= 0.8:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    rows = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {k: root(k) for k in range(len(texts))}
+    assert tried and 0 < tried[0].distinct().count() < 90 * 89 / 2
+
+
 def test_pieces_are_the_library_s(spark, texts):
     import sentencepiece
 

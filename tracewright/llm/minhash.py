@@ -14,10 +14,13 @@ From links to classes:
 2. In every bucket all nodes are compared with the bucket's first node only
    (the pivot), which is linear in the bucket, however large.
 3. Connected components by large-star / small-star rounds.
-4. Where a bucket still spans several components, the members outside the
-   bucket's largest component are new pivots, one per round; what is left after
-   ``PIVOT_ROUNDS`` is compared pair by pair, between components only. So every
-   candidate pair is either compared or already in one class; nothing is capped.
+4. Where a bucket still spans several components, one node outside the bucket's
+   largest component is a new pivot, for ``PIVOT_ROUNDS`` rounds.
+5. Nodes of the buckets that are left are entered under their rarest shingles
+   (an exact prefix filter); pairs of different components that meet there and
+   can reach ``SIMILAR`` by what stands behind that shingle are compared. So every
+   candidate pair is compared, or in one class already, or shown not to be
+   similar; nothing is capped, and texts alike in a frequent passage don't meet.
 
 Joins are plain equi-joins on nodes or buckets (AQE splits skewed ones), and
 rows are narrow but for the texts of candidate nodes. Rounds are cut by tables
@@ -36,7 +39,7 @@ rows being one; an empty table gives an empty result; extra columns are kept by
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -44,6 +47,8 @@ from .hashing import counted, mix, shingles, word_hashes
 
 WIDTH = 5
 SIMILAR = 0.8
+#: For sums of fractions: a pair at the limit is compared rather than left out.
+EPS = 1e-9
 BANDS, ROWS = 26, 6
 PIVOT_ROUNDS = 3
 #: Texts hashed at a time: the registers of so many are held at once.
@@ -178,11 +183,75 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _in_comps(members: DataFrame, comps: DataFrame) -> DataFrame:
     """members (bucket, node) with their component, of buckets that span several."""
-    named = members.join(comps, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    named = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = named.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
     return named.join(split, "bucket", "left_semi")
 
 
+def _linked(pairs: DataFrame, comps: DataFrame, done: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(components, pairs done) once the pairs that aren't done are compared."""
+    new = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    new = stored(new.join(done, ["a", "b"], "left_anti"), "pairs")
+    found = stored(links(new, texts), "links")
+    if not found.isEmpty():
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+    return comps, done.unionByName(new)
+
+
+def _by_pivots(members: DataFrame, comps: DataFrame, done: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(members of buckets that still span several components or None, components, pairs done) after ``PIVOT_ROUNDS``."""
+    for k in range(PIVOT_ROUNDS + 1):
+        left = stored(_in_comps(members, comps), "left")
+        if left.isEmpty():
+            return None, comps, done
+        if k < PIVOT_ROUNDS:
+            sizes = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+            pivots = sizes.groupBy("bucket").agg(F.min(F.struct("n", "comp", "first")).alias("small")).select("bucket", F.col("small.first").alias("b"), F.col("small.comp").alias("b_comp"))
+            comps, done = _linked(left.join(pivots, "bucket").where("comp <> b_comp").select(F.col("node").alias("a"), "b"), comps, done, texts)
+    return left, comps, done
+
+
+def _shingle_rows(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            value, owner, weight = counted(*shingles(*word_hashes(_bytes(part.column("text"))), WIDTH))
+            size, total = np.bincount(owner, minlength=part.num_rows)[owner], np.bincount(owner, weight, part.num_rows)[owner]
+            node = part.column("node").to_numpy()[owner]
+            columns = [pa.array(value.astype(np.int64)), pa.array(node), pa.array(weight / total), pa.array(size.astype(np.int64)), pa.array(size == total)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "node", "mass", "size", "flat"])
+
+
+def rare_members(texts: DataFrame) -> DataFrame:
+    """(bucket, node, size, flat, rest_n, rest_mass): each text under its rarest shingles.
+
+    Exact, no sketch (prefix filter): shingles are ordered by how few of the texts
+    hold them; ``rest_n`` of a text's ``size`` shingles, and ``rest_mass`` of its
+    weight, stand at this place or later. A text is entered while one of them is
+    ``SIMILAR`` of the whole: were two texts' rarest common shingle later in either,
+    they would have less than that in common. ``flat``: no shingle repeats.
+    """
+    rows = texts.mapInArrow(_shingle_rows, "bucket bigint, node bigint, mass double, size bigint, flat boolean")
+    held = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    after = Window.partitionBy("node").orderBy(F.col("n").desc(), "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    held = held.select("bucket", "node", "size", "flat", "n", F.count(F.lit(1)).over(after).alias("rest_n"), F.sum("mass").over(after).alias("rest_mass"))
+    return held.where((F.col("n") > 1) & ((F.col("rest_n") >= SIMILAR * F.col("size") - EPS) | (F.col("rest_mass") >= SIMILAR - EPS))).drop("n")
+
+
+def rare_pairs(rare: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components that can be similar, judged by their rarest common shingle.
+
+    What both have from there on bounds what they have in common. A plain Jaccard
+    similarity s takes s / (1 + s) of both sizes in common; a probability Jaccard
+    similarity, which is the plain one where nothing repeats, s of both weights.
+    """
+    a = rare.select("bucket", *(F.col(c).alias(f"a_{c}") for c in rare.columns if c != "bucket"))
+    b = rare.select("bucket", *(F.col(c).alias(f"b_{c}") for c in rare.columns if c != "bucket"))
+    plain = F.least("a_rest_n", "b_rest_n") >= SIMILAR / (1 + SIMILAR) * (F.col("a_size") + F.col("b_size")) - EPS
+    weighted = ~(F.col("a_flat") & F.col("b_flat")) & (F.least("a_rest_mass", "b_rest_mass") >= SIMILAR - EPS)
+    return a.join(b, "bucket").where((F.col("a_comp") > F.col("b_comp")) & (plain | weighted)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
 def node_classes(docs: DataFrame) -> DataFrame:
     """(node, comp) for the nodes that have a near duplicate of another text; docs: node, text."""
     rows = docs.mapInArrow(_band_rows, "bucket bigint, node bigint")
@@ -194,30 +263,12 @@ def node_classes(docs: DataFrame) -> DataFrame:
 
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     edges = stored(links(pairs, texts), "links")
-    comps = components(edges)
-    members = members.select("bucket", "node")
-    done = pairs
-    for k in range(PIVOT_ROUNDS + 1):
-        left = stored(_in_comps(members, comps), "left")
-        if left.isEmpty():
-            break
-        if k < PIVOT_ROUNDS:
-            sizes = left.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-            pick = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("big"), F.min(F.struct("n", "comp", "first")).alias("small"))
-            pivots = pick.select("bucket", F.col("small.first").alias("b"), F.col("small.comp").alias("b_comp"))
-            new = left.join(pivots, "bucket").where("comp <> b_comp").select(F.col("node").alias("a"), "b")
-        else:
-            a = left.select("bucket", F.col("node").alias("a"), F.col("comp").alias("a_comp"))
-            b = left.select("bucket", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
-            new = a.join(b, "bucket").where("a_comp > b_comp").select("a", "b")
-        new = new.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        new = stored(new.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.unionByName(new)
-        found = stored(links(new, texts), "links")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
-    return comps
+    comps, done = components(edges), pairs
+    left, comps, done = _by_pivots(members.select("bucket", "node"), comps, done, texts)
+    if left is None:
+        return comps
+    rare = stored(_in_comps(rare_members(texts.join(left.select("node").distinct(), "node", "left_semi")), comps), "rare")
+    return _linked(rare_pairs(rare), comps, done, texts)[0]
 
 
 def node_of(text):
