@@ -6,8 +6,8 @@ document is compared to each profile by out-of-place distance: the sum, over
 its own most frequent n-grams, of how far each stands from its place in the
 profile (``PROFILE`` places if it isn't there).
 
-Training reads every training text whole; workers count a batch at a time and
-emit (language, n-gram, count), which Spark sums with map-side combine; the top
+Training reads every training text whole; workers count ``HELD`` n-grams at a
+time and emit (language, n-gram, count), which Spark sums with map-side combine; the top
 ``PROFILE`` per language come back to the driver (languages x 300 rows) and are
 broadcast. Prediction handles each row alone.
 
@@ -29,6 +29,8 @@ from .common import crc32_mod, table
 
 PROFILE = 300
 FOLDS, HELD_OUT = 3, 1
+#: N-grams that a worker holds before it counts them (8 bytes each, and as many again to sort), but for one text's.
+HELD = 4 << 20
 
 
 @lru_cache(maxsize=1)
@@ -63,13 +65,24 @@ def top(codes: np.ndarray, n: int = PROFILE) -> np.ndarray:
     return codes[starts[np.argsort(-counts, kind="stable")[:n]]]
 
 
+def _totals(parts: dict[str, list[np.ndarray]]):
+    for lang in sorted(parts):
+        codes, counts = np.unique(np.concatenate(parts[lang]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
+
+
 def _count(batches):
+    parts: dict[str, list[np.ndarray]] = {}
+    held = 0
     for batch in batches:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            parts = [ngrams(t) for k, t in zip(langs, texts, strict=True) if k == lang]
-            codes, counts = np.unique(np.concatenate(parts), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "code", "n"])
+        for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+            codes = ngrams(text.as_py())
+            parts.setdefault(lang.as_py(), []).append(codes)
+            held += len(codes)
+            if held >= HELD:
+                yield from _totals(parts)
+                parts, held = {}, 0
+    yield from _totals(parts)
 
 
 def train(labelled: DataFrame) -> dict[str, list[int]]:
