@@ -109,6 +109,18 @@ def test_near_duplicates_by_rare_shingles_alone(spark, monkeypatch):
     assert tried and 0 < tried[0].distinct().count() < 90 * 89 / 2
 
 
+def test_near_duplicates_that_differ_in_repeats_alone(spark):
+    """Alike by plain Jaccard, unlike by probability Jaccard: a passage said once, and many times in the other copy."""
+    texts = []
+    for k in range(40):
+        words = [f"w{k}x{j}" for j in range(100)]
+        texts += [" ".join(words), " ".join(words + words[-10:] * 39)]
+    weighted, plain = zip(*minhash.similarities([t.encode() for t in texts[::2]], [t.encode() for t in texts[1::2]]), strict=True)
+    assert max(weighted) < 0.5 and min(plain) > 0.9
+    rows = minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_pieces_are_the_library_s(spark, texts):
     import sentencepiece
 

@@ -5,8 +5,11 @@ Poisson process of arrivals (rate: its weight) to random registers; a register
 keeps its first arrival. A text's processes are followed in step and stop once
 none can arrive before the latest first arrival (early termination). Two texts
 agree in a register with the probability of their probability Jaccard
-similarity, whatever their lengths. Registers are banded; texts in a common
-band bucket are candidates, and candidates are verified on the whole texts.
+similarity, whatever their lengths. A text in which a shingle repeats has a second
+row of registers, in which each shingle weighs one: there two texts agree with the
+probability of their plain Jaccard similarity. (Where none repeats the two rows
+are the same.) Registers are banded; texts in a common band bucket, by either row,
+are candidates, and candidates are verified on the whole texts.
 
 From links to classes:
 
@@ -57,11 +60,18 @@ _T = "__tw_near"
 
 
 def signatures(texts: list[bytes], bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(registers: one row per text, whether the text has a shingle)."""
+    """(registers, the text of each row): a row for each text with a shingle, and one by distinct shingles where one repeats."""
     m = bands * rows
     value, owner, weight = counted(*shingles(*word_hashes(texts), WIDTH))
-    first = np.full((len(texts), m), np.inf)
-    kept = np.zeros((len(texts), m), np.uint64)
+    repeats = np.zeros(len(texts), bool)
+    repeats[owner[weight > 1]] = True
+    again, second = repeats[owner], len(texts) + np.cumsum(repeats) - 1
+    value, weight = np.concatenate([value, value[again]]), np.concatenate([weight, np.ones(again.sum(), np.int64)])
+    owner = np.concatenate([owner, second[owner[again]]])
+    text = np.concatenate([np.arange(len(texts)), np.flatnonzero(repeats)])
+    full = np.bincount(owner, minlength=len(text)) > 0
+    first = np.full((len(text), m), np.inf)
+    kept = np.zeros((len(text), m), np.uint64)
     flat, flat_kept = first.reshape(-1), kept.reshape(-1)
     seed, at, clock = mix(value), owner, np.zeros(len(value))
     weight = weight.astype(float)
@@ -79,11 +89,11 @@ def signatures(texts: list[bytes], bands: int = BANDS, rows: int = ROWS) -> tupl
         np.minimum.at(flat, slot, clock)
         won = flat[slot] == clock
         flat_kept[slot[won]] = value[won]
-    return kept, np.bincount(owner, minlength=len(texts)) > 0
+    return kept[full], text[full]
 
 
 def band_keys(kept: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per text and band."""
+    """One 64-bit key per row of registers and band."""
     parts = kept.reshape(len(kept), bands, rows)
     out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(kept), 1))
     with np.errstate(over="ignore"):
@@ -135,9 +145,9 @@ def _band_rows(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK):
             part = batch.slice(at, CHUNK)
-            kept, full = signatures(_bytes(part.column("text")))
-            keys = band_keys(kept)[full]
-            node = np.repeat(part.column("node").to_numpy()[full], keys.shape[1])
+            kept, text = signatures(_bytes(part.column("text")))
+            keys = band_keys(kept)
+            node = np.repeat(part.column("node").to_numpy()[text], keys.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(node)], ["bucket", "node"])
 
 
