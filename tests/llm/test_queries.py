@@ -12,7 +12,7 @@ import duckdb
 import pytest
 from compare import in_duckdb, in_spark
 
-from tracewright.llm import minhash, pieces, queries, scoring, warc
+from tracewright.llm import minhash, pieces, pii, queries, scoring, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -132,6 +132,31 @@ def test_pieces_are_the_library_s(spark, texts):
         assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+CARD, IBAN, SPACED = "4111 1111 1111 1111", "DE89370400440532013000", "DE89 3704 0044 0532 0130 00"
+BESIDE = {
+    CARD: ["{}", "{} 12/27", "{} 123", "2024-01-05 {}", "{} 2024-01-05", "10.99 {}", "1.5-{}", "7 {} 8", "order 12-{}", "{} {}"],
+    "4111111111111111": ["order 12 {}", "{} 12/27", "{} 123", "12 {} 34", "{} {}"],
+    "3782 822463 10005": ["{} 1234", "12 {}"],
+    IBAN: ["{}", "{} EUR 500", "EUR 500 {} BIC COBADEFFXXX", "GB12 {}", "{} {}"],
+    SPACED: ["{}", "{} BIC COBADEFFXXX", "{} EUR 500", "IBAN {} 2024", "AB12 CD34 {} X"],
+}
+
+
+@pytest.mark.parametrize("value, frame", [(v, f) for v, frames in BESIDE.items() for f in frames])
+def test_cards_and_ibans_beside_numbers_and_capitals(value, frame):
+    rewrite = pii.Pseudonyms(b"key").rewrite
+    kind = "iban" if value[0] == "D" else "card"
+    got, spans = rewrite(frame.format(*[value] * frame.count("{}")))
+    new = rewrite(value)[0]
+    assert new != value and value not in got and got.count(new) == frame.count("{}")
+    assert sum(k == kind for _, _, k in spans) == frame.count("{}")
+
+
+@pytest.mark.parametrize("text", ["1.4111111111111111", "4111111111111111" * 2, "4111 1111 1111 1112 12", "DE89370400440532013001 EUR 500", "x4111 1111 1111", "0000 0000 0000 0000 00"])
+def test_what_is_no_card_or_iban_stays(text):
+    assert pii.Pseudonyms(b"key").rewrite(text) == (text, [])
+
+
 def test_license_places_by_brute_force(spark, texts):
     phrases = ("under the mit license", "apache license version 2", "cc by nc")
     for r in queries.queries()["op6_license_scan"](spark, SF).collect():

@@ -11,7 +11,10 @@ A row is handled alone: no shuffle, nothing is remembered but a bounded cache.
 
 Defined results: null text stays null with no finding, empty text stays empty;
 whole texts are searched; where findings overlap the earlier kind in ``KINDS``
-wins, then the longer one; repeated rows give equal results; an empty table
+wins, then the longer one; cards may start and end at any group of a run of digits
+(parts of a run that aren't grouped as cards are come after all kinds), IBANs end
+at any group, so that what stands beside a number doesn't hide it; repeated rows
+give equal results; an empty table
 gives an empty result; other columns pass through untouched, and only ``text``
 (and ``n_chars`` where there is one) changes.
 """
@@ -35,8 +38,11 @@ KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone", "date")
 _EMAIL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}")
 _EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]\Z")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|passwd|password|api_?key|access_?key)\s*[:=]\s*[\"']([A-Za-z0-9_+/=-]{12,256})[\"']")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
-_CARD = re.compile(r"(?<![\d])(?<!\d[.-])\d(?:[ -]?\d){11,18}(?![\d])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
+_GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+_CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
+_CARD_START = re.compile(r"[3-6]|2[2-7]")
+_DIGITS = re.compile(r"\d+")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)(\d{3})([- ])(?!00)(\d\d)\2(?!0000)(\d{4})(?![\d-])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
 _NANP = re.compile(r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(([2-9]\d\d)\) ?|([2-9]\d\d)[ .-])([2-9]\d\d)[ .-](\d{4})(?!\d)")
@@ -100,9 +106,13 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def _is_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and len(set(digits)) > 1 and luhn_digit(digits[:-1]) == digits[-1]
+
+
 def card(value: str, key: bytes) -> str | None:
     digits = re.sub(r"[ -]", "", value)
-    if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn_digit(digits[:-1]) != digits[-1]:
+    if not _is_card(digits):
         return None
     body = digits[0] + "".join(map(str, permuted_digits([int(c) for c in digits[1:-1]], [10] * (len(digits) - 2), b"card" + digits[0].encode(), key)))
     return refilled(value, body + luhn_digit(body))
@@ -112,9 +122,13 @@ def _mod97(country: str, check: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + check)) % 97
 
 
+def _is_iban(flat: str) -> bool:
+    return 15 <= len(flat) <= 34 and _mod97(flat[:2], flat[2:4], flat[4:]) == 1
+
+
 def iban(value: str, key: bytes) -> str | None:
     flat = value.replace(" ", "")
-    if not 15 <= len(flat) <= 34 or _mod97(flat[:2], flat[2:4], flat[4:]) != 1:
+    if not _is_iban(flat):
         return None
     body = by_class(flat[4:], b"iban" + flat[:2].encode(), key)
     new = flat[:2] + f"{98 - _mod97(flat[:2], '00', body):02d}" + body
@@ -204,14 +218,51 @@ def _emails(text: str):
         at = text.find("@", at + 1)
 
 
-def found(text: str) -> list[tuple[int, int, str, Callable]]:
-    """Candidates as (start, end, kind, pseudonym function), whole text, not yet validated."""
-    out = [(a, b, "email", email) for a, b in _emails(text)] if "@" in text else []
+def _ibans(text: str):
+    """(start, end) of the valid IBANs: from every start the longest that ends with a group."""
+    for m in _IBAN.finditer(text):
+        a, b = m.span(1)
+        ends = [e.start() for e in _GROUP_END.finditer(text, a, min(b + 1, len(text))) if e.start() <= b]
+        for end in reversed(ends):
+            if _is_iban(text[a:end].replace(" ", "")):
+                yield a, end
+                break
+
+
+def _cards(text: str):
+    """(start, end, doubt) of the valid cards: all parts of a run of digit groups that start and end with a group.
+
+    One part in ten has a right check digit by chance. Doubt is 0 for parts grouped as
+    cards are and with first digits of cards, 1 for whole runs, 2 for other parts
+    grouped so, 3 for the rest.
+    """
+    for m in _CARD.finditer(text):
+        groups = [g.span() for g in _DIGITS.finditer(text, *m.span())]
+        if re.search(r"\d\.\Z", text[max(0, m.start() - 2) : m.start()]):
+            groups = groups[1:]  # decimals
+        for k, (start, _) in enumerate(groups):
+            digits, sizes = "", []
+            for a, b in groups[k : k + 19]:
+                digits += text[a:b]
+                sizes.append(b - a)
+                if len(digits) > 19:
+                    break
+                if _is_card(digits):
+                    usual = len(sizes) == 1 or sizes in ([4, 6, 4], [4, 6, 5]) or (set(sizes[:-1]) == {4} and sizes[-1] <= 4)
+                    yield start, b, 0 if usual and _CARD_START.match(digits) else 1 if len(sizes) == len(groups) else 2 if usual else 3
+
+
+def found(text: str) -> list[tuple[float, int, int, str, Callable]]:
+    """Candidates as (rank, start, end, kind, pseudonym function), whole text; all but IBANs and cards not yet validated."""
+    order = {k: float(n) for n, k in enumerate(KINDS)}
+    out = [(order["email"], a, b, "email", email) for a, b in _emails(text)] if "@" in text else []
     if '"' in text or "'" in text:
-        out += [(*m.span(1), "secret", secret) for m in _SECRET.finditer(text)]
+        out += [(order["secret"], *m.span(1), "secret", secret) for m in _SECRET.finditer(text)]
     if _DIGIT.search(text):
-        for kind, pattern, make in (("iban", _IBAN, iban), ("card", _CARD, card), ("ssn", _SSN, ssn), ("ip", _IP, ip), ("phone", _NANP, phone), ("phone", _WORLD, phone), ("date", _DATE, date)):
-            out += [(*m.span(), kind, make) for m in pattern.finditer(text)]
+        out += [(order["iban"], a, b, "iban", iban) for a, b in _ibans(text)]
+        out += [(order["card"] + doubt / 4 if doubt < 3 else float(len(KINDS)), a, b, "card", card) for a, b, doubt in _cards(text)]
+        for kind, pattern, make in (("ssn", _SSN, ssn), ("ip", _IP, ip), ("phone", _NANP, phone), ("phone", _WORLD, phone), ("date", _DATE, date)):
+            out += [(order[kind], *m.span(), kind, make) for m in pattern.finditer(text)]
     return out
 
 
@@ -221,9 +272,8 @@ class Pseudonyms:
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and what was replaced as (start, end, kind) in the old text."""
-        order = {k: n for n, k in enumerate(KINDS)}
         taken: list[tuple[int, int, str, str]] = []
-        for a, b, kind, make in sorted(found(text), key=lambda x: (order[x[2]], x[0] - x[1], x[0])):
+        for _, a, b, kind, make in sorted(found(text), key=lambda x: (x[0], x[1] - x[2], x[1])):
             if any(a < y and x < b for x, y, _, _ in taken):
                 continue
             new = self.make(make, text[a:b])
