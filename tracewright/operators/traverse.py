@@ -31,16 +31,19 @@ def lineage(edges: DataFrame, start: str, downstream: bool = True, depth: int =
     return reduce(DataFrame.unionByName, rounds), not frontier.isEmpty()
 
 
-def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
+def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     """The simple cycles of up to ``longest`` edges (src, dst), each once, from its smallest node: length, key.
 
     A path only grows over nodes larger than its first, so each cycle is found
-    in one rotation only; nodes that no cycle can pass are trimmed first.
+    in one rotation only; nodes that no cycle can pass are trimmed first, until
+    none is left, and each length's paths are checkpointed.
     """
-    edges = edges.select("src", "dst").distinct()
-    for _ in range(2):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-    edges = cut(edges)
+    edges = cut(edges.select("src", "dst").distinct())
+    before, left = None, edges.count()
+    while left != before:
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        before, left = left, edges.count()
     step = edges.select(F.col("src").alias("last"), F.col("dst").alias("next"))
     paths = edges.select(F.array("src").alias("path"), F.col("dst").alias("next"))
     found = []
@@ -48,5 +51,6 @@ def cycles(edges: DataFrame, longest: int = 3) -> DataFrame:
         closed = paths.where(F.col("next") == F.col("path")[0])
         found.append(closed.select(F.lit(k).alias("length"), F.array_join("path", ">").alias("key")))
         grown = paths.where((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
-        paths = grown.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last")).join(step, "last").select("path", "next")
+        if k < longest:
+            paths = cut(grown.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last")).join(step, "last").select("path", "next"))
     return reduce(DataFrame.unionByName, found)

@@ -145,13 +145,27 @@ def lineage_upstream(spark, sf):
     return traverse.lineage(made.data_edges(spark, sf), "package:1", downstream=False)[0].select("id", "kind", "depth")
 
 
+def _main_trade(spark, sf):
+    """Each nation's two largest flows."""
+    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
+    return made.trade(spark, sf).withColumn("k", place).where("k <= 2")
+
+
 @_register(f"WITH {_TRADE}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM trade), e AS (SELECT src, dst FROM r WHERE k <= 2) " """
 SELECT 1 AS length, src::VARCHAR AS key FROM e WHERE src = dst
 UNION ALL SELECT 2, a.src || '>' || a.dst FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
 UNION ALL SELECT 3, a.src || '>' || a.dst || '>' || b.dst FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
 def dependency_cycles(spark, sf):
-    place = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst"))
-    return traverse.cycles(made.trade(spark, sf).withColumn("k", place).where("k <= 2"))
+    # its SQL has the lengths one to three; dependency_cycles_to_six has all of the operator's
+    return traverse.cycles(_main_trade(spark, sf), longest=3)
+
+
+@_register(f"WITH RECURSIVE {_TRADE}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) AS k FROM trade), e AS (SELECT src, dst FROM r WHERE k <= 2), " """
+p AS (SELECT src AS first, dst AS next, [src] AS path FROM e
+UNION ALL SELECT first, e.dst, list_append(path, e.src) FROM p JOIN e ON p.next = e.src WHERE p.next > first AND NOT list_contains(path, p.next) AND len(path) < 6)
+SELECT len(path)::INTEGER AS length, array_to_string(path, '>') AS key FROM p WHERE next = first""")
+def dependency_cycles_to_six(spark, sf):
+    return traverse.cycles(_main_trade(spark, sf))
 
 
 @_register(f"WITH {_TRADE} SELECT src, dst, n FROM trade WHERE src <> dst")
