@@ -9,6 +9,7 @@ from base64 import b32encode
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from compare import in_duckdb, in_spark
 
@@ -182,6 +183,16 @@ def test_scores_by_brute_force(spark, texts):
     assert sum(rows[i]["score"] for i in new) > sum(rows[i]["base_score"] for i in new)
 
 
+def test_few_unseen_runs_are_taken_for_seen_ones():
+    draw = np.random.default_rng(5)
+    keys = np.unique(draw.integers(0, 2**64, 200_000, np.uint64))
+    counts = draw.geometric(0.5, len(keys))
+    row = {"part": 0, "bits": scoring.make_bits(keys, counts), "keys": b"", "counts": b""}
+    model = scoring.Filter(1, [row])
+    assert (model.levels(keys) >= scoring.level_of(counts)).all()
+    assert (model.levels(draw.integers(0, 2**64, 200_000, np.uint64)) > 0).mean() < 0.01
+
+
 def test_scores_are_the_same_beyond_the_broadcast_bound(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "doc_id % 5 = 1 AS held_out", "text")
     model = scoring.train(docs.where("not held_out"), part_bytes=50_000)
