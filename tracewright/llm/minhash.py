@@ -13,17 +13,22 @@ are candidates, and candidates are verified on the whole texts.
 
 From links to classes:
 
-1. Equal texts are one node (a 64-bit text hash), so copies cost one row each.
+1. Equal texts are one node (a 64-bit text hash, made unique), so copies cost one
+   row each.
 2. In every bucket all nodes are compared with the bucket's first node only
    (the pivot), which is linear in the bucket, however large.
 3. Connected components by large-star / small-star rounds.
 4. Where a bucket still spans several components, one node outside the bucket's
    largest component is a new pivot, for ``PIVOT_ROUNDS`` rounds.
 5. Nodes of the buckets that are left are entered under their rarest shingles
-   (an exact prefix filter); pairs of different components that meet there and
-   can reach ``SIMILAR`` by what stands behind that shingle are compared. So every
-   candidate pair is compared, or in one class already, or shown not to be
-   similar; nothing is capped, and texts alike in a frequent passage don't meet.
+   (an exact prefix filter); pairs of different components that meet there are
+   compared if they can reach ``SIMILAR`` by what stands behind that shingle and by
+   their parity sketches, both exact bounds. So every candidate pair is compared,
+   or in one class already, or shown not to be similar; nothing is capped, and
+   texts alike in a frequent passage don't meet.
+
+What step 5 hands on is about the links that are left; the join looks at all pairs
+of one rare shingle, which is the square of its texts in different components.
 
 Joins are plain equi-joins on nodes or buckets (AQE splits skewed ones), and
 rows are narrow but for the texts of candidate nodes. Rounds are cut by tables
@@ -40,6 +45,9 @@ rows being one; an empty table gives an empty result; extra columns are kept by
 ``dedupe`` and ignored by ``classes``.
 """
 
+import operator
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -53,9 +61,12 @@ SIMILAR = 0.8
 #: For sums of fractions: a pair at the limit is compared rather than left out.
 EPS = 1e-9
 BANDS, ROWS = 26, 6
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
 #: Texts hashed at a time: the registers of so many are held at once.
 CHUNK = 512
+#: 64-bit words of a parity sketch.
+SKETCH = 16
+_BITS = [f"s{k}" for k in range(SKETCH)]
 _T = "__tw_near"
 
 
@@ -159,9 +170,68 @@ def _verified(batches):
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([max(g) for g in got], pa.float64())], ["a", "b", "similar"])
 
 
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles, all shingles, parity sketch) of each text.
+
+    A sketch has ``SKETCH`` words of 64 bits; each distinct shingle flips one bit.
+    Two sketches differ in no more bits than the texts have distinct shingles apart.
+    """
+    value, owner, weight = counted(*shingles(*word_hashes(texts), WIDTH))
+    size, total = np.bincount(owner, minlength=len(texts)), np.bincount(owner, weight, len(texts))
+    bit = (mix(value) >> np.uint64(11)) % np.uint64(SKETCH * 64)
+    flips = np.bincount(owner * SKETCH * 64 + bit.astype(np.int64), minlength=len(texts) * SKETCH * 64) & 1
+    return size, total.astype(np.int64), np.packbits(flips.astype(np.uint8).reshape(len(texts), -1), axis=1).view(np.int64)
+
+
+def _text_rows(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, CHUNK):
+            part = batch.slice(at, CHUNK)
+            size, total, bits = sketches(_bytes(part.column("text")))
+            columns = [part.column("node"), part.column("text"), pa.array(size), pa.array(total), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "text", "size", "total", *_BITS])
+
+
+def text_rows(texts: DataFrame) -> DataFrame:
+    """(node, text) with size, total and sketch."""
+    return texts.select("node", "text").mapInArrow(_text_rows, "node bigint, text string, size bigint, total bigint, " + ", ".join(f"{c} bigint" for c in _BITS))
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns))
+
+
+def _reaches(a, b):
+    """Whether texts that have at least the shares a and b of their weight apart may reach ``SIMILAR``.
+
+    Probability Jaccard similarity sums, over common shingles of normal weights x and
+    y, at most 1 / (1 / x + b / y); that is concave, so the sum is at most its value at
+    the sums 1 - a and 1 - b: (1 - a)(1 - b) / (1 - a b). By distinct shingles, where
+    all weights are one, this is plain Jaccard similarity.
+    """
+    return (1 - a) * (1 - b) >= (SIMILAR - EPS) * (1 - a * b)
+
+
+def can_be_similar():
+    """Whether the texts a and b may reach ``SIMILAR``, by sizes and sketches; never false for a pair that does.
+
+    A shingle weighs at least 1 / total, and the shares by distinct shingles are no
+    smaller; so one condition serves for both similarities. Solved for the number of
+    shingles apart it is one limit: the smaller root of a quadratic.
+    """
+    apart = reduce(operator.add, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _BITS))
+    more = F.col("a_size") - F.col("b_size")
+    half = (F.col("a_total") + F.col("b_total")) / 2
+    rest = (1 - SIMILAR) * F.col("a_total") * F.col("b_total") - more * (F.col("b_total") - F.col("a_total")) / 2 - (1 + SIMILAR) * more * more / 4
+    limit = (half - F.sqrt(F.greatest(half * half - (1 + SIMILAR) * rest, F.lit(0.0)))) * (2 / (1 + SIMILAR)) + F.lit(1e-6)
+    return (F.abs(more) <= limit) & (apart <= limit)
+
+
 def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough, verified on whole texts."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
+    """The pairs (a, b) that are similar enough: by sketches, then verified on whole texts."""
+    narrow = texts.drop("text")
+    rest = pairs.join(_side(narrow, "a"), F.col("a") == F.col("a_node")).join(_side(narrow, "b"), F.col("b") == F.col("b_node")).where(can_be_similar()).select("a", "b")
+    with_a = rest.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a")
     with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     checked = with_both.select("a", "b", "a_text", "b_text").mapInArrow(_verified, "a bigint, b bigint, similar double")
     return checked.where(F.col("similar") >= SIMILAR).select("a", "b")
@@ -228,48 +298,43 @@ def _shingle_rows(batches):
             value, owner, weight = counted(*shingles(*word_hashes(_bytes(part.column("text"))), WIDTH))
             size, total = np.bincount(owner, minlength=part.num_rows)[owner], np.bincount(owner, weight, part.num_rows)[owner]
             node = part.column("node").to_numpy()[owner]
-            columns = [pa.array(value.astype(np.int64)), pa.array(node), pa.array(weight / total), pa.array(size.astype(np.int64)), pa.array(size == total)]
-            yield pa.RecordBatch.from_arrays(columns, ["bucket", "node", "mass", "size", "flat"])
+            yield pa.RecordBatch.from_arrays([pa.array(value.astype(np.int64)), pa.array(node), pa.array(weight / total), pa.array(1 / size)], ["bucket", "node", "mass", "part"])
 
 
 def rare_members(texts: DataFrame) -> DataFrame:
-    """(bucket, node, size, flat, rest_n, rest_mass): each text under its rarest shingles.
+    """(bucket, node, rest, rest_mass): each text under its rarest shingles.
 
     Exact, no sketch (prefix filter): shingles are ordered by how few of the texts
-    hold them; ``rest_n`` of a text's ``size`` shingles, and ``rest_mass`` of its
-    weight, stand at this place or later. A text is entered while one of them is
-    ``SIMILAR`` of the whole: were two texts' rarest common shingle later in either,
-    they would have less than that in common. ``flat``: no shingle repeats.
+    hold them; the share ``rest`` of a text's distinct shingles, and ``rest_mass`` of
+    its weight, stand at this place or later. A text is entered while one of them
+    reaches ``SIMILAR``: were two texts' rarest common shingle later in either, they
+    would have less than that in common.
     """
-    rows = texts.mapInArrow(_shingle_rows, "bucket bigint, node bigint, mass double, size bigint, flat boolean")
+    rows = texts.select("node", "text").mapInArrow(_shingle_rows, "bucket bigint, node bigint, mass double, part double")
     held = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
     after = Window.partitionBy("node").orderBy(F.col("n").desc(), "bucket").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.select("bucket", "node", "size", "flat", "n", F.count(F.lit(1)).over(after).alias("rest_n"), F.sum("mass").over(after).alias("rest_mass"))
-    return held.where((F.col("n") > 1) & ((F.col("rest_n") >= SIMILAR * F.col("size") - EPS) | (F.col("rest_mass") >= SIMILAR - EPS))).drop("n")
+    held = held.select("bucket", "node", "n", F.sum("part").over(after).alias("rest"), F.sum("mass").over(after).alias("rest_mass"))
+    return held.where((F.col("n") > 1) & (F.greatest("rest", "rest_mass") >= SIMILAR - EPS)).drop("n")
 
 
 def rare_pairs(rare: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components that can be similar, judged by their rarest common shingle.
+    """(a, b): pairs of different components that can be similar, judged by their rarest common shingle and their sketches.
 
-    What both have from there on bounds what they have in common. A plain Jaccard
-    similarity s takes s / (1 + s) of both sizes in common; a probability Jaccard
-    similarity, which is the plain one where nothing repeats, s of both weights.
+    What both have from that shingle on bounds what they have in common.
     """
-    a = rare.select("bucket", *(F.col(c).alias(f"a_{c}") for c in rare.columns if c != "bucket"))
-    b = rare.select("bucket", *(F.col(c).alias(f"b_{c}") for c in rare.columns if c != "bucket"))
-    plain = F.least("a_rest_n", "b_rest_n") >= SIMILAR / (1 + SIMILAR) * (F.col("a_size") + F.col("b_size")) - EPS
-    weighted = ~(F.col("a_flat") & F.col("b_flat")) & (F.least("a_rest_mass", "b_rest_mass") >= SIMILAR - EPS)
-    return a.join(b, "bucket").where((F.col("a_comp") > F.col("b_comp")) & (plain | weighted)).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    a, b = _side(rare.withColumnRenamed("bucket", "at"), "a"), _side(rare.withColumnRenamed("bucket", "at"), "b")
+    plain, weighted = (_reaches(1 - F.least(f"a_{c}", F.lit(1.0)), 1 - F.least(f"b_{c}", F.lit(1.0))) for c in ("rest", "rest_mass"))
+    met = (F.col("a_at") == F.col("b_at")) & (F.col("a_comp") > F.col("b_comp")) & (plain | weighted) & can_be_similar()
+    return a.join(b, met).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
 
 
 def node_classes(docs: DataFrame) -> DataFrame:
     """(node, comp) for the nodes that have a near duplicate of another text; docs: node, text."""
-    rows = docs.mapInArrow(_band_rows, "bucket bigint, node bigint")
+    rows = stored(docs.mapInArrow(_band_rows, "bucket bigint, node bigint"), "bands")
     grouped = rows.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     members = stored(rows.join(grouped.select("bucket", "low"), "bucket").distinct(), "members")
     wanted = members.select("node").distinct()
-    texts = docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = stored(texts, "texts")
+    texts = stored(text_rows(docs.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))), "texts")
 
     pairs = members.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     edges = stored(links(pairs, texts), "links")
@@ -277,17 +342,27 @@ def node_classes(docs: DataFrame) -> DataFrame:
     left, comps, done = _by_pivots(members.select("bucket", "node"), comps, done, texts)
     if left is None:
         return comps
-    rare = stored(_in_comps(rare_members(texts.join(left.select("node").distinct(), "node", "left_semi")), comps), "rare")
+    entered = rare_members(texts.join(left.select("node").distinct(), "node", "left_semi")).join(texts.drop("text"), "node")
+    rare = stored(_in_comps(entered, comps), "rare")
     return _linked(rare_pairs(rare), comps, done, texts)[0]
 
 
-def node_of(text):
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def with_nodes(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` and a column ``name``: a 64-bit number of the text, which unlike texts don't share.
+
+    Texts whose hashes are equal but whose second hashes differ are numbered by the
+    second. Of n texts about n^2 / 2^65 are: 70 of 5 * 10^10, so they are broadcast.
+    """
+    text = F.coalesce(docs["text"], F.lit(""))
+    hashed = docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(7), text).alias("second"))
+    shared = stored(hashed.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select(F.struct("node").alias(_T)), "shared", 1)
+    named = docs.withColumn(name, F.xxhash64(text)).join(F.broadcast(shared), F.col(name) == F.col(f"{_T}.node"), "left")
+    return named.withColumn(name, F.when(F.col(_T).isNull(), F.col(name)).otherwise(F.xxhash64(F.lit(7), text))).drop(_T)
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, node, class_id, is_kept."""
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
+    base = with_nodes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "node")
     comps = node_classes(base.select("node", "text"))
     rows = base.select("doc_id", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     first = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first"))
@@ -297,13 +372,18 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, one of each class, with their columns."""
-    kept = stored(classes(docs).where("is_kept").select(F.struct("doc_id", "node").alias(_T)).distinct(), "kept")
-    key = node_of(docs["text"])
-    named = docs.withColumn(f"{_T}_node", key)
-    out = named.join(kept, (F.col(f"{_T}_node") == F.col(f"{_T}.node")) & docs["doc_id"].eqNullSafe(F.col(f"{_T}.doc_id")), "left_semi")
-    # rows repeated in full, or with other columns changed, are one document
-    return out.dropDuplicates(["doc_id", f"{_T}_node"]).select(*docs.columns)
+    """The rows of ``docs`` that are kept, one of each class, with their columns.
+
+    Of rows with the same id and text, the one that comes first as JSON is kept.
+    """
+    kept = classes(docs).where("is_kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    kept = stored(kept.select(F.struct("doc_id", "node", "n").alias(_T)), "kept")
+    named = with_nodes(docs, f"{_T}_node")
+    out = named.join(kept, (F.col(f"{_T}_node") == F.col(f"{_T}.node")) & docs["doc_id"].eqNullSafe(F.col(f"{_T}.doc_id")))
+    once, often = out.where(F.col(f"{_T}.n") == 1), out.where(F.col(f"{_T}.n") > 1)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = often.groupBy("doc_id", f"{_T}_node").agg(F.min_by(row, F.to_json(row)).alias(_T)).select(*(F.col(_T)[c].alias(c) for c in docs.columns))
+    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(first)
 
 
 def op4_near_duplicates(spark, sf_dir):
