@@ -1,8 +1,8 @@
 """Personal data: format-preserving Feistel pseudonyms.
 
 Validated values (card numbers with a right check digit, IBANs, social security
-and telephone numbers, IPv4 addresses, calendar dates, e-mail addresses, quoted
-secrets) are permuted by a keyed Feistel network within their own format: digits
+and telephone numbers, IPv4 addresses, calendar dates, e-mail addresses,
+secrets, named or of a known shape) are permuted by a keyed Feistel network within their own format: digits
 stay digits, letters letters, separators stay, check digits are made right
 again. The permutation is a bijection on each format, so equal values get equal
 pseudonyms in every document and different values different ones.
@@ -16,12 +16,21 @@ wins, then the longer one; cards may start and end at any group of a run of digi
 at any group, so that what stands beside a number doesn't hide it; repeated rows
 give equal results; an empty table
 gives an empty result; other columns pass through untouched, and only ``text``
-(and ``n_chars`` where there is one) changes.
+(and ``n_chars`` where there is one) changes; with ``report`` columns that are
+called like its two columns are replaced by them. A dotted number after "version"
+or "v" is no address. A secret after a colon needs a digit if it isn't quoted.
+
+The key comes from the caller. The query takes ``spark.tracewright.pseudonym.key``
+of the session or, where that is unset, draws a key for the run, so that pseudonyms
+of different runs aren't linked.
 """
 
+import bisect
+
 import datetime
 import hmac
 import re
+import secrets
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -31,13 +40,26 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-KEY = b"replace this key in production"
+KEY_NAME = "spark.tracewright.pseudonym.key"
 ROUNDS = 8
+#: Digits that one permutation takes at once.
+LONGEST = 128
 KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone", "date")
 
-_EMAIL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}")
-_EMAIL_START = re.compile(r"[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-]\Z")
-_SECRET = re.compile(r"(?i)\b(?:token|secret|passwd|password|api_?key|access_?key)\s*[:=]\s*[\"']([A-Za-z0-9_+/=-]{12,256})[\"']")
+_EMAIL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_NAMED = r"(?i)(?<![a-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*"
+#: Secrets as (pattern, group to permute, alphabet or None: by class).
+_SECRETS = (
+    (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([\s\S]*?)-----END [A-Z ]*PRIVATE KEY-----"), None),
+    (re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ABIA|ACCA)([0-9A-Z]{16})(?![A-Za-z0-9])"), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    (re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abposr]-|AIza|npm_|eyJ)([A-Za-z0-9_.-]{16,})"), None),
+    (re.compile(r"(?<![A-Za-z0-9])[Bb]earer\s+([A-Za-z0-9._~+/-]{16,}=*)"), None),
+    (re.compile(_NAMED + r"[:=]\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')"), None),
+    (re.compile(_NAMED + r"=\s*([^\s\"',;]{6,})"), None),
+    (re.compile(_NAMED + r":\s*(?=[^\s\"',;\d]*\d)([^\s\"',;]{6,})"), None),
+)
+_VERSION = re.compile(r"(?i)(?<![a-z])(?:v|ver|version|release)[.:=]?\s*\Z")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
 _GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
@@ -71,6 +93,9 @@ def permuted(value: int, size: int, tweak: bytes, key: bytes) -> int:
 
 def permuted_digits(values: list[int], sizes: list[int], tweak: bytes, key: bytes) -> list[int]:
     """The same over a tuple of digits, each below its own size."""
+    if len(values) > LONGEST:  # in parts, each with its place as a tweak: a bijection too, in linear time
+        cut = range(0, len(values), LONGEST)
+        return [d for k in cut for d in permuted_digits(values[k : k + LONGEST], sizes[k : k + LONGEST], b"%b|%d|%d" % (tweak, k, len(values)), key)]
     number, total = 0, 1
     for v, s in zip(values, sizes, strict=True):
         number, total = number * s + v, total * s
@@ -203,19 +228,35 @@ def email(value: str, key: bytes) -> str | None:
 
 def secret(value: str, key: bytes) -> str | None:
     if re.fullmatch(r"[0-9a-f]+", value):
-        got = permuted_digits([int(c, 16) for c in value], [16] * len(value), b"hex", key)
-        return "".join("0123456789abcdef"[v] for v in got)
+        return _within("0123456789abcdef", value, b"hex", key)
     return by_class(value, b"secret", key)
 
 
+def key_id(value: str, key: bytes) -> str | None:
+    return _within("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", value, b"key", key)
+
+
+def _within(letters: str, value: str, tweak: bytes, key: bytes) -> str:
+    got = permuted_digits([letters.index(c) for c in value], [len(letters)] * len(value), tweak, key)
+    return "".join(letters[v] for v in got)
+
+
 def _emails(text: str):
-    at = text.find("@")
+    at, last = text.find("@"), 0
     while at >= 0:
-        start = _EMAIL_START.search(text, max(0, at - 64), at)
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
         end = _EMAIL_END.match(text, at + 1)
-        if start and end:
-            yield start.start(), end.end()
-        at = text.find("@", at + 1)
+        if start < at and text[at - 1] != "." and end:
+            yield start, end.end()
+        last, at = at + 1, text.find("@", at + 1)
+
+
+def _secrets(text: str):
+    for pattern, letters in _SECRETS:
+        for m in pattern.finditer(text):
+            yield (*m.span(m.lastindex), key_id if letters else secret)
 
 
 def _ibans(text: str):
@@ -256,13 +297,12 @@ def found(text: str) -> list[tuple[float, int, int, str, Callable]]:
     """Candidates as (rank, start, end, kind, pseudonym function), whole text; all but IBANs and cards not yet validated."""
     order = {k: float(n) for n, k in enumerate(KINDS)}
     out = [(order["email"], a, b, "email", email) for a, b in _emails(text)] if "@" in text else []
-    if '"' in text or "'" in text:
-        out += [(order["secret"], *m.span(1), "secret", secret) for m in _SECRET.finditer(text)]
+    out += [(order["secret"], a, b, "secret", make) for a, b, make in _secrets(text)]
     if _DIGIT.search(text):
         out += [(order["iban"], a, b, "iban", iban) for a, b in _ibans(text)]
         out += [(order["card"] + doubt / 4 if doubt < 3 else float(len(KINDS)), a, b, "card", card) for a, b, doubt in _cards(text)]
         for kind, pattern, make in (("ssn", _SSN, ssn), ("ip", _IP, ip), ("phone", _NANP, phone), ("phone", _WORLD, phone), ("date", _DATE, date)):
-            out += [(order[kind], *m.span(), kind, make) for m in pattern.finditer(text)]
+            out += [(order[kind], *m.span(), kind, make) for m in pattern.finditer(text) if kind != "ip" or not _VERSION.search(text, max(0, m.start() - 12), m.start())]
     return out
 
 
@@ -272,16 +312,16 @@ class Pseudonyms:
 
     def rewrite(self, text: str) -> tuple[str, list[tuple[int, int, str]]]:
         """The text with pseudonyms, and what was replaced as (start, end, kind) in the old text."""
-        taken: list[tuple[int, int, str, str]] = []
+        taken: list[tuple[int, int, str, str]] = []  # in order, apart from each other
         for _, a, b, kind, make in sorted(found(text), key=lambda x: (x[0], x[1] - x[2], x[1])):
-            if any(a < y and x < b for x, y, _, _ in taken):
+            at = bisect.bisect_left(taken, (a, b))
+            if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
                 continue
             new = self.make(make, text[a:b])
             if new is not None:
-                taken.append((a, b, kind, new))
+                taken.insert(at, (a, b, kind, new))
         if not taken:
             return text, []
-        taken.sort()
         out, last = [], 0
         for a, b, _, new in taken:
             out += [text[last:a], new]
@@ -294,10 +334,20 @@ def _loaded(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
 
 
-def pseudonymise(df: DataFrame, key: bytes = KEY, report: bool = False) -> DataFrame:
+def key_of(spark) -> bytes:
+    """The key that the session names, or one drawn for this run."""
+    named = spark.conf.get(KEY_NAME, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
+def pseudonymise(df: DataFrame, key: bytes, report: bool = False) -> DataFrame:
     """``df`` with rewritten ``text`` (and ``n_chars``); with ``report`` also n_found and kinds."""
     from pyspark.sql.types import StructType
 
+    if len(key) < 16:
+        raise ValueError("a key has at least 16 bytes")
+    if report:
+        df = df.drop("n_found", "kinds")
     names, counted = df.columns, "n_chars" in df.columns
     extra = StructType.fromDDL("n_found bigint, kinds string") if report else StructType([])
     schema = StructType([*df.schema.fields, *extra.fields])
@@ -314,9 +364,9 @@ def pseudonymise(df: DataFrame, key: bytes = KEY, report: bool = False) -> DataF
             yield pa.RecordBatch.from_arrays(columns, [*names, *extra.names])
 
     out = df.mapInArrow(work, schema)
-    # formats keep their length, but for dates written without leading zeros
+    # formats keep their length, but for addresses and dates written without leading zeros
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(df.schema["n_chars"].dataType))) if counted else out
 
 
 def op5_pseudonyms(spark, sf_dir):
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), report=True)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key_of(spark), report=True)
