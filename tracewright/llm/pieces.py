@@ -2,19 +2,21 @@
 
 The normaliser walks the text with the model's compiled character map: at each
 place the longest mapped prefix (or one code point) is replaced, and for every
-normalised byte the source byte it came from is recorded. The merges themselves
-are the sentencepiece library's, so ids are the library's by construction; the
-pieces' byte lengths are then laid along the normalised text and each piece is
-projected to its span of original bytes. Where pieces and normalised text
-disagree the row says so (``aligned``), so every text also checks the walk.
+normalised byte the source byte it came from is recorded. That normalised text is
+what is split into pieces: the merges are the sentencepiece library's, with the
+model's own normaliser taken out. The pieces' byte lengths are then laid along the
+normalised text and each piece is projected to its span of original bytes. Where
+pieces and normalised text disagree the row says so (``aligned``). Decoding is the
+library's. A model whose map is empty (as ``piece_bpe_32k.model``) only changes
+spaces; that is done without a walk.
 
 The model travels to the workers as bytes (half a megabyte). Each row is
 handled alone: no shuffle, memory bounded by one text.
 
 Defined results: null text counts as empty, whose only id is the end id;
 repeated rows give repeated results; an empty table gives an empty result;
-``encode`` keeps the columns of its input and adds to them, and refuses a clash
-with the names it adds unless told another prefix.
+very long texts are encoded whole; ``encode`` keeps the columns of its input and
+adds to them, and columns of the names that it adds are replaced.
 """
 
 import hashlib
@@ -75,7 +77,8 @@ class Pieces:
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=blob)
         proto = pb.ModelProto()
         proto.ParseFromString(blob)
-        self.spec = proto.normalizer_spec
+        self.spec = pb.NormalizerSpec()
+        self.spec.CopyFrom(proto.normalizer_spec)
         self.map = CharMap(self.spec.precompiled_charsmap)
         kinds = pb.ModelProto.SentencePiece
         #: What each piece spells in the normalised text.
@@ -83,6 +86,10 @@ class Pieces:
         self.lengths = np.array([len(b) for b in self.bytes])
         self.unknown = self.sp.unk_id()
         self.names = [str(i) for i in range(len(proto.pieces))]
+        bare = proto.normalizer_spec
+        bare.precompiled_charsmap, bare.normalization_rule_tsv = b"", ""
+        bare.add_dummy_prefix = bare.remove_extra_whitespaces = bare.escape_whitespaces = False
+        self.merges = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and the source offset of each and of the end."""
@@ -128,18 +135,20 @@ class Pieces:
             out, source = _SPACE + out, np.concatenate([np.zeros(3, np.int64), source])
         return out, np.append(source, len(raw))
 
-    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, bool]:
-        """For each id the start and end of its original bytes, and whether pieces and normalised text agree."""
-        raw = text.encode()
-        normal, source = self.normalise(raw)
+    def encode(self, texts: list[str]) -> list[tuple[list[int], np.ndarray, bool]]:
+        """Of each text the ids with the end id, for each id the start and end of its original bytes, and whether pieces and normalised text agree."""
+        normal = [self.normalise(t.encode()) for t in texts]
+        ids = self.merges.encode([n.decode() for n, _ in normal], add_eos=True, num_threads=1)
+        return [(i, *self._spans(n, source, i)) for i, (n, source) in zip(ids, normal, strict=True)]
+
+    def _spans(self, normal: bytes, source: np.ndarray, ids: list[int]) -> tuple[np.ndarray, bool]:
         lengths = self.lengths[np.array(ids, np.int64)] if ids else np.zeros(0, np.int64)
         if self.unknown in ids:
             lengths = self._with_unknown(normal, ids, lengths)
             aligned = int(lengths.sum()) == len(normal)
         else:
             aligned = b"".join([self.bytes[i] for i in ids]) == normal
-        ends = np.cumsum(lengths)
-        ends = np.minimum(ends, len(source) - 1)
+        ends = np.minimum(np.cumsum(lengths), len(source) - 1)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
         return np.stack([source[starts], source[ends]], 1), aligned
 
@@ -161,18 +170,16 @@ def _loaded(blob: bytes) -> Pieces:
 
 
 def _with(df: DataFrame, add, fields: str) -> DataFrame:
-    """``df`` with the columns that ``add(pieces, text, ids)`` gives for each row's text."""
-    names = [x.split()[0] for x in fields.split(", ")]
-    clash = set(names) & set(df.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already; give another prefix")
-    shared = df.sparkSession.sparkContext.broadcast(model_bytes())
-    from pyspark.sql.types import StructType
-
-    schema = StructType([*df.schema.fields, *StructType.fromDDL(fields).fields])
+    """``df`` with the columns that ``add(pieces, ids, spans, aligned)`` gives for each row's text."""
     from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(fields))
+    new = StructType.fromDDL(fields)
+    kept = [c for c in df.columns if c not in new.names]
+    # the text comes first, however the kept columns are called
+    df = df.select(df["text"], *(df[c] for c in kept))
+    shared = df.sparkSession.sparkContext.broadcast(model_bytes())
+    arrow = to_arrow_schema(new)
 
     def work(batches):
         pieces = _loaded(shared.value)
@@ -180,19 +187,17 @@ def _with(df: DataFrame, add, fields: str) -> DataFrame:
             # a few texts at a time: ids and spans of many long texts needn't be held together
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                rows = [add(pieces, t, i) for t, i in zip(texts, pieces.sp.encode(texts, add_eos=True, num_threads=1), strict=True)]
-                new = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *names])
+                rows = [add(pieces, *got) for got in pieces.encode([t or "" for t in part.column(0).to_pylist()])]
+                columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*kept, *new.names])
 
-    return df.mapInArrow(work, schema)
+    return df.mapInArrow(work, StructType([*(f for f in df.schema.fields[1:]), *new.fields]))
 
 
 def encode(df: DataFrame, prefix: str = "") -> DataFrame:
     """``df`` with ids, starts and ends (byte offsets in the source text), n_tokens, aligned."""
 
-    def add(pieces, text, ids):
-        spans, aligned = pieces.spans(text, ids)
+    def add(pieces, ids, spans, aligned):
         return ids, spans[:, 0].tolist(), spans[:, 1].tolist(), len(ids), aligned
 
     p = prefix
@@ -200,13 +205,12 @@ def encode(df: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def digests(df: DataFrame) -> DataFrame:
-    """``df`` (doc_id, text) with n_tokens and the digests of ids, decoded text and spans."""
+    """``df`` with n_tokens and the digests of ids, decoded text and spans."""
 
     def sha(text: str) -> str:
         return hashlib.sha256(text.encode()).hexdigest()
 
-    def add(pieces, text, ids):
-        spans, aligned = pieces.spans(text, ids)
+    def add(pieces, ids, spans, aligned):
         spelt = " ".join([pieces.names[i] for i in ids])
         return len(ids), sha(spelt), sha(pieces.sp.decode(ids)), hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(), aligned
 
