@@ -123,12 +123,11 @@ class Ranks:
 
 
 def predict(df: DataFrame, profiles: dict[str, list[int]]) -> DataFrame:
-    """``df`` with lang_pred and score (1 less the out-of-place distance over its largest value)."""
+    """``df`` with lang_pred and score (1 less the out-of-place distance over its largest value); columns of these names are replaced."""
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL("lang_pred string, score double")
-    if clash := set(extra.names) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    df = df.drop(*extra.names)
     ranks = Ranks(profiles)
 
     def work(batches):

@@ -15,7 +15,9 @@ A row is handled alone: no shuffle, memory of the order of one text.
 Defined results: null text counts as empty and has no words; a text without a
 finding has empty labels, null word positions and the score of its best partial
 cover; repeated rows give equal results; an empty table gives an empty result;
-other columns are kept, and a clash with the added names is refused.
+very long texts are streamed whole; other columns are kept, and columns of the
+added names are replaced. Of found templates that overlap in the text the one with
+most words covered stays, then the one with the largest share.
 """
 
 import re
@@ -36,6 +38,18 @@ PHRASES = {
 }
 
 # Wording of well-known licences, from the licences themselves.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
+following disclaimer in the documentation and/or other materials provided with the distribution. """
+_BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission. """
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES,
+INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO
+EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR
+OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 TEMPLATES = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use,
@@ -51,14 +65,8 @@ AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLI
 EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
 LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
 WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
-    "bsd-2": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
-following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the
-following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the
-following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE
-COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
-    "bsd-3": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
-derived from this software without specific prior written permission.""",
+    "bsd-2": _BSD + _BSD_END,
+    "bsd-3": _BSD + _BSD_NAMES + _BSD_END,
     "apache-2": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
 the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or
 agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF
@@ -233,6 +241,14 @@ class Automaton:
                 best = (value, first, stretch_end)
         return best
 
+    def apart(self, chains: list[tuple]) -> list[tuple]:
+        """The chains (share, label, first, last) that stay where they overlap in the text."""
+        kept: list[tuple] = []
+        for c in sorted(chains, key=lambda c: (-round(c[0] * self.sizes[self.labels.index(c[1])]), -c[0], c[1])):
+            if all(c[3] < a or b < c[2] for _, _, a, b in kept):
+                kept.append(c)
+        return kept
+
 
 def scan(df: DataFrame, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
     """``df`` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans (label:first-last of found templates)."""
@@ -240,15 +256,14 @@ def scan(df: DataFrame, phrases: dict[str, str] | None = None, templates: dict[s
 
     shared = df.sparkSession.sparkContext.broadcast(Automaton(PHRASES if phrases is None else phrases, TEMPLATES if templates is None else templates))
     extra = StructType.fromDDL("n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string")
-    if clash := set(extra.names) & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    df = df.drop(*extra.names)
 
     def row(automaton: Automaton, text: str | None):
         words = words_of(text)
         places, seeds = automaton.stream(words)
         chains = automaton.chains(seeds) if seeds else []
         base = {automaton.phrase_labels[k] for _, k in places}
-        full = [c for c in chains if c[0] >= COVER]
+        full = automaton.apart([c for c in chains if c[0] >= COVER])
         starts = [p for p, _ in places]
         score = 1.0 if places else round(chains[0][0], 6) if chains else 0.0
         spans = ",".join(f"{label}:{a}-{b}" for _, label, a, b in sorted(full, key=lambda c: (c[2], c[1])))
