@@ -49,15 +49,16 @@ KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone", "date")
 _EMAIL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NAMED = r"(?i)(?<![a-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*"
-#: Secrets as (pattern, group to permute, alphabet or None: by class).
+_NAMES = ("token", "secret", "passwd", "password", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key")
+#: Secrets as (what a text with one has in it in lower case, pattern whose last group is permuted, whether it is an upper-case key id).
 _SECRETS = (
-    (re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([\s\S]*?)-----END [A-Z ]*PRIVATE KEY-----"), None),
-    (re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ABIA|ACCA)([0-9A-Z]{16})(?![A-Za-z0-9])"), "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    (re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abposr]-|AIza|npm_|eyJ)([A-Za-z0-9_.-]{16,})"), None),
-    (re.compile(r"(?<![A-Za-z0-9])[Bb]earer\s+([A-Za-z0-9._~+/-]{16,}=*)"), None),
-    (re.compile(_NAMED + r"[:=]\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')"), None),
-    (re.compile(_NAMED + r"=\s*([^\s\"',;]{6,})"), None),
-    (re.compile(_NAMED + r":\s*(?=[^\s\"',;\d]*\d)([^\s\"',;]{6,})"), None),
+    (("private key-----",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([\s\S]*?)-----END [A-Z ]*PRIVATE KEY-----"), False),
+    (("akia", "asia", "abia", "acca"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ABIA|ACCA)([0-9A-Z]{16})(?![A-Za-z0-9])"), True),
+    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "npm_", "eyj"), re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abposr]-|AIza|npm_|eyJ)([A-Za-z0-9_.-]{16,})"), False),
+    (("bearer",), re.compile(r"(?<![A-Za-z0-9])[Bb]earer\s+([A-Za-z0-9._~+/-]{16,}=*)"), False),
+    (_NAMES, re.compile(_NAMED + r"[:=]\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')"), False),
+    (_NAMES, re.compile(_NAMED + r"=\s*([^\s\"',;]{6,})"), False),
+    (_NAMES, re.compile(_NAMED + r":\s*(?=[^\s\"',;\d]*\d)([^\s\"',;]{6,})"), False),
 )
 _VERSION = re.compile(r"(?i)(?<![a-z])(?:v|ver|version|release)[.:=]?\s*\Z")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
@@ -254,9 +255,11 @@ def _emails(text: str):
 
 
 def _secrets(text: str):
-    for pattern, letters in _SECRETS:
-        for m in pattern.finditer(text):
-            yield (*m.span(m.lastindex), key_id if letters else secret)
+    low = text.lower()
+    for signs, pattern, upper in _SECRETS:
+        if any(sign in low for sign in signs):
+            for m in pattern.finditer(text):
+                yield (*m.span(m.lastindex), key_id if upper else secret)
 
 
 def _ibans(text: str):
