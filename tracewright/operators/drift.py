@@ -1,5 +1,7 @@
 """What changed between two snapshots."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +43,97 @@ def renames(base: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     for k in keys:
         pairs = pairs.where(F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")))
     return pairs.select(F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), "digest")
+
+
+# The categories of changes, and the node fields whose difference is a modification.
+CATEGORIES = ("NODE_ADDED", "NODE_REMOVED", "NODE_MODIFIED", "NODE_RENAMED", "EDGE_ADDED", "EDGE_REMOVED", "EDGE_MODIFIED", "EVIDENCE_ADDED", "EVIDENCE_REMOVED", "EVIDENCE_CHANGED", "CONFIDENCE_CHANGED")
+NODE_FIELDS = ("name", "qualified_name", "path", "start_line", "end_line", "language", "digest")
+EDGE_FIELDS = ("kind", "rank", "label")
+MOST = 5000
+
+
+def citations(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(id, cited): the order-free fingerprint of what each entity cites, by path, line and kind."""
+    rows = refs.join(evidence.select(F.col("id").alias("evidence"), F.concat_ws(":", "path", F.col("line").cast("string"), "kind").alias("at")), "evidence")
+    # hashed row by row and summed, so that an entity cited everywhere needs no array
+    lanes = [F.sum(F.xxhash64(F.lit(k), "at").cast("decimal(20,0)")) for k in (1, 2)]
+    return rows.groupBy("id").agg(F.concat_ws(":", F.count(F.lit(1)), *lanes).alias("cited"))
+
+
+def _paired(base: DataFrame, target: DataFrame, fields, kind: str) -> DataFrame:
+    """id, a and b: each entity's fields (with attributes and citations) in either snapshot; null where it isn't in it."""
+    keep = [f for f in fields if f in base.columns]
+    side = lambda rows, name: rows.select("id", F.struct(*keep, F.map_entries("attributes").alias("attributes"), "rank_", "cited", "label_").alias(name))
+    return side(base, "a").join(side(target, "b"), "id", "full_outer").withColumn("entity", F.lit(kind))
+
+
+def _named(rows: DataFrame, refs: DataFrame, evidence: DataFrame, label) -> DataFrame:
+    rows = rows.withColumn("rank_", F.col("rank")).withColumn("label_", label).join(citations(refs, evidence), "id", "left")
+    return rows.withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>"))).withColumn("cited", F.coalesce("cited", F.lit("")))
+
+
+def compare(base, target, truncated: bool = False, rename_kind: str = "module") -> DataFrame:
+    """All changes between two graphs: category, entity, id, previous_id, label, fields, claim, indeterminate.
+
+    Renames are settled before additions and removals: a pair of nodes of one kind
+    and language whose digest is unique among what went and among what came. An edge
+    whose confidence changes is modified and has its confidence changed; a node only
+    the latter. What is missing from a truncated target may be there: its claim is
+    UNKNOWN and it is marked indeterminate.
+    """
+    node_label = F.coalesce("qualified_name", "name")
+    edge_label = F.concat(F.col("kind"), F.lit(" "), F.col("src"), F.lit(" → "), F.col("dst"))
+    a_nodes, b_nodes = (_named(g.nodes, g.node_refs, g.evidence, node_label) for g in (base, target))
+    a_edges, b_edges = (_named(g.edges, g.edge_refs, g.evidence, edge_label) for g in (base, target))
+    nodes = _paired(a_nodes, b_nodes, (*NODE_FIELDS, "kind"), "node")
+    edges = _paired(a_edges, b_edges, EDGE_FIELDS, "edge")
+    went, came = nodes.where("b is null"), nodes.where("a is null")
+    pairs = _renamed(went.select("id", "a.*"), came.select("id", "b.*"))
+    gone = F.lit("UNKNOWN" if truncated else "EXPLICIT")
+    none = F.lit(None).cast("string")
+
+    def changes(rows, category, label, fields=None, claim=None, previous=none, unsure=False):
+        return rows.select(F.lit(category).alias("category"), "entity", "id", previous.alias("previous_id"), label.alias("label"), (F.lit("") if fields is None else fields).alias("fields"), (F.lit("EXPLICIT") if claim is None else claim).alias("claim"), F.lit(unsure).alias("indeterminate"))
+
+    def differing(names):
+        return F.concat_ws(",", *[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit({"rank": "confidence"}.get(f, f))) for f in names])
+
+    out = [changes(pairs.withColumn("entity", F.lit("node")), "NODE_RENAMED", F.concat("old_label", F.lit(" → "), "new_label"), F.lit("path,qualified_name"), F.lit("STRONGLY_INFERRED"), F.col("previous"))]
+    out.append(changes(went.join(pairs.select(F.col("previous").alias("id")), "id", "left_anti"), "NODE_REMOVED", F.col("a.label_"), claim=gone, unsure=truncated))
+    out.append(changes(came.join(pairs.select("id"), "id", "left_anti"), "NODE_ADDED", F.col("b.label_")))
+    out.append(changes(edges.where("b is null"), "EDGE_REMOVED", F.col("a.label_"), claim=gone, unsure=truncated))
+    out.append(changes(edges.where("a is null"), "EDGE_ADDED", F.col("b.label_")))
+    for rows, category, names in ((nodes, "NODE_MODIFIED", (*NODE_FIELDS, "attributes")), (edges, "EDGE_MODIFIED", (*EDGE_FIELDS, "attributes"))):
+        both = rows.where("a is not null and b is not null")
+        out.append(changes(both.withColumn("fields", differing(names)).where("fields <> ''"), category, F.col("b.label_"), F.col("fields")))
+        out.append(changes(both.where("a.cited <> b.cited"), "EVIDENCE_CHANGED", F.col("b.label_"), F.lit("evidence")))
+        out.append(changes(both.where("a.rank_ <> b.rank_"), "CONFIDENCE_CHANGED", F.col("b.label_"), F.lit("confidence")))
+    at = F.concat_ws(":", "path", F.col("line").cast("string"))
+    for rows, others, category in ((base.evidence, target.evidence, "EVIDENCE_REMOVED"), (target.evidence, base.evidence, "EVIDENCE_ADDED")):
+        alone = rows.join(others.select("id"), "id", "left_anti").withColumn("entity", F.lit("evidence"))
+        left = category == "EVIDENCE_REMOVED"
+        out.append(changes(alone, category, at, claim=gone if left else None, unsure=truncated and left))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _renamed(went: DataFrame, came: DataFrame) -> DataFrame:
+    """(id, previous, old_label, new_label) of nodes that moved: equal kind, language and a digest unique on both sides."""
+
+    def only(rows, name):
+        one = rows.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "kind", "language", "label_")).alias(name))
+        return one.where("n = 1").select("digest", name)
+
+    pairs = only(went, "a").join(only(came, "b"), "digest").where("a.kind = b.kind and a.language <=> b.language")
+    return pairs.select("b.id", F.col("a.id").alias("previous"), F.col("a.label_").alias("old_label"), F.col("b.label_").alias("new_label"))
+
+
+def counts(changes: DataFrame) -> DataFrame:
+    """(category, n) for all categories, those without a change too; complete however many rows are shown."""
+    every = changes.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
+    found = changes.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(found, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def report(changes: DataFrame, most: int = MOST) -> DataFrame:
+    """The first changes by category and id."""
+    return changes.orderBy("category", "id", "entity").limit(most)

@@ -1,17 +1,27 @@
-"""Cutting the lineage of iterated plans."""
+"""The shared folder, and cutting the lineage of iterated plans in it."""
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and checkpointed in the shared folder that the session names.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of its own is made only where the session names none (one machine).
+    A folder of its own is made only where the session names none and runs on one machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        named = tempfile.mkdtemp(prefix="tracewright-")
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewright-"))
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
