@@ -11,24 +11,29 @@ from tracewright.storage import cut
 DATA_KINDS = ("reads", "writes", "produces", "consumes", "transforms", "communicates_with")
 
 
-def lineage(edges: DataFrame, start: str, downstream: bool = True, depth: int = 12) -> tuple[DataFrame, bool]:
+def lineage(edges: DataFrame, start: str, downstream: bool = True, depth: int = 12, at_rest: bool = False) -> tuple[DataFrame, bool]:
     """(hops, truncated) from ``start``: every edge out of a frontier node is a hop, also to a node seen before.
 
-    hops: id, kind, src, dst, depth. Each round joins the frontier with the
-    edges and is checkpointed; only emptiness comes back to the driver.
+    hops: id, kind, src, dst, depth. Each round joins the frontier with the edges and is
+    checkpointed, once; only emptiness comes back to the driver. Edges that are read
+    from a store (``at_rest``) aren't written again.
     """
     near, far = ("src", "dst") if downstream else ("dst", "src")
-    flow = cut(edges.where(F.col("kind").isin(*DATA_KINDS)).select("id", "kind", "src", "dst"))
+    flow = edges.where(F.col("kind").isin(*DATA_KINDS)).select("id", "kind", "src", "dst")
+    flow = flow if at_rest else cut(flow)
     frontier = edges.sparkSession.createDataFrame([(start,)], "node string")
-    seen, rounds = frontier, []
+    seen, rounds, more = frontier, [], True
     for k in range(1, depth + 1):
-        hop = cut(flow.join(frontier, F.col(near) == F.col("node"), "left_semi").withColumn("depth", F.lit(k)))
-        rounds.append(hop)
-        frontier = cut(hop.select(F.col(far).alias("node")).distinct().join(seen, "node", "left_anti"))
-        if frontier.isEmpty():
+        met = seen.select(F.col("node").alias(far), F.lit(True).alias("known"))
+        hop = flow.join(frontier, F.col(near) == F.col("node"), "left_semi").join(met, far, "left")
+        hop = cut(hop.select("id", "kind", "src", "dst", F.lit(k).alias("depth"), F.col("known").isNull().alias("fresh")))
+        rounds.append(hop.drop("fresh"))
+        frontier = hop.where("fresh").select(F.col(far).alias("node")).distinct()
+        more = not frontier.isEmpty()
+        if not more:
             break
         seen = seen.unionByName(frontier)
-    return reduce(DataFrame.unionByName, rounds), not frontier.isEmpty()
+    return reduce(DataFrame.unionByName, rounds), more
 
 
 def cycles(edges: DataFrame, longest: int = 64, most: int = 20) -> tuple[DataFrame, bool]:

@@ -1,5 +1,6 @@
 """Graphs made of relational tables. Each is lazily built; a query reads only the columns that it uses."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.identity import edge_id
 from tracewright.operators.graph import merge_edges
+from tracewright.storage import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,3 +111,16 @@ def ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, lang, digest of each document's text."""
     return table(spark, sf_dir, "documents").select("doc_id", _id("module", "doc_id").alias("id"), F.col("lang"), F.sha2("text", 256).alias("digest"))
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def data_edges_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``data_edges``, merged and written once a session and set of tables, so that questions about them scan them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _WRITTEN:
+        path = f"{shared_dir(spark)}/tracewright/data-edges-{uuid.uuid4().hex}"
+        data_edges(spark, sf_dir).write.parquet(path)
+        _WRITTEN[key] = path
+    return spark.read.parquet(_WRITTEN[key])

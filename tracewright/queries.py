@@ -56,7 +56,7 @@ def graph_stats_nodes(spark, sf):
 
 @register(f"WITH {_DATA} SELECT kind, count(*) AS n, count(*) FILTER (rank = 3) AS n_explicit FROM data GROUP BY kind")
 def graph_stats_edges(spark, sf):
-    return graph.stats(made.data_edges(spark, sf))
+    return graph.stats(made.data_edges_at_rest(spark, sf))
 
 
 @register(f"WITH {_ACCESS}, {_MERGED} SELECT id, rank, observations FROM merged")
@@ -127,12 +127,12 @@ first AS (SELECT node, min(d) AS d FROM reach GROUP BY node) SELECT id, kind, d
 
 @register(_lineage_sql("src", "dst"))
 def lineage_downstream(spark, sf):
-    return traverse.lineage(made.data_edges(spark, sf), START)[0].select("id", "kind", "depth")
+    return traverse.lineage(made.data_edges_at_rest(spark, sf), START, at_rest=True)[0].select("id", "kind", "depth")
 
 
 @register(_lineage_sql("dst", "src"))
 def lineage_upstream(spark, sf):
-    return traverse.lineage(made.data_edges(spark, sf), "package:1", downstream=False)[0].select("id", "kind", "depth")
+    return traverse.lineage(made.data_edges_at_rest(spark, sf), "package:1", downstream=False, at_rest=True)[0].select("id", "kind", "depth")
 
 
 def _main_trade(spark, sf):
@@ -191,7 +191,7 @@ def snapshot_digest(spark, sf):
 
 @register(f"WITH {_DATA}, {_NODES} SELECT data.id, data.kind FROM data WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) ORDER BY data.id LIMIT 200")
 def view_data_flow(spark, sf):
-    edges = made.data_edges(spark, sf)
+    edges = made.data_edges_at_rest(spark, sf)
     flow = edges.where(F.col("kind").isin(*traverse.DATA_KINDS))
     return graph.guard(flow, made.nodes(spark, sf)).orderBy("id").limit(200).select("id", "kind")
 
@@ -286,4 +286,4 @@ def confidence_levels(spark, sf):
     return made.nodes(spark, sf).where("kind = 'api_endpoint'").select("id", level(F.col("rank")).alias("confidence"))
 
 
-from tracewright import queries_build, queries_rules, queries_view  # noqa: E402, F401, they register their queries
+from tracewright import queries_build, queries_code, queries_rules, queries_view  # noqa: E402, F401, they register their queries
