@@ -39,8 +39,23 @@ def lowered(texts: list[bytes]) -> list[bytes]:
     return [t.lower() for t in texts]
 
 
+#: Bytes of text that are hashed at a time (a longer text alone); about 100 bytes of memory each.
+AT_ONCE = 1 << 20
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, the number of words of each text)."""
+    parts, at, size = [], 0, 0
+    for k, text in enumerate(texts):
+        if k > at and size + len(text) > AT_ONCE:
+            parts.append(_word_hashes(texts[at:k]))
+            at, size = k, 0
+        size += len(text) + 1
+    parts.append(_word_hashes(texts[at:]))
+    return np.concatenate([h for h, _ in parts]), np.concatenate([n for _, n in parts])
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
     if not len(sizes):
         return np.zeros(0, np.uint64), sizes
