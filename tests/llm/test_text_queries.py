@@ -370,7 +370,7 @@ def test_few_unseen_runs_are_taken_for_seen_ones():
     keys = np.unique(draw.integers(0, 2**64, 200_000, np.uint64))
     counts = draw.geometric(0.5, len(keys))
     row = {"part": 0, "bits": scoring.make_bits(keys, counts), "keys": b"", "counts": b""}
-    model = scoring.Filter(1, [row])
+    model = scoring.Filter.of(1, [row])
     assert (model.levels(keys) >= scoring.level_of(counts)).all()
     assert (model.levels(draw.integers(0, 2**64, 200_000, np.uint64)) > 0).mean() < 0.01
 
