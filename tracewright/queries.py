@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.identity import evidence_id, level, slug
-from tracewright.functions.redact import redact, secret_kinds
+from tracewright.functions.redact import MARK, SHAPES, redact, secret_kinds
 from tracewright.operators import drift, graph, traverse
 from tracewright.plans import adapters as made
 from tracewright.registry import QUERIES, SQL, register
@@ -260,12 +260,30 @@ def budget_truncation(spark, sf):
     return rows.select("doc_id", "total", (F.col("total") > 1_000_000).alias("truncated"))
 
 
-@register()
+def _shape_sql(name: str, shape: str) -> str:
+    """A shape without back references, which DuckDB hasn't: quotes that pair are spelt out."""
+    value = r"[^\s\"',;]{6,}"
+    if name == "key-value-secret":
+        shape = shape.replace(rf"([\"']?)({value})\2", rf"(?:\"{value}\"|'{value}'|{value})")
+    return shape.replace(r"\"", '"').replace("'", "''")
+
+
+def _redact_sql(text: str) -> str:
+    for name, shape in SHAPES:
+        new = {"bearer-token": rf"\1{MARK}", "key-value-secret": rf"\1{MARK}", "credential-in-url": rf"\1\2:{MARK}@"}.get(name, MARK)
+        text = f"regexp_replace({text}, '{_shape_sql(name, shape)}', '{new}', 'g')"
+    return text
+
+
+@register(f"SELECT doc_id, sha256({_redact_sql('text')}) AS digest FROM documents")
 def redact_documents(spark, sf):
     return made.table(spark, sf, "documents").select("doc_id", F.sha2(redact(F.col("text")), 256).alias("digest"))
 
 
-@register()
+_KINDS = ", ".join(f"CASE WHEN regexp_matches(text, '{_shape_sql(n, shape)}') THEN '{n}' END" for n, shape in SHAPES)
+
+
+@register(f"SELECT * FROM (SELECT doc_id, concat_ws(',', {_KINDS}) AS kinds FROM documents) WHERE kinds <> ''")
 def secret_kinds_found(spark, sf):
     return made.table(spark, sf, "documents").select("doc_id", secret_kinds(F.col("text")).alias("kinds")).where("kinds <> ''")
 
