@@ -379,11 +379,15 @@ def dedupe(docs: DataFrame) -> DataFrame:
     kept = classes(docs).where("is_kept").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
     kept = stored(kept.select(F.struct("doc_id", "node", "n").alias(_T)), "kept")
     named = with_nodes(docs, f"{_T}_node")
-    out = named.join(kept, (F.col(f"{_T}_node") == F.col(f"{_T}.node")) & docs["doc_id"].eqNullSafe(F.col(f"{_T}.doc_id")))
-    once, often = out.where(F.col(f"{_T}.n") == 1), out.where(F.col(f"{_T}.n") > 1)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = often.groupBy("doc_id", f"{_T}_node").agg(F.min_by(row, F.to_json(row)).alias(_T)).select(*(F.col(_T)[c].alias(c) for c in docs.columns))
-    return once.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(first)
+    met = (F.col(f"{_T}_node") == F.col(f"{_T}.node")) & docs["doc_id"].eqNullSafe(F.col(f"{_T}.doc_id"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = named.join(kept.where(F.col(f"{_T}.n") == 1), met, "left_semi").select(*columns)
+    repeated = kept.where(F.col(f"{_T}.n") > 1)
+    if repeated.isEmpty():
+        return once
+    row = F.struct(*columns)
+    often = named.join(repeated, met, "left_semi").groupBy("doc_id", f"{_T}_node").agg(F.min_by(row, F.to_json(row)).alias(_T))
+    return once.unionByName(often.select(*(F.col(_T)[c].alias(c) for c in docs.columns)))
 
 
 def op4_near_duplicates(spark, sf_dir):
