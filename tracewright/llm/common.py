@@ -1,7 +1,10 @@
 """What the operators of this package share: word patterns, shared storage, row keys."""
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,14 @@ def words_of(text: Column) -> Column:
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def matrices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, the places of its rows, their entries as a matrix) for each length that the lists of a column have; no list or entry is null."""
+    lists = batch.column(name)
+    sizes = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes):
+        at = np.flatnonzero(sizes == d)
+        yield int(d), at, values.reshape(len(sizes), d) if len(at) == len(sizes) else values[starts[at][:, None] + np.arange(d)]

@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that they are compared with."""
 
-from . import fingerprints, language, licenses, minhash, mixing, pieces, pii, quality, scoring, warc
+from . import fingerprints, language, licenses, minhash, mixing, negatives, pieces, pii, quality, scoring, warc, whitening
 
 
 def queries():
@@ -15,6 +15,8 @@ def queries():
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mix_sources": mixing.op9_mix_sources,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
     }
 
 
@@ -23,4 +25,5 @@ def oracle_sql():
         "op1_quality_rules": quality.ORACLE,
         "op8_fingerprints": fingerprints.ORACLE,
         "op9_mix_sources": mixing.ORACLE,
+        "op12_hard_negatives": negatives.ORACLE,
     }
