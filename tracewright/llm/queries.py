@@ -1,6 +1,6 @@
 """The registered queries of this package and the SQL that they are compared with."""
 
-from . import fingerprints, language, licenses, minhash, mixing, negatives, pieces, pii, quality, scoring, warc, whitening
+from . import fingerprints, html, language, licenses, minhash, mixing, negatives, pieces, pii, quality, scoring, warc, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op10_sentencepiece": pieces.op10_sentencepiece,
         "op11_whitening": whitening.op11_whitening,
         "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_main_text": html.op13_main_text,
     }
 
 
