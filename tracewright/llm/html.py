@@ -5,7 +5,7 @@ text. A token's role is its chain of enclosing elements, each with its name,
 class and id (digits masked) and the element before it, so tokens of
 one role come in one order and nest as their elements do. A token's occurrence vector (how often each
 page of a host has it) is carried as additive sums: pages, occurrences, two
-sums of scrambled page hashes. Tokens with equal vectors form an equivalence class. A class
+sums of 32 bits of page hashes. Tokens with equal vectors form an equivalence class. A class
 is valid if it is on at least PAGES pages of different content and on half of the host's pages,
 and if its outermost tokens stand in an element of a valid class; valid classes nest
 into the template. Text tokens of valid classes are constants: the template's
@@ -250,6 +250,8 @@ def parse(page: str, hints: bool = True) -> Page:
 
 
 _LONG = (1 << 64) - 1
+#: Bits of a lane: sums fit in a long up to 2^31 occurrences of a token on a host.
+LANE = (1 << 32) - 1
 _PARTIAL = "host bigint, token bigint, pages bigint, occurrences bigint, lane1 bigint, lane2 bigint, spread bigint, words bigint, parent bigint, constant boolean, label string"
 
 
@@ -275,7 +277,7 @@ def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for token in page.elements:
                 what[host, token] = (page.parents[token], False, page.labels[token])
             counts[0], what[host, 0] = 1, (0, False, None)
-            lanes, bit = (scramble("1", digest), scramble("2", digest)), 1 << digest % 64
+            lanes, bit = (digest >> 32, digest & LANE), 1 << digest % 64
             for token, n in counts.items():
                 s = sums[host, token]
                 s[0] += 1
@@ -284,7 +286,7 @@ def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s[3] += lanes[1] * n
                 s[4] |= bit
                 s[5] += words[token]
-        rows = [(host, signed(token), s[0], s[1], signed(s[2]), signed(s[3]), signed(s[4]), s[5], signed(what[host, token][0]), *what[host, token][1:]) for (host, token), s in sums.items()]
+        rows = [(host, signed(token), *s[:4], signed(s[4]), s[5], signed(what[host, token][0]), *what[host, token][1:]) for (host, token), s in sums.items()]
         if rows:
             yield pd.DataFrame(rows, columns=["host", "token", "pages", "occurrences", "lane1", "lane2", "spread", "words", "parent", "constant", "label"])
 
