@@ -357,10 +357,10 @@ def loose(page: Page, constants: frozenset[int], main: int) -> list[Block]:
         words[b.slot] += len(b.text.split())
         up = b.slot
         if up not in inside:
-            own = inside[up] = {signed(up)}
+            own = inside[up] = {signed(up), 0}  # the page itself is 0
             while up := page.parents.get(up, 0):
                 own.add(signed(up))
-    chosen = main if any(main in x for x in inside.values()) else signed(max(words, key=lambda k: (words[k], k), default=0))
+    chosen = main if main and any(main in x for x in inside.values()) else signed(max(words, key=lambda k: (words[k], k), default=0))
     found = [b for b in left if chosen in inside[b.slot]]
     title = [] if any(b.title for b in found) else [b for b in left if b.title][:1]
     return title + found
