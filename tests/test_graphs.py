@@ -47,7 +47,7 @@ ROUTE_CHAIN = {
         {"path": "src/routes.ts", "callee": "nowhere", "line": 6, "from_qualified_name": "handleList"},
     ],
     "markers": [
-        {"path": "src/routes.ts", "name": "http.route", "line": 10, "attributes": {"method": "get", "path": "/api/reports", "handler": "handleList"}},
+        {"path": "src/routes.ts", "name": "http.route", "line": 10, "attributes": {"httpMethod": "GET", "path": "/api/reports", "handler": "handleList"}},
         {"path": "src/service.ts", "name": "sql.query", "line": 4, "attributes": {"table": "reports", "operation": "read", "scope": "Service.findAll", "role": "from"}},
         {"path": "src/service.ts", "name": "sql.query", "line": 5, "attributes": {"table": "audit", "operation": "write"}},
         {"path": "src/service.ts", "name": "schema.table", "line": 1, "attributes": {"table": "reports", "columnCount": "2"}},
@@ -58,11 +58,11 @@ ROUTE_CHAIN = {
         {"path": "test/a.test.ts", "name": "test.case", "line": 1, "attributes": {"title": "lists"}},
     ],
     "returns": [
-        {"path": "src/routes.ts", "line": 4, "from_qualified_name": "handleList", "kind": "call", "name": "service.findAll", "awaited": True},
+        {"path": "src/routes.ts", "line": 4, "from_qualified_name": "handleList", "kind": "call", "name": "findAll", "awaited": True},
         {"path": "src/routes.ts", "line": 5, "from_qualified_name": "handleList", "kind": "call", "name": "Base"},
     ],
     "throws": [{"path": "src/service.ts", "line": 3, "from_qualified_name": "Service.findAll", "via": "throw"}],
-    "responses": [{"path": "src/routes.ts", "line": 5, "method": "json", "status": 200, "status_only": False}],
+    "responses": [{"path": "src/routes.ts", "line": 5, "from_qualified_name": "handleList", "method": "json", "status": 200, "status_only": False}],
     "commits": [{"hash": "abc", "author_name": "A", "author_email": "A@x.org", "subject": "s", "files": ["src/routes.ts", "gone.ts"]}],
 }
 WANT = {
@@ -89,7 +89,7 @@ def test_a_whole_graph_is_built(graph):
     assert all("|contains|" in k for k in rest), rest
     nodes = {r["id"]: r for r in graph.nodes.collect()}
     assert nodes["table:reports"]["rank"] == 3 and nodes["table:audit"]["rank"] == 0 and nodes["table:audit"]["attributes"]["declaredInDdl"] == "false"
-    assert "table:users" not in nodes and nodes["function:service.findall"]["attributes"] == {"isAsync": "true"}
+    assert "table:users" not in nodes and nodes["function:service.findall"]["attributes"] == {"isAsync": "true", "throwSites": "1"}
 
 
 def test_every_fact_has_evidence(graph):

@@ -1,380 +1,91 @@
 """Facts out of source code: TypeScript, JavaScript and Python, without their compilers.
 
-A source is blanked first: comments and what stands in strings become spaces, so
-places stay and patterns see code alone. Declarations become intervals (by matching
-brackets, or by indentation); every other fact belongs to the innermost one around
-it. ``facts`` gives rows (path, fact, line, fields); ``tables`` turns them into the
-fact tables that the builder takes. A file that can't be read gives one problem.
+``facts`` gives rows (path, fact, line, at, fields) of files; ``tables`` turns them into the
+fact tables that the builder takes. A file that can't be read gives one problem. Of a
+file at most ``most_calls`` calls and ``most_problems`` problems are kept, the first by place; a file that
+has more says so in a problem of its own.
 """
 
-import re
-from bisect import bisect_right
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.extract.sql_access import analyse
-from tracewright.plans.build import SCHEMAS
-
-# What registers routes, suites and cases, and what makes responses.
-METHODS = "get|post|put|patch|delete|del|head|options|all"
-HOLDERS = "app|server|router|api|route|fastify|express|hono|index"
-SUITES, CASES = ("describe", "suite", "context"), ("it", "test")
-RESPONDERS, PRODUCERS = "res|reply|response", "json|send|end|sendFile|render|redirect"
-NO_CALLS = frozenset("if for while switch catch return typeof function await new super import require constructor elif assert not and or in is with print def class lambda yield raise except del do else async of case throw void delete".split())
-MOST_SAID = 120
-
-
-@dataclass
-class Source:
-    """A text, its blanked form, the strings in it, and its declarations as intervals."""
-
-    text: str
-    code: str
-    strings: list[tuple[int, int, str]]
-    scopes: list[tuple[int, int, str]] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.starts = [0, *(m.end() for m in re.finditer("\n", self.text))]
-        self.by_start = {a: v for a, _, v in self.strings}
-
-    def line(self, at: int) -> int:
-        return bisect_right(self.starts, at)
-
-    def scope(self, at: int) -> str | None:
-        inner = [s for s in self.scopes if s[0] <= at < s[1]]
-        return max(inner)[2] if inner else None
-
-    def said(self, a: int, b: int) -> str:
-        out = " ".join(self.text[a:b].split())
-        return out if len(out) <= MOST_SAID else out[: MOST_SAID - 1] + "…"
-
-
-def blanked(text: str, pattern: re.Pattern, quotes: dict[str, int]) -> Source:
-    """Comments and the insides of strings as spaces; a string keeps its quotes."""
-    out, strings, at = [], [], 0
-    for m in pattern.finditer(text):
-        out.append(text[at : m.start()])
-        spaces = re.sub(r"[^\n]", " ", m[0])
-        wide = next((n for q, n in quotes.items() if m[0].lstrip("rbfuRBFU").startswith(q)), 0)
-        lead = len(m[0]) - len(m[0].lstrip("rbfuRBFU")) if wide else 0
-        if wide and len(m[0]) >= lead + 2 * wide:
-            strings.append((m.start() + lead, m.end(), m[0][lead + wide : -wide]))
-            spaces = spaces[:lead] + m[0][lead : lead + wide] + spaces[lead + wide : -wide] + m[0][-wide:]
-        out.append(spaces)
-        at = m.end()
-    out.append(text[at:])
-    return Source(text, "".join(out), strings)
-
-
-Row = tuple[str, int, dict]
-_JS = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-
-
-def _brackets(code: str) -> dict[int, int]:
-    """The closing place of every bracket; of one that never closes the end."""
-    out, open_ = {}, []
-    for m in re.finditer(r"[(){}\[\]]", code):
-        if m[0] in "({[":
-            open_.append(m.start())
-        elif open_:
-            out[open_.pop()] = m.start()
-    return out | dict.fromkeys(open_, len(code))
-
-
-_FUNCTION = re.compile(r"\b(async\s+)?function\s*\*?\s*([\w$]+)\s*(?:<[^>(]*>)?\s*(?=\()")
-_TYPE = re.compile(r"\b(class|interface)\s+([\w$]+)(?:\s*<[^{]*?>)?([^{;]*)(?=\{)")
-_ALIAS = re.compile(r"^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?(type|enum)\s+([\w$]+)", re.M)
-_BOUND = re.compile(r"\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(async\s+)?(?:(function)\b\s*\*?\s*[\w$]*\s*(?=\()|(?=\([^;]*?\)\s*(?::[^=;{]+)?=>)|(?=[\w$]+\s*=>))")
-_CONSTANT = re.compile(r"^(?:export\s+)?const\s+([\w$]+)\s*(?::[^=;\n]+)?=(?!=)", re.M)
-_METHOD = re.compile(r"(?<![\w$.])((?:(?:public|private|protected|static|async|override|get|set)\s+)*)(#?[\w$]+)\s*(?:<[^>(]*>)?(?=\()")
-_ROUTE = re.compile(rf"\b({HOLDERS})\.({METHODS})\(\s*(?=[\"'`])")
-_CALL = re.compile(r"(?<![\w$.])(new\s+)?((?:[A-Za-z_$][\w$]*)(?:\s*(?:\?\.|\.)\s*[A-Za-z_$#][\w$]*|\(\))*?)\s*(?=\()")
-_RETURN = re.compile(r"\breturn\b[ \t]*(await\s+)?(new\s+)?([\w$.]*)\s*(\(?)([^\n;}]*)")
-_BINDING = re.compile(r"\b(?:const|let|var)\s+([\w$]+)\s*(?::[^=;\n]+)?=\s*(await\s+)?([\w$.]+)\s*(?=\()")
-_THROW = re.compile(r"\bthrow\b\s*([^\n;]*)|\b(?:Promise\.)?reject\s*\(([^\n;]*)")
-_RESPONSE = re.compile(rf"\b({RESPONDERS})(?:\.(?:status|code)\((\d+)\))?(?:\.(?:type|header|set)\([^()]*\))*\.({PRODUCERS})\(")
-_STATUS = re.compile(rf"\b({RESPONDERS})\.(?:status|code)\((\d+)\)(?!\s*\.)")
-_MADE = re.compile(r"\b(?:new\s+Response|Response\.(json|redirect|error))\(")
-_FLOW = re.compile(r"\b(if|switch|while|for|do|try)\b(?:\s+await)?\s*([({])|(?<=[\w)\]\s])\?(?=\s[^:?\n]*:)")
-
-
-def typescript(text: str) -> Iterator[Row]:
-    s = blanked(text, _JS, {'"': 1, "'": 1, "`": 1})
-    code, closing = s.code, _brackets(s.code)
-    found: list[tuple[int, int, str, str, dict]] = []  # start, end of the body, kind, name, more
-
-    def body(at: int) -> tuple[int, int] | None:
-        """The braces behind the parameters at ``at``; None for a declaration without a body."""
-        k = closing.get(at, len(code)) + 1
-        m = re.compile(r"\s*(?::[^{};=]*(?:\{[^{}]*\}[^{};=]*)?)?(=>)?\s*").match(code, k)
-        k = m.end()
-        if k < len(code) and code[k] == "{":
-            return k, closing.get(k, len(code)) + 1
-        if m[1]:
-            end = re.compile(r"[;\n]").search(code, k)
-            return k, end.start() if end else len(code)
-        return None
-
-    for m in _TYPE.finditer(code):
-        heritage = m[3] or ""
-        names = {w: [re.sub(r"<.*", "", x).strip() for x in re.split(r",(?![^<]*>)", part) if x.strip()] for w, part in re.findall(r"\b(extends|implements)\s+(.*?)(?=\bimplements\b|\bextends\b|$)", heritage, re.S)}
-        found.append((m.start(), closing.get(m.end(), len(code)) + 1, m[1], m[2], {"extends": "\x1f".join(names.get("extends", [])) or None, "implements": "\x1f".join(names.get("implements", [])) or None, "body": m.end()}))
-    for m in _FUNCTION.finditer(code):
-        if got := body(m.end()):
-            found.append((m.start(), got[1], "function", m[2], {"isAsync": bool(m[1])}))
-    for m in _BOUND.finditer(code):
-        at = m.end()
-        start = at if code[at] == "(" else code.index("=>", at) + 2
-        got = body(start) if code[at] == "(" else (start, (re.compile(r"[;\n]").search(code, start) or re.compile(r"\Z").search(code, start)).start() if code[start:].lstrip()[:1] != "{" else closing.get(code.index("{", start), len(code)) + 1)
-        if got:
-            found.append((m.start(), got[1], "function", m[1], {"isAsync": bool(m[2])}))
-    types = [(x[4]["body"], x[1]) for x in found if x[2] == "class"]
-    parent = _parents(closing, code)
-    for m in _METHOD.finditer(code):
-        holder = parent(m.start())
-        if any(holder == a for a, _ in types) and m[2] not in NO_CALLS - {"constructor", "delete", "do"}:
-            if got := body(m.end()):
-                found.append((m.start(), got[1], "function", m[2], {"isAsync": "async" in m[1]}))
-    routes = []
-    for m in _ROUTE.finditer(code):
-        path = s.by_start.get(m.end())
-        end = closing.get(m.end() - len(m[0]) + m[0].index("("), len(code))
-        rest = code[m.end() : end]
-        second = rest.find(",", len(path or "") + 2)
-        raw = rest[second + 1 :].strip() if second >= 0 else ""
-        name = None
-        if re.match(r"(async\s+)?(\(|function\b|[\w$]+\s*=>)", raw):
-            name = f"{m[2].upper()} {path} handler"
-            at = m.end() + second + 1
-            found.append((at, end, "function", name, {"isAsync": "async" in raw[:6], "routeHandler": True}))
-        elif raw:
-            name = re.sub(r"\s+", " ", raw)[:MOST_SAID]
-            name = name.rsplit(",", 1)[-1].strip()
-        routes.append(("marker", s.line(m.start()), {"name": "http.route", "method": m[2].upper(), "path": path, "handler": name}))
-    yield from _declared(s, found)
-    for m in _ALIAS.finditer(code):
-        if s.scope(m.start(2)) is None:
-            yield "entity", s.line(m.start(2)), {"kind": "type", "name": m[2], "qualified": m[2], "end": s.line(m.start(2))}
-    functions = {(x[3]) for x in found}
-    for m in _CONSTANT.finditer(code):
-        if m[1] not in functions:
-            yield "entity", s.line(m.start()), {"kind": "constant", "name": m[1], "qualified": m[1], "end": s.line(m.start())}
-    yield from _js_imports(s)
-    yield from routes
-    for m in _CALL.finditer(code):
-        name = re.sub(r"\s+", "", m[2]).replace("?.", ".")
-        before = code[max(0, m.start() - 12) : m.start()]
-        if name.split(".")[0] in NO_CALLS - {"constructor"} or re.search(r"\bfunction\s*\*?\s*$", before) or any(a <= m.start() < a + len(n) + 24 and n == name for a, _, k, n, _ in found if k == "function" and parent(a) in {t for t, _ in types}):
-            continue
-        first = s.by_start.get(m.end() + 1)
-        if first is not None and (name in SUITES or name in CASES):
-            yield "marker", s.line(m.start()), {"name": "test.suite" if name in SUITES else "test.case", "title": first}
-        if name.endswith(".use") and first is not None:
-            yield "marker", s.line(m.start()), {"name": "middleware.mount", "path": first}
-        yield "call", s.line(m.start()), {"callee": f"new {name}" if m[1] else name, "scope": s.scope(m.start()), "awaited": bool(re.search(r"\bawait\s+$", before))}
-    for m in _FLOW.finditer(code):
-        word, scope = m[1], s.scope(m.start())
-        if scope:
-            flow = {None: "branch", "if": "branch", "switch": "branch", "try": "handler"}.get(word, "loop")
-            said = s.said(m.end(), closing.get(m.end() - 1, m.end())) if m[2] == "(" else None
-            yield "marker", s.line(m.start()), {"name": f"control.{flow}", "scope": scope, "condition": said}
-    for m in _RETURN.finditer(code):
-        if scope := s.scope(m.start()):
-            yield "return", s.line(m.start()), {"scope": scope, "awaited": bool(m[1]), **_returned(m[2], m[3], m[4], m[5])}
-    for m in _BINDING.finditer(code):
-        if m[3] in NO_CALLS:
-            continue
-        yield "binding", s.line(m.start()), {"name": m[1], "callee": m[3], "scope": s.scope(m.start())}
-    for m in _THROW.finditer(code):
-        if scope := s.scope(m.start()):
-            yield "throw", s.line(m.start()), {"scope": scope, "via": "throw" if m[0].startswith("throw") else "reject", "expression": s.said(m.start(), m.end())}
-    for m in _RESPONSE.finditer(code):
-        yield "response", s.line(m.start()), {"method": m[3], "status": m[2], "statusOnly": False}
-    for m in _STATUS.finditer(code):
-        yield "response", s.line(m.start()), {"method": "status", "status": m[2], "statusOnly": True}
-    for m in _MADE.finditer(code):
-        yield "response", s.line(m.start()), {"method": m[1] or "Response", "status": None, "statusOnly": False}
-    yield from _sql(s)
-
-
-def _parents(closing: dict[int, int], code: str):
-    """A function from a place to the opening brace right around it."""
-    opens = sorted(a for a in closing if code[a] == "{")
-
-    def parent(at: int) -> int | None:
-        k = bisect_right(opens, at) - 1
-        while k >= 0 and closing[opens[k]] <= at:
-            k -= 1
-        return opens[k] if k >= 0 else None
-
-    return parent
-
-
-def _declared(s: Source, found: list[tuple[int, int, str, str, dict]]) -> Iterator[Row]:
-    """Entities by their place; a name is qualified by the declarations around it."""
-    for start, end, kind, name, more in sorted(found, key=lambda x: (x[0], -x[1])):
-        outer = s.scope(start)
-        qualified = f"{outer}.{name}" if outer and not more.get("routeHandler") else name
-        s.scopes.append((start, end, qualified))
-        yield "entity", s.line(start), {"kind": kind, "name": name, "qualified": qualified, "end": s.line(max(start, end - 1)), **{k: v for k, v in more.items() if k != "body"}}
-
-
-def _js_imports(s: Source) -> Iterator[Row]:
-    def row(m, at, kind, names):
-        spec = s.by_start.get(at)
-        if spec is not None:
-            listed = [x.split(" as ")[0].strip() for x in re.sub(r"[{}*]", " ", names or "").split(",")]
-            return "import", s.line(m.start()), {"specifier": spec, "kind": kind, "names": "\x1f".join(x for x in listed if x), "external": not spec.startswith(".")}
-        return None
-
-    shapes = (
-        (r"\bimport\s+(type\s+)?(?:([\w$*{}\s,]+?)\s+from\s+)?(?=[\"'])", lambda m: "type_only" if m[1] else "static"),
-        (r"\bexport\s+(type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s+from\s+(?=[\"'])", lambda m: "reexport"),
-        (r"\b(require)\(\s*()(?=[\"'])", lambda m: "require"),
-        (r"\b(import)\(\s*()(?=[\"'`])", lambda m: "dynamic"),
-    )
-    for shape, kind in shapes:
-        for m in re.finditer(shape, s.code):
-            if got := row(m, m.end(), kind(m), m[2]):
-                yield got
-
-
-def _returned(new, name, bracket, rest) -> dict:
-    """The shape of what is returned: a call, a constructor, a name, a literal, nothing, or else."""
-    if new:
-        return {"kind": "constructor", "name": name}
-    if name and bracket and name not in NO_CALLS:
-        return {"kind": "call", "name": name}
-    if not name and not bracket and not rest.strip():
-        return {"kind": "bare", "name": None}
-    if re.fullmatch(r"\d[\w.]*|true|false|null|undefined|None|True|False", name or "") or not name and rest.strip()[:1] in "\"'`":
-        return {"kind": "literal", "name": None}
-    return {"kind": "identifier", "name": name} if re.fullmatch(r"[A-Za-z_$][\w$]*", name or "") and not bracket and not rest.strip() else {"kind": "expression", "name": None}
-
-
-def _sql(s: Source) -> Iterator[Row]:
-    """A marker for every table that a string of SQL accesses, every table expression, and what can't be classified."""
-    for at, _, value in s.strings:
-        got = analyse(value) if re.match(r"\s*[A-Za-z]{3,}\s", value) else None
-        if not got:
-            continue
-        scope = s.scope(at)
-        for table, operation, role in got.tables:
-            yield "marker", s.line(at), {"name": "sql.query", "table": table, "operation": operation, "role": role, "statement": got.statement, "scope": scope, "statementCount": got.count}
-        for cte in got.ctes:
-            yield "marker", s.line(at), {"name": "sql.cte", "cteName": cte, "scope": scope}
-        if not got.tables:
-            yield "marker", s.line(at), {"name": "sql.statement", "summary": got.summary, "reason": got.reason, "scope": scope}
-
-
-_PY = re.compile(r"#[^\n]*|[rbfuRBFU]{0,2}(?:\"\"\".*?(?:\"\"\"|\Z)|'''.*?(?:'''|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S)
-_PY_DEF = re.compile(r"^([ \t]*)(async\s+)?(def|class)\s+(\w+)\s*(\([^)]*\))?", re.M)
-_PY_IMPORT = re.compile(r"^[ \t]*(?:from\s+([\w.]+)\s+import\s+(\([^)]*\)|[^\n]+)|import\s+([^\n]+))", re.M)
-_PY_CALL = re.compile(r"(?<![\w.])([A-Za-z_][\w.]*)\s*(?=\()")
-_PY_FLOW = re.compile(r"^[ \t]*(if|elif|for|while|try|match)\b([^\n]*)", re.M)
-_PY_ROUTE = re.compile(r"@(\w+)\.(route|get|post|put|patch|delete)\s*\(\s*(?=[\"'])")
-_PY_PATH = re.compile(r"(?<![\w.])path\s*\(\s*(?=[\"'])")
-_PY_TASK = re.compile(r"@(\w+)\.task\b")
-_PY_BINDING = re.compile(r"^[ \t]*(\w+)\s*(?::[^=\n]+)?=\s*(await\s+)?([\w.]+)\s*(?=\()", re.M)
-_PY_RETURN = re.compile(r"\breturn\b[ \t]*(await\s+)?()([\w.]*)[ \t]*(\(?)([^\n]*)")
-
-
-def python(text: str) -> Iterator[Row]:
-    s = blanked(text, _PY, {'"""': 3, "'''": 3, '"': 1, "'": 1})
-    code, found, handlers = s.code, [], {}
-    lines = code.split("\n")
-    for m in _PY_DEF.finditer(code):
-        first, deep = s.line(m.start(3)), len(m[1].expandtabs())
-        last = next((k for k in range(first, len(lines)) if lines[k].strip() and len(lines[k].expandtabs()) - len(lines[k].expandtabs().lstrip()) <= deep and not lines[k].lstrip().startswith((")", "]", "}"))), len(lines))
-        end = s.starts[last] if last < len(s.starts) else len(code)
-        bases = [b.strip() for b in (m[5] or "()")[1:-1].split(",")] if m[3] == "class" else []
-        found.append((m.start(3), end, "class" if m[3] == "class" else "function", m[4], {"isAsync": bool(m[2]), "extends": "\x1f".join(b for b in bases if b and "=" not in b) or None}))
-        handlers[first] = m[4]
-    for fact, line, fields in _declared(s, found):
-        yield fact, line, fields | {"end": line}
-    for m in re.finditer(r"^([A-Z][A-Z0-9_]*)\s*(?::[^=\n]+)?=(?!=)", code, re.M):
-        yield "entity", s.line(m.start()), {"kind": "constant", "name": m[1], "qualified": m[1], "end": s.line(m.start())}
-    for m in _PY_IMPORT.finditer(code):
-        for module in [m[1]] if m[1] else [x.split(" as ")[0].strip() for x in m[3].split(",")]:
-            names = "\x1f".join(x.split(" as ")[0].strip() for x in (m[2] or "").strip("() \n").split(",") if x.strip())
-            yield "import", s.line(m.start()), {"specifier": module, "kind": "static", "names": names, "external": not module.startswith(".")}
-    for m in _PY_CALL.finditer(code):
-        before = code[max(0, m.start() - 12) : m.start()]
-        if m[1] not in NO_CALLS and not re.search(r"\b(def|class)\s+$", before):
-            yield "call", s.line(m.start()), {"callee": m[1], "scope": s.scope(m.start()), "awaited": bool(re.search(r"\bawait\s+$", before))}
-    below = sorted(handlers)
-    for m in _PY_ROUTE.finditer(code):
-        at = s.line(m.start())
-        place = bisect_right(below, at)
-        yield "marker", at, {"name": "http.route", "framework": "flask" if m[2] == "route" else "fastapi", "method": "ANY" if m[2] == "route" else m[2].upper(), "path": s.by_start.get(m.end()), "handler": handlers[below[place]] if place < len(below) else None}
-    for m in _PY_PATH.finditer(code):
-        yield "marker", s.line(m.start()), {"name": "http.route", "framework": "django", "method": "ANY", "path": s.by_start.get(m.end())}
-    for m in _PY_TASK.finditer(code):
-        yield "marker", s.line(m.start()), {"name": "async.task", "framework": "celery"}
-    for name, line in ((h, k) for k, h in handlers.items() if h.startswith("test_")):
-        yield "marker", line, {"name": "test.case", "title": name}
-    for m in _PY_FLOW.finditer(code):
-        if scope := s.scope(m.start(1)):
-            flow = {"for": "loop", "while": "loop", "try": "handler"}.get(m[1], "branch")
-            yield "marker", s.line(m.start(1)), {"name": f"control.{flow}", "scope": scope, "condition": s.said(m.start(2), m.end(2)).rstrip(":").strip() or None}
-    for m in _PY_RETURN.finditer(code):
-        if scope := s.scope(m.start()):
-            yield "return", s.line(m.start()), {"scope": scope, "awaited": bool(m[1]), **_returned(None, m[3], m[4], m[5])}
-    for m in _PY_BINDING.finditer(code):
-        yield "binding", s.line(m.start(1)), {"name": m[1], "callee": m[3], "scope": s.scope(m.start(1))}
-    for m in re.finditer(r"\braise\b[ \t]*([^\n]*)", code):
-        if scope := s.scope(m.start()):
-            yield "throw", s.line(m.start()), {"scope": scope, "via": "throw", "expression": s.said(m.start(), m.end())}
-    yield from _sql(s)
-
+from tracewright.extract.python import python
+from tracewright.extract.typescript import typescript
+from tracewright.plans.shapes import SCHEMAS
 
 READERS = {"typescript": typescript, "javascript": typescript, "python": python}
 FACTS = "path string, fact string, line int, at int, fields map<string,string>"
+MOST_CALLS, MOST_PROBLEMS = 5000, 50
+#: Rows of a batch that are handed on.
+AT_ONCE = 20_000
+
+
+def read(text: str, language: str, path: str, most_calls: int = MOST_CALLS, most_problems: int = MOST_PROBLEMS) -> list[tuple[str, int, dict]]:
+    """A file's facts within the caps."""
+    try:
+        rows = list(READERS[language](text, path))
+    except (ValueError, IndexError, KeyError, RecursionError) as e:
+        return [("problem", 1, {"code": "PARSE_FAILED", "message": str(e)[:200]})]
+    out, calls, problems = [], 0, 0
+    for row in rows:
+        calls += row[0] == "call"
+        problems += row[0] == "problem"
+        if (row[0] != "call" or calls <= most_calls) and (row[0] != "problem" or problems <= most_problems):
+            out.append(row)
+    if calls > most_calls:
+        out.append(("problem", 0, {"code": "CALLS_TRUNCATED", "message": f"{most_calls} of {calls} calls are kept"}))
+    return out
 
 
-def facts(files: DataFrame) -> DataFrame:
+def facts(files: DataFrame, most_calls: int = MOST_CALLS, most_problems: int = MOST_PROBLEMS) -> DataFrame:
     """(path, fact, line, at, fields) of files (path, language, text); ``at`` numbers a file's facts."""
 
+    def batch_of(rows: list) -> pa.RecordBatch:
+        maps = [[(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in r[4].items() if v is not None] for r in rows]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(maps, pa.map_(pa.string(), pa.string()))], ["path", "fact", "line", "at", "fields"])
+
     def work(batches):
+        rows = []
         for batch in batches:
             for path, language, text in zip(batch.column("path").to_pylist(), batch.column("language").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if language not in READERS or text is None:
-                    continue
-                try:
-                    rows = list(READERS[language](text))
-                except (ValueError, IndexError, RecursionError) as e:
-                    rows = [("problem", 1, {"code": "PARSE_FAILED", "message": str(e)[:200]})]
-                maps = [[(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in r[2].items() if v is not None] for r in rows]
-                columns = [pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array(range(len(rows)), pa.int32()), pa.array(maps, pa.map_(pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["path", "fact", "line", "at", "fields"])
+                if language in READERS and text is not None:
+                    rows += [(path, fact, line, at, fields) for at, (fact, line, fields) in enumerate(read(text, language, path, most_calls, most_problems))]
+                if len(rows) >= AT_ONCE:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     return files.select("path", "language", "text").mapInArrow(work, FACTS)
 
 
 def tables(rows: DataFrame) -> dict[str, DataFrame]:
-    """The builder's fact tables of rows of ``facts``; ``seq`` orders them by file and place, whatever the partitions."""
+    """The builder's fact tables of rows of ``facts``; ``seq`` orders them by file and place, whatever the partitions.
+
+    Each table reads ``rows`` anew: store them first where sources are dear to parse.
+    """
     f = F.col("fields")
     listed = lambda c: F.when(c.isNotNull() & (c != ""), F.split(c, "\x1f"))
     # a file's rank is the first 39 bits of its path's digest, so no global sort is needed
     seq = F.conv(F.substring(F.sha2("path", 256), 1, 9), 16, 10).cast("long") * F.lit(1 << 20) + F.col("at")
     base = {"producer": F.lit("code"), "seq": seq, "start_line": F.col("line"), "line": F.col("line"), "path": F.col("path"), "from_qualified_name": f["scope"], "awaited": f["awaited"] == "true"}
     own = {
-        "entities": ("entity", {"kind": f["kind"], "name": f["name"], "qualified_name": f["qualified"], "end_line": f["end"], "extends_from": listed(f["extends"]), "implements_from": listed(f["implements"]), "is_async": f["isAsync"] == "true"}),
+        "entities": ("entity", {"kind": f["kind"], "name": f["name"], "qualified_name": f["qualified"], "end_line": f["end"], "language": f["language"], "extends_from": listed(f["extends"]), "implements_from": listed(f["implements"]), "is_async": f["isAsync"] == "true", "attributes": F.map_filter(f, lambda k, _: k.isin("signature", "modifiers", "declaredType", "routeHandler", "method", "path"))}),
         "imports": ("import", {"specifier": f["specifier"], "names": F.coalesce(listed(f["names"]), F.array().cast("array<string>")), "kind": f["kind"], "is_external": f["external"] == "true"}),
         "calls": ("call", {"callee": f["callee"]}),
-        "markers": ("marker", {"name": f["name"], "attributes": F.map_filter(f, lambda k, _: k != "name")}),
-        "returns": ("return", {"kind": F.when((f["kind"] == "call") & (f["awaited"] == "true"), "awaited_call").otherwise(f["kind"]), "name": f["name"]}),
+        # a response is a marker too
+        "markers": ("marker", {"name": F.coalesce(f["name"], F.lit("http.response")), "attributes": F.map_filter(f, lambda k, v: (k != "name") & ~((k == "statusOnly") & (v == "false")))}),
+        "returns": ("return", {"kind": F.when((f["kind"] == "call") & (f["awaited"] == "true"), "awaited_call").otherwise(f["kind"]), "name": f["name"], "expression": f["expression"]}),
         "bindings": ("binding", {"name": f["name"], "callee": f["callee"]}),
-        "throws": ("throw", {"expression": f["expression"], "via": f["via"]}),
-        "responses": ("response", {"method": f["method"], "status": f["status"], "status_only": f["statusOnly"] == "true"}),
+        "throws": ("throw", {"expression": f["expression"], "via": f["via"], "rejects": f["inAsyncFunction"] == "true"}),
+        "responses": ("response", {"method": f["method"], "status": f["status"], "status_only": f["statusOnly"] == "true", "payload": f["payload"], "payload_kind": f["payloadKind"]}),
     }
     out = {}
     for name, (fact, given) in own.items():
         given = base | given
         fields = [x.strip().split(" ", 1) for x in SCHEMAS[name].split(", ")]
-        out[name] = rows.where(F.col("fact") == fact).select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
+        mine = rows.where(F.col("fact").isin(fact, "response") if fact == "marker" else F.col("fact") == fact)
+        out[name] = mine.select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
     return out

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 MARKERS = "path string, name string, line int, attributes map<string,string>"
 # Words in names of variables that hold credentials.
-CREDENTIAL = r"(?i)(?:^|_)(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|PRIVATE_KEY|CREDENTIAL|CREDENTIALS|ACCESS_KEY|CLIENT_SECRET|AUTH_KEY|AUTH)(?:_|$)"
+CREDENTIAL = r"(?i)(?:^|_)(?:SECRET|TOKEN|PASSWORD|PASSWD|APIKEY|API_KEY|PRIVATE_KEY|CREDENTIAL|CREDENTIALS|ACCESS_KEY|CLIENT_SECRET|AUTH)(?:$|_)"
 OBLIGATION = r"(?i)\b(must not|shall not|may not|must|shall|should|is required to|has to|needs to)\b"
 
 
@@ -114,7 +114,7 @@ def manifest(files: DataFrame) -> DataFrame:
     out = marker(rows.where("j.name is not null"), "manifest.name", F.lit("name"), name=F.col("j.name"), version=F.col("j.version"))
     for s in SECTIONS:
         each = rows.select("path", "text", F.explode(f"j.{s}").alias("key", "value"))
-        out = out.unionByName(marker(each, "manifest.dependency", F.col("key"), name=F.col("key"), section=F.lit(s), range=F.col("value")))
+        out = out.unionByName(marker(each, "manifest.dependency", F.col("key"), dependency=F.col("key"), section=F.lit(s), range=F.col("value")))
     each = rows.select("path", "text", F.explode("j.scripts").alias("key", "value"))
     out = out.unionByName(marker(each, "manifest.script", F.col("key"), script=F.col("key"), command=F.col("value")))
     for f in ENTRY_POINTS:
@@ -209,71 +209,85 @@ def config_keys(files: DataFrame) -> DataFrame:
     return _applied(files, read)
 
 
-def _named_variables(path: tuple, value: str) -> str | None:
+def _named_variable(path: tuple, value: str) -> str | None:
     """The variable of an ``environment`` entry, in either form."""
     return re.split(r"[=:]", value, maxsplit=1)[0].strip() if path[-1].startswith("[") else path[-1]
 
 
 def _compose(text: str) -> Iterator[Marker]:
     rows = list(yaml_rows(text))
-    services = {p[1] for _, p, _ in rows if p[0] == "services" and len(p) > 1}
-    networks = {p[1] for _, p, _ in rows if p[0] == "networks" and len(p) > 1}
-    own: dict[str, dict] = {}
-    first: dict[str, int] = {}
-    for number, p, value in rows:
-        if p[0] == "services" and len(p) > 1:
-            first.setdefault(p[1], number)
-            facts = own.setdefault(p[1], {})
-            if len(p) == 3 and p[2] in ("image", "build"):
-                facts[p[2]] = value or None
-            elif len(p) == 4 and p[2:] == ("build", "context"):
-                facts["build"] = value
-            elif len(p) == 4 and p[2:] == ("build", "dockerfile"):
-                facts["dockerfile"] = value
-    for service, number in first.items():
-        yield "compose.service", number, {"service": service, **own[service]}
-    for number, p, value in rows:
+    networks = {p[1] for _, p, _ in rows if p[0] == "networks" and len(p) == 2}
+    by: dict[str, list] = {}
+    for row in rows:
+        if row[1][0] == "services" and len(row[1]) > 1:
+            by.setdefault(row[1][1], []).append((row[0], row[1][2:], row[2]))
+    for service, own in by.items():
+        yield from _service(service, own, networks)
+    for number, p, _ in rows:
         if p[0] in ("networks", "volumes") and len(p) == 2:
             yield f"compose.{p[0][:-1]}_declared", number, {p[0][:-1]: p[1]}
-        if p[0] != "services" or len(p) < 3:
-            continue
-        base, field, deep = {"service": p[1]}, p[2], len(p)
-        if field == "ports" and deep == 4 and value:
-            yield "compose.port_publish", number, base | _port(value)
-        elif field in ("command", "entrypoint") and deep == 3 and value:
-            yield f"compose.{field}", number, base | {"value": " ".join(value.split())[:120]}
-        elif field == "restart" and deep == 3:
-            yield "compose.restart_policy", number, base | {"policy": value}
-        elif field == "healthcheck" and deep == 3:
-            test = " ".join(v for _, q, v in rows if q[:4] == (*p[:3], "test") and v)
-            yield "compose.healthcheck", number, base | {"configured": "true", "test": test or None, "path": next(iter(re.findall(r"https?://[^/\s]+(/[^\s\"']*)", test)), None)}
-        elif field == "depends_on" and deep == 4 and (p[3].startswith("[") and value in services or p[3] in services):
-            name = value if p[3].startswith("[") else p[3]
-            condition = next((v for _, q, v in rows if q == (*p[:4], "condition")), None)
-            yield "compose.depends_on", number, base | {"dependsOn": name, "condition": condition}
-        elif field == "networks" and deep == 4:
-            name = value if p[3].startswith("[") else p[3]
-            if name in networks:
-                yield "compose.network", number, base | {"network": name}
-        elif field == "environment" and deep == 4:
-            name = _named_variables(p, value)
-            yield "compose.environment", number, base | {"variable": name, "secretLike": str(bool(re.search(CREDENTIAL, name or ""))).lower()}
-            content = value.partition("=")[2] if p[3].startswith("[") else value
-            hosts = re.findall(r"(?:://(?:[^/@\s]*@)?|^)([A-Za-z0-9_.-]+)(?::(\d+))?", content)
-            for host, port in [h for h in hosts if h[0] in services and h[0] != p[1]][:1]:
-                yield "compose.service_address", number, base | {"target": host, "variable": name, "port": port or None}
-        elif field == "volumes" and deep == 4 and value:
-            source, _, rest = value.partition(":")
-            target, _, mode = rest.partition(":")
-            yield "compose.volume_mount", number, base | {"source": source, "target": target or None, "readOnly": str(mode == "ro").lower()}
+
+
+def _service(service: str, own: list[tuple[int, tuple, str]], networks: set[str]) -> Iterator[Marker]:
+    """What a service declares: (line, path in the service, value) rows."""
+    first, base = own[0][0], {"service": service}
+    scalar = {p: v for _, p, v in own if v}
+    listed = lambda *at: [(n, p, v) for n, p, v in own if p[:-1] == at]
+    items = lambda *at: " ".join(v for _, _, v in listed(*at) if v)
+    ports = [_port(v) for _, _, v in listed("ports") if v]
+    ports = [p for p in ports if re.fullmatch(r"\d+(-\d+)?", p["containerPort"])]
+    numbers = sorted({int(p["containerPort"]) for p in ports if p["containerPort"].isdigit()})
+    yield "compose.service", first, base | {"image": scalar.get(("image",)), "build": scalar.get(("build",)) or scalar.get(("build", "context")), "publishedPorts": ",".join(map(str, numbers)), "buildFile": scalar.get(("build", "dockerfile"))}
+    for n, _, v in listed("ports"):
+        port = _port(v) if v else None
+        if port and port in ports:
+            ports.remove(port)
+            yield "compose.port_publish", n, base | port
+    for field, most in (("command", 200), ("entrypoint", 200)):
+        line = next((n for n, p, _ in own if p == (field,)), first)
+        if said := (items(field) or scalar.get((field,)) or "").strip():
+            yield f"compose.{field}", line, base | {"value": " ".join(said.split())[:most]}
+    for n, p, v in listed("depends_on"):
+        yield "compose.depends_on", n, base | {"dependsOn": v if p[-1].startswith("[") else p[-1]}
+    for n, p, v in listed("networks"):
+        name = v if p[-1].startswith("[") else p[-1]
+        if name in networks:
+            yield "compose.network", n, base | {"network": name}
+    for n, p, v in listed("environment"):
+        if name := _named_variable(p, v):
+            yield "compose.environment", n, base | {"variable": name}
+            content = v.partition("=")[2] if p[-1].startswith("[") else v
+            m = re.search(r"https?://([A-Za-z0-9][A-Za-z0-9_.-]*)(?::(\d+))?(?=[/\s?#]|$)", content)
+            if m and "@" not in content[m.start() :] and m[1] != "localhost" and not re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m[1]):
+                yield "compose.service_address", n, base | {"target": m[1], "variable": name, "port": m[2] or ""}
+    for n, p, v in listed("volumes"):
+        short = re.fullmatch(r"([^:]+)(?::([^:]+))?(?::(\w+))?", v or "")
+        source, target, mode = short.groups() if short else (scalar.get(("volumes", p[-1], "source")), scalar.get(("volumes", p[-1], "target")), "ro" if scalar.get(("volumes", p[-1], "read_only")) == "true" else None)
+        if source and (target or not short):
+            named = re.fullmatch(r"[A-Za-z0-9_.-]+", source)
+            yield "compose.volume_mount", n, base | {"volume": source if named else f"(bind) {source}", "target": target, "readOnly": "true" if mode == "ro" else None, "source": None if named else source}
+    if any(p == ("healthcheck",) for _, p, _ in own):
+        yield "compose.healthcheck", first, base | _healthcheck([v for _, _, v in listed("healthcheck", "test")] or [x for x in [scalar.get(("healthcheck", "test"))] if x])
+    if ("restart",) in scalar:
+        yield "compose.restart_policy", next(n for n, p, _ in own if p == ("restart",)), base | {"restart": scalar["restart",]}
+
+
+def _healthcheck(parts: list[str]) -> dict:
+    """How a check is made, its command and the path that it asks; never the host."""
+    if not parts or parts[0] == "NONE":
+        return {"kind": parts[0] if parts else "unknown"}
+    command = " ".join(parts[1:])[:200]
+    url = re.search(r"https?://[^\s\"'`)]+", command)
+    path = re.split(r"[?#]", re.sub(r"(?i)^https?://[^/]+", "", url[0]))[0][:120] or "/" if url else None
+    return {"kind": parts[0] if parts[0] in ("CMD", "CMD-SHELL") else "none", "command": command or None, "endpoint": path}
 
 
 def _port(value: str) -> dict:
-    """A published port in any of its three spellings."""
+    """A published port in any of its three spellings: what the container has, what the host has, on which address."""
     value, _, protocol = value.partition("/")
     parts = value.rsplit(":", 2)
-    host_ip = parts[0] if len(parts) == 3 else None
-    return {"containerPort": parts[-1], "hostPort": parts[-2] if len(parts) > 1 else None, "hostIp": host_ip, "allInterfaces": str(host_ip in (None, "0.0.0.0") and len(parts) > 1).lower(), "protocol": protocol or "tcp"}
+    host = parts[-2] if len(parts) > 1 and re.fullmatch(r"\d+(-\d+)?", parts[-2]) else None
+    return {"containerPort": parts[-1], "hostPort": host, "hostIp": parts[0] if len(parts) == 3 else None, "protocol": protocol or None}
 
 
 def compose(files: DataFrame) -> DataFrame:

@@ -9,94 +9,17 @@ is guarded, so the order of the facts doesn't matter. Lookups are equi-joins on
 candidate keys, ranked by their place.
 """
 
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.functions.identity import edge_id, evidence_id, slug
 from tracewright.functions.paths import module_name, normalised
-from tracewright.operators.graph import first_non_null, guard
-
-EXPLICIT, STRONG, WEAK, UNKNOWN = 3, 2, 1, 0
-
-_AT = "path string, producer string, seq bigint"
-SCHEMAS = {
-    "files": "path string, language string, digest string, analyzable boolean, seq bigint",
-    "entities": f"{_AT}, kind string, name string, qualified_name string, start_line int, end_line int, language string, extends_from array<string>, implements_from array<string>, is_async boolean",
-    "imports": f"{_AT}, specifier string, names array<string>, kind string, line int, is_external boolean",
-    "calls": f"{_AT}, callee string, line int, from_qualified_name string, awaited boolean",
-    "markers": f"{_AT}, name string, line int, attributes map<string,string>",
-    "returns": f"{_AT}, line int, from_qualified_name string, kind string, name string, awaited boolean, expression string",
-    "bindings": f"{_AT}, name string, callee string, line int, from_qualified_name string",
-    "throws": f"{_AT}, line int, from_qualified_name string, expression string, via string",
-    "responses": f"{_AT}, line int, method string, status int, status_only boolean, payload string",
-    "commits": "hash string, author_name string, author_email string, subject string, files array<string>, seq bigint",
-}
-NODE = "id string, kind string, name string, qualified_name string, language string, path string, start_line int, end_line int, digest string, rank int, attributes map<string,string>, evidence string, seq bigint"
-EDGE = "src string, kind string, dst string, rank int, label string, attributes map<string,string>, evidence string, seq bigint"
-EVIDENCE = "id string, kind string, path string, line int, producer string, seq bigint"
-FIELDS = ["kind", "name", "qualified_name", "language", "path", "start_line", "end_line", "digest"]
-
-
-@dataclass
-class Graph:
-    """nodes, edges and evidence with the evidence of each (``node_refs``, ``edge_refs``: id, evidence)."""
-
-    nodes: DataFrame
-    edges: DataFrame
-    evidence: DataFrame
-    node_refs: DataFrame
-    edge_refs: DataFrame
-
-
-def _typed(df: DataFrame, schema: str, given: dict[str, Column]) -> DataFrame:
-    fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
-    return df.select(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields))
-
-
-def attributes(**given) -> Column:
-    """A map of the attributes that aren't null, as text."""
-    parts = [F.struct(F.lit(k).alias("key"), (v if isinstance(v, Column) else F.lit(v)).cast("string").alias("value")) for k, v in given.items()]
-    return F.map_from_entries(F.filter(F.array(*parts), lambda e: e["value"].isNotNull()))
-
-
-def nodes_of(df: DataFrame, kind, name, rank=EXPLICIT, key=None, **given) -> DataFrame:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    key = name if key is None else key
-    given = {"language": F.lit(None), **given}
-    return _typed(df, NODE, {"id": F.concat(kind, F.lit(":"), slug(key)), "kind": kind, "name": name, "rank": F.lit(rank) if isinstance(rank, int) else rank, "evidence": F.col("evidence"), "seq": F.col("seq"), **given})
-
-
-def edges_of(df: DataFrame, src, kind, dst, rank=EXPLICIT, **given) -> DataFrame:
-    kind = F.lit(kind) if isinstance(kind, str) else kind
-    return _typed(df, EDGE, {"src": src, "kind": kind, "dst": dst, "rank": F.lit(rank) if isinstance(rank, int) else rank, "evidence": F.col("evidence"), "seq": F.col("seq"), **given})
-
-
-def module_id(path: Column) -> Column:
-    return F.concat(F.lit("module:"), slug(module_name(path)))
-
-
-def merged_nodes(observed: DataFrame) -> DataFrame:
-    """One node an id; attributes as a map whose keys are each first come, first served."""
-    seq = F.col("seq")
-    rows = observed.groupBy("id").agg(*[first_non_null(f, seq).alias(f) for f in FIELDS], F.min("rank").alias("rank"))
-    return rows.join(_attributes(observed, "id"), "id", "left")
-
-
-def merged_edges(observed: DataFrame) -> DataFrame:
-    observed = observed.withColumn("id", edge_id(F.col("src"), F.col("kind"), F.col("dst")))
-    ends = [F.min(c).alias(c) for c in ("src", "kind", "dst")]
-    rows = observed.groupBy("id").agg(*ends, F.min("rank").alias("rank"), first_non_null("label", F.col("seq")).alias("label"))
-    return rows.join(_attributes(observed, "id"), "id", "left")
-
-
-def _attributes(observed: DataFrame, key: str) -> DataFrame:
-    each = observed.select(key, "seq", F.explode("attributes").alias("name", "value"))
-    first = each.groupBy(key, "name").agg(F.min_by("value", "seq").alias("value"))
-    return first.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("attributes"))
-
+from tracewright.operators.graph import guard
+from tracewright.plans.deploy import Deployment
+from tracewright.plans.shapes import EXPLICIT, NODE, SCHEMAS, STRONG, UNKNOWN, WEAK, Graph, attributes, edges_of, merged_edges, merged_nodes, module_id, nodes_of, typed
+from tracewright.storage import stored_table
 
 def resolve_by_rank(rows: DataFrame, key: str, candidates: Column, index: DataFrame, keep: list[str]) -> DataFrame:
     """(key, keep...) of the first candidate that ``index`` (name, keep...) knows, for each ``key`` of ``rows``."""
@@ -124,27 +47,28 @@ def import_keys(path: Column, specifier: Column) -> Column:
     return F.when(specifier.startswith("."), F.array(*ends))
 
 
-class Builder:
+class Builder(Deployment):
     """The rules over one set of facts. Each rule gives (node observations, edge observations) or one of them."""
 
     def __init__(self, spark: SparkSession, facts: dict[str, DataFrame], name: str = "repository"):
         self.spark, self.root = spark, name
         self.facts = {k: facts.get(k) if k in facts else spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
         self.repository = F.lit(f"repository:{name}")
-        self.seen: list[DataFrame] = []
+        self.known: dict[str, DataFrame] = {}  # what several rules read, stored by ``graph``
 
     # -- evidence and lookups
 
     def cited(self, rows: DataFrame, kind: str, line: Column | None = None, path: Column | None = None, producer: Column | None = None) -> DataFrame:
-        """``rows`` with the id of their evidence."""
+        """``rows`` with their evidence: its id and what it cites."""
         line = F.greatest(F.col("line") if line is None else line, F.lit(0)).cast("int")
         path, producer = F.col("path") if path is None else path, F.col("producer") if producer is None else producer
-        rows = rows.withColumn("evidence", evidence_id(path, F.lit(kind), line, producer))
-        self.seen.append(_typed(rows, EVIDENCE, {"id": F.col("evidence"), "kind": F.lit(kind), "path": path, "line": line, "producer": producer, "seq": F.col("seq")}))
-        return rows
+        id_ = evidence_id(path, F.lit(kind), line, producer)
+        return rows.withColumn("evidence", F.struct(id_.alias("id"), F.lit(kind).alias("kind"), path.alias("path"), line.alias("line"), producer.alias("producer")))
 
     def symbols(self) -> DataFrame:
         """(name, target, target_kind, at): each name's and qualified name's first declaration."""
+        if "symbols" in self.known:
+            return self.known["symbols"]
         rows = self.facts["entities"].select(F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("name"), self._entity().alias("target"), F.col("kind").alias("target_kind"), F.col("path").alias("at"), "seq")
         return rows.where("name is not null").groupBy("name").agg(F.min_by(F.struct("target", "target_kind", "at"), "seq").alias("s")).select("name", "s.*")
 
@@ -162,6 +86,11 @@ class Builder:
         hit = resolve_by_rank(rows.select(callee).distinct(), callee, callee_keys(F.col(callee)), self.symbols(), ["target", "target_kind", "at"])
         return rows.join(hit, callee)
 
+    def named(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows`` with target and target_kind of the declaration of exactly this name; others go."""
+        index = self.symbols().select(F.col("name").alias(name), "target", "target_kind")
+        return rows.join(index, name)
+
     def marked(self, *names: str) -> DataFrame:
         return self.facts["markers"].where(F.col("name").isin(*names))
 
@@ -180,14 +109,14 @@ class Builder:
     def entities(self):
         rows = self.cited(self.facts["entities"], "DECLARATION", F.col("start_line"))
         given = {c: F.col(c) for c in ("qualified_name", "language", "path", "start_line", "end_line")}
-        nodes = nodes_of(rows, F.col("kind"), F.col("name"), key=F.coalesce("qualified_name", "name"), attributes=attributes(isAsync=F.col("is_async")), **given)
+        nodes = nodes_of(rows, F.col("kind"), F.col("name"), key=F.coalesce("qualified_name", "name"), attributes=F.map_concat(attributes(isAsync=F.col("is_async")), F.coalesce("attributes", F.map_from_entries(F.array().cast("array<struct<key:string,value:string>>")))), **given)
         return nodes, edges_of(rows, module_id(F.col("path")), "contains", self._entity())
 
     def inheritance(self):
         rows = self.cited(self.facts["entities"], "DECLARATION", F.col("start_line"))
         each = rows.select("evidence", "seq", self._entity().alias("src"), F.explode(F.map_from_arrays(F.array(F.lit("extends"), F.lit("implements")), F.array(F.coalesce("extends_from", F.array().cast("array<string>")), F.coalesce("implements_from", F.array().cast("array<string>"))))).alias("how", "names"))
         each = each.select("evidence", "seq", "src", "how", F.explode("names").alias("callee"))
-        hit = self.called(each).where(F.col("target_kind").isin("class", "interface", "type") & (F.col("target") != F.col("src")))
+        hit = self.named(each, "callee").where(F.col("target_kind").isin("class", "interface", "type") & (F.col("target") != F.col("src")))
         return edges_of(hit, F.col("src"), F.col("how"), F.col("target"), STRONG)
 
     def _import_targets(self) -> DataFrame:
@@ -214,6 +143,8 @@ class Builder:
         return self._import_targets().where("found is null and not is_external").select("path", "specifier", "line")
 
     def calls(self):
+        if "calls" in self.known:
+            return self.known["calls"]
         rows = self.scoped(self.called(self.cited(self.facts["calls"], "CALL_SITE")), F.col("from_qualified_name"))
         rows = rows.where("owner <> target")
         given = attributes(callee=F.col("callee"), sameModule=F.col("at") == F.col("path"))
@@ -221,18 +152,18 @@ class Builder:
 
     def _routes(self) -> DataFrame:
         rows = self.cited(self.marked("http.route"), "ROUTE_DECLARATION")
-        name = F.concat_ws(" ", F.upper(F.col("attributes")["method"]), F.col("attributes")["path"])
+        name = F.concat_ws(" ", F.coalesce(F.col("attributes")["httpMethod"], F.lit("ANY")), F.coalesce(F.col("attributes")["path"], F.lit("/")))
         return rows.withColumn("endpoint", name).withColumn("endpoint_id", F.concat(F.lit("api_endpoint:"), slug(name))).withColumn("handler", F.col("attributes")["handler"])
 
     def routes(self):
         rows = self._routes()
-        handled = self.called(rows.where("handler is not null"), "handler")
+        handled = self.named(rows.where("handler is not null"), "handler")
         module, a = module_id(F.col("path")), F.col("attributes")
-        nodes = nodes_of(rows, "api_endpoint", F.col("endpoint"), path=F.col("path"), start_line=F.col("line"), attributes=attributes(httpMethod=F.upper(a["method"]), route=a["path"], handler=F.col("handler")))
+        nodes = nodes_of(rows, "api_endpoint", F.col("endpoint"), path=F.col("path"), start_line=F.col("line"), attributes=attributes(httpMethod=F.coalesce(a["httpMethod"], F.lit("ANY")), route=F.coalesce(a["path"], F.lit("/")), handler=F.col("handler")))
         edges = [
             edges_of(rows, module, "exposes", F.col("endpoint_id")),
             edges_of(rows, F.col("endpoint_id"), "declared_in", module),
-            edges_of(handled, F.col("endpoint_id"), "calls", F.col("target"), STRONG, attributes=attributes(derivedFrom="route.handler")),
+            edges_of(handled, F.col("endpoint_id"), "calls", F.col("target"), STRONG, attributes=attributes(derivedFrom="route.handler", handler=F.col("handler"))),
         ]
         return nodes, reduce(DataFrame.unionByName, edges)
 
@@ -259,7 +190,7 @@ class Builder:
         declared = self.marked("schema.table").select(table.alias("declared")).distinct()
         unknown = rows.withColumn("declared", table).join(declared, "declared", "left_anti")
         how = F.when(a["operation"] == "write", "writes").otherwise("reads")
-        given = attributes(operation=a["operation"], role=a["role"], statement=a["statement"], scopeUnknown=F.when(~F.col("known"), F.lit(True)))
+        given = attributes(operation=a["operation"], role=a["role"], statement=a["statement"], statementCount=a["statementCount"], scopeUnknown=F.when(~F.col("known"), F.lit(True)))
         edges = edges_of(rows, F.col("owner"), how, table, F.when(F.col("known"), EXPLICIT).otherwise(WEAK), attributes=given)
         # a table that no DDL declares stays unknown; a declared one isn't weakened by being used
         return nodes_of(unknown, "table", a["table"], UNKNOWN, attributes=attributes(declaredInDdl=False)), edges
@@ -267,17 +198,18 @@ class Builder:
     def queries(self):
         """Common table expressions, and statements that could not be classified."""
         a = F.col("attributes")
-        ctes = self.scoped(self.cited(self.marked("sql.cte"), "CALL_SITE"), a["scope"])
-        others = self.scoped(self.cited(self.marked("sql.statement"), "CALL_SITE"), a["scope"])
-        cte = F.concat(F.lit("cte:"), F.coalesce(a["scope"], F.col("path")), F.lit("::"), a["name"])
-        other = F.concat_ws(":", F.lit("statement"), F.col("path"), F.col("line").cast("string"), a["summary"])
+        ctes = self.scoped(self.cited(self.marked("sql.cte"), "CALL_SITE"), a["scope"]).where("known")
+        ctes = ctes.withColumn("cte", F.explode(F.split(a["names"], ","))).withColumn("cte", F.trim("cte")).where("cte <> ''")
+        others = self.scoped(self.cited(self.marked("sql.statement"), "CALL_SITE"), a["scope"]).withColumn("summary", F.substring(F.coalesce(a["summary"], F.lit("statement")), 1, 120))
+        cte = F.concat(F.lit("cte:"), a["scope"], F.lit("::"), F.col("cte"))
+        other = F.concat_ws(":", F.lit("statement"), F.col("path"), F.col("line").cast("string"), F.col("summary"))
         nodes = [
-            nodes_of(ctes, "constant", a["name"], key=cte, path=F.col("path"), start_line=F.col("line"), attributes=attributes(queryExpression=True)),
-            nodes_of(others, "constant", a["summary"], UNKNOWN, key=other, path=F.col("path"), start_line=F.col("line"), attributes=attributes(unclassifiedStatement=True, reason=a["reason"])),
+            nodes_of(ctes, "constant", F.col("cte"), key=cte, qualified_name=cte, path=F.col("path"), start_line=F.col("line"), attributes=attributes(queryExpression=True, statement=a["statement"])),
+            nodes_of(others, "constant", F.col("summary"), UNKNOWN, key=other, qualified_name=other, path=F.col("path"), start_line=F.col("line"), attributes=attributes(unclassifiedStatement=True, reason=a["unsupported"])),
         ]
         edges = [
-            edges_of(ctes, F.col("owner"), "produces", F.concat(F.lit("constant:"), slug(cte))),
-            edges_of(others, F.col("owner"), "contains", F.concat(F.lit("constant:"), slug(other)), F.when(F.col("known"), EXPLICIT).otherwise(WEAK)),
+            edges_of(ctes, F.col("owner"), "produces", F.concat(F.lit("constant:"), slug(cte)), attributes=attributes(queryExpression=True)),
+            edges_of(others, F.col("owner"), "contains", F.concat(F.lit("constant:"), slug(other)), F.when(F.col("known"), EXPLICIT).otherwise(WEAK), attributes=attributes(unclassifiedStatement=True)),
         ]
         return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
@@ -297,24 +229,25 @@ class Builder:
         this, module = F.concat(F.lit("requirement:"), slug(key)), module_id(F.col("path"))
         rows = rows.withColumn("target_name", a["implementsRef"])
         symbols = self.symbols().select(F.col("name").alias("target_name"), "target")
-        modules = self.facts["files"].where("analyzable").select(F.col("path").alias("target_name"), module_id(F.col("path")).alias("target_module")).distinct()
-        linked = rows.where("target_name is not null").join(symbols, "target_name", "left").join(modules, "target_name", "left")
-        linked = linked.withColumn("to", F.coalesce("target", "target_module")).where("to is not null")
-        nodes = nodes_of(rows, "requirement", F.coalesce(a["identifier"], a["statement"]), key=key, path=F.col("path"), start_line=F.col("line"), attributes=attributes(statement=a["statement"]))
-        return nodes, edges_of(rows, module, "declared_in", this).unionByName(edges_of(linked, this, "implements_requirement", F.col("to")))
+        # a module is meant by its name, without an ending
+        modules = self.facts["files"].where("analyzable").select(module_id(F.col("path")).alias("target_module")).distinct()
+        linked = rows.where("target_name is not null").join(symbols, "target_name", "left").withColumn("target_module", F.concat(F.lit("module:"), slug(F.col("target_name"))))
+        linked = linked.join(modules.withColumn("there", F.lit(True)), "target_module", "left").withColumn("to", F.coalesce("target", F.when(F.col("there"), F.col("target_module")))).where("to is not null")
+        nodes = nodes_of(rows, "requirement", F.coalesce(a["identifier"], F.substring(a["statement"], 1, 80)), key=key, path=F.col("path"), start_line=F.col("line"), attributes=attributes(statement=a["statement"], identifier=a["identifier"]))
+        return nodes, edges_of(rows, module, "declared_in", this).unionByName(edges_of(linked, this, "implements_requirement", F.col("to"), attributes=attributes(statedIn=F.col("path"), reference=F.col("target_name"))))
 
     def tests(self):
         a = F.col("attributes")
         rows = self.cited(self.marked("test.suite", "test.case"), "TEST_ASSERTION")
         key = F.concat(F.col("path"), F.lit("#"), F.col("line").cast("string"), F.lit(":"), F.substring_index("name", ".", -1), F.lit(":"), a["title"])
-        nodes = nodes_of(rows, "test", a["title"], key=key, path=F.col("path"), start_line=F.col("line"), attributes=attributes(level=F.substring_index("name", ".", -1)))
+        nodes = nodes_of(rows, "test", a["title"], key=key, path=F.col("path"), start_line=F.col("line"), attributes=F.map_concat(attributes(declaration=F.substring_index("name", ".", -1)), a))
         return nodes, edges_of(rows, module_id(F.col("path")), "contains", F.concat(F.lit("test:"), slug(key)))
 
     def manifests(self):
         a = F.col("attributes")
         rows = self.cited(self.marked("manifest.dependency"), "MANIFEST_FIELD")
-        nodes = nodes_of(rows, "package", a["name"], attributes=attributes(range=a["range"], section=a["section"]))
-        return nodes, edges_of(rows, module_id(F.col("path")), "depends_on", F.concat(F.lit("package:"), slug(a["name"])), attributes=attributes(declared=True, section=a["section"]))
+        nodes = nodes_of(rows, "package", a["dependency"], attributes=attributes(range=a["range"], section=a["section"]))
+        return nodes, edges_of(rows, module_id(F.col("path")), "depends_on", F.concat(F.lit("package:"), slug(a["dependency"])), attributes=attributes(declared=True, declaredIn=F.col("path")))
 
     def git(self):
         rows = self.facts["commits"].withColumn("path", F.lit(".git")).withColumn("producer", F.lit("git"))
@@ -326,70 +259,131 @@ class Builder:
         return nodes, reduce(DataFrame.unionByName, edges)
 
     def returns(self):
-        """Values that come back from a call returned at once, or from a variable that one call alone is bound to."""
+        """Values that come back: from a call that is returned at once, if its function is known to make it, or from a variable that one call alone of the file is bound to."""
         rows = self.cited(self.facts["returns"], "CALL_SITE")
-        direct = rows.where(F.col("kind").isin("call", "awaited_call")).withColumn("callee", F.col("name")).withColumn("via", F.lit(None).cast("string")).withColumn("strength", F.lit(STRONG))
-        once = self.facts["bindings"].groupBy("from_qualified_name", "name").agg(F.count(F.lit(1)).alias("n"), F.min("callee").alias("callee")).where("n = 1").drop("n")
-        bound = rows.where("kind = 'identifier'").join(once, ["from_qualified_name", "name"]).withColumn("via", F.col("name")).withColumn("strength", F.lit(WEAK))
-        keep = ["path", "seq", "evidence", "from_qualified_name", "callee", "via", "strength", "kind", "awaited", "expression"]
-        hit = self.scoped(self.called(direct.select(*keep).unionByName(bound.select(*keep))), F.col("from_qualified_name")).where("known and owner <> target")
-        # only what the function is known to call
-        calls = self.calls().select(F.col("src").alias("owner"), F.col("dst").alias("target")).distinct()
-        hit = hit.join(calls, ["owner", "target"], "left_semi")
-        given = attributes(returnKind=F.col("kind"), awaited=F.col("awaited"), expression=F.col("expression"), via=F.col("via"), inferred=F.when(F.col("via").isNotNull(), F.lit(True)))
-        return edges_of(hit, F.col("target"), "returns", F.col("owner"), F.col("strength"), attributes=given)
+        keep = ["path", "seq", "evidence", "from_qualified_name", "kind", "awaited", "expression"]
+        index = self.symbols().select(F.col("name").alias("from_qualified_name"), F.col("target").alias("owner"))
+        direct = self.named(rows.where("name is not null").select(*keep, F.col("name").alias("callee")), "callee").join(index, "from_qualified_name").where("owner <> target")
+        made = self.called(self.facts["calls"].where("from_qualified_name is not null").select("path", "from_qualified_name", "callee")).select("path", "from_qualified_name", "target").distinct()
+        direct = direct.join(made, ["path", "from_qualified_name", "target"], "left_semi")
+        given = attributes(returnKind=F.col("kind"), awaited=F.when(F.col("awaited"), True), expression=F.col("expression"))
+        edges = edges_of(direct, F.col("target"), "returns", F.col("owner"), STRONG, attributes=given)
+
+        once = self.facts["bindings"].where("from_qualified_name is not null").groupBy("path", "from_qualified_name", "name")
+        once = once.agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in ("callee", "line", "producer")], F.max(F.coalesce("awaited", F.lit(False))).alias("awaited_binding")).where("n = 1")
+        returned = rows.where("kind = 'identifier'").select("path", "seq", F.col("evidence").alias("returned_at"), "from_qualified_name", "name", "awaited")
+        bound = self.cited(returned.join(once, ["path", "from_qualified_name", "name"]), "CALL_SITE")
+        hit = self.called(bound).join(index, "from_qualified_name")
+        given = attributes(returnKind="identifier", inferred=True, via=F.col("name"), awaited=F.when(F.col("awaited_binding") | F.coalesce("awaited", F.lit(False)), True))
+        weak = edges_of(hit, F.col("target"), "returns", F.col("owner"), WEAK, attributes=given)
+        also = edges_of(hit.withColumn("evidence", F.col("returned_at")), F.col("target"), "returns", F.col("owner"), WEAK, attributes=given)
+        return edges.unionByName(weak).unionByName(also)
 
     def throws(self):
         rows = self.scoped(self.cited(self.facts["throws"], "CALL_SITE"), F.col("from_qualified_name")).where("known")
-        callers = self.calls().select(F.col("src").alias("caller"), F.col("dst").alias("owner")).distinct()
-        hit = rows.join(callers, "owner")
-        return edges_of(hit, F.col("owner"), "throws", F.col("caller"), STRONG, attributes=attributes(via=F.col("via"), rejects=F.col("via") == "reject", expression=F.col("expression")))
+        handled = self._handled().select(F.col("endpoint_id").alias("caller"), F.col("target").alias("owner"))
+        callers = self.calls().select(F.col("src").alias("caller"), F.col("dst").alias("owner")).unionByName(handled).distinct()
+        hit = rows.join(callers, "owner").where("caller <> owner")
+        return edges_of(hit, F.col("owner"), "throws", F.col("caller"), STRONG, attributes=attributes(via=F.col("via"), rejects=F.when(F.col("rejects"), True), expression=F.col("expression")))
+
+    def _handled(self) -> DataFrame:
+        """(endpoint_id, target): the endpoints whose handler is declared."""
+        if "handled" in self.known:
+            return self.known["handled"]
+        return self.named(self._routes().where("handler is not null").select("endpoint_id", "handler"), "handler").select("endpoint_id", "target").distinct()
+
+    def _answers(self) -> DataFrame:
+        return self.named(self.cited(self.facts["responses"], "ROUTE_DECLARATION").where("from_qualified_name is not null"), "from_qualified_name")
 
     def responses(self):
-        """Responses go to the endpoints whose handler is the declaration that spans their line."""
-        rows = self.cited(self.facts["responses"], "ROUTE_DECLARATION")
-        handlers = self.called(self._routes().where("handler is not null").select("endpoint_id", "handler"), "handler").select("endpoint_id", "target").distinct()
-        spans = self.facts["entities"].select(self._entity().alias("target"), F.col("path"), "start_line", "end_line").join(handlers, "target")
-        hit = rows.join(spans, "path").where("line between start_line and end_line")
-        given = attributes(httpResponse=True, method=F.col("method"), status=F.col("status"), payload=F.col("payload"))
+        """Responses go to the endpoints whose handler is the declaration that makes them."""
+        hit = self._answers().join(self._handled(), "target")
+        given = attributes(httpResponse=True, method=F.col("method"), status=F.col("status"), payload=F.col("payload"), payloadKind=F.col("payload_kind"), statusOnly=F.when(F.col("status_only"), True))
         return edges_of(hit, F.col("target"), "returns", F.col("endpoint_id"), F.when(F.col("status_only"), STRONG).otherwise(EXPLICIT), attributes=given)
 
     def tested(self):
-        """A caller in a test file tests the endpoints whose handler it calls."""
-        handlers = self.routes()[1].where("kind = 'calls'").select(F.col("src").alias("endpoint"), F.col("dst").alias("handler"))
-        rows = self.scoped(self.called(self.cited(self.facts["calls"], "CALL_SITE")), F.col("from_qualified_name"))
-        hit = rows.where(is_test(F.col("path"))).join(handlers, F.col("target") == F.col("handler"))
-        return edges_of(hit, F.col("owner"), "tests", F.col("endpoint"), STRONG, attributes=attributes(viaHandler=F.col("handler"), hops=1))
+        """A caller that is a test or is declared in a test file tests the endpoints whose handler it calls."""
+        handlers = self._handled().select(F.col("endpoint_id").alias("endpoint"), F.col("target").alias("dst"))
+        declared = self.facts["entities"].select(self._entity().alias("src"), "path", "seq").unionByName(self.facts["files"].where("analyzable").select(module_id(F.col("path")).alias("src"), "path", "seq"))
+        first = declared.groupBy("src").agg(F.min_by("path", "seq").alias("path")).where(is_test(F.col("path")) | F.col("src").startswith("test:")).select("src")
+        hit = self.calls().join(first, "src", "left_semi").join(handlers, "dst")
+        return edges_of(hit, F.col("src"), "tests", F.col("endpoint"), STRONG, attributes=attributes(viaHandler=F.col("attributes")["callee"], hops=1))
+
+    def tallied(self) -> DataFrame:
+        """Observations that add to declarations what they return, throw and answer; they cite nothing of their own."""
+        index = self.symbols().select(F.col("name").alias("from_qualified_name"), F.col("target").alias("id"))
+        of = lambda fact: self.facts[fact].join(index, "from_qualified_name")
+        returned = of("returns").groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max_by("kind", "seq").alias("shape"), F.max(F.coalesce("awaited", F.lit(False))).alias("awaited"))
+        thrown = of("throws").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        statuses = of("responses").groupBy("id", "status").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("seq"))
+        seen = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("status").isNotNull(), F.struct("seq", F.col("status").cast("string").alias("status"))))), lambda s: s["status"]), ",")
+        answered = statuses.groupBy("id").agg(F.sum("n").alias("n"), seen.alias("statuses"))
+        last = F.lit((1 << 62)).cast("bigint")
+        parts = [
+            returned.select("id", attributes(hasReturn=True, returnCount=F.col("n"), returnsShape=F.col("shape"), returnsAwaited=F.when(F.col("awaited"), True)).alias("attributes")),
+            thrown.select("id", attributes(throwSites=F.col("n")).alias("attributes")),
+            answered.select("id", attributes(httpResponses=F.col("n"), httpResponseStatuses=F.nullif(F.col("statuses"), F.lit(""))).alias("attributes")),
+        ]
+        rows = reduce(DataFrame.unionByName, parts)
+        return typed(rows, NODE, {"id": F.col("id"), "rank": F.lit(EXPLICIT), "attributes": F.col("attributes"), "seq": last})
 
     # -- the whole
 
-    RULES = ("modules", "entities", "inheritance", "imports", "calls", "routes", "schema", "sql", "queries", "conditions", "requirements", "tests", "manifests", "git", "returns", "throws", "responses", "tested")
+    RULES = ("modules", "entities", "inheritance", "imports", "calls", "routes", "schema", "sql", "queries", "conditions", "requirements", "tests", "manifests", "git", "returns", "throws", "responses", "tested", "components", "deployed", "secrets", "configuration", "reconciled")
 
     def observations(self) -> tuple[DataFrame, DataFrame]:
-        nodes, edges = [self.repository_node()], []
+        """(nodes, edges) observed by all rules, with the rule that did."""
+        nodes, edges = [self.repository_node().withColumn("rule", F.lit("repository")), self.tallied().withColumn("rule", F.lit("tallied"))], []
         for rule in self.RULES:
             got = getattr(self, rule)()
-            if isinstance(got, tuple):
-                nodes.append(got[0])
-            edges.append(got[1] if isinstance(got, tuple) else got)
+            seen, linked = got if isinstance(got, tuple) else (None, got)
+            nodes += [] if seen is None else [seen.withColumn("rule", F.lit(rule))]
+            edges += [] if linked is None else [linked.withColumn("rule", F.lit(rule))]
         return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
-    def graph(self) -> Graph:
+    def graph(self, most_nodes: int | None = None, most_edges: int | None = None) -> Graph:
+        """The graph; observations are computed once, written to the shared folder, and counted on the way.
+
+        Beyond ``most_nodes`` and ``most_edges`` the ones seen last go, and ``truncated`` says so.
+        """
+        self.known["symbols"] = stored_table(self.symbols(), "symbols")
+        self.known["calls"] = stored_table(self.calls(), "calls")
+        self.known["handled"] = stored_table(self._handled(), "handled")
         observed_nodes, observed_edges = self.observations()
-        nodes, edges = merged_nodes(observed_nodes), merged_edges(observed_edges)
-        evidence = reduce(DataFrame.unionByName, self.seen).groupBy("id").agg(F.min_by(F.struct("kind", "path", "line", "producer"), "seq").alias("e")).select("id", "e.*")
-        node_refs = observed_nodes.select("id", "evidence").distinct()
+        counted = Observation("nodes"), Observation("edges")
+        observed_nodes = stored_table(observed_nodes.observe(counted[0], *[F.count_if(F.col("rule") == r).alias(r) for r in ("entities", "routes", "tests", "schema")], F.count_if(F.expr("rule = 'schema' and kind = 'table'")).alias("tables"), F.count_if(F.expr("rule = 'git' and kind = 'commit'")).alias("commits")), "observed-nodes")
+        observed_edges = stored_table(observed_edges.observe(counted[1], F.count_if(F.expr("rule = 'calls'")).alias("calls"), F.count_if(F.expr("rule = 'imports' and kind in ('imports', 're_exports')")).alias("inside"), F.count_if(F.expr("rule = 'imports' and kind = 'depends_on'")).alias("outside")), "observed-edges")
+        cited = observed_nodes.select("evidence", "seq").unionByName(observed_edges.select("evidence", "seq")).where("evidence is not null")
+        evidence = cited.groupBy(F.col("evidence.id").alias("id")).agg(F.min_by("evidence", "seq").alias("e")).select("e.*")
+        nodes, edges = merged_nodes(observed_nodes).where("kind is not null"), merged_edges(observed_edges)
+        nodes, more_nodes = first_seen(nodes, observed_nodes.groupBy("id").agg(F.min("seq").alias("first")), most_nodes)
+        node_refs = observed_nodes.where("evidence is not null").select("id", F.col("evidence.id").alias("evidence")).distinct().join(nodes.select("id"), "id", "left_semi")
         edges = guard(edges, nodes)
-        edge_refs = observed_edges.select(edge_id(F.col("src"), F.col("kind"), F.col("dst")).alias("id"), "evidence").distinct().join(edges.select("id"), "id", "left_semi")
-        return Graph(nodes, edges, evidence, node_refs, edge_refs)
+        ids = observed_edges.withColumn("id", edge_id(F.col("src"), F.col("kind"), F.col("dst")))
+        edges, more_edges = first_seen(edges, ids.groupBy("id").agg(F.min("seq").alias("first")), most_edges)
+        edge_refs = ids.select("id", F.col("evidence.id").alias("evidence")).distinct().join(edges.select("id"), "id", "left_semi")
+        return Graph(nodes, edges, evidence, node_refs, edge_refs, self._counters(counted[0].get, counted[1].get), more_nodes or more_edges)
+
+    def _counters(self, nodes: dict, edges: dict) -> dict[str, int]:
+        """What was read and resolved: facts counted in one pass each, observations as they were written."""
+        n = lambda name, *c: self.facts[name].agg(*(c or (F.count(F.lit(1)),))).first()
+        files = n("files", F.count_if("analyzable"))[0]
+        calls, imports = n("calls")[0], n("imports")[0]
+        return {
+            "files": files, "modules": files, "entities": nodes["entities"], "imports": imports, "resolvedInternalImports": edges["inside"], "externalDependencies": edges["outside"],
+            "resolvedCalls": edges["calls"], "unresolvedCalls": calls - edges["calls"], "apiEndpoints": nodes["routes"], "tables": nodes["tables"], "tests": nodes["tests"], "commits": nodes["commits"],
+            "contributors": n("commits", F.countDistinct(F.lower("author_email")))[0],
+        }
+
+
+def first_seen(rows: DataFrame, first: DataFrame, most: int | None) -> tuple[DataFrame, bool]:
+    """(the ``most`` rows whose ids were observed first, whether any were left out)."""
+    if most is None or rows.count() <= most:
+        return rows, False
+    kept = rows.select("id").join(first, "id").orderBy("first", "id").limit(most).select("id")
+    return rows.join(stored_table(kept, "kept"), "id", "left_semi"), True
 
 
 def is_test(path: Column) -> Column:
     """Whether a path is one of a test file."""
-    return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec|e2e)/|\.(test|spec)\.[a-z]+$|(^|/)test_[^/]*\.py$|_test\.(py|go)$")
-
-
-def capped(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
-    """(the first ``most`` ids, whether any were left out); rows have unique ids."""
-    kept = rows.orderBy("id").limit(most)
-    return kept, rows.count() > most
+    return path.rlike(r"(?i)(^|/)(test|tests|__tests__)/") | path.rlike(r"(?i)\.(test|spec)\.[a-z]+$")

@@ -119,28 +119,29 @@ def build_git(spark, sf):
     return _edges(_builder(spark, sf).git()[1])
 
 
-@register(f"""{_facts('entities', 'calls', 'returns', 'bindings')}, {_SYM}, {_CALLS}, once AS (SELECT scope, name, min(callee) AS callee FROM bindings GROUP BY ALL HAVING count(*) = 1),
-v AS (SELECT scope, name AS callee, 2 AS rank FROM returns WHERE kind = 'call' UNION ALL SELECT r.scope, once.callee, 1 FROM returns r JOIN once USING (scope, name) WHERE kind = 'identifier'),
-h AS (SELECT o.target AS owner, c.target, c.rank FROM {_called('v')} c JOIN sym o ON o.name = c.scope)
-SELECT target || '|returns|' || owner AS id, min(rank) AS rank FROM h WHERE owner <> target AND (owner, target) IN (SELECT (owner, target) FROM calls_in WHERE owner <> target) GROUP BY 1""")
+@register(f"""{_facts('entities', 'calls', 'returns', 'bindings')}, {_SYM}, c AS (SELECT DISTINCT path, scope, target FROM {_called('calls')} WHERE scope IS NOT NULL), once AS (SELECT path, scope, name, min(callee) AS callee FROM bindings GROUP BY path, scope, name HAVING count(*) = 1),
+d AS (SELECT r.path, r.scope, s.target FROM returns r JOIN sym s ON s.name = r.name), v AS (SELECT r.scope, once.callee FROM returns r JOIN once USING (path, scope, name) WHERE kind = 'identifier'),
+h AS (SELECT o.target AS owner, d.target, 2 AS rank FROM d JOIN sym o ON o.name = d.scope WHERE o.target <> d.target AND (d.path, d.scope, d.target) IN (SELECT (path, scope, target) FROM c) UNION ALL SELECT o.target, x.target, 1 FROM {_called('v')} x JOIN sym o ON o.name = x.scope)
+SELECT target || '|returns|' || owner AS id, min(rank) AS rank FROM h GROUP BY 1""")
 def build_returns(spark, sf):
     return _edges(_builder(spark, sf).returns())
 
 
-@register(f"""{_facts('entities', 'calls', 'throws')}, {_SYM}, {_CALLS} SELECT DISTINCT o.target || '|throws|' || c.owner AS id, 2 AS rank FROM throws t JOIN sym o ON o.name = t.scope JOIN calls_in c ON c.target = o.target AND c.owner <> c.target""")
-def build_throws(spark, sf):
-    return _edges(_builder(spark, sf).throws())
+_HANDLED = "SELECT DISTINCT 'api_endpoint:get-' || lower(route) AS endpoint, sym.target FROM routes JOIN sym ON sym.name = handler"
 
 
-_HANDLED = "SELECT DISTINCT 'api_endpoint:get-' || lower(route) AS endpoint, target FROM " + _called("routes", "handler")
+@register(f"""{_facts('entities', 'calls', 'throws', 'routes')}, {_SYM}, {_CALLS}, handled AS ({_HANDLED}), callers AS (SELECT owner AS caller, target FROM calls_in UNION SELECT endpoint, target FROM handled)
+SELECT DISTINCT o.target || '|throws|' || c.caller AS id, 2 AS rank FROM throws t JOIN sym o ON o.name = t.scope JOIN callers c ON c.target = o.target AND c.caller <> c.target""")
+def build_throws(spark, sf):
+    return _edges(_builder(spark, sf).throws())
 
 
-@register(f"""{_facts('entities', 'routes', 'responses')}, {_SYM}, handled AS ({_HANDLED}) SELECT DISTINCT h.target || '|returns|' || h.endpoint AS id, min(CASE WHEN status_only THEN 2 ELSE 3 END) AS rank
-FROM responses r JOIN entities e ON r.path = e.path AND r.line BETWEEN start_line AND end_line JOIN handled h ON h.target = e.kind || ':' || lower(e.qualified_name) GROUP BY 1""")
+@register(f"""{_facts('entities', 'routes', 'responses')}, {_SYM}, handled AS ({_HANDLED}) SELECT h.target || '|returns|' || h.endpoint AS id, min(CASE WHEN status_only THEN 2 ELSE 3 END) AS rank
+FROM responses r JOIN sym o ON o.name = r.scope JOIN handled h ON h.target = o.target GROUP BY 1""")
 def build_responses(spark, sf):
     return _edges(_builder(spark, sf).responses())
 
 
-@register(f"""{_facts('entities', 'calls', 'routes')}, {_SYM}, {_CALLS}, handled AS ({_HANDLED}) SELECT DISTINCT c.owner || '|tests|' || h.endpoint AS id, 2 AS rank FROM calls_in c JOIN handled h USING (target) WHERE c.path LIKE 'test/%'""")
+@register(f"""{_facts('entities', 'calls', 'routes')}, {_SYM}, {_CALLS}, handled AS ({_HANDLED}) SELECT DISTINCT c.owner || '|tests|' || h.endpoint AS id, 2 AS rank FROM calls_in c JOIN handled h USING (target) WHERE c.owner LIKE 'module:test/%'""")
 def build_test_links(spark, sf):
     return _edges(_builder(spark, sf).tested())

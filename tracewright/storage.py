@@ -1,6 +1,7 @@
 """The shared folder, and cutting the lineage of iterated plans in it."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,10 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back: computed once, whoever reads it."""
+    path = f"{shared_dir(df.sparkSession)}/tracewright/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
