@@ -50,6 +50,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,8 +63,10 @@ SIMILAR = 0.8
 EPS = 1e-9
 BANDS, ROWS = 26, 6
 PIVOT_ROUNDS = 1
-#: Texts hashed at a time: the registers of so many are held at once.
-CHUNK = 512
+#: Texts hashed at a time: the registers of so many, and the shingles of so many bytes (of a longer text alone), are held at once.
+CHUNK, CHUNK_BYTES = 512, 1 << 21
+#: Rows up to which the texts with a shared hash are broadcast (16 bytes each).
+BROADCAST = 100_000
 #: 64-bit words of a parity sketch.
 SKETCH = 16
 _BITS = [f"s{k}" for k in range(SKETCH)]
@@ -148,14 +151,24 @@ def similarities(left: list[bytes], right: list[bytes]) -> list[tuple[float, flo
     return out
 
 
+def _slices(batch: pa.RecordBatch, *texts: str):
+    """The batch in slices of at most ``CHUNK`` rows and ``CHUNK_BYTES`` of texts, or one row."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in texts))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = int(np.clip(np.searchsorted(ends, before + CHUNK_BYTES, side="right") - at, 1, CHUNK))
+        yield batch.slice(at, n)
+        at += n
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def _band_rows(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
+        for part in _slices(batch, "text"):
             kept, text = signatures(_bytes(part.column("text")))
             keys = band_keys(kept)
             node = np.repeat(part.column("node").to_numpy()[text], keys.shape[1])
@@ -164,8 +177,7 @@ def _band_rows(batches):
 
 def _verified(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
+        for part in _slices(batch, "a_text", "b_text"):
             got = similarities(_bytes(part.column("a_text")), _bytes(part.column("b_text")))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([max(g) for g in got], pa.float64())], ["a", "b", "similar"])
 
@@ -185,8 +197,7 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _text_rows(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
+        for part in _slices(batch, "text"):
             size, total, bits = sketches(_bytes(part.column("text")))
             columns = [part.column("node"), part.column("text"), pa.array(size), pa.array(total), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "text", "size", "total", *_BITS])
@@ -293,8 +304,7 @@ def _by_pivots(members: DataFrame, comps: DataFrame, done: DataFrame, texts: Dat
 
 def _shingle_rows(batches):
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
+        for part in _slices(batch, "text"):
             value, owner, weight = counted(*shingles(*word_hashes(_bytes(part.column("text"))), WIDTH))
             size, total = np.bincount(owner, minlength=part.num_rows)[owner], np.bincount(owner, weight, part.num_rows)[owner]
             node = part.column("node").to_numpy()[owner]
@@ -351,12 +361,13 @@ def with_nodes(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` and a column ``name``: a 64-bit number of the text, which unlike texts don't share.
 
     Texts whose hashes are equal but whose second hashes differ are numbered by the
-    second. Of n texts about n^2 / 2^65 are: 70 of 5 * 10^10, so they are broadcast.
+    second. Of n texts about n^2 / 2^65 are: 70 of 5 * 10^10, so they are broadcast
+    (up to ``BROADCAST`` of them, counted; more are joined).
     """
     text = F.coalesce(docs["text"], F.lit(""))
     hashed = docs.select(F.xxhash64(text).alias("node"), F.xxhash64(F.lit(7), text).alias("second"))
-    shared = stored(hashed.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select(F.struct("node").alias(_T)), "shared", 1)
-    named = docs.withColumn(name, F.xxhash64(text)).join(F.broadcast(shared), F.col(name) == F.col(f"{_T}.node"), "left")
+    shared = stored(hashed.groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high")).where("low <> high").select(F.struct("node").alias(_T)), "shared")
+    named = docs.withColumn(name, F.xxhash64(text)).join(F.broadcast(shared) if shared.count() <= BROADCAST else shared, F.col(name) == F.col(f"{_T}.node"), "left")
     return named.withColumn(name, F.when(F.col(_T).isNull(), F.col(name)).otherwise(F.xxhash64(F.lit(7), text))).drop(_T)
 
 
