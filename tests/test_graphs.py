@@ -118,7 +118,7 @@ def test_drift_of_a_moved_module_and_a_lost_edge(graph):
     assert [(r["id"], r["previous_id"], r["claim"]) for r in rows if r["category"] == "NODE_RENAMED"] == [("module:docs/new", "module:docs/req", "STRONGLY_INFERRED")]
     assert not [r for r in rows if r["category"] in ("NODE_ADDED", "NODE_REMOVED")]
     gone = [r for r in rows if r["category"] == "EDGE_REMOVED"]
-    assert len(gone) == 2 and all(r["indeterminate"] and r["claim"] == "UNKNOWN" for r in gone)
+    assert len(gone) == 2 and all(r["indeterminate"] and r["claim"] == "INDETERMINATE" for r in gone)
 
 
 def test_graphs_come_back_from_the_store(spark, graph, tmp_path):

@@ -79,7 +79,7 @@ def compare(base, target, truncated: bool = False, rename_kind: str = "module")
     and language whose digest is unique among what went and among what came. An edge
     whose confidence changes is modified and has its confidence changed; a node only
     the latter. What is missing from a truncated target may be there: its claim is
-    UNKNOWN and it is marked indeterminate.
+    INDETERMINATE and it is marked so.
     """
     node_label = F.coalesce("qualified_name", "name")
     edge_label = F.concat(F.col("kind"), F.lit(" "), F.col("src"), F.lit(" → "), F.col("dst"))
@@ -89,7 +89,7 @@ def compare(base, target, truncated: bool = False, rename_kind: str = "module")
     edges = _paired(a_edges, b_edges, EDGE_FIELDS, "edge")
     went, came = nodes.where("b is null"), nodes.where("a is null")
     pairs = _renamed(went.select("id", "a.*"), came.select("id", "b.*"))
-    gone = F.lit("UNKNOWN" if truncated else "EXPLICIT")
+    gone = F.lit("INDETERMINATE" if truncated else "EXPLICIT")
     none = F.lit(None).cast("string")
 
     def changes(rows, category, label, fields=None, claim=None, previous=none, unsure=False):

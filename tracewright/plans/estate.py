@@ -27,9 +27,12 @@ UNION ALL SELECT 'column:p' || p_partkey || '.size', 'column', 'size', NULL, NUL
 UNION ALL SELECT 'test:t' || o_orderkey, 'test', 'checks TOKEN_' || (o_orderkey % 7) || ' of ' || o_orderkey, NULL, 'test/a.ts', 3, 1, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 300 = 0
 UNION ALL SELECT 'api_endpoint:o' || o_orderkey, 'api_endpoint', 'GET /o/' || o_orderkey, NULL, 'src/n' || (o_orderkey % 25) || '.ts', 3, 1, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 50 = 1
 UNION ALL SELECT 'secret:TOKEN_' || r_regionkey, 'secret', 'TOKEN_' || r_regionkey, NULL, NULL, 3, 1, NULL, NULL, NULL, NULL FROM region
-UNION ALL SELECT 'condition:' || conv_id || '-' || turn || '-' || role, 'condition', role, NULL, NULL, 3, turn, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)"""
-#: src, kind, dst, rank, scope, col
-EDGES = """SELECT 'module:src/n' || s_nationkey AS src, 'deploys' AS kind, 'deployment_component:s' || s_suppkey AS dst, 2 AS rank, NULL AS scope, NULL AS col FROM supplier
+UNION ALL SELECT 'condition:' || conv_id || '-' || turn || '-' || role, 'condition', role, NULL, NULL, 3, turn, NULL, NULL, NULL, NULL FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)
+UNION ALL SELECT 'function:guard' || r_regionkey, 'function', 'guard' || r_regionkey, NULL, NULL, 3, 1, NULL, NULL, NULL, NULL FROM region
+UNION ALL SELECT 'requirement:q' || s_suppkey, 'requirement', 'Q-' || s_suppkey, NULL, 'docs/needs.md', 3, s_suppkey, NULL, NULL, NULL, NULL FROM supplier
+UNION ALL SELECT 'actor:a' || n_nationkey, 'actor', 'A' || n_nationkey, NULL, 'src/n' || n_nationkey || '.ts', 3, 1, NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey % 3 = 0"""
+#: src, kind, dst, rank, scope, col, callee
+EDGES = """SELECT *, NULL AS callee FROM (SELECT 'module:src/n' || s_nationkey AS src, 'deploys' AS kind, 'deployment_component:s' || s_suppkey AS dst, 2 AS rank, NULL AS scope, NULL AS col FROM supplier
 UNION ALL SELECT 'module:deploy/compose', 'deploys', 'deployment_component:s' || s_suppkey, 3, NULL, NULL FROM supplier
 UNION ALL SELECT DISTINCT 'module:src/n' || (o_custkey % 25), CASE WHEN o_orderstatus = 'F' THEN 'imports' ELSE 'calls' END, 'module:src/n' || (o_orderkey % 31), CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 1 END, NULL, NULL FROM orders WHERE o_orderkey % 9 = 0
 UNION ALL SELECT 'module:src/n' || n_nationkey, 'depends_on', 'package:' || n_regionkey, 3, NULL, NULL FROM nation WHERE n_nationkey % 6 <> 5
@@ -43,7 +46,12 @@ UNION ALL SELECT 'api_endpoint:o' || o_orderkey, 'calls', 'function:c' || CAST(f
 UNION ALL SELECT DISTINCT 'function:c' || CAST(floor(o_custkey / 3) * 3 AS INT) || '.m' || o_custkey, 'calls', 'function:c' || CAST(floor((o_orderkey % 150) / 3) * 3 AS INT) || '.m' || (o_orderkey % 150), 2, NULL, NULL FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey % 3 > 0
 UNION ALL SELECT DISTINCT 'function:c' || CAST(floor(o_custkey / 3) * 3 AS INT) || '.m' || o_custkey, CASE WHEN l_linestatus = 'F' THEN 'writes' ELSE 'reads' END, 'table:p' || l_partkey, 3, NULL, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 3 > 0 AND l_linenumber = 1
 UNION ALL SELECT DISTINCT 'test:t' || o_orderkey, 'tests', 'api_endpoint:o' || (o_orderkey + 1), 2, NULL, NULL FROM orders WHERE o_orderkey % 300 = 0
-UNION ALL SELECT DISTINCT 'function:c' || CAST(floor(conv_id / 3) * 3 AS INT) || '.m' || conv_id, CASE WHEN role = 'user' THEN 'branches' ELSE 'loops' END, 'condition:' || conv_id || '-' || turn || '-' || role, 3, NULL, NULL FROM conversations WHERE conv_id % 3 > 0"""
+UNION ALL SELECT DISTINCT 'function:c' || CAST(floor(conv_id / 3) * 3 AS INT) || '.m' || conv_id, CASE WHEN role = 'user' THEN 'branches' ELSE 'loops' END, 'condition:' || conv_id || '-' || turn || '-' || role, 3, NULL, NULL FROM conversations WHERE conv_id % 3 > 0) e
+UNION ALL SELECT 'function:c' || CAST(floor(c_custkey / 3) * 3 AS INT) || '.m' || c_custkey, 'calls', 'function:guard' || (c_custkey % 5), 2, NULL, NULL,
+ CASE c_custkey % 5 WHEN 0 THEN 'validateOrder' WHEN 1 THEN 'invalidate' WHEN 2 THEN 'parse' WHEN 3 THEN 'hasPermissionTo' ELSE 'checkStock' END FROM customer WHERE c_custkey % 3 > 0 AND c_custkey % 8 = 1
+UNION ALL SELECT 'requirement:q' || s_suppkey, 'implements_requirement', 'function:c' || CAST(floor(s_suppkey / 3) * 3 AS INT) || '.m' || s_suppkey, 3, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 3 > 0
+UNION ALL SELECT 'deployment_component:s' || s_suppkey, 'authenticates', 'module:src/n' || s_nationkey, 3, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 7 = 0
+UNION ALL SELECT 'function:c' || CAST(floor((o_orderkey % 150) / 3) * 3 AS INT) || '.m' || (o_orderkey % 150), CASE WHEN o_orderkey % 4 = 1 THEN 'returns' ELSE 'throws' END, 'function:c' || CAST(floor(o_custkey / 3) * 3 AS INT) || '.m' || (o_custkey + CASE WHEN o_orderkey % 8 = 1 THEN 3 ELSE 0 END), 2, NULL, NULL, NULL FROM (SELECT min(o_orderkey) AS o_orderkey, o_custkey FROM orders WHERE o_custkey % 3 > 0 AND o_orderkey % 3 > 0 GROUP BY o_custkey) x"""
 #: The same as tables ``nodes`` and ``edges`` of a SQL statement.
 WITH = f"nodes AS ({NODES}), edges0 AS ({EDGES}), edges AS (SELECT src || '|' || kind || '|' || dst AS id, * FROM edges0)"
 
@@ -68,7 +76,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, EDGES)
     none = F.lit(None).cast("string")
-    return rows.select(F.concat_ws("|", "src", "kind", "dst").alias("id"), "src", "kind", "dst", "rank", none.alias("label"), _map(scope="scope", column="col").alias("attributes"))
+    return rows.select(F.concat_ws("|", "src", "kind", "dst").alias("id"), "src", "kind", "dst", "rank", none.alias("label"), _map(scope="scope", column="col", callee="callee").alias("attributes"))
 
 
 _WRITTEN: dict[tuple[str, str], str] = {}

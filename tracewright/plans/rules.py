@@ -9,12 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.identity import slug
 from tracewright.operators import traverse
-from tracewright.plans.views import attribute, runs
+from tracewright.plans import deploy, views
+from tracewright.plans.views import View, attribute, runs
 
 # Names of calls that validate and that authorise.
-VALIDATION = r"(?i)(validate|validator|safeParse|assertValid|checkSchema)|\.parse$"
-AUTHORIZATION = r"(?i)(authori[sz]e|requireAuth|isAuthenticated|checkPermission|requireRole)"
+VALIDATION = r"^(?i:validat)|^(?i:parse|safeParse|schema)$|^check[A-Z]|^assert[A-Z]"
+AUTHORIZATION = r"^(?i:authenticate|authorize|isAuthenticated)$|^(?i:requireAuth|hasPermission)"
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -24,31 +26,72 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 # -- requirements
 
 
+def guards(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(endpoint, edge, src, authorises, rank): calls in an endpoint's file whose callee is named as one that validates or authorises."""
+    callee = F.coalesce(attribute("callee"), F.lit(""))
+    calls = edges.where("kind = 'calls'").where(callee.rlike(VALIDATION) | callee.rlike(AUTHORIZATION)).select(F.col("id").alias("edge"), "src", "rank", callee.rlike(AUTHORIZATION).alias("authorises"))
+    calls = calls.join(nodes.where("path is not null").select(F.col("id").alias("src"), "path"), "src")
+    return nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("endpoint"), "path").join(calls, "path").drop("path")
+
+
 def requirements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, category, status): declared ones, an interface per endpoint, guards, persistence, operation."""
-    row = lambda df, id_, category, status: df.select(id_.alias("id"), F.lit(category).alias("category") if isinstance(category, str) else category.alias("category"), status.alias("status"))
-    done = edges.where("kind = 'implements_requirement'").select(F.col("src").alias("id")).distinct().withColumn("met", F.lit(True))
+    """(id, category, origin, status, rank): declared ones, an interface per endpoint, guards, persistence, what is deployed.
+
+    The id of a persistence requirement ends with the names of the tables that it covers.
+    """
+
+    def row(df, id_, category, origin, status, rank="rank"):
+        category = F.lit(category) if isinstance(category, str) else category
+        return df.select(id_.alias("id"), category.alias("category"), F.lit(origin).alias("origin"), status.alias("status"), F.col(rank).cast("int").alias("rank") if isinstance(rank, str) else rank.cast("int").alias("rank"))
+
+    seen = lambda when: F.when(when, "OBSERVED").otherwise("PARTIAL")
+    done = edges.where("kind = 'implements_requirement'").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct().withColumn("met", F.lit(True))
     declared = nodes.where("kind = 'requirement'").join(done, "id", "left")
     endpoints = nodes.where("kind = 'api_endpoint'")
-    calls = edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("src"), "path"), "src").withColumn("callee", F.coalesce(attribute("callee"), F.substring_index("dst", ":", -1)))
-    guards = calls.where(F.col("callee").rlike(VALIDATION) | F.col("callee").rlike(AUTHORIZATION))
-    guarded = guards.groupBy("path").agg(F.max(F.col("callee").rlike(AUTHORIZATION)).alias("authorises"))
-    kept = endpoints.join(guarded, "path")
-    touched = edges.where(F.col("kind").isin("reads", "writes")).join(nodes.where("kind = 'table'").select(F.col("id").alias("dst")), "dst", "left_semi")
-    stored = touched.groupBy("kind").agg(F.min("rank").alias("weakest"))
-    operated = nodes.where("kind = 'deployment_component'").select(F.lit(1).alias("one")).distinct()
-    seen = lambda when: F.when(when, "OBSERVED").otherwise("PARTIAL")
+    kept = guards(nodes, edges).groupBy("endpoint").agg(F.max("authorises").alias("authorises"), F.when(F.min("rank") == 3, 3).otherwise(2).alias("rank"))
+    category = F.when(F.col("authorises"), "operational_behaviour").otherwise("validation")
+    touched = edges.where(F.col("kind").isin("reads", "writes")).groupBy("kind").agg(F.min("rank").alias("weakest"))
+    named = edges.where(F.col("kind").isin("reads", "writes")).select("kind", F.col("dst").alias("id")).distinct().join(nodes.where("kind = 'table'").select("id", "name"), "id")
+    named = named.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_set("name")), "+").alias("tables")).join(touched, "kind")
+    units = nodes.where("kind = 'deployment_component'").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("weakest")).where("n > 0")
     return _union(
         [
-            row(declared, F.concat(F.lit("declared:declared:"), "id"), "declared", seen(F.col("met").isNotNull())),
-            row(endpoints, F.concat(F.lit("derived:interface:"), "id"), "interface", seen(attribute("handler").isNotNull())),
-            row(kept, F.concat(F.lit("derived:guard:"), "id"), F.when(F.col("authorises"), "operational_behaviour").otherwise("validation"), F.lit("OBSERVED")),
-            row(stored, F.concat(F.lit("derived:persistence:"), "kind"), "persistence", seen(F.col("weakest") == 3)),
-            row(operated, F.lit("derived:operational:components"), "operational_behaviour", F.lit("OBSERVED")),
+            row(declared, F.concat(F.lit("declared:declared:"), "id"), "declared", "declared", seen(F.col("met").isNotNull())),
+            row(endpoints, F.concat(F.lit("derived:interface_behaviour:"), "id"), "interface_behaviour", "derived", seen(F.coalesce(attribute("handler"), F.lit("")) != "")),
+            row(kept, F.concat(F.lit("derived:"), category, F.lit(":"), "endpoint"), category, "derived", F.lit("OBSERVED")),
+            row(named, F.concat_ws(":", F.lit("derived:persistence"), "kind", "tables"), "persistence", "derived", seen(F.col("weakest") == 3), F.when(F.col("weakest") == 3, 3).otherwise(1)),
+            row(units, F.lit("derived:operational_behaviour:declared_containers"), "operational_behaviour", "derived", F.lit("OBSERVED"), F.when(F.col("weakest") == 3, 3).otherwise(1)),
         ]
     )
 
 
+def supports(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(requirement, node): what each requirement rests on, a row each; for persistence the ends of every access."""
+    known = nodes.select("id")
+    declared = edges.where("kind = 'implements_requirement'").join(nodes.where("kind = 'requirement'").select(F.col("id").alias("src")), "src", "left_semi")
+    endpoints = nodes.where("kind = 'api_endpoint'")
+    interface = F.concat(F.lit("derived:interface_behaviour:"), "id")
+    serving = F.concat(F.lit("module:"), slug(F.regexp_replace("path", r"\.[^.]+$", "")))
+    guarded = guards(nodes, edges)
+    kind = guarded.groupBy("endpoint").agg(F.max("authorises").alias("any"))
+    guard = guarded.join(kind, "endpoint").withColumn("requirement", F.concat(F.lit("derived:"), F.when(F.col("any"), "operational_behaviour").otherwise("validation"), F.lit(":"), "endpoint"))
+    accesses = edges.where(F.col("kind").isin("reads", "writes"))
+    stored = requirements(nodes, edges).where("category = 'persistence'").select(F.col("id").alias("requirement"), F.split_part("id", F.lit(":"), F.lit(3)).alias("kind"))
+    ends = _union([accesses.select("kind", F.col(e).alias("node")) for e in ("src", "dst")]).distinct()
+    rows = _union(
+        [
+            declared.select(F.concat(F.lit("declared:declared:"), "src").alias("requirement"), F.col("dst").alias("node")),
+            endpoints.select(interface.alias("requirement"), F.col("id").alias("node")),
+            endpoints.where("path is not null").select(interface.alias("requirement"), serving.alias("node")),
+            guard.select("requirement", F.col("endpoint").alias("node")),
+            guard.select("requirement", F.col("src").alias("node")),
+            stored.join(ends, "kind").select("requirement", "node"),
+            nodes.where("kind = 'deployment_component'").select(F.lit("derived:operational_behaviour:declared_containers").alias("requirement"), F.col("id").alias("node")),
+        ]
+    )
+    return rows.distinct().join(known.withColumnRenamed("id", "node"), "node", "left_semi").select("requirement", "node")
+
+
 def persistence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(operation, n_tables, all_explicit) over all tables."""
     touched = edges.where(F.col("kind").isin("reads", "writes")).join(nodes.where("kind = 'table'").select(F.col("id").alias("dst")), "dst", "left_semi")
@@ -58,36 +101,73 @@ def persistence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # -- use cases
 
 
-def use_cases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, n_steps, n_cut, actor, status, reached_data): what each entry point starts.
+def entry_points(nodes: DataFrame) -> DataFrame:
+    """(entry, entry_kind, path, rank): endpoints, handlers of events, scripts."""
+    marker = F.coalesce(attribute("marker"), F.lit(""))
+    kind = F.when(F.col("kind") == "api_endpoint", "api_endpoint").when((F.col("kind") == "configuration") & marker.startswith("async."), "event_consumer").when((F.col("kind") == "configuration") & (marker == "manifest.script"), "cli_command")
+    return nodes.withColumn("entry_kind", kind).where("entry_kind is not null").select(F.col("id").alias("entry"), "entry_kind", "path", "rank")
+
+
+def actors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(actor, path): declared ones, and what authenticates or authorises without being code."""
+    subjects = edges.where(F.col("kind").isin("authenticates", "authorizes")).select(F.col("src").alias("id")).distinct()
+    outside = nodes.where(~F.col("kind").isin("actor", "module", "class", "function")).join(subjects, "id", "left_semi")
+    return nodes.where("kind = 'actor'").unionByName(outside).select(F.col("id").alias("actor"), "path").distinct()
+
+
+def walked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, cuts) of all entry points, along calls between known nodes; steps are stored, as several rules read them."""
+    calls = edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
+    steps, cuts = traverse.steps(calls, entry_points(nodes).select("entry"))
+    return traverse.cut(steps), traverse.cut(cuts)
 
-    The actor is the one in the same file, else the only one. Status is UNKNOWN without
-    steps, PARTIAL with more than one thing missing, else OBSERVED; data that is read or
-    written by any step counts in ``reached_data``, and not against the status.
+
+def use_cases(nodes: DataFrame, edges: DataFrame, walk: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(id, entry, entry_kind, n_steps, n_cut, actor, n_missing, status, reached_data): what each entry point starts.
+
+    The actor is the one in the same file (the smallest id), else the only one. Missing can be the
+    actor, steps (none, or some cut), and persistence. Status is UNKNOWN without steps, PARTIAL with
+    more than one thing missing, else OBSERVED; data that is read or written by any step counts in
+    ``reached_data``, and not against the status.
     """
-    entries = nodes.where((F.col("kind") == "api_endpoint") | ((F.col("kind") == "configuration") & (attribute("marker").startswith("async.") | (attribute("marker") == "manifest.script"))))
-    known = nodes.select(F.col("id").alias("dst"))
-    calls = edges.where("kind = 'calls'").join(known, "dst", "left_semi")
-    steps, cuts = traverse.steps(calls, entries.select(F.col("id").alias("entry")))
+    entries = entry_points(nodes)
+    steps, cuts = walk or walked(nodes, edges)
     counted = steps.groupBy("entry").agg(F.count(F.lit(1)).alias("n_steps"))
     data = edges.where(F.col("kind").isin("reads", "writes")).select(F.col("src").alias("node"), "dst")
-    touched = steps.select("entry", F.col("dst").alias("node")).unionByName(entries.select(F.col("id").alias("entry"), F.col("id").alias("node"))).distinct()
+    touched = steps.select("entry", F.col("dst").alias("node")).unionByName(entries.select("entry", F.col("entry").alias("node"))).distinct()
     reached = touched.join(data, "node").groupBy("entry").agg(F.countDistinct("dst").alias("reached_data"))
-    actors = nodes.where("kind = 'actor'").select(F.col("id").alias("actor"), "path")
-    local = actors.where("path is not null").groupBy("path").agg(F.min("actor").alias("local"))
-    only = actors.agg(F.count(F.lit(1)).alias("n"), F.min("actor").alias("only")).first()
+    known = actors(nodes, edges)
+    local = known.where("path is not null").groupBy("path").agg(F.min("actor").alias("local"))
+    only = known.agg(F.count(F.lit(1)).alias("n"), F.min("actor").alias("only")).first()
     alone = F.lit(only["only"] if only["n"] == 1 else None).cast("string")
-    rows = entries.select("id", "path").join(counted.withColumnRenamed("entry", "id"), "id", "left").join(cuts.withColumnRenamed("entry", "id"), "id", "left")
-    rows = rows.join(reached.withColumnRenamed("entry", "id"), "id", "left").join(local, "path", "left").withColumn("actor", F.coalesce("local", alone))
-    n = F.coalesce("n_steps", F.lit(0))
+    rows = entries.join(counted, "entry", "left").join(cuts, "entry", "left").join(reached, "entry", "left").join(local, "path", "left").withColumn("actor", F.coalesce("local", alone))
+    n, n_cut = F.coalesce("n_steps", F.lit(0)), F.coalesce("n_cut", F.lit(0))
     # no step is a data access, so persistence is always one of the things missing
-    missing = F.lit(1) + F.col("actor").isNull().cast("int")
+    missing = F.lit(1) + F.col("actor").isNull().cast("int") + ((n == 0) | (n_cut > 0)).cast("int")
     status = F.when(n == 0, "UNKNOWN").when(missing > 1, "PARTIAL").otherwise("OBSERVED")
-    return rows.select("id", n.alias("n_steps"), F.coalesce("n_cut", F.lit(0)).alias("n_cut"), "actor", status.alias("status"), F.coalesce("reached_data", F.lit(0)).alias("reached_data"))
+    id_ = F.concat_ws(":", F.lit("use_case"), "entry_kind", "entry")
+    return rows.select(id_.alias("id"), "entry", "entry_kind", n.alias("n_steps"), n_cut.alias("n_cut"), "actor", missing.alias("n_missing"), status.alias("status"), F.coalesce("reached_data", F.lit(0)).alias("reached_data"))
+
+
+def preconditions(nodes: DataFrame, edges: DataFrame, steps: DataFrame, most: int = 10) -> DataFrame:
+    """(entry, conditions): the first ``most`` conditions, sorted, that the steps of an entry branch or loop on."""
+    held = edges.where(F.col("kind").isin("branches", "loops")).select(F.col("src").alias("node"), F.col("dst").alias("condition"), "kind")
+    texts = nodes.select(F.col("id").alias("condition"), F.coalesce(attribute("condition"), F.lit("a condition")).alias("text"))
+    names = nodes.select(F.col("id").alias("node"), F.coalesce("qualified_name", "name").alias("who"))
+    said = F.concat_ws(" ", "who", F.when(F.col("kind") == "loops", "loops while").otherwise("branches on"), "text")
+    rows = steps.select("entry", F.col("dst").alias("node")).distinct().join(held, "node").join(texts, "condition").join(names, "node").select("entry", said.alias("said")).distinct()
+    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("entry").orderBy("said"))).where(F.col("k") <= most)
+    return first.groupBy("entry").agg(F.array_sort(F.collect_list("said")).alias("conditions"))
+
+
+def supported(nodes: DataFrame, edges: DataFrame, steps: DataFrame) -> DataFrame:
+    """(entry, requirement): requirements that rest on an entry point or on a node that it reaches."""
+    met = steps.select("entry", F.col("dst").alias("node")).unionByName(entry_points(nodes).select("entry", F.col("entry").alias("node"))).distinct()
+    return met.join(supports(nodes, edges), "node").select("entry", "requirement").distinct()
 
 
 # Statuses, so that none is left out where it has no rows.
-STATUSES = {"use_case": ("OBSERVED", "PARTIAL", "UNKNOWN"), "requirement": ("OBSERVED", "PARTIAL", "NOT_FOUND", "UNKNOWN"), "gap": ("EXPLICIT", "PARTIALLY_EVIDENCED", "NOT_FOUND", "UNKNOWN")}
+STATUSES = {"use_case": ("OBSERVED", "PARTIAL", "UNKNOWN"), "requirement": ("OBSERVED", "DERIVED", "PARTIAL", "UNKNOWN", "UNSUPPORTED"), "gap": ("EXPLICIT", "PARTIALLY_EVIDENCED", "INFERRED", "NOT_FOUND"), "consistency": ("CONTRADICTION", "MISSING_EVIDENCE", "PARTIAL_EVIDENCE", "UNSUPPORTED_INFERENCE", "CONSISTENT")}
 
 
 def status_counts(rows: DataFrame, of: str) -> DataFrame:
@@ -100,8 +180,9 @@ def status_counts(rows: DataFrame, of: str) -> DataFrame:
 
 def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, status): ten questions, each answered from counts of one pass over nodes and one over edges."""
-    kinds = ("deployment_component", "api_endpoint", "table", "service", "actor", "test", "contributor", "commit", "requirement", "use_case")
+    kinds = ("deployment_component", "api_endpoint", "table", "service", "actor", "test", "contributor", "commit", "requirement")
     n = nodes.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds], F.count_if(F.col("kind") != "repository").alias("others"))
+    n = n.withColumn("models", F.col("requirement") + F.col("deployment_component") + F.lit(entry_points(nodes).limit(1).count()) + F.lit(edges.where(F.col("kind").isin("reads", "writes")).limit(1).count()))
     links = ("deploys", "reads", "writes", "authenticates", "tests", "documents", "authored_by", "implements_requirement")
     e = edges.agg(*[F.count_if(F.col("kind") == k).alias(f"{k}_edges") for k in links])
     used, declared = dependencies(nodes, edges)
@@ -120,13 +201,18 @@ def gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "test-coverage": F.when(c("test") == 0, none).when(c("tests_edges") > 0, found).otherwise(partly),
         "documentation-links": F.when(c("documents_edges") > 0, found).otherwise(none),
         "ownership": F.when((c("contributor") == 0) | (c("commit") == 0), none).when(c("authored_by_edges") > 0, found).otherwise(partly),
-        "requirements": F.when(c("requirement") + c("use_case") == 0, none).when(c("implements_requirement_edges") > 0, found).otherwise(partly),
+        "requirements": F.when(c("models") == 0, none).when(c("implements_requirement_edges") > 0, found).otherwise(partly),
         "dependency-hygiene": F.when(c("unused") + c("undeclared") == 0, found).otherwise(partly),
         "analysis-completeness": F.when(c("others") > 0, found).otherwise(none),
     }
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("id"), v.alias("status")) for k, v in rules.items()])).alias("g")).select("g.*")
 
 
+def not_found_share(gap_rows: DataFrame) -> DataFrame:
+    """(share): the part of the questions that nothing was found for; 0 without questions."""
+    return gap_rows.agg(F.coalesce(F.try_divide(F.count_if(F.col("status") == "NOT_FOUND"), F.count(F.lit(1))), F.lit(0.0)).cast("double").alias("share"))
+
+
 def dependencies(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(packages that code imports, packages that a manifest declares): id."""
     rows = edges.where("kind = 'depends_on' and dst like 'package:%'")
@@ -137,45 +223,59 @@ def dependencies(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFra
 # -- consistency
 
 
-def consistency(nodes: DataFrame, edges: DataFrame, requirement_rows: DataFrame | None = None) -> DataFrame:
-    """(id, rule, class, severity) of all findings, a union of anti joins."""
+def projection_integrity(kind: str, view: View, nodes: DataFrame) -> DataFrame:
+    """(id, rule, class, severity) of what a view draws without the graph having it."""
+    known = nodes.select("id")
+    loose = _union([view.edges.join(known.withColumnRenamed("id", end), end, "left_anti").select("id") for end in ("src", "dst")]).unionByName(view.nodes.select("id").join(known, "id", "left_anti"))
+    return loose.distinct().select(F.concat(F.lit(f"projection-integrity:{kind}:"), "id").alias("id"), F.lit("projection-integrity").alias("rule"), F.lit("UNSUPPORTED_INFERENCE").alias("class"), F.lit("warning").alias("severity"))
+
+
+def consistency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, rule, class, severity) of all findings, a union of anti joins; views of data and behaviour are held against the graph too."""
 
-    def finding(df, rule, id_, class_, severity):
+    def finding(df, name, rule, id_, class_, severity):
         class_ = F.lit(class_) if isinstance(class_, str) else class_
-        return df.select(F.concat(F.lit(f"{rule}:"), id_).alias("id"), F.lit(rule).alias("rule"), class_.alias("class"), F.lit(severity).alias("severity"))
-
-    where = traverse.attribution(edges, nodes)
-    units = runs(nodes)
-    calls = edges.where("kind = 'calls'")
-    touched = edges.where(F.col("kind").isin("reads", "writes")).select(F.col("dst").alias("id")).distinct()
-    entries = nodes.where("kind = 'api_endpoint'")
-    tested = edges.where("kind = 'tests'").select(F.col("dst").alias("id")).distinct()
-    called = calls.select(F.col("src").alias("id")).distinct()
+        return df.select(F.concat(F.lit(f"{name}:"), id_).alias("id"), F.lit(rule).alias("rule"), class_.alias("class"), F.lit(severity).alias("severity"))
+
+    where, units, known = traverse.attribution(edges, nodes), runs(nodes), nodes.select("id")
+    calls, entries = edges.where("kind = 'calls'"), entry_points(nodes)
+    case = F.concat_ws(":", F.lit("use_case"), "entry_kind", "entry")
+    touched = edges.where(F.col("kind").isin("reads", "writes"))
+    stores = touched.select(F.col("dst").alias("id")).distinct()
+    tested = edges.where("kind = 'tests'").select(F.col("dst").alias("entry")).distinct()
+    called = calls.join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("entry")).distinct()
     some = F.lit(not calls.isEmpty())
-    met = edges.where("kind = 'implements_requirement'").select(F.col("src").alias("id")).distinct()
+    needs = requirements(nodes, edges).select("id", "origin", "status")
+    claimed = edges.where("kind = 'implements_requirement'").join(nodes.where("kind = 'requirement'").select(F.col("id").alias("src")), "src", "left_semi")
+    lost = claimed.join(known.withColumnRenamed("id", "dst"), "dst", "left_anti").select(F.concat(F.lit("declared:declared:"), "src").alias("id")).distinct()
     http = attribute("httpResponse").eqNullSafe("true")
-    returned = edges.where("kind = 'returns'").where(~http)
+    handed = edges.where(F.col("kind").isin("returns", "throws")).where(~((F.col("kind") == "returns") & http))
     pairs = calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
     responses = edges.where("kind = 'returns'").where(http)
-    exposed = edges.where("kind = 'calls'").select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    endpoints = nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("dst"))
     ctes = nodes.where(attribute("queryExpression") == "true").select(F.col("id").alias("dst"))
-    outside = entries.join(edges.where("kind = 'exposes'").select(F.col("dst").alias("id"), F.col("src").alias("module")).join(where, "module").select("id").distinct(), "id", "left_anti")
+    inside = edges.where("kind = 'exposes'").select(F.col("dst").alias("entry"), F.col("src").alias("module")).join(where, "module").select("entry").distinct()
     any_unit = F.lit(not units.isEmpty())
     unclassified = nodes.where(attribute("unclassifiedStatement") == "true").select(F.lit("unclassified-statements").alias("what")).distinct()
-    behaviour, data = calls.select(F.lit("behaviour-traced").alias("what")).distinct(), touched.select(F.lit("data-traced").alias("what")).distinct()
+    behaviour = called.join(entries, "entry", "left_semi").select(F.lit("behaviour-traced").alias("what")).distinct()
+    data = touched.join(nodes.where("kind = 'table'").select(F.col("id").alias("dst")), "dst", "left_semi").select(F.lit("data-traced").alias("what")).distinct()
     return _union(
         [
-            finding(units.join(where.select(F.col("container").alias("id")).distinct(), "id", "left_anti"), "container-without-code", F.col("id"), "MISSING_EVIDENCE", "info"),
-            finding(nodes.where("kind = 'requirement'").join(met, "id", "left_anti"), "requirement-unimplemented", F.col("id"), "MISSING_EVIDENCE", "warning"),
-            finding(entries.join(called, "id", "left_anti"), "use-case-unreachable", F.col("id"), F.when(some, "PARTIAL_EVIDENCE").otherwise("MISSING_EVIDENCE"), "info"),
-            finding(outside.where(any_unit), "entry-point-outside-container", F.col("id"), "PARTIAL_EVIDENCE", "info"),
-            finding(nodes.where("kind = 'table'").join(touched, "id", "left_anti"), "store-untouched", F.col("id"), "MISSING_EVIDENCE", "info"),
-            finding(entries.join(tested, "id", "left_anti"), "entry-point-untested", F.col("id"), "MISSING_EVIDENCE", "info"),
-            finding(returned.join(pairs, ["src", "dst"], "left_anti"), "return-unsupported", F.col("id"), "UNSUPPORTED_INFERENCE", "warning"),
-            finding(responses.join(exposed, ["src", "dst"], "left_anti"), "response-unpaired", F.col("id"), "UNSUPPORTED_INFERENCE", "warning"),
-            finding(edges.where(F.col("kind").isin("reads", "writes")).join(ctes, "dst", "left_semi"), "cte-as-store", F.col("id"), "CONTRADICTION", "warning"),
-            finding(unclassified, "data-access", F.col("what"), "PARTIAL_EVIDENCE", "info"),
-            finding(behaviour.unionByName(data), "agreement", F.col("what"), "CONSISTENT", "info"),
+            finding(units.join(where.select(F.col("container").alias("id")).distinct(), "id", "left_anti"), "container-without-code", "c4-without-code", F.col("id"), "MISSING_EVIDENCE", "info"),
+            finding(needs.where("origin = 'declared' and status = 'PARTIAL'").join(lost, "id", "left_anti"), "requirement-unimplemented", "requirement-implementation", F.col("id"), "MISSING_EVIDENCE", "warning"),
+            finding(lost, "requirement-support", "requirement-implementation", F.col("id"), "CONTRADICTION", "warning"),
+            finding(entries.join(called, "entry", "left_anti"), "use-case-unreachable", "use-case-reachability", case, F.when(some, "PARTIAL_EVIDENCE").otherwise("MISSING_EVIDENCE"), "info"),
+            finding(entries.join(inside, "entry", "left_anti").where(any_unit), "entry-point-outside-container", "entry-point-coverage", case, "PARTIAL_EVIDENCE", "info"),
+            finding(nodes.where("kind = 'table'").join(stores, "id", "left_anti"), "store-untouched", "data-coverage", F.col("id"), "MISSING_EVIDENCE", "info"),
+            finding(entries.where("entry_kind = 'api_endpoint'").join(tested, "entry", "left_anti"), "entry-point-untested", "behaviour-coverage", case, "MISSING_EVIDENCE", "info"),
+            finding(handed.join(pairs, ["src", "dst"], "left_anti"), "return-unsupported", "return-support", F.col("id"), "UNSUPPORTED_INFERENCE", "warning"),
+            finding(responses.join(endpoints, "dst", "left_anti"), "response-unpaired", "response-pairing", F.col("id"), "UNSUPPORTED_INFERENCE", "warning"),
+            finding(touched.join(ctes, "dst", "left_semi"), "cte-as-store", "query-expression-scope", F.col("id"), "CONTRADICTION", "warning"),
+            finding(unclassified, "data-access", "data-classification", F.col("what"), "PARTIAL_EVIDENCE", "info"),
+            finding(behaviour.unionByName(data), "agreement", "cross-artefact-agreement", F.col("what"), "CONSISTENT", "info"),
+            projection_integrity("data-flow", views.data_flow(nodes, edges), nodes),
+            projection_integrity("er-diagram", views.tables(nodes, edges, most=None), nodes),
+            projection_integrity("activity", views.activity(nodes, edges), nodes),
         ]
     )
 
@@ -183,63 +283,69 @@ def consistency(nodes: DataFrame, edges: DataFrame, requirement_rows: DataFrame
 # -- traceability
 
 
-def trace_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(entry, n_steps, n_tests, n_requirements, n_tables) of each endpoint: how far its chain goes."""
-    cases = use_cases(nodes, edges).select(F.col("id").alias("entry"), "n_steps", "reached_data")
-    tests = edges.where("kind = 'tests'").groupBy(F.col("dst").alias("entry")).agg(F.count(F.lit(1)).alias("n_tests"))
-    calls = edges.where("kind = 'calls'").select(F.col("src").alias("entry"), F.col("dst").alias("node"))
-    needs = edges.where("kind = 'implements_requirement'").select("src", F.col("dst").alias("node"))
-    wanted = calls.join(needs, "node").groupBy("entry").agg(F.countDistinct("src").alias("n_requirements"))
-    rows = cases.join(nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("entry")), "entry", "left_semi").join(tests, "entry", "left").join(wanted, "entry", "left")
-    return rows.select("entry", "n_steps", F.coalesce("n_tests", F.lit(0)).alias("n_tests"), F.coalesce("n_requirements", F.lit(0)).alias("n_requirements"), F.col("reached_data").alias("n_tables"))
+#: Links of an implementation at most; direct calls all count.
+MOST_LINKS = 24
 
 
-def trace_breaks(index: DataFrame) -> DataFrame:
-    """(entry, break): where each chain ends."""
-    broken = {"no-steps": F.col("n_steps") == 0, "no-test": F.col("n_tests") == 0, "no-requirement": F.col("n_requirements") == 0, "no-data": F.col("n_tables") == 0}
-    return index.select("entry", F.explode(F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in broken.items()]), lambda b: b.isNotNull())).alias("break"))
+def relevant(nodes: DataFrame, steps: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject, entry): an entry point's own use case, for other subjects those of which they are a step."""
+    entries = entry_points(nodes).select("entry")
+    own = subjects.join(entries, subjects["subject"] == entries["entry"])
+    others = subjects.join(own.select("subject"), "subject", "left_anti")
+    return own.select("subject", "entry").unionByName(others.join(steps.select("entry", F.col("dst").alias("subject")).distinct(), "subject").select("subject", "entry"))
 
 
-# -- reconciliation
+def implementation(nodes: DataFrame, edges: DataFrame, steps: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(subject, place, node): what serves a subject: what it calls, in the order of edges, then the steps of its use cases while there are fewer than ``MOST_LINKS``."""
+    calls = edges.where("kind = 'calls'").select(F.col("src").alias("subject"), F.col("dst").alias("node"), F.lit(0).alias("role"), F.lit("").alias("entry"), F.lit(0).cast("long").alias("step"), F.col("id").alias("edge"))
+    direct = calls.join(subjects, "subject", "left_semi")
+    later = relevant(nodes, steps, subjects).join(steps.select("entry", F.col("place").alias("step"), F.col("dst").alias("node"), F.col("id").alias("edge")), "entry")
+    rows = direct.unionByName(later.select("subject", "node", F.lit(1).alias("role"), "entry", "step", "edge")).where("node <> subject")
+    first = rows.groupBy("subject", "node").agg(F.min(F.struct("role", "entry", "step", "edge")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("subject").orderBy("at", "node"))
+    return first.withColumn("place", place).where((F.col("place") <= MOST_LINKS) | (F.col("at.role") == 0)).select("subject", "place", "node")
 
 
-def attributed(services: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Services (service, context) to the modules (module, path) in their build context.
+def trace(nodes: DataFrame, edges: DataFrame, subjects: DataFrame, walk: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(subject, requirements, use_cases, implementation, tests, breaks, complete): how far the chain of each subject goes, and where it breaks."""
+    steps, _ = walk or walked(nodes, edges)
+    cases = relevant(nodes, steps, subjects)
+    served = traverse.cut(implementation(nodes, edges, steps, subjects))
+    own = subjects.join(supports(nodes, edges), F.col("subject") == F.col("node")).select("subject", "requirement")
+    wanted = cases.join(supported(nodes, edges, steps), "entry").select("subject", "requirement").unionByName(own)
+    tests = edges.where("kind = 'tests'").select(F.col("dst").alias("node"), F.col("src").alias("test"))
+    tested = served.select("subject", "node").unionByName(subjects.select("subject", F.col("subject").alias("node"))).join(tests, "node")
+    counts = {"requirements": wanted.groupBy("subject").agg(F.countDistinct("requirement").alias("n")), "use_cases": cases.groupBy("subject").agg(F.countDistinct("entry").alias("n")), "implementation": served.groupBy("subject").agg(F.count(F.lit(1)).alias("n")), "tests": tested.groupBy("subject").agg(F.countDistinct("test").alias("n"))}
+    rows = subjects.select("subject")
+    for name, counted in counts.items():
+        rows = rows.join(counted.withColumnRenamed("n", name), "subject", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
+    broken = [F.when(F.col(name) == 0, kind) for name, kind in (("requirements", "NO_REQUIREMENT"), ("use_cases", "NO_USE_CASE"), ("implementation", "NO_IMPLEMENTATION"), ("tests", "NO_TEST"))]
+    rows = rows.withColumn("breaks", F.filter(F.array(*broken), lambda b: b.isNotNull()))
+    return rows.withColumn("complete", F.size("breaks") == 0)
 
-    (links: module, service; unresolved: service, reason). A module belongs to the
-    deepest context above it; contexts are joined with the folders above a path, by equality.
-    """
-    from tracewright.functions.paths import ancestors, normalised
 
-    known = services.withColumn("folder", F.when(F.col("context").isNotNull(), normalised(F.col("context"))))
-    above = modules.select("module", F.explode(ancestors(F.col("path"))).alias("folder"))
-    hit = above.join(known.where("folder is not null").select("service", "folder"), "folder")
-    deepest = Window.partitionBy("module").orderBy(F.desc(F.length("folder")))
-    links = hit.withColumn("k", F.rank().over(deepest)).where("k = 1").select("module", "service")
-    reason = F.when(F.col("context").isNull(), "no build context is declared").when(F.col("folder").isNull(), "the build context leaves the repository").otherwise("no module lies in the build context")
-    return links, known.join(links.select("service").distinct(), "service", "left_anti").select("service", reason.alias("reason"))
+def trace_index(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``trace`` of all endpoints."""
+    return trace(nodes, edges, nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("subject")))
 
 
-def listening(ports: DataFrame, listeners: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Ports (port_id, number) and listeners (module, number): (links, unresolved), by equal numbers."""
-    links = listeners.join(ports, "number").select("module", "port_id").distinct()
-    return links, ports.join(listeners.select("number").distinct(), "number", "left_anti").select("port_id", F.lit("no listener on this number was observed").alias("reason"))
+def trace_totals(index: DataFrame) -> DataFrame:
+    return index.agg(F.count(F.lit(1)).alias("subjects"), F.count_if("complete").alias("complete"), F.count_if(~F.col("complete")).alias("incomplete"))
 
 
-def checked(health: DataFrame, endpoints: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Health checks (service, path) and endpoints (endpoint, route): (links, unresolved), by equal paths."""
-    links = health.join(endpoints, health["path"] == endpoints["route"]).select("service", "endpoint")
-    return links, health.join(endpoints.select(F.col("route").alias("path")).distinct(), "path", "left_anti").select("service", F.lit("no endpoint has this path").alias("reason"))
+# -- reconciliation
 
 
-# -- verification: records only, nothing is run
+def attributed(services: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Services (service, path, context) to the innermost modules (module, path) in their build context: see ``deploy.built``."""
+    return deploy.built(services.select("service", deploy.context_folder(F.col("path"), F.col("context")).alias("folder")), modules)
 
-# What an outcome of a run says about what it checked.
-OUTCOMES = {"succeeded": "VERIFIED", "failed": "FAILED", "timed_out": "INCONCLUSIVE", "blocked": "BLOCKED", "not_run": "NOT_RUN", "error": "INCONCLUSIVE"}
 
+# -- verification: records only, nothing is run
 
 def verification_status(outcome: Column) -> Column:
-    return F.coalesce(F.create_map(*[F.lit(x) for pair in OUTCOMES.items() for x in pair])[outcome], F.lit("NOT_RUN"))
+    """Only a run that succeeded verifies; one that failed, timed out, was blocked or never ran leaves it unknown."""
+    return F.when(outcome == "succeeded", "VERIFIED").otherwise("UNKNOWN")
 
 
 def latest(records: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tracewright.extract import config
-from tracewright.extract.sql_access import accesses
-from tracewright.plans import estate, rules, views
+from tracewright.plans import deploy, estate, rules, views
 from tracewright.queries_view import _G, _RUN, _steps_sql
 from tracewright.registry import register
 
@@ -13,13 +11,37 @@ def _graph(spark, sf):
     return estate.stored(spark, sf)
 
 
-@register(f"""{_G}, t AS (SELECT * FROM edges WHERE kind IN ('reads', 'writes') AND dst IN (SELECT id FROM nodes WHERE kind = 'table'))
-SELECT 'derived:interface:' || id AS id, 'interface' AS category, 'PARTIAL' AS status FROM nodes WHERE kind = 'api_endpoint'
-UNION ALL SELECT 'derived:persistence:' || kind, 'persistence', CASE WHEN min(rank) = 3 THEN 'OBSERVED' ELSE 'PARTIAL' END FROM t GROUP BY kind UNION ALL SELECT 'derived:operational:components', 'operational_behaviour', 'OBSERVED'""")
+_VALID = "(regexp_matches(callee, '^(?i:validat)|^(?i:parse|safeParse|schema)$|^check[A-Z]|^assert[A-Z]'))"
+_AUTH = "(regexp_matches(callee, '^(?i:authenticate|authorize|isAuthenticated)$|^(?i:requireAuth|hasPermission)'))"
+_GUARDS = f"""guards AS (SELECT n.id AS endpoint, e.src, {_AUTH} AS authorises, e.rank FROM edges e JOIN nodes f ON f.id = e.src JOIN nodes n ON n.path = f.path AND n.kind = 'api_endpoint' WHERE e.kind = 'calls' AND callee IS NOT NULL AND ({_VALID} OR {_AUTH})),
+guarded AS (SELECT endpoint, CASE WHEN bool_or(authorises) THEN 'operational_behaviour' ELSE 'validation' END AS category, CASE WHEN min(rank) = 3 THEN 3 ELSE 2 END AS rank FROM guards GROUP BY endpoint),
+stores AS (SELECT e.kind, 'derived:persistence:' || e.kind || ':' || string_agg(DISTINCT n.name, '+' ORDER BY n.name) AS id, (SELECT min(rank) FROM edges w WHERE w.kind = e.kind) AS weakest FROM edges e JOIN nodes n ON n.id = e.dst AND n.kind = 'table' WHERE e.kind IN ('reads', 'writes') GROUP BY e.kind),
+needs AS (SELECT 'declared:declared:' || id AS id, 'declared' AS category, 'declared' AS origin, CASE WHEN id IN (SELECT src FROM edges WHERE kind = 'implements_requirement' AND dst IN (SELECT id FROM nodes)) THEN 'OBSERVED' ELSE 'PARTIAL' END AS status, rank FROM nodes WHERE kind = 'requirement'
+UNION ALL SELECT 'derived:interface_behaviour:' || id, 'interface_behaviour', 'derived', 'PARTIAL', rank FROM nodes WHERE kind = 'api_endpoint' UNION ALL SELECT 'derived:' || category || ':' || endpoint, category, 'derived', 'OBSERVED', rank FROM guarded
+UNION ALL SELECT id, 'persistence', 'derived', CASE WHEN weakest = 3 THEN 'OBSERVED' ELSE 'PARTIAL' END, CASE WHEN weakest = 3 THEN 3 ELSE 1 END FROM stores
+UNION ALL SELECT 'derived:operational_behaviour:declared_containers', 'operational_behaviour', 'derived', 'OBSERVED', CASE WHEN min(rank) = 3 THEN 3 ELSE 1 END FROM nodes WHERE kind = 'deployment_component' HAVING count(*) > 0)"""
+_SUPPORTS = f"""{_GUARDS}, supports0 AS (SELECT 'declared:declared:' || src AS requirement, dst AS node FROM edges WHERE kind = 'implements_requirement' AND src IN (SELECT id FROM nodes WHERE kind = 'requirement')
+UNION SELECT 'derived:interface_behaviour:' || id, id FROM nodes WHERE kind = 'api_endpoint' UNION SELECT 'derived:interface_behaviour:' || id, 'module:' || regexp_replace(path, '[.][^.]+$', '') FROM nodes WHERE kind = 'api_endpoint'
+UNION SELECT 'derived:' || category || ':' || endpoint, endpoint FROM guarded UNION SELECT 'derived:' || category || ':' || endpoint, src FROM guarded JOIN guards USING (endpoint)
+UNION SELECT s.id, e.src FROM stores s JOIN edges e USING (kind) UNION SELECT s.id, e.dst FROM stores s JOIN edges e USING (kind) UNION SELECT 'derived:operational_behaviour:declared_containers', id FROM nodes WHERE kind = 'deployment_component'),
+supports AS (SELECT requirement, node FROM supports0 WHERE node IN (SELECT id FROM nodes))"""
+
+
+@register(f"{_G}, {_GUARDS} SELECT id, category, origin, status, rank FROM needs")
 def requirement_rows(spark, sf):
     return rules.requirements(*_graph(spark, sf))
 
 
+@register(f"{_G}, {_SUPPORTS} SELECT requirement, node FROM supports")
+def requirement_supports(spark, sf):
+    return rules.supports(*_graph(spark, sf))
+
+
+@register(f"{_G}, {_GUARDS} SELECT v.status, count(needs.status) AS n FROM (VALUES ('OBSERVED'), ('DERIVED'), ('PARTIAL'), ('UNKNOWN'), ('UNSUPPORTED')) v(status) LEFT JOIN needs USING (status) GROUP BY v.status")
+def requirement_status_counts(spark, sf):
+    return rules.status_counts(rules.requirements(*_graph(spark, sf)), "requirement")
+
+
 @register(f"{_G} SELECT kind AS operation, count(DISTINCT dst) AS n_tables, bool_and(rank = 3) AS all_explicit FROM edges WHERE kind IN ('reads', 'writes') AND dst IN (SELECT id FROM nodes) GROUP BY kind")
 def requirements_persistence(spark, sf):
     return rules.persistence(*_graph(spark, sf))
@@ -29,42 +51,94 @@ _CASES = _steps_sql() + """, n AS (SELECT entry, count(*) AS n FROM every GROUP
 reached AS (SELECT entry, count(DISTINCT dst) AS reached FROM touched JOIN edges ON src = node AND kind IN ('reads', 'writes') GROUP BY entry)"""
 
 
-@register(_CASES + " SELECT id, least(coalesce(n, 0), 40) AS n_steps, greatest(coalesce(n, 0) - 40, 0) AS n_cut, CASE WHEN coalesce(n, 0) = 0 THEN 'UNKNOWN' ELSE 'PARTIAL' END AS status, coalesce(reached, 0) AS reached_data FROM nodes LEFT JOIN n ON n.entry = id LEFT JOIN reached r ON r.entry = id WHERE kind = 'api_endpoint'")
+_CASE_ROWS = f"""{_CASES}, known AS (SELECT id, path FROM nodes WHERE kind = 'actor' UNION SELECT id, path FROM nodes WHERE kind NOT IN ('actor', 'module', 'class', 'function') AND id IN (SELECT src FROM edges WHERE kind IN ('authenticates', 'authorizes'))),
+u AS (SELECT e.id AS entry, least(coalesce(n, 0), 40) AS n_steps, greatest(coalesce(n, 0) - 40, 0) AS n_cut, coalesce((SELECT min(k.id) FROM known k WHERE k.path = e.path), (SELECT min(id) FROM known HAVING count(*) = 1)) AS actor, coalesce(reached, 0) AS reached_data
+FROM nodes e LEFT JOIN n ON n.entry = e.id LEFT JOIN reached r ON r.entry = e.id WHERE e.kind = 'api_endpoint'),
+cases AS (SELECT *, 1 + (actor IS NULL)::INT + (n_steps = 0 OR n_cut > 0)::INT AS n_missing FROM u), ruled AS (SELECT *, CASE WHEN n_steps = 0 THEN 'UNKNOWN' WHEN n_missing > 1 THEN 'PARTIAL' ELSE 'OBSERVED' END AS status FROM cases)"""
+
+
+@register(_CASE_ROWS + " SELECT 'use_case:api_endpoint:' || entry AS id, entry, 'api_endpoint' AS entry_kind, n_steps, n_cut, actor, n_missing, status, reached_data FROM ruled")
 def use_case_status(spark, sf):
-    return rules.use_cases(*_graph(spark, sf)).drop("actor")
+    return rules.use_cases(*_graph(spark, sf))
 
 
-@register(_CASES + ", s AS (SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'UNKNOWN' ELSE 'PARTIAL' END AS status FROM nodes LEFT JOIN n ON n.entry = id WHERE kind = 'api_endpoint') SELECT v.status, count(s.status) AS n FROM (VALUES ('OBSERVED'), ('PARTIAL'), ('UNKNOWN')) v(status) LEFT JOIN s USING (status) GROUP BY v.status")
+@register(_CASE_ROWS + " SELECT v.status, count(ruled.status) AS n FROM (VALUES ('OBSERVED'), ('PARTIAL'), ('UNKNOWN')) v(status) LEFT JOIN ruled USING (status) GROUP BY v.status")
 def use_case_status_counts(spark, sf):
     return rules.status_counts(rules.use_cases(*_graph(spark, sf)), "use_case")
 
 
-@register("""SELECT * FROM (VALUES ('deployment-architecture', 'EXPLICIT'), ('api-surface', 'EXPLICIT'), ('data-storage', 'EXPLICIT'), ('authentication', 'NOT_FOUND'), ('test-coverage', 'EXPLICIT'), ('documentation-links', 'NOT_FOUND'), ('ownership', 'NOT_FOUND'), ('requirements', 'NOT_FOUND'), ('dependency-hygiene', 'PARTIALLY_EVIDENCED'), ('analysis-completeness', 'EXPLICIT')) v(id, status)""")
+@register(_CASES + """, step AS (SELECT DISTINCT entry, split_part(id, '|', 3) AS node FROM every WHERE place <= 40), said AS (SELECT DISTINCT entry, coalesce(w.qualified_name, w.name) || CASE e.kind WHEN 'loops' THEN ' loops while ' ELSE ' branches on ' END || 'a condition' AS said
+FROM step JOIN edges e ON e.src = node AND e.kind IN ('branches', 'loops') AND e.dst IN (SELECT id FROM nodes) JOIN nodes w ON w.id = node), k AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY said) AS k FROM said) SELECT entry, string_agg(said, ';' ORDER BY said) AS conditions FROM k WHERE k <= 10 GROUP BY entry""")
+def use_case_preconditions(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return rules.preconditions(nodes, edges, rules.walked(nodes, edges)[0]).select("entry", F.array_join("conditions", ";").alias("conditions"))
+
+
+_GAPS = f"""{_G}, n AS (SELECT kind, count(*) AS n FROM nodes GROUP BY kind), e AS (SELECT kind, count(*) AS n FROM edges GROUP BY kind), has AS (SELECT {", ".join(f"coalesce((SELECT n FROM n WHERE kind = '{k}'), 0) AS n_{k}" for k in ("deployment_component", "api_endpoint", "table", "service", "actor", "test", "contributor", "commit", "requirement"))},
+{", ".join(f"coalesce((SELECT n FROM e WHERE kind = '{k}'), 0) AS e_{k}" for k in ("deploys", "reads", "writes", "authenticates", "tests", "documents", "authored_by", "implements_requirement", "depends_on"))}, (SELECT count(*) FROM nodes WHERE kind <> 'repository') AS others, (SELECT count(*) FROM edges WHERE kind = 'depends_on' AND dst LIKE 'package:%') AS used),
+g AS (SELECT unnest([{{'id': 'deployment-architecture', 'status': CASE WHEN n_deployment_component > 0 AND e_deploys > 0 THEN 'EXPLICIT' WHEN n_deployment_component > 0 THEN 'PARTIALLY_EVIDENCED' ELSE 'NOT_FOUND' END}}, {{'id': 'api-surface', 'status': CASE WHEN n_api_endpoint = 0 THEN 'NOT_FOUND' ELSE 'EXPLICIT' END}},
+{{'id': 'data-storage', 'status': CASE WHEN n_table = 0 THEN 'NOT_FOUND' WHEN e_reads + e_writes = 0 THEN 'PARTIALLY_EVIDENCED' ELSE 'EXPLICIT' END}}, {{'id': 'authentication', 'status': CASE WHEN n_service > 0 AND (n_actor > 0 OR e_authenticates > 0) THEN 'EXPLICIT' ELSE 'NOT_FOUND' END}},
+{{'id': 'test-coverage', 'status': CASE WHEN n_test = 0 THEN 'NOT_FOUND' WHEN e_tests > 0 THEN 'EXPLICIT' ELSE 'PARTIALLY_EVIDENCED' END}}, {{'id': 'documentation-links', 'status': CASE WHEN e_documents = 0 THEN 'NOT_FOUND' ELSE 'EXPLICIT' END}},
+{{'id': 'ownership', 'status': CASE WHEN n_contributor = 0 OR n_commit = 0 THEN 'NOT_FOUND' WHEN e_authored_by > 0 THEN 'EXPLICIT' ELSE 'PARTIALLY_EVIDENCED' END}},
+{{'id': 'requirements', 'status': CASE WHEN n_requirement + n_api_endpoint + n_deployment_component + e_reads + e_writes = 0 THEN 'NOT_FOUND' WHEN e_implements_requirement > 0 THEN 'EXPLICIT' ELSE 'PARTIALLY_EVIDENCED' END}},
+{{'id': 'dependency-hygiene', 'status': CASE WHEN used = 0 THEN 'EXPLICIT' ELSE 'PARTIALLY_EVIDENCED' END}}, {{'id': 'analysis-completeness', 'status': CASE WHEN others = 0 THEN 'NOT_FOUND' ELSE 'EXPLICIT' END}}]) AS g FROM has)"""
+
+
+@register(_GAPS + " SELECT g.id AS id, g.status AS status FROM g")
 def gap_report(spark, sf):
     return rules.gaps(*_graph(spark, sf))
 
 
+@register(_GAPS + " SELECT count(*) FILTER (g.status = 'NOT_FOUND') / count(*) AS share FROM g")
+def gap_share(spark, sf):
+    return rules.not_found_share(rules.gaps(*_graph(spark, sf)))
+
+
 @register(f"""{_G}, r AS ({_RUN}), d AS (SELECT max(dst) AS container FROM edges WHERE kind = 'deploys' AND src <> 'module:deploy/compose' GROUP BY src), touched AS (SELECT dst FROM edges WHERE kind IN ('reads', 'writes')), e AS (SELECT id FROM nodes WHERE kind = 'api_endpoint'),
-f AS (SELECT 'container-without-code' AS rule, id, 'MISSING_EVIDENCE' AS class, 'info' AS severity FROM r WHERE id NOT IN (SELECT container FROM d)
-UNION ALL SELECT 'use-case-unreachable', id, 'PARTIAL_EVIDENCE', 'info' FROM e WHERE id NOT IN (SELECT src FROM edges WHERE kind = 'calls')
-UNION ALL SELECT 'entry-point-outside-container', id, 'PARTIAL_EVIDENCE', 'info' FROM e
-UNION ALL SELECT 'store-untouched', id, 'MISSING_EVIDENCE', 'info' FROM nodes WHERE kind = 'table' AND id NOT IN (SELECT dst FROM touched)
-UNION ALL SELECT 'entry-point-untested', id, 'MISSING_EVIDENCE', 'info' FROM e WHERE id NOT IN (SELECT dst FROM edges WHERE kind = 'tests')
-UNION ALL SELECT 'agreement', 'behaviour-traced', 'CONSISTENT', 'info' UNION ALL SELECT 'agreement', 'data-traced', 'CONSISTENT', 'info')
-SELECT rule || ':' || id AS id, rule, class, severity FROM f""")
+c AS (SELECT dst, src FROM edges WHERE kind = 'calls'), met AS (SELECT src FROM edges WHERE kind = 'implements_requirement' AND dst IN (SELECT id FROM nodes)),
+f AS (SELECT 'container-without-code:' || id AS id, 'c4-without-code' AS rule, 'MISSING_EVIDENCE' AS class, 'info' AS severity FROM r WHERE id NOT IN (SELECT container FROM d)
+UNION ALL SELECT 'requirement-unimplemented:declared:declared:' || id, 'requirement-implementation', 'MISSING_EVIDENCE', 'warning' FROM nodes WHERE kind = 'requirement' AND id NOT IN (SELECT src FROM edges WHERE kind = 'implements_requirement')
+UNION ALL SELECT 'requirement-support:declared:declared:' || src, 'requirement-implementation', 'CONTRADICTION', 'warning' FROM (SELECT DISTINCT src FROM edges WHERE kind = 'implements_requirement' AND dst NOT IN (SELECT id FROM nodes))
+UNION ALL SELECT 'use-case-unreachable:use_case:api_endpoint:' || id, 'use-case-reachability', 'PARTIAL_EVIDENCE', 'info' FROM e WHERE id NOT IN (SELECT src FROM c WHERE dst IN (SELECT id FROM nodes))
+UNION ALL SELECT 'entry-point-outside-container:use_case:api_endpoint:' || id, 'entry-point-coverage', 'PARTIAL_EVIDENCE', 'info' FROM e
+UNION ALL SELECT 'store-untouched:' || id, 'data-coverage', 'MISSING_EVIDENCE', 'info' FROM nodes WHERE kind = 'table' AND id NOT IN (SELECT dst FROM touched)
+UNION ALL SELECT 'entry-point-untested:use_case:api_endpoint:' || id, 'behaviour-coverage', 'MISSING_EVIDENCE', 'info' FROM e WHERE id NOT IN (SELECT dst FROM edges WHERE kind = 'tests')
+UNION ALL SELECT 'return-unsupported:' || id, 'return-support', 'UNSUPPORTED_INFERENCE', 'warning' FROM edges x WHERE kind IN ('returns', 'throws') AND NOT EXISTS (SELECT 1 FROM c WHERE c.src = x.dst AND c.dst = x.src)
+UNION ALL SELECT 'agreement:behaviour-traced', 'cross-artefact-agreement', 'CONSISTENT', 'info' UNION ALL SELECT 'agreement:data-traced', 'cross-artefact-agreement', 'CONSISTENT', 'info')
+SELECT id, rule, class, severity FROM f""")
 def consistency_findings(spark, sf):
     return rules.consistency(*_graph(spark, sf))
 
 
-@register(_CASES + ", t AS (SELECT dst, count(*) AS t FROM edges WHERE kind = 'tests' GROUP BY dst) SELECT id AS entry, least(coalesce(n, 0), 40) AS n_steps, coalesce(t, 0) AS n_tests, 0::BIGINT AS n_requirements, coalesce(reached, 0) AS n_tables FROM nodes LEFT JOIN n ON n.entry = id LEFT JOIN reached r ON r.entry = id LEFT JOIN t ON t.dst = id WHERE kind = 'api_endpoint'")
+_TRACE = f"""{_CASE_ROWS}, {_SUPPORTS}, step AS (SELECT entry, place, id AS edge, split_part(id, '|', 3) AS node FROM every WHERE place <= 40), met AS (SELECT DISTINCT entry, node FROM step UNION SELECT entry, entry FROM u), wanted AS (SELECT entry, count(DISTINCT requirement) AS n FROM met JOIN supports USING (node) GROUP BY entry),
+link0 AS (SELECT e.src AS entry, e.dst AS node, 0 AS role, 0::BIGINT AS place, e.id AS edge FROM edges e JOIN u ON u.entry = e.src WHERE e.kind = 'calls' UNION ALL SELECT entry, node, 1, place, edge FROM step),
+link1 AS (SELECT entry, node, min((role, place, edge)) AS first_ FROM link0 WHERE entry <> node GROUP BY entry, node), link2 AS (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY first_, node) AS k FROM link1), link AS (SELECT entry, k, node FROM link2 WHERE k <= 24 OR first_[1] = 0),
+served AS (SELECT entry, count(*) AS n FROM link GROUP BY entry), tested AS (SELECT entry, count(DISTINCT e.src) AS n FROM (SELECT entry, node FROM link UNION SELECT entry, entry FROM u) l JOIN edges e ON e.kind = 'tests' AND e.dst = l.node GROUP BY entry),
+traced AS (SELECT u.entry AS subject, coalesce(w.n, 0) AS requirements, 1::BIGINT AS use_cases, coalesce(s.n, 0) AS implementation, coalesce(t.n, 0) AS tests FROM u LEFT JOIN wanted w USING (entry) LEFT JOIN served s USING (entry) LEFT JOIN tested t USING (entry)),
+broken AS (SELECT *, concat_ws(',', CASE WHEN requirements = 0 THEN 'NO_REQUIREMENT' END, CASE WHEN implementation = 0 THEN 'NO_IMPLEMENTATION' END, CASE WHEN tests = 0 THEN 'NO_TEST' END) AS breaks FROM traced)"""
+
+
+@register(_TRACE + " SELECT subject, requirements, use_cases, implementation, tests, breaks, breaks = '' AS complete FROM broken")
 def traceability_index(spark, sf):
-    return rules.trace_index(*_graph(spark, sf))
+    rows = rules.trace_index(*_graph(spark, sf))
+    return rows.withColumn("breaks", F.array_join("breaks", ","))
+
+
+@register(_TRACE + " SELECT count(*) AS subjects, count(*) FILTER (breaks = '') AS complete, count(*) FILTER (breaks <> '') AS incomplete FROM broken")
+def traceability_totals(spark, sf):
+    return rules.trace_totals(rules.trace_index(*_graph(spark, sf)))
+
 
+@register(_TRACE + " SELECT entry AS subject, k AS place, node FROM link")
+def implementation_closure(spark, sf):
+    nodes, edges = _graph(spark, sf)
+    return rules.implementation(nodes, edges, rules.walked(nodes, edges)[0], nodes.where("kind = 'api_endpoint'").select(F.col("id").alias("subject")))
 
-_PLACES = "SELECT 'm' || c_custkey AS module, CASE c_custkey % 3 WHEN 0 THEN 'apps/a' || (c_custkey % 7) || '/src/m' || c_custkey || '.ts' WHEN 1 THEN 'apps/m' || c_custkey || '.ts' ELSE 'root' || c_custkey || '.ts' END AS path FROM customer"
-_SERVICES = "SELECT 's' || s_suppkey AS service, CASE s_suppkey % 5 WHEN 0 THEN 'apps/./a' || (s_suppkey % 7) WHEN 1 THEN './apps/x/../a' || (s_suppkey % 7) || '/src' WHEN 2 THEN '../out' WHEN 3 THEN NULL ELSE 'apps' END AS context FROM supplier"
-_CONTEXTS = f"""p AS ({_PLACES}), s AS ({_SERVICES}), k AS (SELECT service, context, CASE WHEN context LIKE './apps/x/../%' THEN replace(context, './apps/x/../', 'apps/') WHEN context LIKE '../%' THEN NULL ELSE replace(context, '/./', '/') END AS folder FROM s),
-h AS (SELECT module, service, length(folder) AS l FROM p JOIN k ON starts_with(path, folder || '/')), best AS (SELECT module, service FROM h WHERE (module, l) IN (SELECT (module, max(l)) FROM h GROUP BY module))"""
+
+_PLACES = "SELECT 'm' || c_custkey AS module, CASE c_custkey % 4 WHEN 0 THEN 'apps/a' || (c_custkey % 7) || '/src/m' || c_custkey || '.ts' WHEN 1 THEN 'apps/m' || c_custkey || '.ts' WHEN 2 THEN 'root' || c_custkey || '.ts' ELSE 'apps/a' || (c_custkey % 7) || '/src' END AS path FROM customer"
+_SERVICES = "SELECT 's' || s_suppkey AS service, CASE WHEN s_suppkey % 2 = 0 THEN 'compose.yml' ELSE 'apps/compose.yml' END AS path, CASE s_suppkey % 7 WHEN 0 THEN 'apps/./a' || (s_suppkey % 7) WHEN 1 THEN './a1/src' WHEN 2 THEN '../out' WHEN 3 THEN NULL WHEN 4 THEN '.' WHEN 5 THEN '/abs' ELSE 'apps' END AS context FROM supplier"
+_CONTEXTS = f"""p AS ({_PLACES}), s AS ({_SERVICES}), k AS (SELECT service, CASE WHEN context IS NULL OR context LIKE '../%' OR context LIKE '/%' THEN NULL ELSE trim(replace(replace('/' || CASE WHEN path LIKE 'apps/%' THEN 'apps/' ELSE '' END || context || '/', '/./', '/'), '/./', '/'), '/') END AS folder FROM s),
+h AS (SELECT module, service, path FROM p JOIN k ON folder = '' OR path = folder OR starts_with(path, folder || '/')), leaf AS (SELECT path FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE starts_with(o.path, p.path || '/'))), best AS (SELECT DISTINCT module, service FROM h WHERE path IN (SELECT path FROM leaf))"""
 
 
 def _contexts(spark, sf):
@@ -75,22 +149,46 @@ def _contexts(spark, sf):
 
 @register(f"WITH {_CONTEXTS} SELECT module, service FROM best")
 def build_context_prefix_join(spark, sf):
-    return _contexts(spark, sf)[0]
+    """The innermost modules of every service whose build context holds them, nested contexts included."""
+    return _contexts(spark, sf)[0].select("module", "service")
 
 
-@register(f"WITH {_CONTEXTS} SELECT service, CASE WHEN context IS NULL THEN 'no build context is declared' WHEN folder IS NULL THEN 'the build context leaves the repository' ELSE 'no module lies in the build context' END AS reason FROM k WHERE service NOT IN (SELECT service FROM best)")
+@register(f"WITH {_CONTEXTS} SELECT service, folder IS NULL AS undeclared FROM k WHERE service NOT IN (SELECT service FROM h)")
 def build_context_unresolved(spark, sf):
-    return _contexts(spark, sf)[1]
+    return _contexts(spark, sf)[1].select(F.col("subject").alias("service"), F.col("reason").startswith("no build context").alias("undeclared"))
+
+
+_STARTED = """s AS (SELECT 's' || s_suppkey AS service, CASE s_suppkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'apps' WHEN 2 THEN 'apps/web' END AS folder, CASE s_suppkey % 8 WHEN 0 THEN 'node dist/m' || s_suppkey || '.js' WHEN 1 THEN '["node", "--flag", "./m' || s_suppkey || '.ts"]' WHEN 2 THEN 'python /srv/m' || s_suppkey || '.py' WHEN 3 THEN 'npm start'
+WHEN 4 THEN 'node apps/../m.js' WHEN 5 THEN 'sh -c $RUN m' || s_suppkey || '.ts' WHEN 6 THEN NULL ELSE 'node nowhere.js m' || s_suppkey || '.ts' END AS command, CASE WHEN s_suppkey % 16 IN (2, 10) THEN '/srv' END AS workdir, s_suppkey AS k FROM supplier)"""
+_MAINS = "m AS (SELECT 'f' || s_suppkey AS module, CASE s_suppkey % 8 WHEN 0 THEN 'dist/m' || s_suppkey || '.js' WHEN 1 THEN 'apps/m' || s_suppkey || '.ts' WHEN 2 THEN 'srv/m' || s_suppkey || '.py' WHEN 5 THEN 'apps/m' || s_suppkey || '.ts' ELSE 'm' || s_suppkey || '.ts' END AS path FROM supplier WHERE s_suppkey % 5 > 0)"
+
 
+def _started(spark, sf):
+    suppliers = estate.table(spark, sf, "supplier")
+    rows = spark.sql(_STARTED.replace("FROM supplier", "FROM {t}").removeprefix("s AS (").removesuffix(")"), t=suppliers)
+    modules = spark.sql(_MAINS.replace("FROM supplier", "FROM {t}").removeprefix("m AS (").removesuffix(")"), t=suppliers)
+    return deploy.started(rows.select("service", "folder"), rows.select("service", "command", "workdir").where("command is not null"), modules)
 
-@register("SELECT 'm' || c_custkey AS module, 'p' || s_suppkey AS port_id FROM (SELECT c_custkey, 3000 + c_custkey % 40 AS number FROM customer) JOIN (SELECT s_suppkey, 3000 + s_suppkey * 3 AS number FROM supplier) USING (number)")
+
+@register(f"WITH {_STARTED}, {_MAINS} SELECT service, module FROM s JOIN m ON module = 'f' || k WHERE k % 8 IN (0, 1, 2, 5, 7)")
+def service_entry_points(spark, sf):
+    """Commands of services resolved to the files that they name: words in order, roots in order, endings in order."""
+    return _started(spark, sf)[0].select("service", "module")
+
+
+@register(f"WITH {_STARTED}, {_MAINS} SELECT service, command IS NULL AS undeclared FROM s WHERE NOT (k % 8 IN (0, 1, 2, 5, 7) AND 'f' || k IN (SELECT module FROM m))")
+def service_entry_points_unresolved(spark, sf):
+    return _started(spark, sf)[1].select(F.col("subject").alias("service"), F.col("reason").startswith("neither").alias("undeclared"))
+
+
+@register("SELECT 'm' || c_custkey AS module, 'p' || s_suppkey AS port FROM (SELECT c_custkey, 3000 + c_custkey % 40 AS number FROM customer) JOIN (SELECT s_suppkey, 3000 + s_suppkey * 3 AS number FROM supplier) USING (number)")
 def port_listeners(spark, sf):
-    ports = estate.table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("port_id"), (3000 + F.col("s_suppkey") * 3).alias("number"))
+    ports = estate.table(spark, sf, "supplier").select(F.concat(F.lit("p"), "s_suppkey").alias("port"), (3000 + F.col("s_suppkey") * 3).alias("number"))
     listeners = estate.table(spark, sf, "customer").select(F.concat(F.lit("m"), "c_custkey").alias("module"), (3000 + F.col("c_custkey") % 40).alias("number"))
-    return rules.listening(ports, listeners)[0]
+    return deploy.listening(ports, listeners)[0]
 
 
-@register("SELECT user_id AS target, CASE arg_max(event_type, (ts, event_id)) WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'VERIFIED' WHEN 'click' THEN 'INCONCLUSIVE' WHEN 'view' THEN 'BLOCKED' ELSE 'NOT_RUN' END AS status, count(*) AS n_records FROM events GROUP BY user_id")
+@register("SELECT user_id AS target, CASE arg_max(event_type, (ts, event_id)) WHEN 'purchase' THEN 'VERIFIED' ELSE 'UNKNOWN' END AS status, count(*) AS n_records FROM events GROUP BY user_id")
 def verification_latest(spark, sf):
     outcome = F.create_map(*[F.lit(x) for pair in {"error": "failed", "purchase": "succeeded", "click": "timed_out", "view": "blocked"}.items() for x in pair])[F.col("event_type")]
     records = estate.table(spark, sf, "events").select(F.col("user_id").alias("target"), F.col("ts").alias("observed_at"), F.col("event_id").alias("record_id"), F.coalesce(outcome, F.lit("not_run")).alias("outcome"))
@@ -101,190 +199,3 @@ def verification_latest(spark, sf):
 def image_families(spark, sf):
     image = F.col("attributes")["image"]
     return _graph(spark, sf)[0].where("kind = 'deployment_component'").groupBy(image.alias("image")).agg(F.first(views.family(image)).alias("family"), F.count(F.lit(1)).alias("n"))
-
-
-# -- readers: texts in the query, what is in them in the SQL
-
-_STATEMENTS = {
-    1: ("SELECT id, title FROM reports", "reports:read:from"),
-    2: ("SELECT * FROM public.users u, public.orders o", "users:read:from orders:read:from"),
-    3: ("SELECT * FROM a FULL OUTER JOIN b ON 1 INNER JOIN c ON 1 LEFT JOIN d ON 1", "a:read:from b:read:join c:read:join d:read:join"),
-    4: ("SELECT * FROM a STRAIGHT_JOIN b ON 1", "a:read:from b:read:join"),
-    5: ("WITH a AS (SELECT * FROM orders), b AS (SELECT * FROM a JOIN users ON 1=1) SELECT * FROM b", "orders:read:from users:read:join"),
-    6: ("INSERT INTO archive_reports SELECT * FROM reports", "archive_reports:write:insert_into reports:read:from"),
-    7: ("UPDATE reports SET title=users.name FROM users WHERE 1=1", "reports:write:update_target users:read:from"),
-    8: ("DELETE FROM reports USING users WHERE 1=1", "reports:write:delete_target users:read:delete_using"),
-    9: ("DELETE FROM reports WHERE user_id IN (SELECT id FROM users)", "reports:write:delete_target users:read:from"),
-    10: ("SELECT t.id FROM (SELECT id FROM orders) t", "orders:read:from"),
-    11: ("SELECT 1 FROM users -- FROM audit_log", "users:read:from"),
-    12: ("DELETE FROM reports; INSERT INTO audit_log (id) VALUES (1)", "reports:write:delete_target audit_log:write:insert_into"),
-    13: ("hello world", ""),
-    14: ("Update the docs and ship", ""),
-}
-
-
-@register("SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}', '{}')".format(k, *x.split(":")) for k, (_, found) in _STATEMENTS.items() for x in found.split()) + ') v(id, "table", access, role)')
-def sql_access(spark, sf):
-    rows = spark.createDataFrame([(k, sql) for k, (sql, _) in _STATEMENTS.items()], "id int, sql string")
-    return accesses(rows).select("id", "table", "access", "role")
-
-
-@register("SELECT doc_id, 'doc' || doc_id % 10 AS \"table\" FROM documents WHERE text IS NOT NULL")
-def sql_access_at_scale(spark, sf):
-    """A statement around every whole text, which stands in it as a string."""
-    quoted = F.concat(F.lit("SELECT '"), F.regexp_replace("text", "'", "''"), F.lit("' AS x FROM doc"), F.col("doc_id") % 10, F.lit(" -- FROM other"))
-    rows = estate.table(spark, sf, "documents").where("text is not null").select("doc_id", quoted.alias("sql"))
-    return accesses(rows).select("doc_id", "table")
-
-
-_MARKDOWN = """# Must not count
-REQ-001: The list must be sorted. `handleList`
-- The API should answer in time src/routes.ts
-Plain prose.
-| must | not |
-```
-You must not read this
-```
-2. Each user shall log in
-ADR-12 — Use one store
-"""
-_DOCKERFILE = """FROM node:20 AS build
-WORKDIR /app
-ENV API_KEY=abc PORT=80
-COPY --from=build package.json src ./
-RUN npm ci
-FROM nginx
-EXPOSE 80 443
-USER node
-HEALTHCHECK CMD curl localhost
-CMD ["node", "dist/main.js"]
-"""
-_DDL = """CREATE TABLE users (id INT PRIMARY KEY, name VARCHAR(20) NOT NULL, email TEXT UNIQUE);
-CREATE TABLE IF NOT EXISTS orders (
-  id INT, user_id INT REFERENCES users(id), amount DECIMAL(10, 2) DEFAULT 0,
-  PRIMARY KEY (id, user_id), CONSTRAINT fk FOREIGN KEY (user_id) REFERENCES users (id)
-);
-ALTER TABLE orders ADD CONSTRAINT x FOREIGN KEY (item_id) REFERENCES items(id);
-"""
-_COMPOSE = """services:
-  web:
-    build: ./web
-    ports:
-      - "8080:80"
-      - 127.0.0.1:9000:9000/udp
-    depends_on:
-      api:
-        condition: service_healthy
-    environment:
-      - API_URL=http://api:3000/x
-      - SECRET_TOKEN=abc
-    networks: [front, hidden]
-  api:
-    image: acme/api:1
-    volumes:
-      - data:/var/lib:ro
-networks:
-  front:
-volumes:
-  data:
-"""
-_WORKFLOW = """on: push
-jobs:
-  build:
-    runs-on: ubuntu
-    steps:
-      - uses: actions/checkout@v4
-      - name: Run tests
-        run: npm test
-  ship:
-    steps:
-      - run: |
-          ./deploy.sh
-        env:
-          KEY: ${{ secrets.DEPLOY_KEY }}
-"""
-_MANIFEST = """{ // comment
-  "name": "shop", "version": "1.0.0",
-  "dependencies": {"express": "^4"},
-  "devDependencies": {"vitest": "1"},
-  "scripts": {"start": "node main.js"},
-  "main": "main.js", "workspaces": ["a", "b"]
-}
-"""
-
-
-def _file(spark, text):
-    return spark.createDataFrame([("f", text)], "path string, text string")
-
-
-def _flat(markers):
-    """name, line and attributes as one text."""
-    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat_ws("=", e["key"], e["value"]))
-    return markers.select("name", "line", F.array_join(pairs, ";").alias("said"))
-
-
-def _values(*rows):
-    return "SELECT * FROM (VALUES " + ", ".join("('{}', {}, '{}')".format(n, k, s.replace("'", "''")) for n, k, s in rows) + ") v(name, line, said)"
-
-
-_R = "doc.requirement"
-
-
-@register(_values((_R, 2, "identifier=REQ-001;implementsRef=handleList;statement=The list must be sorted."), (_R, 3, "implementsRef=src/routes.ts;statement=The API should answer in time"), (_R, 9, "statement=Each user shall log in"), (_R, 10, "identifier=ADR-12;statement=Use one store")))
-def markdown_requirements(spark, sf):
-    return _flat(config.markdown(_file(spark, _MARKDOWN)))
-
-
-@register(
-    _values(
-        ("docker.base_image", 1, "image=node:20;stage=build"), ("docker.workdir", 2, "path=/app"), ("docker.env", 3, "secretLike=true;variable=API_KEY"), ("docker.env", 3, "secretLike=false;variable=PORT"), ("docker.copy", 4, "instruction=COPY;sources=package.json,src"), ("docker.run", 5, "present=true"),
-        ("docker.base_image", 6, "image=nginx;stage=default"), ("docker.expose", 7, "ports=80 443"), ("docker.user", 8, "configured=true;user=node"), ("docker.healthcheck", 9, "configured=true"), ("docker.cmd", 10, "value=node, dist/main.js"), ("docker.build_stage", 1, "stageCount=2;stages=build,default"),
-    )
-)
-def dockerfile_markers(spark, sf):
-    return _flat(config.dockerfile(_file(spark, _DOCKERFILE)))
-
-
-@register(
-    _values(
-        ("schema.table", 1, "columnCount=3;primaryKey=id;table=users"), ("schema.column", 1, "column=id;dataType=INT;notNull=true;primaryKey=true;table=users;unique=false"), ("schema.column", 1, "column=name;dataType=VARCHAR;notNull=true;primaryKey=false;table=users;unique=false"), ("schema.column", 1, "column=email;dataType=TEXT;notNull=false;primaryKey=false;table=users;unique=true"),
-        ("schema.foreign_key", 2, "column=user_id;referencesColumn=id;referencesTable=users;table=orders"), ("schema.foreign_key", 2, "column=user_id;referencesColumn=id;referencesTable=users;table=orders"), ("schema.table", 2, "columnCount=3;primaryKey=id,user_id;table=orders"),
-        ("schema.column", 2, "column=id;dataType=INT;notNull=true;primaryKey=true;table=orders;unique=false"), ("schema.column", 2, "column=user_id;dataType=INT;notNull=true;primaryKey=true;referencesTable=users;table=orders;unique=false"), ("schema.column", 2, "column=amount;dataType=DECIMAL;notNull=false;primaryKey=false;table=orders;unique=false"),
-        ("schema.foreign_key", 6, "column=item_id;referencesColumn=id;referencesTable=items;table=orders"),
-    )
-)
-def ddl_markers(spark, sf):
-    return _flat(config.ddl(_file(spark, _DDL)))
-
-
-@register(
-    _values(
-        ("compose.service", 2, "build=./web;service=web"), ("compose.service", 13, "image=acme/api:1;service=api"), ("compose.port_publish", 5, "allInterfaces=true;containerPort=80;hostPort=8080;protocol=tcp;service=web"), ("compose.port_publish", 6, "allInterfaces=false;containerPort=9000;hostIp=127.0.0.1;hostPort=9000;protocol=udp;service=web"),
-        ("compose.depends_on", 8, "condition=service_healthy;dependsOn=api;service=web"), ("compose.environment", 11, "secretLike=false;service=web;variable=API_URL"), ("compose.service_address", 11, "port=3000;service=web;target=api;variable=API_URL"), ("compose.environment", 12, "secretLike=true;service=web;variable=SECRET_TOKEN"),
-        ("compose.network", 13, "network=front;service=web"), ("compose.volume_mount", 17, "readOnly=true;service=api;source=data;target=/var/lib"), ("compose.network_declared", 19, "network=front"), ("compose.volume_declared", 21, "volume=data"),
-    ).replace("'compose.service', 13,", "'compose.service', 14,")
-)
-def compose_markers(spark, sf):
-    return _flat(config.compose(_file(spark, _COMPOSE)))
-
-
-_NO = "namesBuild=false;namesDeployment=false;namesTest={0}"
-
-
-@register(
-    _values(
-        ("workflow.job", 3, "job=build;runsOn=ubuntu;stepCount=2"), ("workflow.step", 6, "job=build;" + _NO.format("false") + ";uses=actions/checkout@v4"), ("workflow.step", 7, "job=build;" + _NO.format("true") + ";run=npm test;step=Run tests"),
-        ("workflow.job", 9, "job=ship;stepCount=1"), ("workflow.step", 11, "job=ship;namesBuild=false;namesDeployment=true;namesTest=false;run=./deploy.sh"), ("workflow.secret", 14, "job=ship;variable=DEPLOY_KEY"),
-    )
-)
-def workflow_markers(spark, sf):
-    return _flat(config.workflow(_file(spark, _WORKFLOW)))
-
-
-@register(
-    _values(
-        ("manifest.name", 2, "name=shop;version=1.0.0"), ("manifest.dependency", 3, "name=express;range=^4;section=dependencies"), ("manifest.dependency", 4, "name=vitest;range=1;section=devDependencies"), ("manifest.script", 5, "command=node main.js;script=start"), ("manifest.entrypoint", 6, "field=main;value=main.js"), ("manifest.workspaces", 6, "patterns=a,b"),
-    )
-)
-def manifest_markers(spark, sf):
-    return _flat(config.manifest(_file(spark, _MANIFEST)))
