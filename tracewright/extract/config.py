@@ -198,15 +198,15 @@ def _scalar(value: str) -> str:
     return value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
 
 
-def config_keys(files: DataFrame) -> DataFrame:
-    """The keys of the first two levels of YAML files."""
+def keys_of(text: str) -> Iterator[Marker]:
+    for number, path, value in yaml_rows(text):
+        if len(path) <= 2 and not path[-1].startswith("["):
+            yield "config.key", number, {"key": ".".join(path), "hasValue": str(bool(value)).lower()}
 
-    def read(text):
-        for number, path, value in yaml_rows(text):
-            if len(path) <= 2 and not path[-1].startswith("["):
-                yield "config.key", number, {"key": ".".join(path), "hasValue": str(bool(value)).lower()}
 
-    return _applied(files, read)
+def config_keys(files: DataFrame) -> DataFrame:
+    """The keys of the first two levels of YAML files."""
+    return _applied(files, keys_of)
 
 
 def _named_variable(path: tuple, value: str) -> str | None:

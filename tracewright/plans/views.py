@@ -286,3 +286,25 @@ def mermaid(view: View, kind: str = "flowchart") -> DataFrame:
 def evidence_at(evidence: DataFrame, path: str) -> DataFrame:
     """The evidence of a path, however its slashes lean."""
     return evidence.where(posix(F.col("path")) == posix(F.lit(path))).orderBy("path", "line", "id")
+
+
+#: kind -> (title, the view, the kinds of edges that it needs); what projects a graph goes by this list.
+REGISTERED = {
+    "dependency-graph": ("Dependencies", dependencies, ("imports", "re_exports", "depends_on")), "module-graph": ("Modules", modules, ("contains", "declared_in")), "class-diagram": ("Classes", classes, ("extends", "implements")),
+    "er-diagram": ("Tables", tables, ("references",)), "c4-context": ("Context", context, ()), "c4-container": ("Containers", containers, ()), "c4-component": ("Components", components, ()), "sequence": ("Sequences", sequences, ("calls",)),
+    "activity": ("Activity", activity, ("branches", "loops")), "data-flow": ("Data flow", data_flow, ("reads", "writes")), "deployment": ("Deployment", deployment, ("depends_on", "joins_network")),
+}
+
+
+def supported(edges: DataFrame) -> DataFrame:
+    """(kind, title, n_edges, sufficient): for each registered view how many edges of its kinds the graph has, and whether that is enough to draw any."""
+    counts = {r["kind"]: r["n"] for r in edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each kind of edge
+    rows = [(kind, title, n := sum(counts.get(k, 0) for k in kinds), not kinds or n > 0) for kind, (title, _, kinds) in REGISTERED.items()]
+    return edges.sparkSession.createDataFrame(rows, "kind string, title string, n_edges long, sufficient boolean")
+
+
+def project(kind: str, nodes: DataFrame, edges: DataFrame) -> View:
+    """The registered view of this kind."""
+    if kind not in REGISTERED:
+        raise ValueError(f"no view {kind!r} is registered: {', '.join(REGISTERED)}")
+    return REGISTERED[kind][1](nodes, edges)

@@ -304,4 +304,4 @@ def confidence_levels(spark, sf):
     return made.nodes(spark, sf).where("kind = 'api_endpoint'").select("id", level(F.col("rank")).alias("confidence"))
 
 
-from tracewright import queries_build, queries_code, queries_config, queries_rules, queries_view  # noqa: E402, F401, they register their queries
+from tracewright import queries_build, queries_code, queries_config, queries_rules, queries_sources, queries_view  # noqa: E402, F401, they register their queries

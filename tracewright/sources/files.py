@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.functions.order import by_folder, placed
 from tracewright.operators.graph import running_total
 
 # Languages by extension and by name; folders and files that are left out; binary files.
@@ -138,20 +139,35 @@ def classified(files: DataFrame, layers: dict[str, str] | None = None) -> DataFr
 
 
 def budgeted(files: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES, width: int = 10_000) -> tuple[DataFrame, bool]:
-    """(the listed files that fit, in the order of their ``place``, whether any didn't): no file after the first that doesn't fit."""
-    rows = running_total(files.where("listed"), "place", "byte_size", width)
-    count = running_total(rows.withColumnRenamed("total", "bytes").withColumn("one", F.lit(1)), "place", "one", width).withColumnRenamed("total", "files")
+    """(the listed files that fit, in the order of a sorted walk, whether any didn't): no file after the first that doesn't fit.
+
+    ``place`` numbers the listed files in that order (``order.placed``: ranges, not a window over all rows).
+    """
+    listed = files.where("listed")
+    listed = listed if "place" in listed.columns else placed(listed, by_folder(F.col("path")))
+    rows = running_total(listed, "place", "byte_size", width).withColumnRenamed("total", "bytes")
+    count = running_total(rows.withColumn("one", F.lit(1)), "place", "one", width).withColumnRenamed("total", "files")
     fits = (F.col("bytes") <= most_bytes) & (F.col("files") <= most_files)
     kept = count.where(fits)
     return kept, not count.where(~fits).isEmpty()
 
 
-def read(spark: SparkSession, root: str) -> DataFrame:
-    """(path, byte_size, content) of all files below a folder, by paths relative to it."""
+def read(spark: SparkSession, root: str, most_file_bytes: int = MOST_FILE_BYTES) -> DataFrame:
+    """(path, byte_size, content) of all files below a folder, by paths relative to it.
+
+    Content is null beyond ``most_file_bytes``: the size is a filter of the scan, so larger files are listed and not opened.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
     start = re.sub(r"^[a-z]+:/*", "/", root.rstrip("/"))
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), f"^{re.escape(start)}/", "")
-    return rows.select(relative.alias("path"), F.col("length").alias("byte_size"), "content")
+    small = rows.where(F.col("length") <= most_file_bytes).select(relative.alias("path"), F.col("length").alias("byte_size"), "content")
+    large = rows.where(F.col("length") > most_file_bytes).select(relative.alias("path"), F.col("length").alias("byte_size"), F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large)
+
+
+def scanned(files: DataFrame) -> DataFrame:
+    """(skip_reason, n): how many files were skipped for which reason, and how many lie in folders that are never entered."""
+    return files.groupBy(F.coalesce("skip_reason", F.lit("none")).alias("skip_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 LOG = "spark.read.text of `git log --no-merges --name-only --no-renames --format=%x1e%H%x1f%h%x1f%an%x1f%ae%x1f%aI%x1f%s`"

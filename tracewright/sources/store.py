@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from tracewright.plans.build import Graph
 
 TABLES = ("nodes", "edges", "evidence", "node_refs", "edge_refs")
+#: What else belongs to an analysis: what it had to say (seq, code, severity, message, path), and what was projected (kind, title, body).
+OTHERS = ("diagnostics", "artifacts")
+#: The orders in which tables are listed.
+ORDERS = {"nodes": ("kind", "name", "id"), "edges": ("kind", "src", "id"), "evidence": ("path", "line", "id"), "diagnostics": ("seq",), "artifacts": ("kind",)}
 ANALYSIS = "analysis_id string, name string, created_at timestamp, status string, message string, schema_version int"
 SCHEMA_VERSION = 5
 
@@ -29,10 +33,12 @@ class Store:
         fields = ANALYSIS.split(", ", 1)[1]
         self.spark.createDataFrame([row], fields).coalesce(1).write.mode("overwrite").parquet(self._at("analyses", analysis_id))
 
-    def save(self, analysis_id: str, graph: Graph, name: str = "", created_at=None) -> None:
-        """Write a graph, or write it again; it is listed once all of it is there."""
-        for table in TABLES:
-            rows = getattr(graph, table)
+    def save(self, analysis_id: str, graph: Graph, name: str = "", created_at=None, **others: DataFrame) -> None:
+        """Write a graph with its ``diagnostics`` and ``artifacts``, or write it again; it is listed once all of it is there."""
+        if set(others) - set(OTHERS):
+            raise ValueError(f"an analysis has no tables {sorted(set(others) - set(OTHERS))}")
+        for table in (*TABLES, *OTHERS):
+            rows = others.get(table) if table in OTHERS else getattr(graph, table)
             if rows is not None:
                 rows.write.mode("overwrite").parquet(self._at(table, analysis_id))
         edges = self.spark.read.parquet(self._at("edges", analysis_id))
@@ -60,6 +66,17 @@ class Store:
     def table(self, name: str, analysis_id: str) -> DataFrame:
         return self.spark.read.parquet(self._at(name, analysis_id))
 
+    def listed(self, name: str, analysis_id: str) -> DataFrame:
+        """A table in the order in which it is listed."""
+        return self.table(name, analysis_id).orderBy(*ORDERS[name])
+
+    def compared(self, first: str, second: str) -> tuple[str, str]:
+        """(base, target) of two analyses, whichever way round they are named: the older one is the base."""
+        at = {r["analysis_id"]: (r["created_at"], r["analysis_id"]) for r in self.analyses().where(F.col("analysis_id").isin(first, second)).collect()}
+        if set(at) != {first, second}:
+            raise ValueError(f"no analysis {sorted({first, second} - set(at))}")
+        return (first, second) if at[first] <= at[second] else (second, first)
+
     def graph(self, analysis_id: str) -> Graph:
         return Graph(*(self.table(t, analysis_id) for t in TABLES))
 
@@ -76,6 +93,6 @@ class Store:
         """Unlist an analysis, then drop its folders."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for table in ("analyses", *TABLES, "edges_by_src", "edges_by_dst"):
+        for table in ("analyses", *TABLES, *OTHERS, "edges_by_src", "edges_by_dst"):
             path = jvm.org.apache.hadoop.fs.Path(self._at(table, analysis_id))
             path.getFileSystem(conf).delete(path, True)
