@@ -62,3 +62,14 @@ def edge_id(src: Column, kind: Column, dst: Column) -> Column:
 
 def evidence_id(path: Column, kind: Column, line: Column, producer: Column) -> Column:
     return F.concat(F.lit("ev_"), F.substring(F.sha2(F.concat_ws(":", path, kind, line.cast("string"), producer), 256), 1, 16))
+
+
+def stable_json(given: Column) -> Column:
+    """A map of text as JSON whose keys are in order, so that equal maps give equal texts; null for null."""
+    entries = F.transform(F.array_sort(F.map_entries(given)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), F.coalesce(_quoted(e["value"]), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))
+
+
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.struct(text.alias("t"))), r'(?s)^\{"t":(.*)\}$', 1))

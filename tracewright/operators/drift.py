@@ -87,33 +87,55 @@ def compare(base, target, truncated: bool = False, rename_kind: str = "module")
     a_edges, b_edges = (_named(g.edges, g.edge_refs, g.evidence, edge_label) for g in (base, target))
     nodes = _paired(a_nodes, b_nodes, (*NODE_FIELDS, "kind"), "node")
     edges = _paired(a_edges, b_edges, EDGE_FIELDS, "edge")
-    went, came = nodes.where("b is null"), nodes.where("a is null")
-    pairs = _renamed(went.select("id", "a.*"), came.select("id", "b.*"))
-    gone = F.lit("INDETERMINATE" if truncated else "EXPLICIT")
-    none = F.lit(None).cast("string")
+    alone = nodes.where("a is null or b is null")
+    pairs = _renamed(alone.where("b is null").select("id", "a.*"), alone.where("a is null").select("id", "b.*"))
+    gone, none, here = F.lit("INDETERMINATE" if truncated else "EXPLICIT"), F.lit(None).cast("string"), F.col("a").isNotNull() & F.col("b").isNotNull()
 
-    def changes(rows, category, label, fields=None, claim=None, previous=none, unsure=False):
-        return rows.select(F.lit(category).alias("category"), "entity", "id", previous.alias("previous_id"), label.alias("label"), (F.lit("") if fields is None else fields).alias("fields"), (F.lit("EXPLICIT") if claim is None else claim).alias("claim"), F.lit(unsure).alias("indeterminate"))
+    def change(when, category, label, fields=None, claim=None, unsure=False):
+        parts = {"category": F.lit(category), "label": label, "fields": F.lit("") if fields is None else fields, "claim": F.lit("EXPLICIT") if claim is None else claim, "indeterminate": F.lit(unsure)}
+        return F.when(when, F.struct(*(v.alias(k) for k, v in parts.items())))
 
     def differing(names):
         return F.concat_ws(",", *[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit({"rank": "confidence"}.get(f, f))) for f in names])
 
-    out = [changes(pairs.withColumn("entity", F.lit("node")), "NODE_RENAMED", F.concat("old_label", F.lit(" → "), "new_label"), F.lit("path,qualified_name"), F.lit("STRONGLY_INFERRED"), F.col("previous"))]
-    out.append(changes(went.join(pairs.select(F.col("previous").alias("id")), "id", "left_anti"), "NODE_REMOVED", F.col("a.label_"), claim=gone, unsure=truncated))
-    out.append(changes(came.join(pairs.select("id"), "id", "left_anti"), "NODE_ADDED", F.col("b.label_")))
-    out.append(changes(edges.where("b is null"), "EDGE_REMOVED", F.col("a.label_"), claim=gone, unsure=truncated))
-    out.append(changes(edges.where("a is null"), "EDGE_ADDED", F.col("b.label_")))
-    for rows, category, names in ((nodes, "NODE_MODIFIED", (*NODE_FIELDS, "attributes")), (edges, "EDGE_MODIFIED", (*EDGE_FIELDS, "attributes"))):
-        both = rows.where("a is not null and b is not null")
-        out.append(changes(both.withColumn("fields", differing(names)).where("fields <> ''"), category, F.col("b.label_"), F.col("fields")))
-        out.append(changes(both.where("a.cited <> b.cited"), "EVIDENCE_CHANGED", F.col("b.label_"), F.lit("evidence")))
-        out.append(changes(both.where("a.rank_ <> b.rank_"), "CONFIDENCE_CHANGED", F.col("b.label_"), F.lit("confidence")))
-    at = F.concat_ws(":", "path", F.col("line").cast("string"))
-    for rows, others, category in ((base.evidence, target.evidence, "EVIDENCE_REMOVED"), (target.evidence, base.evidence, "EVIDENCE_ADDED")):
-        alone = rows.join(others.select("id"), "id", "left_anti").withColumn("entity", F.lit("evidence"))
-        left = category == "EVIDENCE_REMOVED"
-        out.append(changes(alone, category, at, claim=gone if left else None, unsure=truncated and left))
-    return reduce(DataFrame.unionByName, out)
+    def changed(rows, name, names=()):
+        """All changes of an entity in one pass over the pairs."""
+        label = F.coalesce("b.label_", "a.label_") if names else F.coalesce("b.label", "a.label")
+        every = [change(F.col("b").isNull(), f"{name}_REMOVED", label, claim=gone, unsure=truncated), change(F.col("a").isNull(), f"{name}_ADDED", label)]
+        if names:
+            every += [
+                change(here & (differing(names) != ""), f"{name}_MODIFIED", label, differing(names)),
+                change(here & (F.col("a.cited") != F.col("b.cited")), "EVIDENCE_CHANGED", label, F.lit("evidence")),
+                change(here & (F.col("a.rank_") != F.col("b.rank_")), "CONFIDENCE_CHANGED", label, F.lit("confidence")),
+            ]
+        rows = rows.select("entity", "id", F.explode(F.filter(F.array(*every), lambda c: c.isNotNull())).alias("c"))
+        return rows.select("c.category", "entity", "id", none.alias("previous_id"), "c.label", "c.fields", "c.claim", "c.indeterminate")
+
+    at = F.struct(F.concat_ws(":", "path", F.col("line").cast("string")).alias("label"))
+    cited = base.evidence.select("id", at.alias("a")).join(target.evidence.select("id", at.alias("b")), "id", "full_outer").withColumn("entity", F.lit("evidence"))
+    moved = pairs.select(F.lit("NODE_RENAMED").alias("category"), F.lit("node").alias("entity"), "id", F.col("previous").alias("previous_id"), F.concat("old_label", F.lit(" → "), "new_label").alias("label"), F.lit("path,qualified_name").alias("fields"), F.lit("STRONGLY_INFERRED").alias("claim"), F.lit(False).alias("indeterminate"))
+    settled = pairs.select("id", F.lit("NODE_ADDED").alias("category")).unionByName(pairs.select(F.col("previous").alias("id"), F.lit("NODE_REMOVED").alias("category")))
+    of_nodes = changed(nodes, "NODE", (*NODE_FIELDS, "attributes")).join(settled, ["id", "category"], "left_anti").select(moved.columns)
+    return reduce(DataFrame.unionByName, [moved, of_nodes, changed(edges, "EDGE", (*EDGE_FIELDS, "attributes")), changed(cited, "EVIDENCE")])
+
+
+def incomparable(base: dict, target: dict) -> str | None:
+    """Why two snapshots (extractor_version, schema_version) can't be compared; None where they can."""
+    for field, what in (("extractor_version", "extractor"), ("schema_version", "graph schema")):
+        if base.get(field) != target.get(field):
+            return f"the {what} versions differ: {base.get(field)} and {target.get(field)}"
+    return None
+
+
+def snapshots(base, target, base_of: dict, target_of: dict, truncated: bool = False) -> tuple[dict, DataFrame | None]:
+    """(what is said before any change: comparable, reason, identical; the changes).
+
+    There are no changes to look for, and none are computed, where the snapshots can't be compared or have one digest.
+    """
+    reason = incomparable(base_of, target_of)
+    identical = reason is None and base_of.get("digest") is not None and base_of.get("digest") == target_of.get("digest")
+    head = {"comparable": reason is None, "reason": reason, "identical": identical, "target_incomplete": truncated, "removal_confidence": "INDETERMINATE" if truncated else "EXPLICIT"}
+    return head, None if reason or identical else compare(base, target, truncated)
 
 
 def _renamed(went: DataFrame, came: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ Edges are rows (src, kind, dst, rank, ...), nodes (id, kind, name, rank). All of
 it is joins and map-side combined aggregations on ids, which AQE splits on hot ids.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +55,46 @@ def find_nodes(nodes: DataFrame, kind: str | None = None, confidence: str | None
     if confidence:
         nodes = nodes.where(level(F.col("rank")) == confidence)
     if q:
-        nodes = nodes.where(F.lower("name").contains(q.lower()))
+        nodes = nodes.where(_mentions(nodes, q))
     return nodes.orderBy("id").limit(min(max(limit, 1), 5000))
 
 
+def _mentions(nodes: DataFrame, q: str) -> Column:
+    """Whether a node's name, qualified name or path holds a text, whatever its case."""
+    said = [F.coalesce(F.lower(c).contains(q.lower()), F.lit(False)) for c in ("name", "qualified_name", "path") if c in nodes.columns]
+    return reduce(Column.__or__, said)
+
+
+def query(nodes: DataFrame, edges: DataFrame, kind: str | None = None, confidence: str | None = None, q: str | None = None, edge_kind: str | None = None, limit: int = 500, edge_limit: int = 1000) -> dict[str, DataFrame]:
+    """A part of a graph: ``nodes``, the ``edges`` between them, and ``totals`` (nodes, edges, matching, truncated), one row.
+
+    Edges whose ends aren't both among the nodes shown are left out; both are limited in the order of ids.
+    """
+    matching = nodes
+    if kind:
+        matching = matching.where(F.col("kind") == kind)
+    if confidence:
+        matching = matching.where(level(F.col("rank")) == confidence)
+    if q:
+        matching = matching.where(_mentions(nodes, q))
+    shown = matching.orderBy("id").limit(limit)
+    inside = guard(edges if edge_kind is None else edges.where(F.col("kind") == edge_kind), shown).orderBy("id").limit(edge_limit)
+    count = lambda rows, name: rows.agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
+    totals = count(nodes, "nodes").join(count(edges, "edges"), "one").join(count(matching, "matching"), "one")
+    return {"nodes": shown, "edges": inside, "totals": totals.select("nodes", "edges", "matching", (F.col("matching") > limit).alias("truncated"))}
+
+
+def detail(graph, node: str) -> dict[str, DataFrame]:
+    """A node with what it cites and the edges at it."""
+    cited = graph.node_refs.where(F.col("id") == node).select("evidence")
+    return {"node": graph.nodes.where(F.col("id") == node), "evidence": graph.evidence.join(cited, graph.evidence["id"] == cited["evidence"]).drop("evidence").orderBy("path", "line", "id"), "edges": neighbourhood(graph.edges, node)}
+
+
+def explicit_share(rows: DataFrame) -> DataFrame:
+    """(n, share): how many rows there are and the part of them that is explicit; 0 of none."""
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.count_if(F.col("rank") == 3), F.count(F.lit(1))), F.lit(0.0)).cast("double").alias("share"))
+
+
 def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
     """The edges at a node with their direction and other end."""
     out = edges.where(F.col("src") == node).select("id", "kind", F.lit("out").alias("direction"), F.col("dst").alias("other"))

@@ -36,6 +36,20 @@ def lineage(edges: DataFrame, start: str, downstream: bool = True, depth: int =
     return reduce(DataFrame.unionByName, rounds), more
 
 
+def usage(edges: DataFrame, node: str) -> DataFrame:
+    """(read, write, unclassified): the data edges at a node by what they do."""
+    at = edges.where(F.col("kind").isin(*DATA_KINDS) & ((F.col("src") == node) | (F.col("dst") == node)))
+    done = F.coalesce(F.col("attributes")["operation"], F.lit(""))
+    return at.agg(F.count_if(done == "read").alias("read"), F.count_if(done == "write").alias("write"), F.count_if(~done.isin("read", "write")).alias("unclassified"))
+
+
+def message_totals(messages: DataFrame, edges: DataFrame) -> DataFrame:
+    """(entry, calls, returns, responses, errors) of the messages of ``sequence``: a return over HTTP is a response, a throw an error."""
+    http = edges.where("kind = 'returns'").where(F.coalesce(F.col("attributes")["httpResponse"], F.lit("")) == "true").select("id", F.lit(True).alias("http"))
+    rows = messages.join(http, "id", "left")
+    return rows.groupBy("entry").agg(F.count_if(F.col("kind") == "calls").alias("calls"), F.count_if((F.col("kind") == "returns") & F.col("http").isNull()).alias("returns"), F.count_if(F.col("http")).alias("responses"), F.count_if(F.col("kind") == "throws").alias("errors"))
+
+
 def cycles(edges: DataFrame, longest: int = 64, most: int = 20) -> tuple[DataFrame, bool]:
     """(the first ``most`` simple cycles by length and key, whether there may be more): length, key.
 

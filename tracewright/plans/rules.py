@@ -343,6 +343,11 @@ def attributed(services: DataFrame, modules: DataFrame) -> tuple[DataFrame, Data
 
 # -- verification: records only, nothing is run
 
+def asks_for_health(path: Column) -> Column:
+    """Whether a path is one that health checks ask."""
+    return F.coalesce(path.rlike(r"(?i)/(health|healthz|readyz|livez|ping|status)\b"), F.lit(False))
+
+
 def verification_status(outcome: Column) -> Column:
     """Only a run that succeeded verifies; one that failed, timed out, was blocked or never ran leaves it unknown."""
     return F.when(outcome == "succeeded", "VERIFIED").otherwise("UNKNOWN")

@@ -7,6 +7,7 @@ from tracewright.operators.graph import guard
 from tracewright.plans import estate
 from tracewright.plans.build import Builder, merged_edges, merged_nodes
 from tracewright.registry import register
+from tracewright.storage import stored_table
 
 # @k@, @a@ and @b@ stand for numbers of customers.
 _TS = r"""import { c@a@ as other } from "./f@a@.js";
@@ -177,7 +178,7 @@ def code_graph(spark, sf):
     """From sources to a graph: imports, calls, heritage and routes whose ends are known."""
     sources = _sources(spark, sf)
     files = sources.select("path", "language", F.sha2("text", 256).alias("digest"), F.lit(True).alias("analyzable"), F.lit(0).cast("long").alias("seq"))
-    rules = Builder(spark, {"files": files, **_facts(spark, sf)})
+    rules = Builder(spark, {"files": files, **code.tables(stored_table(code.facts(sources), "facts"))})  # parsed once, though several rules read them
     nodes = merged_nodes(rules.modules()[0].unionByName(rules.entities()[0]).unionByName(rules.routes()[0]))
     observed = rules.imports()[1].where("kind = 'imports'").unionByName(rules.calls()).unionByName(rules.inheritance()).unionByName(rules.routes()[1].where("kind = 'calls'"))
     return guard(merged_edges(observed), nodes).select("id", "rank")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import graph, traverse
 from tracewright.plans import deploy, estate, rules, views
 from tracewright.queries_view import _G, _RUN, _steps_sql
 from tracewright.registry import register
@@ -199,3 +200,27 @@ def verification_latest(spark, sf):
 def image_families(spark, sf):
     image = F.col("attributes")["image"]
     return _graph(spark, sf)[0].where("kind = 'deployment_component'").groupBy(image.alias("image")).agg(F.first(views.family(image)).alias("family"), F.count(F.lit(1)).alias("n"))
+
+
+@register(f"{_G}, m AS (SELECT id FROM nodes WHERE kind = 'function' AND (contains(lower(name), 'm1') OR contains(lower(coalesce(qualified_name, '')), 'm1') OR contains(lower(coalesce(path, '')), 'm1'))), shown AS (SELECT id FROM m ORDER BY id LIMIT 30) SELECT id FROM (SELECT id FROM edges WHERE kind = 'calls' AND src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown) ORDER BY id LIMIT 20)")
+def graph_query_edges(spark, sf):
+    """Edges between the nodes that a query shows."""
+    return graph.query(*_graph(spark, sf), kind="function", q="M1", edge_kind="calls", limit=30, edge_limit=20)["edges"].select("id")
+
+
+@register(f"{_G}, m AS (SELECT id FROM nodes WHERE kind = 'function' AND rank = 3 AND (contains(lower(name), 'src/n1') OR contains(lower(coalesce(qualified_name, '')), 'src/n1') OR contains(lower(coalesce(path, '')), 'src/n1'))) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, count(*) AS matching, count(*) > 7 AS truncated FROM m")
+def graph_query_totals(spark, sf):
+    return graph.query(*_graph(spark, sf), kind="function", confidence="EXPLICIT", q="SRC/N1", limit=7)["totals"]
+
+
+@register(f"{_G} SELECT count(*) AS n, count(*) FILTER (rank = 3) / count(*) AS share FROM edges")
+def graph_explicit_share(spark, sf):
+    return graph.explicit_share(_graph(spark, sf)[1])
+
+
+@register(f"{_G} SELECT count(*) FILTER (kind = 'reads') AS read, count(*) FILTER (kind = 'writes') AS write, count(*) FILTER (kind NOT IN ('reads', 'writes')) AS unclassified FROM edges WHERE kind IN ('reads', 'writes', 'produces', 'consumes', 'transforms', 'communicates_with') AND 'table:p7' IN (src, dst)")
+def lineage_usage(spark, sf):
+    """What is done with a table; here the kind of an edge says what its operation is."""
+    nodes, edges = _graph(spark, sf)
+    operation = F.when(F.col("kind") == "reads", F.create_map(F.lit("operation"), F.lit("read"))).when(F.col("kind") == "writes", F.create_map(F.lit("operation"), F.lit("write"))).otherwise(F.col("attributes"))
+    return traverse.usage(edges.withColumn("attributes", operation), "table:p7")

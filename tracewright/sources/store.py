@@ -89,6 +89,16 @@ class Store:
     def incoming(self, analysis_id: str, node_id: str) -> DataFrame:
         return self.table("edges_by_dst", analysis_id).where(F.col("dst") == node_id)
 
+    def export(self, analysis_id: str, path: str) -> None:
+        """Write the graph as JSON lines, a folder a table; rows of a table are in its order within each file."""
+        for table in ("nodes", "edges", "evidence"):
+            self.table(table, analysis_id).sortWithinPartitions(*ORDERS[table]).write.mode("overwrite").json(f"{path.rstrip('/')}/{table}")
+
+    def summary(self, analysis_id: str) -> DataFrame:
+        """(what, kind, n): nodes and edges by kind, most first."""
+        counted = [self.table(t, analysis_id).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("what"), "kind", "n") for t in ("nodes", "edges")]
+        return counted[0].unionByName(counted[1]).orderBy(F.desc("what"), F.desc("n"), "kind")
+
     def delete(self, analysis_id: str) -> None:
         """Unlist an analysis, then drop its folders."""
         jvm = self.spark.sparkContext._jvm
