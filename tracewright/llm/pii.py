@@ -18,7 +18,9 @@ give equal results; an empty table
 gives an empty result; other columns pass through untouched, and only ``text``
 (and ``n_chars`` where there is one) changes; with ``report`` columns that are
 called like its two columns are replaced by them. A dotted number after "version"
-or "v" is no address. A secret after a colon needs a digit if it isn't quoted.
+or "v" is no address; ten digits without separators are a telephone number only behind a word that
+says so. An unquoted secret after a colon has a digit, or eight characters and a name that is a
+password's, token's or API key's.
 
 The key comes from the caller. The query takes ``spark.tracewright.pseudonym.key``
 of the session or, where that is unset, draws a key for the run, so that pseudonyms
@@ -29,6 +31,7 @@ import bisect
 
 import datetime
 import hmac
+import ipaddress
 import re
 import secrets
 from collections.abc import Callable
@@ -46,29 +49,40 @@ ROUNDS = 8
 LONGEST = 128
 KINDS = ("email", "secret", "iban", "card", "ssn", "ip", "phone", "date")
 
-_EMAIL_END = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}")
+_EMAIL_END = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_NAMED = r"(?i)(?<![a-z0-9])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s*"
-_NAMES = ("token", "secret", "passwd", "password", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key")
+_NAME = r"(?:token|secret|passwd|password|passphrase|pwd|(?<![a-z])pass|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key|[_-]key)s?"
+_NAMED = rf"(?i)(?<![a-z0-9])[a-z0-9_.-]{{0,40}}?{_NAME}[\"']?\s*"
+_SURE = r"(?i)(?<![a-z0-9])[a-z0-9_.-]{0,40}?(?:token|passwd|password|passphrase|pwd|api[_-]?key)[\"']?\s*"
+#: Words that say something about a password rather than being one.
+_SAID = "required|optional|mandatory|necessary|invalid|incorrect|expired|forgotten|mismatch|disabled|enabled|changed|updated|protected|unknown|redacted|undefined"
+_NAMES = ("token", "secret", "pass", "pwd", "credential", "key")
+_SHAPES = ("gh[pousr]_", "github_pat_", "xox[abposr]-", "AIza", "npm_", "eyJ", "[rs]k_(?:live|test)_", "sk-(?:proj-|ant-)?", "glpat-", "hf_")
+_SIGNS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "xox", "aiza", "npm_", "eyj", "k_live_", "k_test_", "sk-", "glpat-", "hf_")
 #: Secrets as (what a text with one has in it in lower case, pattern whose last group is permuted, whether it is an upper-case key id).
 _SECRETS = (
     (("private key-----",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----([\s\S]*?)-----END [A-Z ]*PRIVATE KEY-----"), False),
     (("akia", "asia", "abia", "acca"), re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ABIA|ACCA)([0-9A-Z]{16})(?![A-Za-z0-9])"), True),
-    (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "aiza", "npm_", "eyj"), re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|xox[abposr]-|AIza|npm_|eyJ)([A-Za-z0-9_.-]{16,})"), False),
+    (_SIGNS, re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(_SHAPES)})([A-Za-z0-9_.-]{{16,}})"), False),
     (("bearer",), re.compile(r"(?<![A-Za-z0-9])[Bb]earer\s+([A-Za-z0-9._~+/-]{16,}=*)"), False),
-    (_NAMES, re.compile(_NAMED + r"[:=]\s*(?:\"([^\"\n]+)\"|'([^'\n]+)')"), False),
+    (("basic",), re.compile(r"(?i)authorization[\"']?\s*[:=]\s*[\"']?basic\s+([A-Za-z0-9+/]{6,}=*)"), False),
+    (("://",), re.compile(r"(?i)(?<![a-z0-9])[a-z][a-z0-9+.-]{1,20}://[^\s/:@]*:([^\s/@]+)@"), False),
+    (_NAMES, re.compile(_NAMED + r"[:=]\s*(?:\"((?:[^\"\\\n]|\\.)+)\"|'((?:[^'\\\n]|\\.)+)')"), False),
     (_NAMES, re.compile(_NAMED + r"=\s*([^\s\"',;]{6,})"), False),
     (_NAMES, re.compile(_NAMED + r":\s*(?=[^\s\"',;\d]*\d)([^\s\"',;]{6,})"), False),
+    (_NAMES, re.compile(_SURE + rf":\s*(?!(?:{_SAID})\b)([^\s\"',;]{{8,}})"), False),
 )
 _VERSION = re.compile(r"(?i)(?<![a-z])(?:v|ver|version|release)[.:=]?\s*\Z")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
-_GROUP_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30}|[a-z]{2}\d{2}(?:[ -]?[a-z0-9]){11,30}))")
+_GROUP_END = re.compile(r"(?<=[A-Za-z0-9])(?![A-Za-z0-9])")
 _CARD = re.compile(r"(?<!\d)\d(?:[ -]?\d){12,}")
 _CARD_START = re.compile(r"[3-6]|2[2-7]")
 _DIGITS = re.compile(r"\d+")
 _SSN = re.compile(r"(?<![\d-])(?!000|666|9)(\d{3})([- ])(?!00)(\d\d)\2(?!0000)(\d{4})(?![\d-])")
 _IP = re.compile(r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\.?\d)")
 _NANP = re.compile(r"(?<![\d+])(?:\+?1[ .-]?)?(?:\(([2-9]\d\d)\) ?|([2-9]\d\d)[ .-])([2-9]\d\d)[ .-](\d{4})(?!\d)")
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}(?![\w:])")
+_CALLED = re.compile(r"(?i)(?<![a-z])(?:phone|tel|telephone|mobile|cell|call|fax|whatsapp|text)\W{0,3}(?:(?:number|no|me|us|at|is|on)\W{1,3}){0,3}([2-9]\d\d[2-9]\d{6})(?!\d)")
 _WORLD = re.compile(r"(?<![\d+])\+(?!1[ .(-]?\(?[2-9]\d\d)[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d)")
 _DATE = re.compile(r"(?<![\d/.-])(?:(\d{4})([-/.])(\d\d?)\2(\d\d?)|(\d\d?)([-/.])(\d\d?)\6(\d{4}))(?![\d/-]|\.\d)")
 _DIGIT = re.compile(r"\d")
@@ -153,13 +167,13 @@ def _is_iban(flat: str) -> bool:
 
 
 def iban(value: str, key: bytes) -> str | None:
-    flat = value.replace(" ", "")
+    flat = re.sub("[ -]", "", value).upper()
     if not _is_iban(flat):
         return None
     body = by_class(flat[4:], b"iban" + flat[:2].encode(), key)
     new = flat[:2] + f"{98 - _mod97(flat[:2], '00', body):02d}" + body
-    it = iter(new)
-    return "".join(c if c == " " else next(it) for c in value)
+    it = iter(new if value[0].isupper() else new.lower())
+    return "".join(c if c in " -" else next(it) for c in value)
 
 
 def ssn(value: str, key: bytes) -> str | None:
@@ -173,8 +187,22 @@ def ip(value: str, key: bytes) -> str | None:
     return ".".join(map(str, permuted_digits([int(x) for x in value.split(".")], [256] * 4, b"ip", key)))
 
 
+def ip6(value: str, key: bytes) -> str | None:
+    """Hexadecimal digits to such digits, colons stay; fewer than three groups (``::1``, or names with a scope) are left."""
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    digits = value.replace(":", "").lower()
+    if len([g for g in value.split(":") if g]) < 3:
+        return None
+    it = iter(_within("0123456789abcdef", digits, b"ip6", key))
+    new = "".join(c if c == ":" else next(it) for c in value)
+    return new.upper() if value.isupper() else new
+
+
 def phone(value: str, key: bytes) -> str | None:
-    m = _NANP.fullmatch(value)
+    m = _NANP.fullmatch(value) or re.fullmatch(r"([2-9]\d\d)()([2-9]\d\d)(\d{4})", value)
     if not m:
         digits = re.sub(r"\D", "", value)
         if not 8 <= len(digits) <= 15:
@@ -268,7 +296,7 @@ def _ibans(text: str):
         a, b = m.span(1)
         ends = [e.start() for e in _GROUP_END.finditer(text, a, min(b + 1, len(text))) if e.start() <= b]
         for end in reversed(ends):
-            if _is_iban(text[a:end].replace(" ", "")):
+            if _is_iban(re.sub("[ -]", "", text[a:end]).upper()):
                 yield a, end
                 break
 
@@ -306,6 +334,9 @@ def found(text: str) -> list[tuple[float, int, int, str, Callable]]:
         out += [(order["card"] + doubt / 4 if doubt < 3 else float(len(KINDS)), a, b, "card", card) for a, b, doubt in _cards(text)]
         for kind, pattern, make in (("ssn", _SSN, ssn), ("ip", _IP, ip), ("phone", _NANP, phone), ("phone", _WORLD, phone), ("date", _DATE, date)):
             out += [(order[kind], *m.span(), kind, make) for m in pattern.finditer(text) if kind != "ip" or not _VERSION.search(text, max(0, m.start() - 12), m.start())]
+        out += [(order["phone"], *m.span(1), "phone", phone) for m in _CALLED.finditer(text)]
+    if text.count(":") > 1:
+        out += [(order["ip"], *m.span(), "ip", ip6) for m in _IP6.finditer(text)]
     return out
 
 
