@@ -6,7 +6,7 @@ from tracewright.functions.identity import edge_id
 from tracewright.operators import graph
 from tracewright.plans import facts as made
 from tracewright.plans.build import Builder, merged_edges, merged_nodes
-from tracewright.registry import register
+from tracewright.registry import SQL, register
 
 _SLUG = "lower({})"  # the names of these facts need no more
 _SYM = f"""sym AS (SELECT name, arg_min(target, seq) AS target, arg_min(kind, seq) AS kind, arg_min(path, seq) AS file FROM (
@@ -145,3 +145,40 @@ def build_responses(spark, sf):
 @register(f"""{_facts('entities', 'calls', 'routes')}, {_SYM}, {_CALLS}, handled AS ({_HANDLED}) SELECT DISTINCT c.owner || '|tests|' || h.endpoint AS id, 2 AS rank FROM calls_in c JOIN handled h USING (target) WHERE c.owner LIKE 'module:test/%'""")
 def build_test_links(spark, sf):
     return _edges(_builder(spark, sf).tested())
+
+
+_WHOLE = f"""SELECT id FROM ({{build_inheritance}}) UNION ALL SELECT id FROM ({{build_imports}}) UNION ALL SELECT id FROM ({{build_calls}}) UNION ALL SELECT id FROM ({{build_routes}}) UNION ALL SELECT {_MODULE.format('path')} || '|declares_schema|table:' || tbl FROM ({made.SQL['tables']}) UNION ALL SELECT 'table:' || tbl || '|references|table:' || to_tbl FROM ({made.SQL['keys']}) UNION ALL SELECT id FROM ({{build_sql_access}})
+UNION ALL SELECT id FROM ({{build_conditions}}) UNION ALL SELECT id FROM ({{build_git}}) UNION ALL SELECT id FROM ({{build_returns}}) UNION ALL SELECT id FROM ({{build_throws}}) UNION ALL SELECT id FROM ({{build_responses}}) UNION ALL SELECT id FROM ({{build_test_links}})
+UNION ALL SELECT 'repository:repository|contains|' || {_MODULE.format('path')} FROM ({made.SQL['files']}) UNION ALL SELECT {_MODULE.format('path')} || '|contains|' || kind || ':' || lower(qualified_name) FROM ({made.SQL['entities']})"""
+_ENDS = f"""SELECT 'repository:repository' AS id UNION SELECT id FROM ({{build_modules}}) UNION SELECT id FROM ({{build_entities}}) UNION SELECT 'api_endpoint:get-' || lower(route) FROM ({made.SQL['routes']}) UNION SELECT id FROM ({{build_tables}}) UNION SELECT 'package:' || specifier FROM ({made.SQL['imports']}) WHERE is_external
+UNION SELECT split_part(id, '|', 3) FROM ({{build_conditions}}) UNION SELECT split_part(id, '|', 1) FROM ({{build_git}}) WHERE id NOT LIKE 'repository:%' UNION SELECT split_part(id, '|', 3) FROM ({{build_git}}) WHERE id LIKE 'contributor:%'"""
+
+
+def _built(sql):
+    return sql.format(**{n: SQL[n] for n in SQL if n.startswith("build_")})
+
+
+@register(f"WITH every AS ({_built(_WHOLE)}), ends AS ({_built(_ENDS)}) SELECT split_part(id, '|', 2) AS kind, count(DISTINCT id) AS n FROM every WHERE split_part(id, '|', 1) IN (SELECT id FROM ends) AND split_part(id, '|', 3) IN (SELECT id FROM ends) GROUP BY ALL")
+def build_graph(spark, sf):
+    """All rules together: observed once, merged, guarded; the edges of each kind."""
+    return _builder(spark, sf).graph().edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(f"WITH ends AS ({_built(_ENDS)}) SELECT split_part(id, ':', 1) AS kind, count(*) AS n FROM ends GROUP BY ALL")
+def build_graph_nodes(spark, sf):
+    return _builder(spark, sf).graph().nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COUNTED = {
+    "files": f"SELECT count(*) FROM ({made.SQL['files']}) WHERE analyzable", "modules": f"SELECT count(*) FROM ({made.SQL['files']}) WHERE analyzable", "entities": f"SELECT count(*) FROM ({made.SQL['entities']})", "imports": f"SELECT count(*) FROM ({made.SQL['imports']})",
+    "resolvedInternalImports": f"SELECT count(*) FROM ({_facts('files', 'imports')}, {_RESOLVED} SELECT * FROM resolved WHERE found IS NOT NULL)", "externalDependencies": f"SELECT count(*) FROM ({_facts('files', 'imports')}, {_RESOLVED} SELECT * FROM resolved WHERE found IS NULL AND is_external)",
+    "resolvedCalls": f"SELECT count(*) FROM ({_facts('entities', 'calls')}, {_SYM}, {_CALLS} SELECT * FROM calls_in WHERE owner <> target)", "unresolvedCalls": f"SELECT (SELECT count(*) FROM ({made.SQL['calls']})) - count(*) FROM ({_facts('entities', 'calls')}, {_SYM}, {_CALLS} SELECT * FROM calls_in WHERE owner <> target)",
+    "apiEndpoints": f"SELECT count(*) FROM ({made.SQL['routes']})", "tables": f"SELECT count(*) FROM ({made.SQL['tables']})", "tests": "SELECT 0", "commits": f"SELECT count(*) FROM ({made.SQL['commits']})", "contributors": f"SELECT count(DISTINCT lower(email)) FROM ({made.SQL['commits']})",
+}
+
+
+@register(" UNION ALL ".join(f"SELECT '{k}' AS counter, ({v})::BIGINT AS n" for k, v in _COUNTED.items()))
+def build_counters(spark, sf):
+    """What the build read and resolved, counted as it wrote."""
+    found = _builder(spark, sf).graph().counters
+    return spark.createDataFrame(list(found.items()), "counter string, n bigint")
