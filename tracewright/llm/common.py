@@ -5,6 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,14 @@ def matrices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, np.ndarray
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
         yield int(d), at, values.reshape(len(sizes), d) if len(at) == len(sizes) else values[starts[at][:, None] + np.arange(d)]
+
+
+def sliced(batch: pa.RecordBatch, texts: list[str | int], rows: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``rows`` rows and ``most_bytes`` of the texts in these columns, or one row."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in texts))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        n = int(np.clip(np.searchsorted(ends, before + most_bytes, side="right") - at, 1, rows))
+        yield batch.slice(at, n)
+        at += n

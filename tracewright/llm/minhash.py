@@ -50,11 +50,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import sliced, stored, table
 from .hashing import counted, mix, shingles, word_hashes
 
 WIDTH = 5
@@ -151,24 +150,13 @@ def similarities(left: list[bytes], right: list[bytes]) -> list[tuple[float, flo
     return out
 
 
-def _slices(batch: pa.RecordBatch, *texts: str):
-    """The batch in slices of at most ``CHUNK`` rows and ``CHUNK_BYTES`` of texts, or one row."""
-    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in texts))
-    at = 0
-    while at < batch.num_rows:
-        before = ends[at - 1] if at else 0
-        n = int(np.clip(np.searchsorted(ends, before + CHUNK_BYTES, side="right") - at, 1, CHUNK))
-        yield batch.slice(at, n)
-        at += n
-
-
 def _bytes(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
 def _band_rows(batches):
     for batch in batches:
-        for part in _slices(batch, "text"):
+        for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             kept, text = signatures(_bytes(part.column("text")))
             keys = band_keys(kept)
             node = np.repeat(part.column("node").to_numpy()[text], keys.shape[1])
@@ -177,7 +165,7 @@ def _band_rows(batches):
 
 def _verified(batches):
     for batch in batches:
-        for part in _slices(batch, "a_text", "b_text"):
+        for part in sliced(batch, ["a_text", "b_text"], CHUNK, CHUNK_BYTES):
             got = similarities(_bytes(part.column("a_text")), _bytes(part.column("b_text")))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([max(g) for g in got], pa.float64())], ["a", "b", "similar"])
 
@@ -197,7 +185,7 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _text_rows(batches):
     for batch in batches:
-        for part in _slices(batch, "text"):
+        for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             size, total, bits = sketches(_bytes(part.column("text")))
             columns = [part.column("node"), part.column("text"), pa.array(size), pa.array(total), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "text", "size", "total", *_BITS])
@@ -304,7 +292,7 @@ def _by_pivots(members: DataFrame, comps: DataFrame, done: DataFrame, texts: Dat
 
 def _shingle_rows(batches):
     for batch in batches:
-        for part in _slices(batch, "text"):
+        for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             value, owner, weight = counted(*shingles(*word_hashes(_bytes(part.column("text"))), WIDTH))
             size, total = np.bincount(owner, minlength=part.num_rows)[owner], np.bincount(owner, weight, part.num_rows)[owner]
             node = part.column("node").to_numpy()[owner]

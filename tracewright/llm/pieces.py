@@ -27,9 +27,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import sliced, table
 
 MODEL = "piece_bpe_32k.model"
+#: Texts, and bytes of text, whose ids and spans are held at a time (a longer text alone).
+AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
 _SPACE = "▁".encode()
 
 
@@ -185,8 +187,7 @@ def _with(df: DataFrame, add, fields: str) -> DataFrame:
         pieces = _loaded(shared.value)
         for batch in batches:
             # a few texts at a time: ids and spans of many long texts needn't be held together
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in sliced(batch, [0], AT_ONCE, BYTES_AT_ONCE):
                 rows = [add(pieces, *got) for got in pieces.encode([t or "" for t in part.column(0).to_pylist()])]
                 columns = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*kept, *new.names])
