@@ -386,12 +386,19 @@ HARD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c d e f g "
 
 
 @pytest.mark.parametrize("rows", [HARD, []], ids=["hard", "empty"])
-@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n != "op3_warc"))
+@pytest.mark.parametrize("name", sorted(n for n in queries.queries() if n not in ("op3_warc", "op11_whitening", "op12_hard_negatives", "op13_main_text")))
 def test_hard_and_empty_tables(spark, tmp_path, name, rows):
     spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS kept", "1 AS node").write.parquet(str(tmp_path / "documents.parquet"))
     assert len(queries.queries()[name](spark, str(tmp_path)).collect()) == len(rows)
 
 
+@pytest.mark.parametrize("name", ["op3_warc", "op11_whitening", "op12_hard_negatives", "op13_main_text"])
+def test_empty_tables_of_pages_and_vectors(spark, tmp_path, name):
+    spark.createDataFrame([], "page_id bigint, url string, html string, payload_digest string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int, rank int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert queries.queries()[name](spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize(
     ("text", "hidden"),
     [
