@@ -10,7 +10,7 @@ from tracewright.extract import code, functions
 from tracewright.functions.order import by_folder, placed, shown
 from tracewright.plans import deploy, views
 from tracewright.plans.shapes import EDGE, NODE, Graph, edges_of, merged_edges, merged_nodes, nodes_of
-from tracewright.sources import blame, files
+from tracewright.sources import blame, files, tarball
 from tracewright.sources.store import Store
 from tracewright.streaming import graph as streams
 
@@ -149,6 +149,39 @@ def test_views_by_their_kind(spark):
         views.project("pie", nodes, edges)
 
 
+def test_archives_of_any_store(spark, tmp_path):
+    import io
+    import tarfile
+
+    def archive(name, entries, mode="w:gz"):
+        with tarfile.open(tmp_path / name, mode) as t:
+            for path, data in entries:
+                info = tarfile.TarInfo(path)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+
+    archive("a.tgz", [("x/a.ts", b"one"), ("b.ts", b"")])
+    archive("bad.tar", [("ok.ts", b"1"), ("../up.ts", b"2")], "w")
+    (tmp_path / "z.zip").write_bytes(b"PK\x03\x04rest")
+    (tmp_path / "big.tgz").write_bytes(b"\x1f\x8b" + b"0" * 30_000)
+    got = {(r["archive"].rsplit("/", 1)[-1], r["path"]): (r["byte_size"], r["content"] and bytes(r["content"]), r["refused"] is not None) for r in tarball.read(spark, str(tmp_path), most_bytes=20_000).collect()}
+    assert got == {("a.tgz", "x/a.ts"): (3, b"one", False), ("a.tgz", "b.ts"): (0, b"", False), ("bad.tar", None): (None, None, True), ("z.zip", None): (None, None, True), ("big.tgz", None): (None, None, True)}
+
+
+def test_a_long_log_is_read_record_by_record(spark, tmp_path):
+    record = lambda k: f"\x1e{k:040x}\x1f{k:07x}\x1fA\x1fa{k % 3}@X.org\x1f2026-01-{k % 28 + 1:02}T00:00:00+00:00\x1fdo {k}\n\nsrc/f{k}.ts\nb.ts\n"
+    (tmp_path / "log.txt").write_text("".join(record(k) for k in range(500)))
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = files.read_log(spark, str(tmp_path))
+        got = rows.orderBy("seq").collect()
+        assert rows.rdd.getNumPartitions() > 3 and [r["subject"] for r in got] == [f"do {k}" for k in range(500)]
+        assert got[7]["files"] == ["src/f7.ts", "b.ts"] and got[7]["ts"].day == 8 and files.contributors(rows).first()["n"] == 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+
+
 # Deployment
 
 

@@ -170,16 +170,21 @@ def scanned(files: DataFrame) -> DataFrame:
     return files.groupBy(F.coalesce("skip_reason", F.lit("none")).alias("skip_reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LOG = "spark.read.text of `git log --no-merges --name-only --no-renames --format=%x1e%H%x1f%h%x1f%an%x1f%ae%x1f%aI%x1f%s`"
+LOG = "`git log --no-merges --name-only --no-renames --format=%x1e%H%x1f%h%x1f%an%x1f%ae%x1f%aI%x1f%s`"
 
 
 def commits(exported: DataFrame) -> DataFrame:
-    """Commits out of an exported log (column ``value``: the whole text), records by U+001E and fields by U+001F (``LOG``)."""
-    each = exported.select(F.posexplode(F.split("value", "\x1e")).alias("seq", "record")).where(F.trim("record") != "")
+    """Commits out of exported logs (column ``value``: a log or any part of one between records), records by U+001E and fields by U+001F (``LOG``)."""
+    each = exported.select(F.explode(F.split("value", "\x1e")).alias("record")).where(F.trim("record") != "")
     head, names = F.split(F.substring_index("record", "\n", 1), "\x1f"), F.split(F.regexp_replace("record", r"^[^\n]*\n?", ""), "\n")
     fields = {n: head[k] for k, n in enumerate(("hash", "short_hash", "author_name", "author_email", "at", "subject"))}
-    rows = each.where(F.size(head) >= 6).select(*(v.alias(k) for k, v in fields.items()), F.filter(F.transform(names, F.trim), lambda n: n != "").alias("files"), F.col("seq").cast("long").alias("seq"))
-    return rows.withColumn("ts", F.try_to_timestamp("at"))
+    rows = each.where(F.size(head) >= 6).select(*(v.alias(k) for k, v in fields.items()), F.filter(F.transform(names, F.trim), lambda n: n != "").alias("files"))
+    return rows.withColumn("seq", F.monotonically_increasing_id()).withColumn("ts", F.try_to_timestamp("at"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """Commits of the logs at a path: read record by record, so that one long log is many tasks."""
+    return commits(spark.read.option("lineSep", "\x1e").text(path))
 
 
 def contributors(rows: DataFrame) -> DataFrame:

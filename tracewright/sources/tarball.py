@@ -101,3 +101,32 @@ def unpacked(archives):
                     yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([member]), pa.array([size], pa.int64()), pa.array([content], pa.binary())], ["archive", "path", "byte_size", "content"])
 
     return archives.select("path", "content").mapInArrow(work, "archive string, path string, byte_size bigint, content binary")
+
+
+def read(spark: SparkSession, root: str, most_bytes: int = MOST_BYTES):
+    """(archive, path, byte_size, content, refused) of the archives in a folder of any store that Spark reads.
+
+    An archive that is refused gives one row that says why; one larger than ``most_bytes`` isn't opened, as the scan filters by size.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    schema = "archive string, path string, byte_size bigint, content binary, refused string"
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    small, large = rows.where(F.col("length") <= most_bytes), rows.where(F.col("length") > most_bytes)
+
+    def work(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                out = []
+                try:
+                    for path, size, content in members(blob.as_py()):
+                        out.append((name, path, size, content, None))
+                except (ValueError, EOFError, OSError, tarfile.TarError) as e:
+                    out = [(name, None, None, None, str(e)[:200])]  # what was read before is dropped: an archive counts as a whole
+                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["archive", "path", "byte_size", "content", "refused"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    too_large = large.select(F.col("path").alias("archive"), none("string").alias("path"), none("bigint").alias("byte_size"), none("binary").alias("content"), F.lit("the archive is too large").alias("refused"))
+    return small.select("path", "content").mapInArrow(work, schema).unionByName(too_large)
