@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.identity import stable_json
 from tracewright.operators import drift, graph, traverse
-from tracewright.plans import rules
+from tracewright.plans import rules, views
 from tracewright.plans.shapes import Graph
 from tracewright.sources.store import Store
 
@@ -169,3 +169,11 @@ def test_maps_as_text_and_graphs_as_lines(spark, small, tmp_path):
     lines = [json.loads(x) for f in (tmp_path / "out" / "edges").glob("part-*") for x in f.read_text().splitlines()]
     assert {x["id"] for x in lines} == {r["id"] for r in small[1].collect()}
     assert [tuple(r) for r in store.summary("a").where("what = 'nodes'").limit(1).collect()] == [("nodes", "function", 4)]
+
+
+def test_cycles_are_reported_with_the_dependency_view(spark):
+    links = [("module:a", "imports", "module:b", None, None), ("module:b", "imports", "module:a", None, None), ("module:b", "re_exports", "module:c", None, None), ("module:c", "imports", "module:a", None, None), ("module:c", "depends_on", "package:p", None, None)]
+    nodes, edges = made(spark, [(f"module:{x}", None, f"{x}.ts") for x in "abc"] + [("package:p", None, None)], links)
+    view = views.dependencies(nodes, edges, longest=5)
+    assert [tuple(r) for r in view.omitted.where("reason like 'cyclic%'").collect()] == [("cyclic dependencies (reported, not hidden)", 2, "module:a → module:b,module:a → module:b → module:c")]
+    assert views.dependencies(nodes, edges).omitted.isEmpty() and view.edges.count() == 5

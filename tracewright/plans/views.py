@@ -68,14 +68,20 @@ def finish(nodes: DataFrame, edges: DataFrame, omitted: list[DataFrame], most: i
     return View(kept, drawn, reduce(DataFrame.unionByName, [*out, omission(beyond, "projection element limit reached")]))
 
 
-def dependencies(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View:
-    """Modules, the packages they need, and what imports what; cycles of modules are reported as omissions of none, by ``traverse.cycles``."""
+def dependencies(nodes: DataFrame, edges: DataFrame, most: int | None = MOST, longest: int = 0) -> View:
+    """Modules, the packages they need, and what imports what; with ``longest`` cycles of modules up to that length are reported with the omissions, the first three as examples."""
     ends = nodes.where(F.col("kind").isin("module", "package"))
     wanted = edges.where(F.col("kind").isin("imports", "re_exports", "depends_on"))
     from_modules = wanted.join(nodes.where("kind = 'module'").select(F.col("id").alias("src")), "src", "left_semi")
     used = from_modules.select(F.col("src").alias("id")).unionByName(from_modules.select(F.col("dst").alias("id"))).distinct()
     alone = ends.where("kind = 'module'").join(used, "id", "left_anti")
-    return finish(_drawn(ends.where("kind = 'module'").unionByName(ends.where("kind = 'package'").join(used, "id", "left_semi"))), _lines(from_modules), [omission(alone, "modules without a dependency in either direction")], most)
+    view = finish(_drawn(ends.where("kind = 'module'").unionByName(ends.where("kind = 'package'").join(used, "id", "left_semi"))), _lines(from_modules), [omission(alone, "modules without a dependency in either direction")], most)
+    if not longest:
+        return view
+    found, _ = traverse.cycles(from_modules.where("kind <> 'depends_on'").join(nodes.where("kind = 'module'").select(F.col("id").alias("dst")), "dst", "left_semi"), longest=longest)
+    first = F.slice(F.array_sort(F.collect_list(F.struct("length", "key"))), 1, 3)  # there are twenty at most
+    counted = found.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(first, lambda c: F.replace(c["key"], F.lit(">"), F.lit(" → "))), ",").alias("examples")).where("n > 0")
+    return View(view.nodes, view.edges, view.omitted.unionByName(counted.select(F.lit("cyclic dependencies (reported, not hidden)").alias("reason"), "n", "examples")))
 
 
 def modules(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View:
