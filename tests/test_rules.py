@@ -175,5 +175,5 @@ def test_cycles_are_reported_with_the_dependency_view(spark):
     links = [("module:a", "imports", "module:b", None, None), ("module:b", "imports", "module:a", None, None), ("module:b", "re_exports", "module:c", None, None), ("module:c", "imports", "module:a", None, None), ("module:c", "depends_on", "package:p", None, None)]
     nodes, edges = made(spark, [(f"module:{x}", None, f"{x}.ts") for x in "abc"] + [("package:p", None, None)], links)
     view = views.dependencies(nodes, edges, longest=5)
-    assert [tuple(r) for r in view.omitted.where("reason like 'cyclic%'").collect()] == [("cyclic dependencies (reported, not hidden)", 2, "module:a → module:b,module:a → module:b → module:c")]
+    assert [tuple(r) for r in view.omitted.where("reason like '%in a circle'").collect()] == [("modules that import each other in a circle", 2, "module:a → module:b,module:a → module:b → module:c")]
     assert views.dependencies(nodes, edges).omitted.isEmpty() and view.edges.count() == 5

@@ -214,7 +214,7 @@ def _named_variable(path: tuple, value: str) -> str | None:
     return re.split(r"[=:]", value, maxsplit=1)[0].strip() if path[-1].startswith("[") else path[-1]
 
 
-def _compose(text: str) -> Iterator[Marker]:
+def compose_of(text: str) -> Iterator[Marker]:
     rows = list(yaml_rows(text))
     networks = {p[1] for _, p, _ in rows if p[0] == "networks" and len(p) == 2}
     by: dict[str, list] = {}
@@ -292,14 +292,14 @@ def _port(value: str) -> dict:
 
 def compose(files: DataFrame) -> DataFrame:
     """Services, what they publish, need, join, mount and are told by name."""
-    return _applied(files, _compose)
+    return _applied(files, compose_of)
 
 
 # Words by which a step names what it does.
 _DOES = {"namesDeployment": r"(?i)deploy|publish|release|push.*image|kubectl|helm", "namesBuild": r"(?i)build|compile|bundle", "namesTest": r"(?i)test|vitest|jest|pytest|spec"}
 
 
-def _workflow(text: str) -> Iterator[Marker]:
+def workflow_of(text: str) -> Iterator[Marker]:
     rows = [r for r in yaml_rows(text) if r[1][0] == "jobs" and len(r[1]) > 1]
     for job in dict.fromkeys(p[1] for _, p, _ in rows):
         mine = [r for r in rows if r[1][1] == job]
@@ -323,7 +323,7 @@ def _workflow(text: str) -> Iterator[Marker]:
 
 def workflow(files: DataFrame) -> DataFrame:
     """Jobs, their steps with what these name, and the secrets that they refer to by name."""
-    return _applied(files, _workflow)
+    return _applied(files, workflow_of)
 
 
 _NAME = r"""["'`\[]?([A-Za-z_][\w.]*)["'`\]]?"""
@@ -359,7 +359,7 @@ def _names(text: str) -> list[str]:
     return re.findall(r"[A-Za-z_]\w*", m[1]) if m else []
 
 
-def _ddl(text: str) -> Iterator[Marker]:
+def ddl_of(text: str) -> Iterator[Marker]:
     text = re.sub(r"--[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.S)
     for m in _CREATE.finditer(text):
         parts, end = _pieces(text, m.end())
@@ -395,7 +395,7 @@ def _ddl(text: str) -> Iterator[Marker]:
 
 def ddl(files: DataFrame) -> DataFrame:
     """Tables with their primary keys, columns with their types and constraints, and foreign keys of all three forms."""
-    return _applied(files, _ddl)
+    return _applied(files, ddl_of)
 
 
 def without_comments(text: str) -> str:

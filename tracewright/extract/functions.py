@@ -31,9 +31,9 @@ def _named(path: str) -> str:
 # Which files hold configuration of which kind.
 READERS = [
     Reader("code", lambda path, language: language in code.READERS, lambda path, language, text: code.read(text, language, path)),
-    Reader("compose", lambda path, _: _named(path).startswith(("docker-compose", "compose.")) and path.endswith((".yml", ".yaml")), lambda path, _, text: config._compose(text)),
-    Reader("workflow", lambda path, _: ".github/workflows/" in path and path.endswith((".yml", ".yaml")), lambda path, _, text: config._workflow(text)),
-    Reader("ddl", lambda path, language: language == "sql" or path.endswith(".sql"), lambda path, _, text: config._ddl(text)),
+    Reader("compose", lambda path, _: _named(path).startswith(("docker-compose", "compose.")) and path.endswith((".yml", ".yaml")), lambda path, _, text: config.compose_of(text)),
+    Reader("workflow", lambda path, _: ".github/workflows/" in path and path.endswith((".yml", ".yaml")), lambda path, _, text: config.workflow_of(text)),
+    Reader("ddl", lambda path, language: language == "sql" or path.endswith(".sql"), lambda path, _, text: config.ddl_of(text)),
     Reader("yaml", lambda path, language: language == "yaml" or path.endswith((".yml", ".yaml")), lambda path, _, text: config.keys_of(text)),
 ]
 

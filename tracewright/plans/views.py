@@ -65,7 +65,7 @@ def finish(nodes: DataFrame, edges: DataFrame, omitted: list[DataFrame], most: i
         return View(kept, inside, reduce(DataFrame.unionByName, out))
     drawn = inside.orderBy("id").limit(most)
     beyond = nodes.select("id").join(kept.select("id"), "id", "left_anti").unionByName(inside.select("id").join(drawn.select("id"), "id", "left_anti"))
-    return View(kept, drawn, reduce(DataFrame.unionByName, [*out, omission(beyond, "projection element limit reached")]))
+    return View(kept, drawn, reduce(DataFrame.unionByName, [*out, omission(beyond, "beyond the limit of the view")]))
 
 
 def dependencies(nodes: DataFrame, edges: DataFrame, most: int | None = MOST, longest: int = 0) -> View:
@@ -81,7 +81,7 @@ def dependencies(nodes: DataFrame, edges: DataFrame, most: int | None = MOST, lo
     found, _ = traverse.cycles(from_modules.where("kind <> 'depends_on'").join(nodes.where("kind = 'module'").select(F.col("id").alias("dst")), "dst", "left_semi"), longest=longest)
     first = F.slice(F.array_sort(F.collect_list(F.struct("length", "key"))), 1, 3)  # there are twenty at most
     counted = found.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(first, lambda c: F.replace(c["key"], F.lit(">"), F.lit(" → "))), ",").alias("examples")).where("n > 0")
-    return View(view.nodes, view.edges, view.omitted.unionByName(counted.select(F.lit("cyclic dependencies (reported, not hidden)").alias("reason"), "n", "examples")))
+    return View(view.nodes, view.edges, view.omitted.unionByName(counted.select(F.lit("modules that import each other in a circle").alias("reason"), "n", "examples")))
 
 
 def modules(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View:
@@ -111,7 +111,7 @@ def classes(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View
     detail = F.concat_ws("\n", F.col("path"), F.concat(F.lit("+ "), F.col("members")))
     heritage = edges.where(F.col("kind").isin("extends", "implements"))
     related = heritage.select(F.col("src").alias("id")).unionByName(heritage.select(F.col("dst").alias("id"))).distinct()
-    alone = omission(types.join(related, "id", "left_anti"), "types with no in-repository heritage relationship", 3)
+    alone = omission(types.join(related, "id", "left_anti"), "types that neither extend nor implement another one here", 3)
     return finish(_drawn(types.join(listed, "id", "left"), detail), _lines(heritage), [alone], most)
 
 
@@ -125,8 +125,8 @@ def tables(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View:
     keys = guard(edges, stores)
     label = F.when(F.col("kind") == "references", F.trim(F.concat(F.lit("references "), F.coalesce(attribute("column"), F.lit(""))))).otherwise(F.col("label"))
     omitted = [
-        omission(stores.where(attribute("declaredInDdl") == "false"), "tables referenced by code but never declared in a schema this analysis read; their columns are unknown, not empty", 3),
-        omission(drawn.where("lines is null"), "tables detected without parsed columns", 3),
+        omission(stores.where(attribute("declaredInDdl") == "false"), "tables that statements use and no schema here declares; what columns they have is not known", 3),
+        omission(drawn.where("lines is null"), "tables whose columns were not read", 3),
     ]
     return finish(_drawn(drawn, F.coalesce("lines", F.lit("(no columns detected)"))), _lines(keys, label), omitted, most)
 
@@ -163,7 +163,7 @@ def context(nodes: DataFrame, edges: DataFrame, most: int | None = MOST) -> View
     outside = named.where("family is not null")
     lines = _edge_rows(outside, "context", _system(nodes), F.col("id"), "communicates_with", F.lit(1))
     drawn = _drawn(system, F.lit("software_system")).unionByName(_drawn(outside, F.coalesce(attribute("image"), F.col("family")), F.lit(1)))
-    omitted = [omission(named.where("family is null"), "declared services whose image matches no known datastore or broker family", 3), omission(_base_images(nodes), "base images are build dependencies, not systems", 3)]
+    omitted = [omission(named.where("family is null"), "services whose image is of no known store or broker", 3), omission(_base_images(nodes), "images that others are only built from", 3)]
     return finish(drawn, lines, omitted, most)
 
 

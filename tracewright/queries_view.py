@@ -52,7 +52,7 @@ def view_class_edges(spark, sf):
     return _shown(views.classes(*_graph(spark, sf), most=None))
 
 
-@register(f"{_G}, h AS (SELECT * FROM edges WHERE kind = 'extends'), t AS (SELECT id FROM nodes WHERE kind = 'class') " + _omitted("an end isn''t drawn", "SELECT id FROM h WHERE dst NOT IN (SELECT id FROM t)") + " UNION ALL " + _omitted("types with no in-repository heritage relationship", "SELECT id FROM t WHERE id NOT IN (SELECT src FROM h UNION SELECT dst FROM h)", 3))
+@register(f"{_G}, h AS (SELECT * FROM edges WHERE kind = 'extends'), t AS (SELECT id FROM nodes WHERE kind = 'class') " + _omitted("an end isn''t drawn", "SELECT id FROM h WHERE dst NOT IN (SELECT id FROM t)") + " UNION ALL " + _omitted("types that neither extend nor implement another one here", "SELECT id FROM t WHERE id NOT IN (SELECT src FROM h UNION SELECT dst FROM h)", 3))
 def view_class_omitted(spark, sf):
     return views.classes(*_graph(spark, sf), most=None).omitted
 
@@ -67,7 +67,7 @@ def view_er_edges(spark, sf):
     return views.tables(*_graph(spark, sf), most=None).edges.select("id", "label")
 
 
-@register(f"{_G}, t AS (SELECT * FROM nodes WHERE kind = 'table') " + _omitted("tables referenced by code but never declared in a schema this analysis read; their columns are unknown, not empty", "SELECT id FROM t WHERE in_ddl = 'false'", 3) + " UNION ALL " + _omitted("tables detected without parsed columns", "SELECT id FROM t WHERE id NOT IN (SELECT src FROM edges WHERE kind = 'contains')", 3))
+@register(f"{_G}, t AS (SELECT * FROM nodes WHERE kind = 'table') " + _omitted("tables that statements use and no schema here declares; what columns they have is not known", "SELECT id FROM t WHERE in_ddl = 'false'", 3) + " UNION ALL " + _omitted("tables whose columns were not read", "SELECT id FROM t WHERE id NOT IN (SELECT src FROM edges WHERE kind = 'contains')", 3))
 def view_er_omitted(spark, sf):
     return views.tables(*_graph(spark, sf), most=None).omitted
 
