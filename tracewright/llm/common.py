@@ -1,7 +1,9 @@
 """What the operators of this package share: word patterns, shared storage, row keys."""
 
+import ctypes
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,3 +75,21 @@ def sliced(batch: pa.RecordBatch, texts: list[str | int], rows: int, most_bytes:
         n = int(np.clip(np.searchsorted(ends, before + most_bytes, side="right") - at, 1, rows))
         yield batch.slice(at, n)
         at += n
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    """glibc's way of giving freed memory back to the system; nothing elsewhere."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what was freed while one was worked on goes back to the system, as idle workers of an executor stay for a while."""
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if _trim():
+            _trim()(0)

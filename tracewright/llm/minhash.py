@@ -53,7 +53,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, stored, table
+from .common import sliced, stored, table, trimmed
 from .hashing import counted, mix, shingles, word_hashes
 
 WIDTH = 5
@@ -155,7 +155,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _band_rows(batches):
-    for batch in batches:
+    for batch in trimmed(batches):
         for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             kept, text = signatures(_bytes(part.column("text")))
             keys = band_keys(kept)
@@ -164,7 +164,7 @@ def _band_rows(batches):
 
 
 def _verified(batches):
-    for batch in batches:
+    for batch in trimmed(batches):
         for part in sliced(batch, ["a_text", "b_text"], CHUNK, CHUNK_BYTES):
             got = similarities(_bytes(part.column("a_text")), _bytes(part.column("b_text")))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array([max(g) for g in got], pa.float64())], ["a", "b", "similar"])
@@ -184,7 +184,7 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _text_rows(batches):
-    for batch in batches:
+    for batch in trimmed(batches):
         for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             size, total, bits = sketches(_bytes(part.column("text")))
             columns = [part.column("node"), part.column("text"), pa.array(size), pa.array(total), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH))]
@@ -291,7 +291,7 @@ def _by_pivots(members: DataFrame, comps: DataFrame, done: DataFrame, texts: Dat
 
 
 def _shingle_rows(batches):
-    for batch in batches:
+    for batch in trimmed(batches):
         for part in sliced(batch, ["text"], CHUNK, CHUNK_BYTES):
             value, owner, weight = counted(*shingles(*word_hashes(_bytes(part.column("text"))), WIDTH))
             size, total = np.bincount(owner, minlength=part.num_rows)[owner], np.bincount(owner, weight, part.num_rows)[owner]

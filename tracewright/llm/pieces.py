@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import sliced, table
+from .common import sliced, table, trimmed
 
 MODEL = "piece_bpe_32k.model"
 #: Texts, and bytes of text, whose ids and spans are held at a time (a longer text alone).
@@ -185,7 +185,7 @@ def _with(df: DataFrame, add, fields: str) -> DataFrame:
 
     def work(batches):
         pieces = _loaded(shared.value)
-        for batch in batches:
+        for batch in trimmed(batches):
             # a few texts at a time: ids and spans of many long texts needn't be held together
             for part in sliced(batch, [0], AT_ONCE, BYTES_AT_ONCE):
                 rows = [add(pieces, *got) for got in pieces.encode([t or "" for t in part.column(0).to_pylist()])]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, table
+from .common import sliced, table, trimmed
 
 KEY_NAME = "spark.tracewright.pseudonym.key"
 ROUNDS = 8
@@ -390,7 +390,7 @@ def pseudonymise(df: DataFrame, key: bytes, report: bool = False) -> DataFrame:
 
     def work(batches):
         pseudonyms = _loaded(key)
-        for batch in (part for whole in batches for part in sliced(whole, ["text"], whole.num_rows, BYTES_AT_ONCE)):
+        for batch in (part for whole in trimmed(batches) for part in sliced(whole, ["text"], whole.num_rows, BYTES_AT_ONCE)):
             texts = batch.column("text").to_pylist()
             done = [(None, []) if t is None else pseudonyms.rewrite(t) for t in texts]
             new = {"text": pa.array([t for t, _ in done], batch.schema.field("text").type)}
