@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.identity import slug
 from tracewright.functions.paths import ancestors, folder, normalised
 from tracewright.plans.shapes import EXPLICIT, STRONG, WEAK, attributes, edges_of, merged_nodes, module_id, nodes_of
+from tracewright.storage import stored_table
 
 # Markers that other rules read, those that can be secrets, and those whose evidence is of the infrastructure.
 HANDLED = ("http.route", "schema.table", "schema.column", "schema.foreign_key", "sql.query", "sql.cte", "sql.statement", "control.branch", "control.loop", "control.handler", "manifest.dependency", "doc.requirement", "test.suite", "test.case")
@@ -227,13 +228,17 @@ class Deployment:
         return self.facts["files"].where("analyzable").select(module_id(F.col("path")).alias("module"), "path").distinct()
 
     def services(self) -> DataFrame:
-        """(service, name, path, seq, evidence, folder, build_file): the services as merged."""
+        """(service, name, path, seq, evidence, folder, build_file): the services as merged, stored as all four rules read them."""
+        if "services" in self.known:
+            return self.known["services"]
         rows, a = self._components(), F.col("attributes")
         role = F.when(F.col("name") == "compose.service", "service").otherwise("base_image")
         seen = nodes_of(rows, "deployment_component", F.col("component"), path=F.col("path"), attributes=merged_maps(attributes(declaredAs=role), without_nulls(a)))
         merged = merged_nodes(seen).where(a["declaredAs"] == "service")
         first = seen.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("evidence", "seq").alias("evidence"))
-        return merged.join(first, "id").select(F.col("id").alias("service"), "name", "path", "seq", "evidence", context_folder(F.col("path"), a["build"]).alias("folder"), a["buildFile"].alias("build_file"))
+        found = merged.join(first, "id").select(F.col("id").alias("service"), "name", "path", "seq", "evidence", context_folder(F.col("path"), a["build"]).alias("folder"), a["buildFile"].alias("build_file"))
+        self.known["services"] = stored_table(found, "services")
+        return self.known["services"]
 
     def commands(self, services: DataFrame) -> DataFrame:
         """(service, command, workdir): a compose command, or else that of the Dockerfile which the service is built from."""
