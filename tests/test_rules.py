@@ -177,3 +177,20 @@ def test_cycles_are_reported_with_the_dependency_view(spark):
     view = views.dependencies(nodes, edges, longest=5)
     assert [tuple(r) for r in view.omitted.where("reason like '%in a circle'").collect()] == [("modules that import each other in a circle", 2, "module:a → module:b,module:a → module:b → module:c")]
     assert views.dependencies(nodes, edges).omitted.isEmpty() and view.edges.count() == 5
+
+
+def test_ids_of_persistence_stay_short_until_the_end(spark):
+    nodes = [(f"table:t{k}", "table", f"t{k}", None, None, 3, {}) for k in range(50)] + [("function:f", "function", "f", None, "a.ts", 3, {})]
+    nodes = spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string, path string, rank int, attributes map<string,string>")
+    edges = spark.createDataFrame([(f"e{k}", "function:f", "reads", f"table:t{k}", 3, {}) for k in range(50)], "id string, src string, kind string, dst string, rank int, attributes map<string,string>")
+    rests, whole = rules._rests(nodes, edges).collect(), rules.supports(nodes, edges).collect()
+    assert len(rests) == len(whole) == 51 and {r["requirement"] for r in rests} == {"derived:persistence:reads"}
+    assert {r["requirement"] for r in whole} == {r["id"] for r in rules.requirements(nodes, edges).collect()} == {"derived:persistence:reads:" + "+".join(sorted(f"t{k}" for k in range(50)))}
+
+
+def test_guarding_calls_are_reduced_by_file_before_they_meet_endpoints(spark):
+    nodes = [(f"api_endpoint:{k}", "api_endpoint", f"e{k}", None, "a.ts", 3, {}) for k in range(3)] + [(f"function:f{k}", "function", f"f{k}", None, "a.ts", 3, {}) for k in range(4)]
+    nodes = spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string, path string, rank int, attributes map<string,string>")
+    edges = spark.createDataFrame([(f"e{k}", f"function:f{k}", "calls", "function:g", 2 + k % 2, {"callee": "parse" if k else "authorize"}) for k in range(4)], "id string, src string, kind string, dst string, rank int, attributes map<string,string>")
+    assert rules.guards(nodes, edges).count() == 12
+    assert sorted(tuple(r) for r in rules.guarded(nodes, edges).collect()) == [(f"api_endpoint:{k}", "a.ts", "operational_behaviour", 2) for k in range(3)]
