@@ -75,3 +75,16 @@ def _simple_paths(nodes, pairs, n):
     for _ in range(n - 1):
         paths = [(*p, x) for p in paths for x in nodes if x > p[0] and x not in p and (p[-1], x) in pairs]
     return paths
+
+
+def test_lineage_over_edges_without_ids(spark):
+    hops, cut = traverse.lineage(_edges(spark, [("a", "b"), ("b", "c"), ("a", "c")]).drop("id"), "a")
+    assert hops.columns == ["kind", "src", "dst", "depth"] and not cut
+    assert sorted((r["src"], r["dst"], r["depth"]) for r in hops.collect()) == [("a", "b", 1), ("a", "c", 1), ("b", "c", 2)]
+
+
+def test_edges_at_rest_hold_no_ids(spark):
+    from tracewright.plans import adapters
+
+    rows = adapters.data_edges_at_rest(spark, SF)
+    assert spark.read.parquet(*rows.inputFiles()).columns == ["src", "kind", "dst", "rank"] and rows.where("id <> concat(src, '|', kind, '|', dst)").isEmpty()

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.identity import evidence_id, level, slug
+from tracewright.functions.identity import edge_id, evidence_id, level, slug
 from tracewright.functions.redact import MARK, SHAPES, redact, secret_kinds
 from tracewright.operators import drift, graph, traverse
 from tracewright.plans import adapters as made
@@ -125,14 +125,20 @@ def _lineage_sql(near, far, limit=12):
 first AS (SELECT node, min(d) AS d FROM reach GROUP BY node) SELECT id, kind, d + 1 AS depth FROM first JOIN data ON {near} = node WHERE d < {limit}"""
 
 
+def _hops(spark, sf, start, downstream=True):
+    """Hops over edges without ids, which are made of their ends at last."""
+    rows = traverse.lineage(made.data_edges_at_rest(spark, sf).drop("id"), start, downstream, at_rest=True)[0]
+    return rows.select(edge_id(F.col("src"), F.col("kind"), F.col("dst")).alias("id"), "kind", "depth")
+
+
 @register(_lineage_sql("src", "dst"))
 def lineage_downstream(spark, sf):
-    return traverse.lineage(made.data_edges_at_rest(spark, sf), START, at_rest=True)[0].select("id", "kind", "depth")
+    return _hops(spark, sf, START)
 
 
 @register(_lineage_sql("dst", "src"))
 def lineage_upstream(spark, sf):
-    return traverse.lineage(made.data_edges_at_rest(spark, sf), "package:1", downstream=False, at_rest=True)[0].select("id", "kind", "depth")
+    return _hops(spark, sf, "package:1", downstream=False)
 
 
 def _main_trade(spark, sf):
