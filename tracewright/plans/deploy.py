@@ -8,7 +8,7 @@ by health check. What can't be linked is a row of ``unresolved`` with a reason.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.identity import slug
@@ -75,10 +75,9 @@ def context_folder(path: Column, context: Column) -> Column:
     return F.when((said != "") & ~said.startswith("/") & ~said.rlike(r"^[A-Za-z]+:") & ~F.array_contains(F.split(said, "/"), ".."), normalised(whole))
 
 
-def contained(services: DataFrame, modules: DataFrame) -> DataFrame:
-    """(service, module, path, folder) of the modules (module, path) at or under the folder of each service (service, folder): by equality with the folders above a path."""
-    above = modules.select("module", "path", F.explode(F.array_distinct(F.concat(ancestors(F.col("path")), F.array("path")))).alias("folder"))
-    return above.join(services.where("folder is not null").select("service", "folder"), "folder")
+def _above(modules: DataFrame) -> DataFrame:
+    """(module, path, folder): each module (module, path) with the folders above its path and with the path."""
+    return modules.select("module", "path", F.explode(F.array_distinct(F.concat(ancestors(F.col("path")), F.array("path")))).alias("folder"))
 
 
 def leaves(modules: DataFrame) -> DataFrame:
@@ -90,13 +89,18 @@ def leaves(modules: DataFrame) -> DataFrame:
 def built(services: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Services (service, folder) to the innermost modules in their build context, all services whose context holds one.
 
-    (links: service, module; unresolved: subject, reason).
+    (links: service, module; unresolved: subject, reason). Pairs are many where many contexts are wide, so they are
+    made distinct only for services with several folders; which services stay open is asked by folder, without pairs.
     """
-    inside = contained(services, modules)
-    links = inside.join(leaves(modules).select("module"), "module", "left_semi").select("service", "module").distinct()
-    lost = services.join(inside.select("service").distinct(), "service", "left_anti")
+    services = services.distinct()
+    above = _above(modules.join(leaves(modules).select("module"), "module", "left_semi")).select("module", "folder").distinct()
+    asked = services.where("folder is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("service")))
+    once = above.join(asked.where("n = 1"), "folder").select("service", "module")
+    often = above.join(asked.where("n > 1"), "folder").select("service", "module").distinct()
+    held = services.join(_above(modules).select("folder").distinct(), "folder", "left_semi").select("service").distinct()
+    lost = services.join(held, "service", "left_anti")
     reason = F.when(F.col("folder").isNull(), "no build context in the repository is declared, so no code is placed in this service").otherwise(F.concat(F.lit("the build context "), F.when(F.col("folder") == "", F.lit(".")).otherwise(F.col("folder")), F.lit(" holds no file of this analysis")))
-    return links, lost.select(F.col("service").alias("subject"), reason.alias("reason"))
+    return once.unionByName(often), lost.select(F.col("service").alias("subject"), reason.alias("reason"))
 
 
 def command_words(command: Column) -> Column:
@@ -166,8 +170,7 @@ class Deployment:
         declared = edges_of(rows, module_id(F.col("path")), "deploys", component(name))
         services = rows.where("name = 'compose.service'").withColumn("folder", normalised(F.concat_ws("/", F.nullif(folder(F.col("path")), F.lit("")), F.when((F.trim(a["build"]) != "") & ~a["build"].startswith("/") & ~a["build"].rlike(r"(?i)^[a-z]+:"), F.trim(a["build"])))))
         services = services.where(F.trim(a["build"]) != "").select("evidence", "seq", F.col("path").alias("declared_in"), component(name).alias("service"), "folder").where("folder is not null")
-        above = self._modules().select("module", "path", F.explode(F.array_distinct(F.concat(ancestors(F.col("path")), F.array("path")))).alias("folder"))
-        inside = above.join(services, "folder").where("path <> declared_in")
+        inside = _above(self._modules()).join(services, "folder").where("path <> declared_in")
         given = attributes(derivedFrom="compose.build_context", buildContext=F.col("folder"), caveat="a build context is what the builder is sent, not what the image holds")
         return nodes, declared.unionByName(edges_of(inside, F.col("module"), "deploys", F.col("service"), STRONG, attributes=given))
 
