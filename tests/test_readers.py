@@ -206,3 +206,17 @@ def test_every_marker_reaches_the_graph(spark):
     assert edges[f"function:list|returns|{handler}"]["via"] == "rows" and nodes["configuration:src/app.ts-3"]["attributes"]["marker"] == "middleware.mount"
     assert sum(r["attributes"] is not None and r["attributes"].get("unclassifiedStatement") == "true" for r in nodes.values()) == 1
     assert graph.counters | {"files": 3, "imports": 1, "resolvedInternalImports": 1, "apiEndpoints": 1, "tests": 2, "tables": 0} == graph.counters
+
+
+def test_files_made_of_a_small_table_are_many_tasks(spark):
+    from tracewright import queries_code, queries_config
+
+    sf = "/root/testdata/sf0.1"
+    assert queries_code._sources(spark, sf).rdd.getNumPartitions() == 30 and queries_config._files(spark, sf, "x").rdd.getNumPartitions() == 15
+
+
+def test_bound_thrown_and_answered_in_one_pass(spark):
+    from tracewright import queries_code
+
+    plan = queries_code.code_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

@@ -210,3 +210,27 @@ def test_nested_contexts_give_all_services(spark):
     assert {r["subject"]: r["reason"].startswith("no build context") for r in lost.collect()} == {"up": True, "abs": True, "none": True, "empty": False}
 
 
+
+
+def test_contexts_of_services_with_several_folders_and_of_equal_rows(spark):
+    services = spark.createDataFrame([("s", "a"), ("s", "a/b"), ("s", "x"), ("t", "a"), ("t", "a"), ("u", None), ("v", "y")], "service string, folder string")
+    modules = spark.createDataFrame([("m", "a/b/m.ts"), ("m", "a/b/m.js"), ("n", "a/n.ts"), ("o", "a/b")], "module string, path string")
+    links, lost = deploy.built(services, modules)
+    assert sorted(map(tuple, links.collect())) == [("s", "m"), ("s", "n"), ("t", "m"), ("t", "n")]
+    assert sorted(r["subject"] for r in lost.collect()) == ["u", "v"]
+
+
+def test_pairs_of_services_with_one_folder_are_not_made_distinct(spark):
+    services = spark.range(2000).selectExpr("concat('s', id) as service", "'a' as folder")
+    modules = spark.range(2000).selectExpr("concat('m', id) as module", "concat('a/m', id, '.ts') as path")
+    links = deploy.built(services, modules)[0]
+    assert links.count() == 4_000_000
+    assert links._jdf.queryExecution().optimizedPlan().toString().startswith("Union")  # no grouping of all pairs
+
+
+def test_markers_of_deployment_are_parsed_once(spark):
+    from tracewright import queries_config
+
+    sf = "/root/testdata/sf0.001"
+    first, again = (queries_config._deployment(spark, sf).facts["markers"] for _ in range(2))
+    assert first.inputFiles() == again.inputFiles() and "MapIn" not in first._jdf.queryExecution().optimizedPlan().toString()

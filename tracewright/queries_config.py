@@ -8,6 +8,7 @@ from tracewright.plans import estate
 from tracewright.plans.build import Builder
 from tracewright.plans.shapes import SCHEMAS, merged_edges, merged_nodes
 from tracewright.registry import register
+from tracewright.storage import stored_table
 
 # @k@ is a customer's number, @a@ its nation's.
 _MARKDOWN = """# Must not count
@@ -95,7 +96,7 @@ _MANIFEST = """{ // comment
 
 def _files(spark, sf, text, path="f@k@", table="customer"):
     """A file for each customer."""
-    rows = estate.table(spark, sf, table).select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("a"))
+    rows = estate.dealt(estate.table(spark, sf, table).select(F.col("c_custkey").cast("string").alias("k"), F.col("c_nationkey").cast("string").alias("a")))
     put = lambda of: F.replace(F.replace(F.lit(of), F.lit("@k@"), F.col("k")), F.lit("@a@"), F.col("a"))
     return rows.select(put(path).alias("path"), put(text).alias("text"))
 
@@ -218,7 +219,14 @@ def sql_access_at_scale(spark, sf):
 # -- deployment in the graph: a compose file and a Dockerfile for each customer
 
 
+_READ: dict[tuple[str, str], dict] = {}
+
+
 def _deployment(spark, sf):
+    """The rules over files and markers that are read and written once a session and set of tables: each rule scans markers several times, and their true sizes decide how they are joined."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key in _READ:
+        return Builder(spark, dict(_READ[key]))
     composed = config.compose(_files(spark, sf, _COMPOSE, "d@k@/compose.yml"))
     docker = config.dockerfile(_files(spark, sf, _DOCKERFILE, "d@k@/web@k@/docker/Dockerfile"))
     markers = composed.unionByName(docker).unionByName(config.workflow(_files(spark, sf, _WORKFLOW, ".github/workflows/w@k@.yml")))
@@ -228,7 +236,9 @@ def _deployment(spark, sf):
     paths = F.array(*[F.concat(F.lit(a), F.col("k"), F.lit(b), *( [F.col("k"), F.lit(c)] if c else [])) for a, b, c in (("d", "/compose.yml", ""), ("d", "/web", "/docker/Dockerfile"), ("d", "/web", "/src/a.ts"), ("d", "/web", "/main"), ("d", "/other.ts", ""), (".github/workflows/w", ".yml", ""))])
     own = F.when(F.col("path").endswith("/main"), F.concat("path", "k", F.lit(".js"))).otherwise(F.col("path"))
     files = rows.select("k", F.explode(paths).alias("path")).select(own.alias("path"), F.lit("any").alias("language"), F.lit(None).cast("string").alias("digest"), F.lit(True).alias("analyzable"), F.lit(0).cast("long").alias("seq"))
-    return Builder(spark, {"files": files, "markers": markers.select(*(x.split(" ")[0] for x in SCHEMAS["markers"].split(", ")))})
+    markers = markers.select(*(x.split(" ")[0] for x in SCHEMAS["markers"].split(", ")))
+    _READ[key] = {"files": stored_table(files, "deployment-files"), "markers": stored_table(markers, "deployment-markers")}
+    return Builder(spark, dict(_READ[key]))
 
 
 _K = "FROM customer"
