@@ -67,7 +67,7 @@ def test_h@k@():
 
 def _sources(spark, sf):
     """A TypeScript and a Python file for each customer, with links to other customers' files."""
-    rows = estate.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") * 7 % 50 + 1).alias("a"), (F.col("c_custkey") % 9 + 1).alias("b"))
+    rows = estate.dealt(estate.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") * 7 % 50 + 1).alias("a"), (F.col("c_custkey") % 9 + 1).alias("b")))
 
     def text(of):
         out = F.lit(of)
@@ -159,12 +159,12 @@ def code_returns(spark, sf):
 
 @register(_found(("fact", "line", "said", "scope"), [("'binding'", 10, "'found=db.query'", _Q), ("'throw'", 20, "'new Error(\"c' || b || '(\")'", _H), ("'response'", 21, "'json 201 ok'", _H)], [("'response'", 20, "'JSONResponse 201'", _PH), ("'throw'", 25, "'ValueError(\"\")'", _T)]))
 def code_results(spark, sf):
-    """What is bound, thrown and answered."""
-    found = _facts(spark, sf)
-    scope = F.col("from_qualified_name").alias("scope")
-    rows = found["bindings"].select("path", F.lit("binding").alias("fact"), "line", F.concat_ws("=", "name", "callee").alias("said"), scope)
-    rows = rows.unionByName(found["throws"].select("path", F.lit("throw").alias("fact"), "line", F.col("expression").alias("said"), scope))
-    return rows.unionByName(found["responses"].select("path", F.lit("response").alias("fact"), "line", F.concat_ws(" ", "method", "status", "payload").alias("said"), scope))
+    """What is bound, thrown and answered, in one pass over the facts."""
+    f = F.col("fields")
+    said = {"binding": F.concat_ws("=", f["name"], f["callee"]), "throw": f["expression"], "response": F.concat_ws(" ", f["method"], f["status"].cast("int").cast("string"), f["payload"])}
+    rows = code.facts(_sources(spark, sf)).where(F.col("fact").isin(*said))
+    each = F.coalesce(*[F.when(F.col("fact") == fact, text) for fact, text in said.items()])
+    return rows.select("path", "fact", "line", each.alias("said"), f["scope"].alias("scope"))
 
 
 @register("""WITH r AS (SELECT c_custkey AS k, c_custkey * 7 % 50 + 1 AS a, c_custkey % 9 + 1 AS b FROM customer), f AS (SELECT 'function:s' || k || '.n' || k AS src, a AS t, k FROM r UNION ALL SELECT 'function:s' || k || '.m' || k, a, k FROM r UNION ALL SELECT 'function:s' || k || '.q' || k, a, k FROM r
