@@ -276,3 +276,24 @@ def test_archives_and_logs(spark, tmp_path):
     rows = files.commits(spark.createDataFrame([(log,)], "value string"))
     assert [(r["hash"], r["subject"], r["files"]) for r in rows.orderBy("seq").collect()] == [("abc", "subject", ["src/a.ts", "b.md"]), ("def", "other", [])]
     assert files.contributors(rows).first()["n"] == 1
+
+
+def test_calls_between_the_same_two_meet_endpoints_once_and_are_all_cited(spark):
+    from tracewright.plans.build import Builder
+    from tracewright.plans.shapes import SCHEMAS
+
+    def of(name, *rows):
+        fields = [f.strip().split(" ", 1)[0] for f in SCHEMAS[name].split(", ")]
+        return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], SCHEMAS[name])
+
+    at = {"producer": "p", "path": "test/a.ts"}
+    facts = {
+        "files": of("files", {"path": "test/a.ts", "analyzable": True, "seq": 1}),
+        "entities": of("entities", {"path": "src/a.ts", "producer": "p", "seq": 1, "kind": "function", "name": "h", "qualified_name": "h", "start_line": 1}),
+        "calls": of("calls", *({**at, "seq": k, "callee": "h", "line": k} for k in range(1, 21))),
+        "markers": of("markers", *({"path": "src/a.ts", "producer": "p", "seq": k, "name": "http.route", "line": k, "attributes": {"httpMethod": "GET", "path": f"/{k}", "handler": "h"}} for k in range(3))),
+    }
+    assert Builder(spark, facts).tested().count() == 3  # not 60
+    built = Builder(spark, facts).graph()
+    refs = built.edge_refs.where("id like '%|tests|%'").groupBy("id").count().collect()
+    assert len(refs) == 3 and {r["count"] for r in refs} == {20}

@@ -302,11 +302,16 @@ class Builder(Deployment):
         return edges_of(hit, F.col("target"), "returns", F.col("endpoint_id"), F.when(F.col("status_only"), STRONG).otherwise(EXPLICIT), attributes=given)
 
     def tested(self):
-        """A caller that is a test or is declared in a test file tests the endpoints whose handler it calls."""
+        """A caller that is a test or is declared in a test file tests the endpoints whose handler it calls.
+
+        Calls between the same two meet endpoints once, as the first of them; ``graph`` cites the others.
+        """
         handlers = self._handled().select(F.col("endpoint_id").alias("endpoint"), F.col("target").alias("dst"))
         declared = self.facts["entities"].select(self._entity().alias("src"), "path", "seq").unionByName(self.facts["files"].where("analyzable").select(module_id(F.col("path")).alias("src"), "path", "seq"))
         first = declared.groupBy("src").agg(F.min_by("path", "seq").alias("path")).where(is_test(F.col("path")) | F.col("src").startswith("test:")).select("src")
-        hit = self.calls().join(first, "src", "left_semi").join(handlers, "dst")
+        calls = self.calls().join(first, "src", "left_semi").groupBy("src", "dst")
+        calls = calls.agg(*[F.min_by(c, "seq").alias(c) for c in ("attributes", "evidence")], F.min("seq").alias("seq"))
+        hit = calls.join(handlers, "dst")
         return edges_of(hit, F.col("src"), "tests", F.col("endpoint"), STRONG, attributes=attributes(viaHandler=F.col("attributes")["callee"], hops=1))
 
     def tallied(self) -> DataFrame:
@@ -361,7 +366,9 @@ class Builder(Deployment):
         edges = guard(edges, nodes)
         ids = observed_edges.withColumn("id", edge_id(F.col("src"), F.col("kind"), F.col("dst")))
         edges, more_edges = first_seen(edges, ids.groupBy("id").agg(F.min("seq").alias("first")), most_edges)
-        edge_refs = ids.select("id", F.col("evidence.id").alias("evidence")).distinct().join(edges.select("id"), "id", "left_semi")
+        tested = observed_edges.where("rule = 'calls'").join(self._handled().select(F.col("endpoint_id").alias("endpoint"), F.col("target").alias("dst")), "dst")
+        tested = tested.select(edge_id(F.col("src"), F.lit("tests"), F.col("endpoint")).alias("id"), F.col("evidence.id").alias("evidence"))
+        edge_refs = ids.select("id", F.col("evidence.id").alias("evidence")).unionByName(tested).distinct().join(edges.select("id"), "id", "left_semi")
         return Graph(nodes, edges, evidence, node_refs, edge_refs, self._counters(counted[0].get, counted[1].get), more_nodes or more_edges)
 
     def _counters(self, nodes: dict, edges: dict) -> dict[str, int]:

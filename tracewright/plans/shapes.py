@@ -84,6 +84,11 @@ def merged_edges(observed: DataFrame) -> DataFrame:
     return rows.join(_attributes(observed, "id"), "id", "left")
 
 
+def merged_ranks(observed: DataFrame) -> DataFrame:
+    """(id, rank) of ``merged_edges``, without making its attributes."""
+    return observed.groupBy(edge_id(F.col("src"), F.col("kind"), F.col("dst")).alias("id")).agg(F.min("rank").alias("rank"))
+
+
 def _attributes(observed: DataFrame, key: str) -> DataFrame:
     each = observed.select(key, "seq", F.explode("attributes").alias("name", "value"))
     first = each.groupBy(key, "name").agg(F.min_by("value", "seq").alias("value"))
