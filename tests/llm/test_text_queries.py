@@ -7,6 +7,7 @@ import re
 import zlib
 from base64 import b32encode
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -382,6 +383,31 @@ def test_scores_are_the_same_beyond_the_broadcast_bound(spark):
     assert in_spark(scoring.score(docs, model)) == in_spark(scoring.score(docs, model, bound=0))
 
 
+def test_the_model_leaves_no_shuffle_behind_and_runs_are_sent_as_gaps(spark):
+    """Beyond the broadcast bound the files of training and of scoring would not fit on disk together."""
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {str(f) for f in map(str, files.getAllFiles().mkString("\n").split("\n")) if f.endswith(".data")}
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "doc_id % 5 = 1 AS held_out", "text")
+    before = shuffled()
+    model = scoring.train(docs.where("not held_out"), part_bytes=50_000)
+    left = sum(Path(f).stat().st_size for f in shuffled() - before if Path(f).exists())
+    assert left < 100_000  # of totals only
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+    before = shuffled()
+    scoring.score(docs, model, bound=0).collect()
+    moved = sum(Path(f).stat().st_size for f in shuffled() - before)
+    assert moved < 3.5 * docs.selectExpr("sum(octet_length(text))").first()[0]
+
+
+def test_runs_come_back_from_gaps():
+    runs = np.unique(np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64) >> scoring.LOW << scoring.LOW)
+    for some in (runs, runs[:1], runs[:0]):
+        assert (scoring.decoded(scoring.coded(some)) == some).all()
+
+
 HARD = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c d e f g " * 3000, "en", "a", 42000), (3, "a b c d e f g " * 3000, "en", "a", 42000), (4, "ß \U0001f600 mail x@y.org 4111 1111 1111 1111", None, None, 40), (None, "loose", "xx", "b", 5)]
 
 

@@ -10,44 +10,53 @@ Probabilities are smoothed order by order, p = (c(run) + k * p_shorter) /
 
 Building: workers count the runs of some texts at a time and deal them by hash
 to parts, whose number grows with the corpus; each part merges its runs and
-makes its own segment of the filter. Nothing is pruned. One shuffle, of about
-nine bytes a run, and a part's memory doesn't depend on the corpus.
+makes its own segment of the filter. Nothing is pruned. One shuffle, of some
+five bytes a run (sorted, as gaps), whose files go once the segments are
+written; a part's memory doesn't depend on the corpus. An event is five bits in
+two words of one block, so that asking for it is at most two looks at memory.
 
 Scoring: if all segments together take at most ``BOUND`` bytes (a size that is
-measured, not guessed) they are broadcast and texts aren't moved. Beyond it
+measured, not guessed) they are laid out in one file of the shared folder, which
+workers map, or broadcast where that is no local path, and texts aren't moved. Beyond it
 texts are dealt to chunks, the distinct runs of each chunk are sent to their
-segments and come back with levels, and chunk and levels meet again: the same
-bits are probed, so the results are the same, with more shuffling.
+segments, and a byte for each comes back to the chunk, which sorts its runs
+again and so knows whose it is: the same bits are probed, so the results are the
+same, with more shuffling.
 
 Defined results: null text counts as empty, whose only token is the end; words
-are compared by 64-bit hashes; with no training rows N and V are 0 and every
+are compared by 64-bit hashes, runs of them by 44 bits; with no training rows N and V are 0 and every
 token has the probability 1; repeated rows give equal results; an empty table
 gives an empty result; extra columns are ignored.
 """
 
 import math
 import os
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, stored, table
+from .common import crc32_mod, shared_dir, stored, table
 from .hashing import mix, word_hashes
+from .warc import _local as local_path
 
 FOLDS, HELD_OUT = 5, 1
 BASE = 1.5
 LEVELS = 64
-#: Of each event: 0.8 % of unseen runs are taken for runs seen once.
-BITS, PROBES = 10, 6
+#: Bits a filter has for each event, and how many an event sets in either of two words: 0.8 % of unseen runs are taken for runs seen once.
+BITS, SET = 11, (3, 2)
+#: Bits of a run's hash that don't count, so that gaps between sorted runs are short.
+LOW = np.uint64(20)
 #: Weight of the shorter run's probability, in sightings of the context: for runs of two, of three.
 #: Chosen from 28 pairs on training folds alone: learned from folds 2 to 4 of sf0.1, compared on fold 0.
 K_TWO, K_THREE = 5000.0, 3.0
-#: Most bytes of segments that are broadcast.
+#: Most bytes of segments that are mapped or broadcast.
 BOUND = 256 << 20
 #: Bytes of text for each part of the model, each chunk, and what a worker counts or scores at a time.
-PART, CHUNK, COUNTED, SCORED = 4 << 20, 8 << 20, 4 << 20, 1 << 20
+PART, CHUNK, COUNTED, SCORED = 4 << 20, 5 << 20, 4 << 20, 1 << 20
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x27D4EB2F165667C5)
 SEGMENT = "part int, bits binary, keys binary, counts binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -84,10 +93,10 @@ def runs_of(tokens: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     with np.errstate(over="ignore"):
 
         def pair(x, y):
-            return mix(mix(x + np.uint64(2)) * np.uint64(0xD6E8FEB86659FD93) + y)
+            return mix(mix(x + np.uint64(2)) * np.uint64(0xD6E8FEB86659FD93) + y) >> LOW << LOW
 
         two, context = pair(b, c), pair(a, b)
-        three = mix(mix(context + np.uint64(3)) * np.uint64(0xD6E8FEB86659FD93) + c)
+        three = mix(mix(context + np.uint64(3)) * np.uint64(0xD6E8FEB86659FD93) + c) >> LOW << LOW
     return {"one": c, "two": two, "pair": context, "three": three}
 
 
@@ -105,30 +114,34 @@ def _events(keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
         return mix(keys + levels.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _places(events: np.ndarray, size: int):
-    step = mix(events) | np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(PROBES):
-            yield ((events + np.uint64(k) * step) >> np.uint64(8)) % np.uint64(size)
+def _places(events: np.ndarray, size):
+    """Twice (word, the bits that each event sets in it) in filters of ``size`` blocks of eight words."""
+    word = ((events >> np.uint64(32)) * np.asarray(size, np.uint64) >> np.uint64(32) << np.uint64(3)) | (events >> np.uint64(30) & np.uint64(7))
+    at = 0
+    for n in SET:
+        masks = np.zeros(len(events), np.uint64)
+        for _ in range(n):
+            masks |= np.uint64(1) << (events >> np.uint64(at) & np.uint64(63))
+            at += 6
+        yield word, masks
+        word = word ^ (events >> np.uint64(33) & np.uint64(6) | np.uint64(1))
 
 
 def make_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
     levels = level_of(counts)
-    size = max(64, int(levels.sum()) * BITS)
-    bits = np.zeros(size, np.uint8)
+    blocks = max(1, -(-int(levels.sum()) * BITS // 512))
+    words = np.zeros(8 * blocks, np.uint64)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        for place in _places(_events(keys[levels >= j], np.int64(j)), size):
-            bits[place] = 1
-    # the last byte says how many bits of the one before it count
-    packed = np.packbits(bits)
-    return packed.tobytes() + bytes([size % 8])
+        for place, masks in _places(_events(keys[levels >= j], np.int64(j)), blocks):
+            np.bitwise_or.at(words, place.astype(np.int64), masks)
+    return words.astype("<u8").tobytes()
 
 
-MAGIC = b"tracewright-lm-1"
+MAGIC = b"tracewright-lm-2"
 
 
-def packed(parts: int, sizes: dict[int, tuple[int, int]], rows) -> bytearray:
-    """The segments of some parts in one buffer: sizes is {part: (bytes of bits, bytes of keys)}, rows come in any order.
+def _laid(parts: int, sizes: dict[int, tuple[int, int]], rows):
+    """(place, bytes) of some parts' segments in one buffer: sizes is {part: (bytes of bits, bytes of keys)}, rows come in any order; the end comes first.
 
     Parts are ranges of keys, so that keys in the order of parts are sorted.
     """
@@ -136,25 +149,44 @@ def packed(parts: int, sizes: dict[int, tuple[int, int]], rows) -> bytearray:
     n = sum(k for _, k in sizes.values()) // 8
     head = len(MAGIC) + 24
     tables = head + 16 * parts
-    out = bytearray(tables + 16 * n + sum(b - 1 for b, _ in sizes.values()))
-    out[:head] = MAGIC + np.array([parts, n, len(out)], "<i8").tobytes()
+    size = tables + 16 * n + sum(b for b, _ in sizes.values())
+    yield size, b""
+    yield 0, MAGIC + np.array([parts, n, size], "<i8").tobytes()
     at_keys, at_bits, places = 0, 0, {}
     for part in sorted(sizes):
         places[part] = at_keys, at_bits
-        at_keys, at_bits = at_keys + sizes[part][1], at_bits + sizes[part][0] - 1
+        starts[part], widths[part] = at_bits // 8, sizes[part][0] // 64
+        at_keys, at_bits = at_keys + sizes[part][1], at_bits + sizes[part][0]
+    yield head, starts.astype("<u8").tobytes() + widths.astype("<u8").tobytes()
     for r in rows:
         k, b = places[r["part"]]
-        out[tables + k : tables + k + len(r["keys"])] = r["keys"]
-        out[tables + 8 * n + k : tables + 8 * n + k + len(r["counts"])] = r["counts"]
-        bits = r["bits"]
-        out[tables + 16 * n + b : tables + 16 * n + b + len(bits) - 1] = memoryview(bits)[:-1]
-        starts[r["part"]], widths[r["part"]] = b * 8, (len(bits) - 1) * 8 - (-bits[-1] % 8)
-    out[head:tables] = starts.astype("<u8").tobytes() + widths.astype("<u8").tobytes()
+        yield tables + k, r["keys"]
+        yield tables + 8 * n + k, r["counts"]
+        yield tables + 16 * n + b, r["bits"]
+
+
+def packed(parts: int, sizes: dict[int, tuple[int, int]], rows) -> bytearray:
+    laid = _laid(parts, sizes, rows)
+    out = bytearray(next(laid)[0])
+    for at, raw in laid:
+        out[at : at + len(raw)] = raw
     return out
 
 
+def written(path: str, parts: int, sizes: dict[int, tuple[int, int]], rows) -> None:
+    """The same as a file, a segment in memory at a time."""
+    with open(path, "wb") as f:
+        laid = _laid(parts, sizes, rows)
+        f.truncate(next(laid)[0])
+        for at, raw in laid:
+            f.seek(at)
+            f.write(raw)
+
+
 def mapped(shared) -> np.ndarray:
-    """A broadcast buffer; mapped from the executor's file where there is one, so that its workers have it once."""
+    """A buffer by the path of its file, or a broadcast one; mapped from the executor's file where there is one, so that its workers have it once."""
+    if isinstance(shared, str):
+        return np.memmap(shared, np.uint8, "r")
     path = getattr(shared, "_path", None)
     if path and os.path.exists(path):
         with open(path, "rb") as f:
@@ -179,7 +211,7 @@ class Filter:
 
         self.starts, self.sizes = taken(self.parts, "<u8"), taken(self.parts, "<u8")
         self.keys, self.counts = taken(n, "<u8"), taken(n, "<i8")
-        self.bits = np.asarray(raw[at:])
+        self.bits = np.asarray(raw[at:]).view("<u8")
 
     @classmethod
     def of(cls, parts: int, rows: list[dict]) -> "Filter":
@@ -191,17 +223,16 @@ class Filter:
         out = np.zeros(len(keys), np.int64)
         part = part_of(keys, self.parts)
         left = np.flatnonzero(self.sizes[part])
+        keys, part = keys[left], part[left]
+        starts, sizes = self.starts[part], self.sizes[part]
         for j in range(1, LEVELS + 1):
-            starts, sizes = self.starts[part[left]], self.sizes[part[left]]
-            event = _events(keys[left], np.int64(j))
-            step = mix(event) | np.uint64(1)
-            for k in range(PROBES):
-                with np.errstate(over="ignore"):
-                    place = starts + ((event + np.uint64(k) * step) >> np.uint64(8)) % sizes
-                hit = (self.bits[place >> np.uint64(3)] >> (np.uint64(7) - (place & np.uint64(7))).astype(np.uint8)) & 1 == 1
-                left, event, step, starts, sizes = left[hit], event[hit], step[hit], starts[hit], sizes[hit]
-            if not len(left):
+            hit = np.arange(len(keys))
+            for place, masks in _places(_events(keys, np.int64(j)), sizes):
+                masks = masks[hit]
+                hit = hit[self.bits[(starts[hit] + place[hit]).astype(np.int64)] & masks == masks]
+            if not len(hit):
                 break
+            left, keys, starts, sizes = left[hit], keys[hit], starts[hit], sizes[hit]
             out[left] = j
         return out
 
@@ -216,6 +247,30 @@ def _found(known: np.ndarray, values: np.ndarray, keys: np.ndarray) -> np.ndarra
     return np.where(known[at] == keys, values[at], 0)
 
 
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers compressed, all lowest bytes first: high ones are alike."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+    return len(values).to_bytes(4, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unplaned(raw: bytes, kind: str) -> np.ndarray:
+    n, width = int.from_bytes(raw[:4], "little"), np.dtype(kind).itemsize
+    got = np.frombuffer(_ZSTD.decompress(raw[4:], n * width, asbytes=True), np.uint8)
+    return np.ascontiguousarray(got.reshape(width, n).T).view(kind).ravel()
+
+
+def coded(runs: np.ndarray) -> bytes:
+    """Sorted runs as gaps."""
+    return _planes(np.diff(runs >> LOW, prepend=np.uint64(0)).astype("<u8"))
+
+
+def decoded(raw: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(raw, "<u8"), dtype=np.uint64) << LOW
+
+
 def _texts(column) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -242,22 +297,21 @@ def _counter(parts: int):
             runs = runs_of(tokens, n)
             rows = []
             firsts = np.full(len(n), START, np.uint64)
-            for order, keys in ((1, np.concatenate([runs["one"], firsts])), (2, np.concatenate([runs["two"], np.repeat(HEAD, len(n))])), (3, runs["three"])):
+            for order, keys in ((1, np.concatenate([runs["one"], firsts])), (2, np.concatenate([runs["two"], np.repeat(HEAD, len(n)), runs["three"]]))):
                 keys, counts = np.unique(keys, return_counts=True)
-                part = part_of(keys, parts)
-                edges = np.searchsorted(part, np.arange(parts + 1))
-                for p in np.unique(part):
+                edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(edges)):
                     s = slice(edges[p], edges[p + 1])
-                    rows.append((int(p), order, keys[s].astype("<u8").tobytes(), counts[s].astype("<u4").tobytes()))
+                    rows.append((int(p), order, coded(keys[s]) if order > 1 else keys[s].astype("<u8").tobytes(), _planes(counts[s].astype("<u4"))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["part", "len", "keys", "counts"])
 
     return work
 
 
-def _merged(orders, keys, counts, wanted: tuple) -> tuple[np.ndarray, np.ndarray]:
-    at = [k for k, o in enumerate(orders) if o in wanted]
-    every = np.concatenate([np.frombuffer(keys[k], "<u8") for k in at] or [np.zeros(0, np.uint64)])
-    much = np.concatenate([np.frombuffer(counts[k], "<u4") for k in at] or [np.zeros(0, np.uint32)]).astype(np.int64)
+def _merged(orders, keys, counts, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    at = [k for k, o in enumerate(orders) if o == wanted]
+    every = np.concatenate([decoded(keys[k]) if wanted > 1 else np.frombuffer(keys[k], "<u8") for k in at] or [np.zeros(0, np.uint64)])
+    much = np.concatenate([_unplaned(counts[k], "<u4") for k in at] or [np.zeros(0, np.uint32)]).astype(np.int64)
     order = np.argsort(every, kind="stable")
     every, much = every[order], much[order]
     if not len(every):
@@ -268,8 +322,8 @@ def _merged(orders, keys, counts, wanted: tuple) -> tuple[np.ndarray, np.ndarray
 
 def _segment(rows: pa.Table) -> pa.Table:
     orders, keys, counts = (rows.column(n).to_pylist() for n in ("len", "keys", "counts"))
-    ones, n = _merged(orders, keys, counts, (1,))
-    bits = make_bits(*_merged(orders, keys, counts, (2, 3)))
+    ones, n = _merged(orders, keys, counts, 1)
+    bits = make_bits(*_merged(orders, keys, counts, 2))
     columns = [pa.array([rows.column("part")[0].as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in (bits, ones.tobytes(), n.astype("<i8").tobytes()))]
     return pa.Table.from_arrays(columns, ["part", "bits", "keys", "counts"])
 
@@ -291,12 +345,26 @@ class Model:
         self.bytes = segments.agg(F.sum(F.octet_length("bits") + F.octet_length("keys") + F.octet_length("counts")).cast("long")).first()[0] or 0
 
 
+@contextmanager
+def _freed(spark):
+    """What is written meanwhile leaves no shuffle files behind: they aren't asked for again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
 def train(docs: DataFrame, part_bytes: int = PART) -> Model:
     """The model of the rows' texts."""
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-size // part_bytes))
     rows = docs.select("text").mapInArrow(_counter(parts), "part int, len int, keys binary, counts binary")
-    return Model(stored(rows.groupBy("part").applyInArrow(_segment, SEGMENT), "segments"), parts)
+    with _freed(docs.sparkSession):
+        segments = stored(rows.groupBy("part").applyInArrow(_segment, SEGMENT), "segments")
+    return Model(segments, parts)
 
 
 def _scores(texts: list[bytes], exact, levels, tokens: int, distinct: int):
@@ -334,10 +402,16 @@ def _result(held, got, tokens: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, folds, pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
 
-def _by_broadcast(docs: DataFrame, model: Model) -> DataFrame:
+def _by_one_filter(docs: DataFrame, model: Model) -> DataFrame:
     # at most BOUND bytes, fetched a partition at a time
-    wide = model.segments.select("part", F.octet_length("bits"), F.octet_length("keys")).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(packed(model.parts, {r[0]: (r[1], r[2]) for r in wide}, model.segments.toLocalIterator()))
+    sizes = {r[0]: (r[1], r[2]) for r in model.segments.select("part", F.octet_length("bits"), F.octet_length("keys")).collect()}
+    rows = model.segments.toLocalIterator()
+    if folder := local_path(shared_dir(docs.sparkSession)):
+        os.makedirs(f"{folder}/tracewright", exist_ok=True)
+        shared = f"{folder}/tracewright/filter-{uuid.uuid4().hex}"
+        written(shared, model.parts, sizes, rows)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(packed(model.parts, sizes, rows))
     tokens, distinct = model.tokens, model.distinct
 
     def work(batches):
@@ -353,54 +427,55 @@ def _by_chunks(docs: DataFrame, model: Model, chunk_bytes: int = CHUNK) -> DataF
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
     parts, tokens, distinct = model.parts, model.tokens, model.distinct
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
-
-    def ask(batches):
-        for held in _sliced(batches, COUNTED):
-            asked: dict[int, list] = {}
-            for b in held:
-                own = b.column("chunk").to_numpy()
-                texts = _texts(b.column("text"))
-                for c in np.unique(own):
-                    asked.setdefault(int(c), []).extend(texts[k] for k in np.flatnonzero(own == c))
-            for c, texts in asked.items():
-                runs = runs_of(*tokens_of(texts))
-                keys = [np.unique(np.append(runs["one"], START)), np.unique(np.concatenate([runs["two"], HEAD, runs["three"]]))]
-                for kind, k in enumerate(keys):
-                    part = part_of(k, parts)
-                    found = np.unique(part)
-                    packed = [k[part == p].astype("<u8").tobytes() for p in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.full(len(found), c, np.int64)), pa.array(np.full(len(found), kind, np.int32)), pa.array(packed, pa.binary())], ["part", "chunk", "kind", "keys"])
+    docs = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+
+    def distinct_runs(texts: pa.Table) -> list[np.ndarray]:
+        """What a chunk asks for, sorted: its tokens, its runs."""
+        runs = runs_of(*tokens_of(_texts(texts.column("text"))))
+        return [np.unique(np.append(runs["one"], START)), np.unique(np.concatenate([runs["two"], HEAD, runs["three"]]))]
+
+    def ask(texts: pa.Table) -> pa.Table:
+        rows = []
+        for kind, keys in enumerate(distinct_runs(texts)):
+            edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edges)):
+                own = keys[edges[p] : edges[p + 1]]
+                rows.append((int(p), kind, coded(own) if kind else own.astype("<u8").tobytes()))
+        chunk = pa.array(np.full(len(rows), texts.column("chunk")[0].as_py(), np.int64))
+        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), chunk, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "chunk", "kind", "keys"])
 
     def answer(asked: pa.Table, segments: pa.Table) -> pa.Table:
         values = []
         own = Filter.of(parts, segments.to_pylist())
         for kind, keys in zip(asked.column("kind").to_pylist(), asked.column("keys").to_pylist(), strict=True):
-            keys = np.frombuffer(keys, "<u8")
-            got = own.levels(keys) if kind else own.exact(keys)
-            values.append(got.astype("<i8").tobytes())
-        return pa.Table.from_arrays([asked.column("chunk"), asked.column("kind"), asked.column("keys"), pa.array(values, pa.binary())], ["chunk", "kind", "keys", "values"])
+            values.append(_planes(own.levels(decoded(keys)).astype(np.uint8) if kind else own.exact(np.frombuffer(keys, "<u8")).astype("<i8")))
+        return pa.Table.from_arrays([asked.column("chunk"), asked.column("part"), asked.column("kind"), pa.array(values, pa.binary())], ["chunk", "part", "kind", "values"])
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        def each(kind):
-            rows = [r for r in answers.to_pylist() if r["kind"] == kind]
-            known = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in rows] or [np.zeros(0, np.uint64)])
-            values = np.concatenate([np.frombuffer(r["values"], "<i8") for r in rows] or [np.zeros(0, np.int64)])
-            order = np.argsort(known, kind="stable")
-            return lambda keys: _found(known[order], values[order], keys)
-
-        batches = texts.to_batches()
-        exact, levels = each(0), each(1)
-        return pa.Table.from_batches([_result([b], _scores(_texts(b.column("text")), exact, levels, tokens, distinct), tokens) for b in batches if b.num_rows])
-
-    asked = docs.select("chunk", "text").mapInArrow(ask, "part int, chunk bigint, kind int, keys binary")
-    answers = asked.groupBy("part").cogroup(model.segments.groupBy("part")).applyInArrow(answer, "chunk bigint, kind int, keys binary, values binary")
+        rows = sorted(answers.select(["kind", "part", "values"]).to_pylist(), key=lambda r: (r["kind"], r["part"]))
+        known = distinct_runs(texts)
+        # parts are ranges, so answers in the order of parts are those of the sorted keys
+        values = [np.concatenate([_unplaned(r["values"], own) for r in rows if r["kind"] == kind]) for kind, own in enumerate(("<i8", "<u1"))]
+
+        def exact(keys):
+            return _found(known[0], values[0], keys)
+
+        def levels(keys):
+            # neighbours are looked up one after another: far quicker than in the order of the text
+            keys, back = np.unique(keys, return_inverse=True)
+            return _found(known[1], values[1], keys)[back]
+
+        held = _sliced(texts.to_batches(), SCORED)
+        return pa.Table.from_batches([_result(h, _scores([t for b in h for t in _texts(b.column("text"))], exact, levels, tokens, distinct), tokens) for h in held])
+
+    asked = docs.groupBy("chunk").applyInArrow(ask, "part int, chunk bigint, kind int, keys binary")
+    answers = asked.groupBy("part").cogroup(model.segments.groupBy("part")).applyInArrow(answer, "chunk bigint, part int, kind int, values binary")
     return docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, SCORES)
 
 
 def score(docs: DataFrame, model: Model, bound: int = BOUND) -> DataFrame:
     """doc_id, held_out and the scores for rows (doc_id, held_out, text)."""
-    return _by_broadcast(docs, model) if model.bytes <= bound else _by_chunks(docs, model)
+    return _by_one_filter(docs, model) if model.bytes <= bound else _by_chunks(docs, model)
 
 
 def op7_lm_scores(spark, sf_dir):
