@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewright.llm import html, negatives, queries, whitening
+from tracewright.llm import html, negatives, queries, warc, whitening
 
 SF = "/root/testdata/sf0.001"
 ROWS = "vec_id bigint, embedding array<float>, label int, n int, component string, x string, list int, chunk string"
@@ -272,3 +272,9 @@ def test_classes_are_the_tokens_of_equal_occurrence_vectors(spark):
     whole = label["body."]["class_id"]
     assert label["ul."]["class_id"] == label["div.a"]["class_id"] == whole and label["div.b"]["class_id"] != whole != label["li."]["class_id"]
     assert label["div.b"]["parent_class"] == label["li."]["parent_class"] == whole and not any(r["constant"] and r["words"] for r in rows)
+
+
+def test_a_payload_is_hashed_once_and_not_once_a_digit(spark):
+    rows = spark.createDataFrame([("",), ("<p>é</p>" * 9,), (None,)], "html string").select("html", warc.digest(F.col("html")).alias("d"))
+    assert [r.d for r in rows.collect()] == [None if r.html is None else warc.sha1_base32(r.html.encode()) for r in rows.collect()]
+    assert rows._jdf.queryExecution().analyzed().toString().lower().count("sha1(") == 1

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import shared_dir, table
+from .common import let, shared_dir, table
 
 MIN_BYTES = 0
 BLOCK = 1 << 20
@@ -52,11 +52,13 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 def digest(payload):
     """Bare upper-case base32 of the SHA-1 of a string column."""
-    bits = F.sha1(payload.cast("binary"))
-    # 40 hexadecimal digits are 8 groups of 5, each of 20 bits: 4 base32 digits
-    groups = [F.conv(F.substring(bits, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)]
-    digits = [F.substring(F.lit(_BASE32), F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for g in groups for s in (15, 10, 5, 0)]
-    return F.concat(*digits)
+    def digits(bits):
+        # 40 hexadecimal digits are 8 groups of 5, each of 20 bits: 4 base32 digits
+        groups = F.array(*[F.conv(F.substring(bits, 5 * k + 1, 5), 16, 10).cast("int") for k in range(8)])
+        return F.array_join(F.transform(groups, lambda g: F.concat(*[F.substring(F.lit(_BASE32), F.shiftright(g, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])), "")
+
+    # hashed once, not once a digit
+    return F.when(payload.isNotNull(), let(F.sha1(payload.cast("binary")), digits))
 
 
 def records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
