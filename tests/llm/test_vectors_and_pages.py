@@ -135,6 +135,21 @@ def test_lists_far_from_an_anchor_are_not_visited(spark):
     assert [r["list"] for r in negatives.wants(window, centroids, np.zeros(2), [1, 1], 3, 0, 2, np.float32).collect()] == [1]
 
 
+def test_best_of_a_chunk_are_told_without_a_group_of_all_its_hits(spark):
+    """Hits of all blocks meet in a window that spills; the next wave asks for no less than the kth score."""
+    schema = "chunk int, anchor_id bigint, label bigint, x array<bigint>, lows array<bigint>, highs array<bigint>, scores array<array<bigint>>, found array<array<bigint>>"
+    states = spark.createDataFrame([(0, 50, 1, [9, 0], [-5, 0], [99, 3], [[7], []], [[4], []]), (0, 100, 1, [9, 1], [-5], [99], [[]], [[]])], schema)
+    hits = spark.createDataFrame([(50, 0, k % 9, 1000 - k) for k in range(900)], "anchor_id bigint, place int, score bigint, vec_id bigint")
+    kept = negatives.kept(states, hits, 2)
+    assert "CoGroup" not in kept._jdf.queryExecution().toString()
+    got = {r["anchor_id"]: (r["scores"], r["found"]) for r in kept.collect()}
+    assert got == {50: ([[8, 8], []], [[1000 - 899, 1000 - 890], []]), 100: ([[]], [[]])}
+    sent = negatives.wants(kept, np.array([[9.0, 0.0]]), np.ones(1), [1], 2, 0, 1, np.float32).collect()
+    assert [np.frombuffer(r["lows"], np.int64).reshape(2, -1).min(axis=1).tolist() for r in sent] == [[0, -5]]
+    assert {np.frombuffer(r["lows"], np.int64).max() for r in sent} == {np.iinfo(np.int64).max}
+    assert 8 in np.frombuffer(sent[0]["lows"], np.int64)
+
+
 def test_negatives_of_empty_tables(spark):
     for rows in ([], [(1, None, 1)], [(50, [0.5], 1)], [(50, [0.5], 1), (51, [0.5], 2)], [(3, [0.5], 1), (4, [0.5], 1)]):
         assert mined(embeddings(spark, rows)) == []

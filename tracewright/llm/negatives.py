@@ -12,8 +12,10 @@ whatever the centroids are; they only decide how much is visited.
 A list is cut into blocks of about BLOCK rows and anchors into chunks of about
 CHUNK, so that a list with a third of all rows is many tasks. A wave joins the blocks
 that a chunk's anchors want with these anchors and multiplies the two matrices; each
-anchor keeps its best k. Scores are whole numbers: products run in the narrowest
-float kind that is exact for the vectors' norms, else in longs.
+anchor keeps its best k, and from wave to wave asks for no less than its kth score. Scores are
+whole numbers: products run in the narrowest float kind that is exact for the vectors' norms, else
+in longs. Chunks are sent to blocks a few at a time, packed in the narrowest whole numbers, and
+best ones are told by a window that spills, so no task holds what all blocks found for a chunk.
 
 Defined results:
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import matrices, stored, table
@@ -43,9 +45,11 @@ LARGEST = float(2**20)
 #: Rows that centroids are fitted on at most (those of the smallest hashes of their ids), centroids at most, rounds.
 SAMPLE, MOST_LISTS, ROUNDS = 20_000, 1024, 8
 #: Rows of a block and of a chunk of anchors, on average.
-BLOCK, CHUNK = 1024, 256
+BLOCK, CHUNK = 8192, 256
 #: Lists that an anchor visits in its first wave, and the factor from wave to wave.
 FIRST, WAVE = 16, 8
+#: Bytes of packed anchors that are handed on at once, about.
+AT_ONCE = 8 << 20
 POSITIVES, NEGATIVES = 5, 3
 #: A negative scores from LEAST to MOST percent of its positive.
 LEAST, MOST = 50, 95
@@ -63,10 +67,10 @@ def usable(embeddings: DataFrame, label: Column) -> DataFrame:
 
 
 def centroids_of(rows: DataFrame, n: int) -> np.ndarray:
-    """K-means on a sample: half the square root of the number of rows in lists, at most MOST_LISTS."""
+    """K-means on a sample: a quarter of the square root of the number of rows in lists, at most MOST_LISTS, as chunks are sent to each list."""
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").toPandas()
     x = np.array(sample["x"].tolist(), float)
-    k = int(min(MOST_LISTS, max(1, n**0.5 / 2), len(x)))
+    k = int(min(MOST_LISTS, max(1, n**0.5 / 4), len(x)))
     found = x[np.random.default_rng(0).choice(len(x), k, replace=False)]
     for _ in range(ROUNDS):
         own = nearest(x, found)
@@ -100,8 +104,13 @@ def exact_kind(norm2: float) -> type:
     return np.float32 if norm2 < 2**24 else np.float64 if norm2 < 2**53 else np.int64
 
 
+def stored_kind(kind: type) -> type:
+    """The narrowest kind of whole number for the entries of vectors whose products are exact in ``kind``."""
+    return np.int16 if kind is np.float32 else np.int32
+
+
 def packed(rows: pd.DataFrame, kind: type) -> bytes:
-    return np.array(rows["x"].tolist(), kind).tobytes()
+    return np.array(rows["x"].tolist(), stored_kind(kind)).tobytes()
 
 
 def blocks_of(rows: DataFrame, parts: list[int], kind: type) -> DataFrame:
@@ -109,37 +118,52 @@ def blocks_of(rows: DataFrame, parts: list[int], kind: type) -> DataFrame:
 
     def block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id", kind="stable")
-        return pd.DataFrame({"list": [key[0]], "block": [key[1]], "ids": [rows["vec_id"].tolist()], "labels": [rows["label"].tolist()], "data": [packed(rows, kind)]})
+        ids, labels = (rows[c].to_numpy(np.int64).tobytes() for c in ("vec_id", "label"))
+        return pd.DataFrame({"list": [key[0]], "block": [key[1]], "ids": [ids], "labels": [labels], "data": [packed(rows, kind)]})
 
     n = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("list") + 1)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), n).cast("int"))
-    return rows.groupBy("list", "block").applyInPandas(block, "list int, block int, ids array<bigint>, labels array<bigint>, data binary")
+    return rows.groupBy("list", "block").applyInPandas(block, "list int, block int, ids binary, labels binary, data binary")
 
 
 #: The state of an anchor: windows of scores (lowest, highest) and for each the best found, (score, vec_id) from the best on.
 _STATE = "chunk int, anchor_id bigint, label bigint, x array<bigint>, lows array<bigint>, highs array<bigint>, scores array<array<bigint>>, found array<array<bigint>>"
-_BLOCK = "list int, block int, chunk int, anchors array<bigint>, anchor_labels array<bigint>, lows array<array<bigint>>, highs array<array<bigint>>, wanted binary"
-_HIT = "chunk int, anchor_id bigint, place int, score bigint, vec_id bigint"
+_BLOCK = "list int, block int, chunk int, anchors binary, anchor_labels binary, lows binary, highs binary, wanted binary"
+_HIT = "anchor_id bigint, place int, score bigint, vec_id bigint"
 
 
 def wants(anchors: DataFrame, centroids: np.ndarray, radii: np.ndarray, parts: list[int], most: int, first: int, last: int, kind: type) -> DataFrame:
     """For each chunk and block that some of its anchors visit in this wave (ranks first to last of their bounds): these anchors, packed."""
 
-    def chunk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    names = ["list", "block", "chunk", "anchors", "anchor_labels", "lows", "highs", "wanted"]
+
+    def chunk(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(batches)
         x = np.array(rows["x"].tolist(), float)
         middle, reach = x @ centroids.T, np.sqrt((x**2).sum(axis=1))[:, None] * radii
         slack = 1e-9 * (np.abs(middle) + reach + 1)  # bounds are floats
         upper, lower = middle + reach + slack, middle - reach - slack
-        kth = np.array([min(s[-1] if len(s) >= most else low for s, low in zip(scores, lows, strict=True)) for scores, lows in zip(rows["scores"], rows["lows"], strict=True)], float)
-        top = np.array([max(h) for h in rows["highs"]], float)
+        # below its kth score nothing is asked for; windows are as many for some anchors as they have positives
+        width = max(len(h) for h in rows["highs"])
+        lows = np.full((len(rows), width), np.iinfo(np.int64).max)
+        highs = np.full((len(rows), width), np.iinfo(np.int64).min)
+        for k, (had, low, high) in enumerate(zip(rows["scores"], rows["lows"], rows["highs"], strict=True)):
+            lows[k, : len(low)] = [max(v, s[-1]) if len(s) >= most else v for v, s in zip(low, had, strict=True)]
+            highs[k, : len(high)] = high
+        visit = (upper >= lows.min(axis=1)[:, None]) & (lower <= highs.max(axis=1)[:, None])
         rank = np.argsort(np.argsort(-upper, axis=1, kind="stable"), axis=1)
-        visit = (rank >= first) & (rank < last) & (upper >= kth[:, None]) & (lower <= top[:, None])
-        out = []
+        visit &= (rank >= first) & (rank < last)
+        ids, labels, data = rows["anchor_id"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), x.astype(stored_kind(kind))
+        out, held = [], 0
         for k in np.flatnonzero(visit.any(axis=0)):
-            own = rows[visit[:, k]]
-            data, columns = packed(own, kind), [own[c].tolist() for c in ("anchor_id", "label", "lows", "highs")]
-            out += [(int(k), b, key[0], *columns, data) for b in range(parts[k])]
-        return pd.DataFrame(out, columns=["list", "block", "chunk", "anchors", "anchor_labels", "lows", "highs", "wanted"])
+            own = [c[visit[:, k]].tobytes() for c in (ids, labels, lows, highs, data)]
+            for b in range(parts[k]):
+                out.append((int(k), b, key[0], *own))
+                held += sum(map(len, own))
+                if held >= AT_ONCE:
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+        yield pd.DataFrame(out, columns=names)
 
     return anchors.groupBy("chunk").applyInPandas(chunk, _BLOCK)
 
@@ -149,50 +173,42 @@ def scored(pairs: DataFrame, same: bool, most: int, d: int, kind: type) -> DataF
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, b = (np.frombuffer(row[c], kind).reshape(-1, d) for c in ("wanted", "data"))
-                anchors, ids = np.array(row["anchors"]), np.array(row["ids"])
-                scores = (a @ b.T).astype(np.int64)
-                fits = ((np.array(row["anchor_labels"])[:, None] == np.array(row["labels"])) == same) & (anchors[:, None] != ids)
-                lows, highs = np.array(row["lows"]), np.array(row["highs"])
+            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
+                a, b = (np.frombuffer(row[c], stored_kind(kind)).reshape(-1, d).astype(kind) for c in ("wanted", "data"))
+                anchors, anchor_labels, ids, labels = (np.frombuffer(row[c], np.int64) for c in ("anchors", "anchor_labels", "ids", "labels"))
+                lows, highs = (np.frombuffer(row[c], np.int64).reshape(len(anchors), -1).astype(kind) for c in ("lows", "highs"))
+                scores = a @ b.T
+                fits = ((anchor_labels[:, None] == labels) == same) & (anchors[:, None] != ids)
                 out = [best(scores, fits & (scores >= lows[:, [w]]) & (scores <= highs[:, [w]]), most) for w in range(lows.shape[1])]
                 at, col = (np.concatenate([o[i] for o in out]) for i in (0, 1))
                 place = np.repeat(np.arange(len(out), dtype=np.int32), [len(o[0]) for o in out])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), row["chunk"], np.int32)), pa.array(anchors[at]), pa.array(place), pa.array(scores[at, col]), pa.array(ids[col])], names=["chunk", "anchor_id", "place", "score", "vec_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors[at]), pa.array(place), pa.array(scores[at, col].astype(np.int64)), pa.array(ids[col])], names=["anchor_id", "place", "score", "vec_id"])
 
     return pairs.mapInArrow(part, _HIT)
 
 
 def best(scores: np.ndarray, fits: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the first ``most`` fitting scores of each row: higher first, of equal ones the earlier column."""
-    least = np.iinfo(np.int64).min
-    held = np.where(fits, scores, least)
-    kth = np.partition(held, -most, axis=1)[:, -most] if held.shape[1] > most else np.full(len(held), least)
-    at, col = np.nonzero(fits & (held >= kth[:, None]))
-    order = np.lexsort((col, -held[at, col], at))
+    least = -np.inf if scores.dtype.kind == "f" else np.iinfo(scores.dtype).min
+    kth, many = np.full(len(scores), least, scores.dtype), np.flatnonzero(fits.sum(axis=1) > most)
+    if len(many):
+        kth[many] = np.partition(np.where(fits[many], scores[many], least), -most, axis=1)[:, -most]
+    at, col = np.nonzero(fits & (scores >= kth[:, None]))
+    order = np.lexsort((col, -scores[at, col], at))
     at, col = at[order], col[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
     return at[place < most], col[place < most]
 
 
 def kept(states: DataFrame, hits: DataFrame, most: int) -> DataFrame:
-    """The states with the best of what they had and what was hit."""
-
-    def update(key: tuple, states: pd.DataFrame, hits: pd.DataFrame) -> pd.DataFrame:
-        by = {anchor: h for anchor, h in hits.groupby("anchor_id")}
-        scores, found = [], []
-        for row in states.itertuples():
-            new = by.get(row.anchor_id)
-            all_hits = [[(-s, i) for s, i in zip(a, b, strict=True)] for a, b in zip(row.scores, row.found, strict=True)]
-            if new is not None:
-                for w, s, i in zip(new["place"], new["score"], new["vec_id"], strict=True):
-                    all_hits[w].append((-s, i))
-            all_hits = [sorted(h)[:most] for h in all_hits]
-            scores.append([[-s for s, _ in h] for h in all_hits])
-            found.append([[i for _, i in h] for h in all_hits])
-        return states.assign(scores=scores, found=found)
-
-    return states.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(update, _STATE)
+    """The states with the best of what they had and what was hit: told by a window, which spills, so hits of any number are no group of a task's memory."""
+    had = states.select("anchor_id", F.posexplode(F.arrays_zip("scores", "found")).alias("place", "hit")).select("anchor_id", "place", F.explode(F.arrays_zip("hit.scores", "hit.found")).alias("hit"))
+    rows = hits.unionByName(had.select("anchor_id", "place", F.col("hit.scores").alias("score"), F.col("hit.found").alias("vec_id")))
+    nth = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("score"), "vec_id"))
+    rows = rows.withColumn("nth", nth).where(F.col("nth") <= most)
+    best_of = rows.groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("place", "nth", "score", "vec_id"))).alias("best"))
+    each = lambda field: F.transform("lows", lambda _, p: F.transform(F.filter(F.coalesce("best", F.array().cast("array<struct<place:int,nth:int,score:bigint,vec_id:bigint>>")), lambda h: h["place"] == p), lambda h: h[field]))
+    return states.drop("scores", "found").join(best_of, "anchor_id", "left").select(*states.columns[:6], each("score").alias("scores"), each("vec_id").alias("found"))
 
 
 def search(anchors: DataFrame, blocks: DataFrame, centroids: np.ndarray, radii: np.ndarray, parts: list[int], same: bool, most: int, kind: type) -> DataFrame:
