@@ -220,3 +220,22 @@ def test_bound_thrown_and_answered_in_one_pass(spark):
 
     plan = queries_code.code_results(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_gaps_are_looked_for_only_where_one_begins(monkeypatch):
+    """Tokens that stand side by side cost no search for white space and comments; gaps of all sorts are still found."""
+    from tracewright.extract import typescript as reader
+
+    class Counted:
+        n, skip = 0, reader._SKIP
+
+        def match(self, *args):
+            self.n += 1
+            return self.skip.match(*args)
+
+    counted = Counted()
+    monkeypatch.setattr(reader, "_SKIP", counted)
+    tokens = reader.Tokens("#!/bin/x\na.b(c)[d] /*e*/+//f\n(g) ;h", False)
+    assert tokens.text == ["a", ".", "b", "(", "c", ")", "[", "d", "]", "+", "(", "g", ")", ";", "h"]
+    assert [t for t, fresh in zip(tokens.text, tokens.fresh, strict=True) if fresh] == ["a", "("]
+    assert counted.n < len(tokens.text) / 2
