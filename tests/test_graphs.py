@@ -13,6 +13,7 @@ from tracewright.functions.redact import redact
 from tracewright.operators import drift, traverse
 from tracewright.plans import views
 from tracewright.plans.build import SCHEMAS, Builder, Graph, callee_keys, import_keys
+from tracewright.plans.shapes import merged_nodes, merged_values
 from tracewright.sources.store import Store
 
 
@@ -297,3 +298,43 @@ def test_calls_between_the_same_two_meet_endpoints_once_and_are_all_cited(spark)
     built = Builder(spark, facts).graph()
     refs = built.edge_refs.where("id like '%|tests|%'").groupBy("id").count().collect()
     assert len(refs) == 3 and {r["count"] for r in refs} == {20}
+
+
+def _deployment_markers(spark, tmp_path):
+    """Markers at rest, so that a plan shows how often they are scanned."""
+    rows = [("a/compose.yml", "t", 1, "compose.service", 1, {"service": "w", "build": "./src"}), ("a/compose.yml", "t", 2, "compose.port_publish", 2, {"service": "w", "containerPort": "80", "hostPort": "8080"})]
+    rows += [("a/compose.yml", "t", 3, "compose.network", 3, {"service": "gone", "network": "n"}), ("a/compose.yml", "t", 4, "compose.network_declared", 4, {"network": "n"}), ("a/compose.yml", "t", 5, "compose.depends_on", 5, {"service": "gone", "dependsOn": "w"})]
+    rows += [("a/compose.yml", "t", 6, "compose.volume_mount", 6, {"service": "w", "volume": ""}), ("a/compose.yml", "t", 7, "compose.service", 7, {"service": "w", "image": "i"}), ("a/compose.yml", "t", 8, "compose.service_address", 8, {"service": "w", "target": "x", "port": ""})]
+    spark.createDataFrame(rows, SCHEMAS["markers"]).write.parquet(str(tmp_path / "markers"))
+    spark.createDataFrame([("a/src/m.ts", "typescript", None, True, 0), ("a/src.ts", "typescript", None, True, 1)], SCHEMAS["files"]).write.parquet(str(tmp_path / "files"))
+    return Builder(spark, {n: spark.read.parquet(str(tmp_path / n)) for n in ("markers", "files")})
+
+
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_deployed_shapes_share_a_scan(spark, tmp_path):
+    nodes, edges = _deployment_markers(spark, tmp_path).deployed()
+    assert {(r["src"], r["kind"], r["dst"]) for r in edges.collect()} == {
+        ("deployment_component:w", "exposes", "port:w-80"), ("deployment_component:gone", "joins_network", "network:n"), ("deployment_component:w", "communicates_with", "deployment_component:x"),
+    }
+    found = {r["id"]: (r["seq"], r["attributes"]) for r in nodes.collect()}
+    assert set(found) == {"port:w-80", "network:n"} and found["network:n"] == (3, {"declaredIn": "a/compose.yml"}) and found["port:w-80"][1]["hostPort"] == "8080"
+    assert _scans(edges) <= 3
+
+
+def test_named_attributes_are_merged_without_the_others(spark, tmp_path):
+    rules = _deployment_markers(spark, tmp_path)
+    seen = rules.components()[0]
+    whole = {r["id"]: (r["attributes"].get("build"), r["attributes"].get("image")) for r in merged_nodes(seen).collect()}
+    few = merged_values(seen, "build", "image")
+    assert {r["id"]: (r["build"], r["image"]) for r in few.collect()} == whole == {"deployment_component:w": ("./src", "i")}
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_services_are_merged_in_one_grouping(spark, tmp_path):
+    rules = _deployment_markers(spark, tmp_path)
+    assert [tuple(r[c] for c in ("service", "name", "path", "seq", "folder")) for r in rules.services().collect()] == [("deployment_component:w", "w", "a/compose.yml", 1, "a/src")]
+    links = rules.reconciled()
+    assert {(r["src"], r["kind"], r["dst"]) for r in links.collect()} == {("module:a/src/m", "deploys", "deployment_component:w")}

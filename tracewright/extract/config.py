@@ -83,14 +83,15 @@ def dockerfile(files: DataFrame) -> DataFrame:
         when(["COPY", "ADD"], "docker.copy", instruction=F.col("word"), sources=sources),
         when(["RUN"], "docker.run", present=F.lit("true")),
     )
-    single = rows.where("word <> 'ENV'").select("path", "line", found.alias("m")).where("m is not null").select("path", "m.name", "line", "m.attributes")
     pairs = F.regexp_extract_all("rest", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)=(?:\"[^\"]*\"|'[^']*'|\S*)"), F.lit(1))
     names = F.when(F.size(pairs) > 0, pairs).otherwise(F.array(first(F.col("rest"))))
-    env = rows.where("word = 'ENV' and rest is not null").select("path", "line", F.explode(names).alias("variable"))
-    env = env.select("path", F.lit("docker.env").alias("name"), "line", _known(variable=F.col("variable"), secretLike=F.col("variable").rlike(CREDENTIAL)).alias("attributes"))
-    bases = single.where("name = 'docker.base_image'").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", F.col("attributes")["stage"].alias("stage")))).alias("s"))
+    env = F.transform(names, lambda v: F.struct(F.lit("docker.env").alias("name"), _known(variable=v, secretLike=v.rlike(CREDENTIAL)).alias("attributes")))
+    # lines are read once for all instructions, and once more for the stages
+    each = rows.select("path", "line", F.explode(F.when(F.col("word") == "ENV", F.when(F.col("rest").isNotNull(), env)).otherwise(F.array(found))).alias("m"))
+    single = each.where("m is not null").select("path", "m.name", "line", "m.attributes")
+    bases = rows.where("word = 'FROM' and rest is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", F.coalesce(stage, F.lit("default")).alias("stage")))).alias("s"))
     stages = bases.select("path", F.lit("docker.build_stage").alias("name"), F.lit(1).alias("line"), _known(stageCount=F.size("s"), stages=F.array_join("s.stage", ",")).alias("attributes"))
-    return single.unionByName(env).unionByName(stages)
+    return single.unionByName(stages)
 
 
 # The sections of a manifest, and its fields that name an entry point.
@@ -141,6 +142,11 @@ def _applied(files: DataFrame, read: Callable[[str], Iterator[Marker]]) -> DataF
 _KEY = re.compile(r"""(?P<dash>(?:-\s+)*)(?:(?P<key>"[^"]*"|'[^']*'|[^\s:#"'\[{][^:#]*?)\s*:(?:\s+(?P<value>.*))?|(?P<item>.+))$""")
 
 
+_COMMENT = re.compile(r"(^|\s)#.*$")
+#: Values after which a block text follows.
+_BLOCKS = {"|", "|+", "|-", ">", ">+", ">-"}
+
+
 def yaml_rows(text: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
     """(line, path, value) of every key and list item of block YAML; items have numbers in their paths, as ``[0]``.
 
@@ -165,7 +171,8 @@ def yaml_rows(text: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
         m = _KEY.match(body)
         if not m:
             continue
-        at, dashes = indent, m["dash"].count("-") + (body == "-")
+        dash, said, given, item = m.groups()
+        at, dashes = indent, (dash.count("-") if dash else 0) + (body == "-")
         while stack and stack[-1][0] >= at and not (dashes and stack[-1][0] == at and not stack[-1][1].startswith("[")):
             stack.pop()
         for _ in range(dashes):
@@ -174,16 +181,17 @@ def yaml_rows(text: str) -> Iterator[tuple[int, tuple[str, ...], str]]:
             stack.append((at, f"[{place}]"))
             at += 2
         path = tuple(k for _, k in stack)
-        if m["key"] is None or body == "-":
+        if said is None or body == "-":
             if body != "-":
-                yield number, path, _scalar(m["item"])
+                yield number, path, _scalar(item)
             continue
-        key, value = _scalar(m["key"]), re.sub(r"(^|\s)#.*$", "", m["value"] or "").strip()
+        key, value = _scalar(said), (_COMMENT.sub("", given) if given and "#" in given else given or "").strip()
         path = (*path, key)
         stack.append((at, key))
-        for gone in [k for k in counts if k[: len(path)] == path]:
-            del counts[gone]
-        if re.fullmatch(r"[|>][+-]?", value):
+        if counts:
+            for gone in [k for k in counts if k[: len(path)] == path]:
+                del counts[gone]
+        if value in _BLOCKS:
             block = (at, number, path)
         elif value.startswith("[") and value.endswith("]"):
             yield number, path, ""

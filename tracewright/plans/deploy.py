@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions.identity import slug
 from tracewright.functions.paths import ancestors, folder, normalised
-from tracewright.plans.shapes import EXPLICIT, STRONG, WEAK, attributes, edges_of, merged_nodes, module_id, nodes_of
+from tracewright.plans.shapes import EXPLICIT, STRONG, WEAK, attributes, edges_of, first_non_null, merged_values, module_id, nodes_of
 from tracewright.storage import stored_table
 
 # Markers that other rules read, those that can be secrets, and those whose evidence is of the infrastructure.
@@ -93,8 +93,10 @@ def built(services: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame
     made distinct only for services with several folders; which services stay open is asked by folder, without pairs.
     """
     services = services.distinct()
-    above = _above(modules.join(leaves(modules).select("module"), "module", "left_semi")).select("module", "folder").distinct()
     asked = services.where("folder is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("service")))
+    # folders that no service asks for go before anything is made distinct
+    inside = _above(modules.join(leaves(modules).select("module"), "module", "left_semi")).select("module", "folder")
+    above = inside.join(services.select("folder"), "folder", "left_semi").distinct()
     once = above.join(asked.where("n = 1"), "folder").select("service", "module")
     often = above.join(asked.where("n > 1"), "folder").select("service", "module").distinct()
     held = services.join(_above(modules).select("folder").distinct(), "folder", "left_semi").select("service").distinct()
@@ -176,27 +178,29 @@ class Deployment:
 
     def deployed(self):
         """The nodes and edges that ``SHAPES`` gives the other compose markers; of nodes that several state the first alone counts."""
-        a, nodes, edges = F.col("attributes"), [], []
+        a, marker = F.col("attributes"), F.col("name")
         known = self._components().select(component(F.col("component")).alias("from")).distinct()
-        for marker, shape in SHAPES.items():
-            rows = self.marked(marker)
-            for need in shape["needs"]:
-                rows = rows.where(F.coalesce(a[need], F.lit("")) != "")
-            rows = self.cited(rows, "INFRASTRUCTURE_FILE")
-            if "service" in shape["needs"]:
-                rows = rows.withColumn("from", component(a["service"]))
-                if marker != "compose.network":
-                    rows = rows.join(known, "from", "left_semi")
-            where = {"declaredIn": F.col("path")}
-            if "node" in shape:
-                kind, key, name, given = shape["node"]
-                nodes.append(nodes_of(rows, kind, name(a), key=key(a), qualified_name=key(a), path=F.col("path"), start_line=F.col("line"), attributes=attributes(**where, **given(a))))
-            if "edge" in shape:
-                kind, (end, key) = shape["edge"]
-                edges.append(edges_of(rows, F.col("from"), kind, of_kind(end, key(a)), attributes=attributes(**where, **shape["linked"](a))))
-        stated = reduce(DataFrame.unionByName, nodes)
+        # one scan for all shapes: what a marker states is chosen by its name
+        complete = reduce(Column.__or__, [(marker == m) & reduce(Column.__and__, [F.coalesce(a[need], F.lit("")) != "" for need in shape["needs"]]) for m, shape in SHAPES.items()])
+        rows = self.cited(self.marked(*SHAPES).where(complete), "INFRASTRUCTURE_FILE")
+        free = [m for m, shape in SHAPES.items() if m == "compose.network" or "service" not in shape["needs"]]
+        owned = rows.withColumn("from", component(a["service"])).where(~marker.isin(*free)).join(known, "from", "left_semi")
+        rows = owned.unionByName(rows.where(marker.isin(*free)).withColumn("from", component(a["service"])))
+        where = {"declaredIn": F.col("path")}
+
+        def chosen(part: str, of) -> Column:
+            """What ``of`` makes of the shape's ``part``, by the marker's name."""
+            return F.coalesce(*[F.when(marker == m, of(shape[part], shape)) for m, shape in SHAPES.items() if part in shape])
+
+        def having(part: str) -> DataFrame:
+            return rows.where(marker.isin(*[m for m, shape in SHAPES.items() if part in shape]))
+
+        node = having("node").withColumn("kind", chosen("node", lambda n, _: F.lit(n[0]))).withColumn("key", chosen("node", lambda n, _: n[1](a))).withColumn("called", chosen("node", lambda n, _: n[2](a))).withColumn("given", chosen("node", lambda n, _: attributes(**where, **n[3](a))))
+        stated = nodes_of(node, F.col("kind"), F.col("called"), key=F.col("key"), qualified_name=F.col("key"), path=F.col("path"), start_line=F.col("line"), attributes=F.col("given"))
+        edge = having("edge").withColumn("kind", chosen("edge", lambda e, _: F.lit(e[0]))).withColumn("to", chosen("edge", lambda e, _: of_kind(e[1][0], e[1][1](a)))).withColumn("given", chosen("edge", lambda _, shape: attributes(**where, **shape["linked"](a))))
+        edges = edges_of(edge, F.col("from"), F.col("kind"), F.col("to"), attributes=F.col("given"))
         first = stated.groupBy("id").agg(F.min_by(F.struct(*[c for c in stated.columns if c != "id"]), "seq").alias("n")).select("id", "n.*").select(stated.columns)
-        return first, reduce(DataFrame.unionByName, edges)
+        return first, edges
 
     def _variables(self) -> DataFrame:
         a = F.col("attributes")
@@ -237,9 +241,9 @@ class Deployment:
         rows, a = self._components(), F.col("attributes")
         role = F.when(F.col("name") == "compose.service", "service").otherwise("base_image")
         seen = nodes_of(rows, "deployment_component", F.col("component"), path=F.col("path"), attributes=merged_maps(attributes(declaredAs=role), without_nulls(a)))
-        merged = merged_nodes(seen).where(a["declaredAs"] == "service")
-        first = seen.groupBy("id").agg(F.min("seq").alias("seq"), F.min_by("evidence", "seq").alias("evidence"))
-        found = merged.join(first, "id").select(F.col("id").alias("service"), "name", "path", "seq", "evidence", context_folder(F.col("path"), a["build"]).alias("folder"), a["buildFile"].alias("build_file"))
+        by = F.col("seq")
+        merged = merged_values(seen, "declaredAs", "build", "buildFile", name=first_non_null("name", by), path=first_non_null("path", by), seq=F.min("seq"), evidence=F.min_by("evidence", "seq")).where("declaredAs = 'service'")
+        found = merged.select(F.col("id").alias("service"), "name", "path", "seq", "evidence", context_folder(F.col("path"), F.col("build")).alias("folder"), F.col("buildFile").alias("build_file"))
         self.known["services"] = stored_table(found, "services")
         return self.known["services"]
 

@@ -89,6 +89,12 @@ def merged_ranks(observed: DataFrame) -> DataFrame:
     return observed.groupBy(edge_id(F.col("src"), F.col("kind"), F.col("dst")).alias("id")).agg(F.min("rank").alias("rank"))
 
 
+def merged_values(observed: DataFrame, *names: str, **more: Column) -> DataFrame:
+    """(id, names..., more...) of ``merged_nodes``: the attributes that are named alone, and aggregates of the same grouping."""
+    value = lambda n: F.min_by(F.col("attributes")[n], F.when(F.col("attributes")[n].isNotNull(), F.col("seq")))
+    return observed.groupBy("id").agg(*[value(n).alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
+
+
 def _attributes(observed: DataFrame, key: str) -> DataFrame:
     each = observed.select(key, "seq", F.explode("attributes").alias("name", "value"))
     first = each.groupBy(key, "name").agg(F.min_by("value", "seq").alias("value"))

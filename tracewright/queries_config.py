@@ -6,7 +6,7 @@ from tracewright.extract import config
 from tracewright.extract.sql_access import accesses
 from tracewright.plans import estate
 from tracewright.plans.build import Builder
-from tracewright.plans.shapes import SCHEMAS, merged_edges, merged_nodes
+from tracewright.plans.shapes import SCHEMAS, merged_edges, merged_ranks, merged_values
 from tracewright.registry import register
 from tracewright.storage import stored_table
 
@@ -252,7 +252,7 @@ UNION ALL SELECT {_WEB} || '|exposes|port:web' || c_custkey || '-' || p, 3 FROM
 )
 def deployment_links(spark, sf):
     """What services need, join, mount, publish and address."""
-    return merged_edges(_deployment(spark, sf).deployed()[1]).select("id", "rank")
+    return merged_ranks(_deployment(spark, sf).deployed()[1])
 
 
 @register(f"""SELECT {_WEB} || '|references_secret|secret:secret_token' AS id, true AS name_only {_K} UNION ALL SELECT 'module:d' || c_custkey || '/web' || c_custkey || '/docker/dockerfile|references_secret|secret:api_key', true {_K}""")
@@ -272,7 +272,7 @@ def deployment_components(spark, sf):
 @register(f"""SELECT 'module:d' || c_custkey || '/web' || c_custkey || m || '|deploys|' || {_WEB} AS id, 2 AS rank FROM customer, LATERAL (VALUES ('/docker/dockerfile'), ('/src/a'), ('/main' || c_custkey)) v(m) UNION ALL SELECT {_WEB} || '|runs|module:d' || c_custkey || '/web' || c_custkey || '/main' || c_custkey, 1 {_K}""")
 def deployment_reconciled(spark, sf):
     """Services linked with the code of their build context and with the file that their command names."""
-    return merged_edges(_deployment(spark, sf).reconciled()).select("id", "rank")
+    return merged_ranks(_deployment(spark, sf).reconciled())
 
 
 @register(f"""SELECT rule, subject FROM customer, LATERAL (VALUES ('service_to_module', {_API}), ('service_to_entrypoint', {_API}), ('service_to_port', 'port:web' || c_custkey || '-80'), ('service_to_port', 'port:web' || c_custkey || '-9000'), ('service_to_endpoint', {_WEB})) v(rule, subject)""")
@@ -287,4 +287,4 @@ def deployment_unresolved(spark, sf):
 ('github/workflows/w' || c_custkey || '.yml', 14, 'workflow.secret')) v(p, line, marker)""")
 def deployment_configuration(spark, sf):
     """What has no shape of its own becomes configuration of its file and line."""
-    return merged_nodes(_deployment(spark, sf).configuration()[0]).select("id", F.col("attributes")["marker"].alias("marker"))
+    return merged_values(_deployment(spark, sf).configuration()[0], "marker")
