@@ -11,6 +11,7 @@ from tracewright.functions import paths
 from tracewright.functions.identity import slug
 from tracewright.functions.redact import redact
 from tracewright.operators import drift, traverse
+from tracewright.plans import facts as made
 from tracewright.plans import views
 from tracewright.plans.build import SCHEMAS, Builder, Graph, callee_keys, import_keys
 from tracewright.plans.shapes import merged_nodes, merged_values
@@ -338,3 +339,11 @@ def test_services_are_merged_in_one_grouping(spark, tmp_path):
     assert [tuple(r[c] for c in ("service", "name", "path", "seq", "folder")) for r in rules.services().collect()] == [("deployment_component:w", "w", "a/compose.yml", 1, "a/src")]
     links = rules.reconciled()
     assert {(r["src"], r["kind"], r["dst"]) for r in links.collect()} == {("module:a/src/m", "deploys", "deployment_component:w")}
+
+
+def test_ids_and_counters_alone_are_those_of_the_graph(spark):
+    facts = made.facts(spark, "/root/testdata/sf0.001")
+    whole, rules = Builder(spark, facts).graph(), Builder(spark, facts)
+    assert {tuple(r) for r in rules.edge_ids().collect()} == {tuple(r) for r in whole.edges.select("src", "kind", "dst").collect()}
+    assert {tuple(r) for r in rules.node_ids().collect()} == {tuple(r) for r in whole.nodes.select("id", "kind").collect()}
+    assert rules.counters() == whole.counters

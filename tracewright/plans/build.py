@@ -18,7 +18,7 @@ from tracewright.functions.identity import edge_id, evidence_id, slug
 from tracewright.functions.paths import module_name, normalised
 from tracewright.operators.graph import guard
 from tracewright.plans.deploy import Deployment
-from tracewright.plans.shapes import EXPLICIT, NODE, SCHEMAS, STRONG, UNKNOWN, WEAK, Graph, attributes, edges_of, merged_edges, merged_nodes, module_id, nodes_of, typed
+from tracewright.plans.shapes import EDGE, EXPLICIT, NODE, SCHEMAS, STRONG, UNKNOWN, WEAK, Graph, attributes, edges_of, merged_edges, merged_nodes, module_id, nodes_of, typed
 from tracewright.storage import stored_table
 
 def resolve_by_rank(rows: DataFrame, key: str, candidates: Column, index: DataFrame, keep: list[str]) -> DataFrame:
@@ -55,6 +55,8 @@ class Builder(Deployment):
         self.facts = {k: facts.get(k) if k in facts else spark.createDataFrame([], s) for k, s in SCHEMAS.items()}
         self.repository = F.lit(f"repository:{name}")
         self.known: dict[str, DataFrame] = {}  # what several rules read, stored by ``graph``
+        self.asked: dict[str, tuple | DataFrame] = {}  # what rules gave to ``node_ids`` and ``edge_ids``
+        self.sized = False  # whether lookups are stored, so that their true sizes decide how they are joined
 
     # -- evidence and lookups
 
@@ -72,19 +74,25 @@ class Builder(Deployment):
         rows = self.facts["entities"].select(F.explode(F.array_distinct(F.array("qualified_name", "name"))).alias("name"), self._entity().alias("target"), F.col("kind").alias("target_kind"), F.col("path").alias("at"), "seq")
         return rows.where("name is not null").groupBy("name").agg(F.min_by(F.struct("target", "target_kind", "at"), "seq").alias("s")).select("name", "s.*")
 
+    def _lookup(self, rows: DataFrame) -> DataFrame:
+        return stored_table(rows, "lookup") if self.sized else rows
+
     def _entity(self) -> Column:
         return F.concat(F.col("kind"), F.lit(":"), slug(F.coalesce("qualified_name", "name")))
 
     def scoped(self, rows: DataFrame, scope: Column) -> DataFrame:
         """``rows`` with ``owner``: the declared symbol of that name, else the module; ``known`` says which."""
         index = self.symbols().select(F.col("name").alias("_scope"), F.col("target").alias("_owner"))
-        rows = rows.withColumn("_scope", scope).join(index, "_scope", "left")
+        rows = rows.withColumn("_scope", scope)
+        if self.sized:
+            index = self._lookup(index.join(rows.select("_scope").distinct(), "_scope", "left_semi"))
+        rows = rows.join(index, "_scope", "left")
         return rows.withColumn("owner", F.coalesce("_owner", module_id(F.col("path")))).withColumn("known", F.col("_owner").isNotNull()).drop("_scope", "_owner")
 
     def called(self, rows: DataFrame, callee: str = "callee") -> DataFrame:
         """``rows`` with target, target_kind and at of what ``callee`` means; rows whose callee isn't known go."""
         hit = resolve_by_rank(rows.select(callee).distinct(), callee, callee_keys(F.col(callee)), self.symbols(), ["target", "target_kind", "at"])
-        return rows.join(hit, callee)
+        return rows.join(self._lookup(hit), callee)
 
     def named(self, rows: DataFrame, name: str) -> DataFrame:
         """``rows`` with target and target_kind of the declaration of exactly this name; others go."""
@@ -183,17 +191,22 @@ class Builder(Deployment):
         ]
         return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
+    def _undeclared(self) -> DataFrame:
+        """Nodes of the tables that statements name and no DDL declares: they stay unknown; a declared one isn't weakened by being used."""
+        a = F.col("attributes")
+        table = F.concat(F.lit("table:"), slug(a["table"]))
+        declared = self.marked("schema.table").select(table.alias("declared")).distinct()
+        unknown = self.cited(self.marked("sql.query"), "CALL_SITE").withColumn("declared", table).join(declared, "declared", "left_anti")
+        return nodes_of(unknown, "table", a["table"], UNKNOWN, attributes=attributes(declaredInDdl=False))
+
     def sql(self):
         a = F.col("attributes")
         rows = self.scoped(self.cited(self.marked("sql.query"), "CALL_SITE"), a["scope"])
         table = F.concat(F.lit("table:"), slug(a["table"]))
-        declared = self.marked("schema.table").select(table.alias("declared")).distinct()
-        unknown = rows.withColumn("declared", table).join(declared, "declared", "left_anti")
         how = F.when(a["operation"] == "write", "writes").otherwise("reads")
         given = attributes(operation=a["operation"], role=a["role"], statement=a["statement"], statementCount=a["statementCount"], scopeUnknown=F.when(~F.col("known"), F.lit(True)))
         edges = edges_of(rows, F.col("owner"), how, table, F.when(F.col("known"), EXPLICIT).otherwise(WEAK), attributes=given)
-        # a table that no DDL declares stays unknown; a declared one isn't weakened by being used
-        return nodes_of(unknown, "table", a["table"], UNKNOWN, attributes=attributes(declaredInDdl=False)), edges
+        return self._undeclared(), edges
 
     def queries(self):
         """Common table expressions, and statements that could not be classified."""
@@ -334,6 +347,68 @@ class Builder(Deployment):
 
     # -- the whole
 
+    def counters(self) -> dict[str, int]:
+        """What ``graph`` counts as it writes, of the rules that it counts alone."""
+        rules = Builder(self.spark, self.facts, self.root)
+        rules.sized = True
+        rules.known["symbols"] = stored_table(rules.symbols(), "symbols")
+        n = lambda rows, *kinds: (rows.where(F.col("kind").isin(*kinds)) if kinds else rows).count()
+        nodes = {"entities": n(rules.entities()[0]), "routes": n(rules.routes()[0]), "tests": n(rules.tests()[0]), "tables": n(rules.schema()[0], "table"), "commits": n(rules.git()[0], "commit")}
+        linked = rules.imports()[1]
+        return self._counters(nodes, {"calls": n(rules.calls()), "inside": n(linked, "imports", "re_exports"), "outside": n(linked, "depends_on")})
+
+    #: Rules that give an end only where its node is observed too, or where it is a module's.
+    CLOSED = ("modules", "entities", "inheritance", "imports", "calls", "routes", "sql", "queries", "conditions", "requirements", "tests", "manifests", "git", "returns", "throws", "responses", "tested")
+
+    #: Rules that give nodes, besides those of tables that statements name.
+    STATING = ("modules", "entities", "imports", "routes", "schema", "queries", "conditions", "requirements", "tests", "manifests", "git", "components", "deployed", "secrets", "configuration")
+
+    def node_ids(self) -> DataFrame:
+        """(id, kind) of the nodes of ``graph``, without merging what they say."""
+        if "node_ids" not in self.known:
+            self.sized = True
+            if "symbols" not in self.known:
+                self.known["symbols"] = stored_table(self.symbols(), "symbols")
+            # each name once before it becomes an id; declared tables among them are nodes anyway
+            named = self.marked("sql.query").select(F.col("attributes")["table"].alias("name")).distinct()
+            named = named.select(F.concat(F.lit("table:"), slug(F.col("name"))).alias("id"), F.lit("table").alias("kind"))
+            rules = {"repository": self.repository_node, "sql": lambda: named} | {rule: lambda rule=rule: getattr(self, rule)()[0] for rule in self.STATING}
+            seen = reduce(DataFrame.unionByName, [rows().select("id", "kind") for rows in rules.values()])
+            self.known["node_ids"] = stored_table(seen.where("id is not null and kind is not null").distinct(), "node-ids")
+        return self.known["node_ids"]
+
+    def edge_ids(self) -> DataFrame:
+        """(src, kind, dst) of the edges of ``graph``, without merging what they say.
+
+        Ends of ``CLOSED`` rules are nodes by themselves, so of those only modules are looked up, in a table that is small where
+        files are few; all nodes are asked for the other ends alone.
+        """
+        parts = []
+        for rule, got in self._rules().items():
+            rows = got[1] if isinstance(got, tuple) else got
+            if rows is not None:
+                sure = lambda end: F.coalesce(F.lit(rule in self.CLOSED) & ~F.col(end).startswith("module:"), F.lit(False)).alias(f"{end}_there")  # noqa: B023, E731
+                parts.append(rows.select("src", "kind", "dst", sure("src"), sure("dst")))
+        nodes = self.node_ids()
+        rows = reduce(DataFrame.unionByName, parts).groupBy("src", "kind", "dst").agg(F.max("src_there").alias("src_there"), F.max("dst_there").alias("dst_there"))
+        modules = stored_table(nodes.where("id like 'module:%'").select("id"), "module-ids")
+        for end in ("src", "dst"):
+            rows = rows.join(modules.select(F.col("id").alias(end), F.lit(True).alias("_module")), end, "left").withColumn(f"{end}_there", F.col(f"{end}_there") | F.coalesce("_module", F.lit(False))).drop("_module")
+        whole = F.col("src_there") & F.col("dst_there")
+        return rows.where(whole).select("src", "kind", "dst").unionByName(guard(rows.where(~whole), nodes).select("src", "kind", "dst"))
+
+    def _rules(self) -> dict:
+        """What each rule gives, to be asked for ids alone: lookups and calls are stored without what they say."""
+        if not self.asked:
+            self.sized = True
+            if "symbols" not in self.known:
+                self.known["symbols"] = stored_table(self.symbols(), "symbols")
+            between = stored_table(self.calls().select("src", "dst").distinct(), "calls-between")
+            self.known["calls"] = typed(between, EDGE, {"src": F.col("src"), "kind": F.lit("calls"), "dst": F.col("dst")})
+            self.known["handled"] = stored_table(self._handled(), "handled")
+            self.asked = {rule: getattr(self, rule)() for rule in self.RULES}
+        return self.asked
+
     RULES = ("modules", "entities", "inheritance", "imports", "calls", "routes", "schema", "sql", "queries", "conditions", "requirements", "tests", "manifests", "git", "returns", "throws", "responses", "tested", "components", "deployed", "secrets", "configuration", "reconciled")
 
     def observations(self) -> tuple[DataFrame, DataFrame]:

@@ -53,8 +53,9 @@ def facts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         return rows.select(*((given[n] if n in given else F.col(n) if n in have else F.lit(None)).cast(t).alias(n) for n, t in (f.strip().split(" ", 1) for f in SCHEMAS[schema].split(", "))))
 
     def marker(source, marker, **attributes):
-        kept = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in attributes.items())), lambda e: e["value"].isNotNull()))
-        return of(source, "markers", name=marker if not isinstance(marker, str) else F.lit(marker), attributes=kept)
+        # a value may be null: rules read attributes by key, and Spark then makes no map at all
+        given = F.create_map(*(x for k, v in attributes.items() for x in (F.lit(k), v.cast("string"))))
+        return of(source, "markers", name=marker if not isinstance(marker, str) else F.lit(marker), attributes=given)
 
     c = F.col
     markers = [
