@@ -239,3 +239,10 @@ def test_gaps_are_looked_for_only_where_one_begins(monkeypatch):
     assert tokens.text == ["a", ".", "b", "(", "c", ")", "[", "d", "]", "+", "(", "g", ")", ";", "h"]
     assert [t for t, fresh in zip(tokens.text, tokens.fresh, strict=True) if fresh] == ["a", "("]
     assert counted.n < len(tokens.text) / 2
+
+
+def test_facts_that_are_handed_on_keep_their_numbers(spark):
+    files = spark.createDataFrame([("a.ts", "typescript", 'import { x } from "./x";\nexport function f() { return x(1); }\n'), ("b.py", "python", "from .x import y\n\ndef g():\n    return y()\n")], "path string, language string, text string")
+    rows = lambda df: sorted((r["path"], r["fact"], r["line"], r["at"], sorted(r["fields"].items())) for r in df.collect())
+    every = rows(code.facts(files))
+    assert rows(code.facts(files, only=("import", "call"))) == [r for r in every if r[1] in ("import", "call")] != every

@@ -38,8 +38,11 @@ def read(text: str, language: str, path: str, most_calls: int = MOST_CALLS, most
     return out
 
 
-def facts(files: DataFrame, most_calls: int = MOST_CALLS, most_problems: int = MOST_PROBLEMS) -> DataFrame:
-    """(path, fact, line, at, fields) of files (path, language, text); ``at`` numbers a file's facts."""
+def facts(files: DataFrame, most_calls: int = MOST_CALLS, most_problems: int = MOST_PROBLEMS, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(path, fact, line, at, fields) of files (path, language, text); ``at`` numbers a file's facts.
+
+    Files are read as a whole; ``only`` names the facts that are handed on, which keep their numbers.
+    """
 
     def batch_of(rows: list) -> pa.RecordBatch:
         maps = [[(k, str(v).lower() if isinstance(v, bool) else str(v)) for k, v in r[4].items() if v is not None] for r in rows]
@@ -51,7 +54,7 @@ def facts(files: DataFrame, most_calls: int = MOST_CALLS, most_problems: int = M
         for batch in batches:
             for path, language, text in zip(batch.column("path").to_pylist(), batch.column("language").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if language in READERS and text is not None:
-                    rows += [(path, fact, line, at, fields) for at, (fact, line, fields) in enumerate(read(text, language, path, most_calls, most_problems))]
+                    rows += [(path, fact, line, at, fields) for at, (fact, line, fields) in enumerate(read(text, language, path, most_calls, most_problems)) if only is None or fact in only]
                 if len(rows) >= AT_ONCE:
                     yield batch_of(rows)
                     rows = []

@@ -79,8 +79,8 @@ def _sources(spark, sf):
     return ts.unionByName(rows.select(F.concat(F.lit("py/f"), "k", F.lit(".py")).alias("path"), F.lit("python").alias("language"), text(_PY).alias("text")))
 
 
-def _facts(spark, sf):
-    return code.tables(code.facts(_sources(spark, sf)))
+def _facts(spark, sf, *only):
+    return code.tables(code.facts(_sources(spark, sf), only=only or None))
 
 
 def _found(columns, ts, py=()):
@@ -128,7 +128,7 @@ def code_calls(spark, sf):
 
 @register(_found(("specifier", "names", "is_external"), [("'./f' || a || '.js'", "'c' || a || ' as other'", "false"), ("'express'", "'express,* as ns'", "true")], [("'.f' || a", "'c' || a || ',c' || b", "false")]))
 def code_imports(spark, sf):
-    return _facts(spark, sf)["imports"].select("path", "specifier", F.array_join("names", ",").alias("names"), "is_external")
+    return _facts(spark, sf, "import")["imports"].select("path", "specifier", F.array_join("names", ",").alias("names"), "is_external")
 
 
 @register(
@@ -143,7 +143,7 @@ def code_imports(spark, sf):
 )
 def code_markers(spark, sf):
     a = F.col("attributes")
-    return _facts(spark, sf)["markers"].select("path", "line", "name", F.coalesce(a["handler"], a["table"], a["names"], a["condition"], a["payload"], a["status"]).alias("said"), a["scope"].alias("scope"))
+    return _facts(spark, sf, "marker", "response")["markers"].select("path", "line", "name", F.coalesce(a["handler"], a["table"], a["names"], a["condition"], a["payload"], a["status"]).alias("said"), a["scope"].alias("scope"))
 
 
 @register(
@@ -178,7 +178,7 @@ def code_graph(spark, sf):
     """From sources to a graph: imports, calls, heritage and routes whose ends are known."""
     sources = _sources(spark, sf)
     files = sources.select("path", "language", F.sha2("text", 256).alias("digest"), F.lit(True).alias("analyzable"), F.lit(0).cast("long").alias("seq"))
-    rules = Builder(spark, {"files": files, **code.tables(stored_table(code.facts(sources), "facts"))})  # parsed once, though several rules read them
+    rules = Builder(spark, {"files": files, **code.tables(stored_table(code.facts(sources, only=("entity", "import", "call", "marker", "response")), "facts"))})  # parsed once, though several rules read them
     nodes = merged_nodes(rules.modules()[0].unionByName(rules.entities()[0]).unionByName(rules.routes()[0]))
     observed = rules.imports()[1].where("kind = 'imports'").unionByName(rules.calls()).unionByName(rules.inheritance()).unionByName(rules.routes()[1].where("kind = 'calls'"))
     return guard(merged_edges(observed), nodes).select("id", "rank")
