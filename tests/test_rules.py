@@ -194,3 +194,37 @@ def test_guarding_calls_are_reduced_by_file_before_they_meet_endpoints(spark):
     edges = spark.createDataFrame([(f"e{k}", f"function:f{k}", "calls", "function:g", 2 + k % 2, {"callee": "parse" if k else "authorize"}) for k in range(4)], "id string, src string, kind string, dst string, rank int, attributes map<string,string>")
     assert rules.guards(nodes, edges).count() == 12
     assert sorted(tuple(r) for r in rules.guarded(nodes, edges).collect()) == [(f"api_endpoint:{k}", "a.ts", "operational_behaviour", 2) for k in range(3)]
+
+
+def test_first_steps_are_those_of_the_whole_walk_and_walk_no_further(spark, monkeypatch):
+    calls = sorted({(f"function:f{a:02}", f"function:f{(a * m + j) % 23:02}") for a in range(23) for m, j in ((3, 1), (5, 7), (7, 2), (1, 1))} | {(f"api_endpoint:e{k}", f"function:f{(5 * k) % 23:02}") for k in range(4)} | {("api_endpoint:e0", f"function:f{k:02}") for k in range(20)})
+    edges = spark.createDataFrame([(f"{a}|calls|{b}", a, b) for a, b in calls], "id string, src string, dst string")
+    entries = spark.createDataFrame([(f"api_endpoint:e{k}",) for k in range(5)], "entry string")
+    written = []
+    monkeypatch.setattr(traverse, "stored_table", lambda df, name, put=traverse.stored_table: written.append((name, put(df, name))) or written[-1][1])
+    for depth, most in ((3, 5), (6, 30)):
+        written.clear()
+        want = traverse.steps(edges, entries, depth, most)[0]
+        got = traverse.first_steps(edges, entries, depth, most)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+        assert sum(df.count() for name, df in written if name == "hop") == want.count()
+
+
+def test_requirements_of_a_file_are_counted_without_a_row_for_each_pair(spark):
+    nodes = [(f"api_endpoint:{k}", "api_endpoint", f"e{k}", None, f"src/{k % 2}.ts", 3, {}) for k in range(60)] + [(f"function:f{k}", "function", f"f{k}", None, f"src/{k % 3}.ts", 3, {}) for k in range(40)]
+    nodes += [("module:src/0", "module", "m", None, "src/0.ts", 3, {}), ("table:t", "table", "t", None, None, 3, {}), ("api_endpoint:none", "api_endpoint", "n", None, None, 3, {})]
+    nodes = spark.createDataFrame(nodes, "id string, kind string, name string, qualified_name string, path string, rank int, attributes map<string,string>")
+    calls = [(f"function:f{k}", f"function:f{(k + 1) % 40}") for k in range(0, 40, 2)] + [("api_endpoint:1", "function:f1"), ("api_endpoint:2", "function:f0"), ("api_endpoint:2", "module:src/0"), ("api_endpoint:2", "api_endpoint:4"), ("api_endpoint:3", "api_endpoint:5"), ("api_endpoint:none", "function:f9")]
+    edges = spark.createDataFrame([(f"{a}|calls|{b}", a, "calls", b, 2, {"callee": "parse"} if a != "api_endpoint:3" else {}) for a, b in calls] + [("w", "function:f1", "writes", "table:t", 3, {})], "id string, src string, kind string, dst string, rank int, attributes map<string,string>")
+    held, members = rules._held(nodes, edges)
+    rests = rules._rests(nodes, edges)
+    pairs = sorted(map(tuple, rests.collect()))
+    assert len(pairs) == len(set(pairs)) and held.count() + members.count() < 400 < len(pairs)
+    steps = rules.walked(nodes, edges)[0]
+    want = {r["entry"]: r["n"] for r in rules.supported(nodes, edges, steps, rests).groupBy("entry").agg(F.countDistinct("requirement").alias("n")).collect()}
+    got = {r["subject"]: r["requirements"] for r in rules.trace_index(nodes, edges).collect()}
+    assert got == want and len(set(want.values())) > 3
+    subjects = spark.createDataFrame([("function:f2",), ("module:src/0",), ("function:f30",), ("table:t",)], "subject string")
+    of = rules.relevant(nodes, steps, subjects).join(rules.supported(nodes, edges, steps, rests), "entry").select("subject", "requirement").unionByName(rests.withColumnRenamed("node", "subject").join(subjects, "subject", "left_semi").select("subject", "requirement"))
+    want = {r["subject"]: r["n"] for r in of.groupBy("subject").agg(F.countDistinct("requirement").alias("n")).collect()}
+    assert {r["subject"]: r["requirements"] for r in rules.trace(nodes, edges, subjects).collect() if r["requirements"]} == want
