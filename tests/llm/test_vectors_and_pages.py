@@ -150,6 +150,23 @@ def test_best_of_a_chunk_are_told_without_a_group_of_all_its_hits(spark):
     assert 8 in np.frombuffer(sent[0]["lows"], np.int64)
 
 
+def test_neither_the_whole_table_nor_what_anchors_want_goes_through_the_driver(spark, monkeypatch):
+    for name, value in {"SAMPLE": 50, "SLICE": 7, "FIRST": 2, "BLOCK": 8}.items():
+        monkeypatch.setattr(negatives, name, value)
+    values = np.random.default_rng(5).integers(-9, 9, (2000, 3))
+    df = spark.createDataFrame([(k, k % 3, [float(v) for v in row]) for k, row in enumerate(values)], "vec_id bigint, label int, embedding array<float>").repartition(16)
+    rows = negatives.usable(df, F.col("label"))
+    sample = negatives.sample_of(rows, 2000)
+    first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(50)
+    assert sample.inputFiles() and sorted(r["x"] for r in sample.collect()) == sorted(r["x"] for r in first.collect())
+    x, centres = values.astype(float), np.array([[0.0, 0.0, 0.0], [5.0, 5.0, 5.0], [-5.0, 1.0, 0.0]])
+    assert (negatives.nearest(x, centres) == ((x[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)).all() and negatives.nearest(x[:0], centres).size == 0
+    plans = []
+    monkeypatch.setattr(negatives, "scored", lambda pairs, *a, f=negatives.scored: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or f(pairs, *a))
+    negatives.mine(rows, 100).collect()
+    assert plans and not any("BroadcastExchange" in p for p in plans)
+
+
 def test_negatives_of_empty_tables(spark):
     for rows in ([], [(1, None, 1)], [(50, [0.5], 1)], [(50, [0.5], 1), (51, [0.5], 2)], [(3, [0.5], 1), (4, [0.5], 1)]):
         assert mined(embeddings(spark, rows)) == []

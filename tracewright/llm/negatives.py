@@ -44,6 +44,8 @@ SCALE = 256
 LARGEST = float(2**20)
 #: Rows that centroids are fitted on at most (those of the smallest hashes of their ids), centroids at most, rounds.
 SAMPLE, MOST_LISTS, ROUNDS = 20_000, 1024, 8
+#: Rows whose distances to all centroids are held at once.
+SLICE = 1024
 #: Rows of a block and of a chunk of anchors, on average.
 BLOCK, CHUNK = 8192, 256
 #: Lists that an anchor visits in its first wave, and the factor from wave to wave.
@@ -66,10 +68,22 @@ def usable(embeddings: DataFrame, label: Column) -> DataFrame:
     return rows.where(F.size("x") == (top["d"] if top else 0))
 
 
+def sample_of(rows: DataFrame, n: int) -> DataFrame:
+    """The SAMPLE rows of the smallest hashes of their ids, at rest.
+
+    Of many rows only those with hashes in the part that holds some 2 * SAMPLE are ordered; and written, as a limit that is
+    collected sends up to SAMPLE rows of each partition to the driver, the whole table where partitions are smaller.
+    """
+    least = F.xxhash64("vec_id")
+    if n > 2 * SAMPLE:
+        rows = rows.where(least < int(-(2**63) + 2**64 * 2 * SAMPLE // n))
+    return stored(rows.orderBy(least, "vec_id", "x").limit(SAMPLE).select("x"), "sample")
+
+
 def centroids_of(rows: DataFrame, n: int) -> np.ndarray:
     """K-means on a sample: a quarter of the square root of the number of rows in lists, at most MOST_LISTS, as chunks are sent to each list."""
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(SAMPLE).select("x").toPandas()
-    x = np.array(sample["x"].tolist(), float)
+    sample = sample_of(rows, n).toArrow().column("x").combine_chunks()
+    x = sample.flatten().to_numpy().reshape(len(sample), -1).astype(float)
     k = int(min(MOST_LISTS, max(1, n**0.5 / 4), len(x)))
     found = x[np.random.default_rng(0).choice(len(x), k, replace=False)]
     for _ in range(ROUNDS):
@@ -82,7 +96,9 @@ def centroids_of(rows: DataFrame, n: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    return ((centroids**2).sum(axis=1) - 2 * x @ centroids.T).argmin(axis=1)
+    """The nearest centroid of each row, by slices of rows: distances to all centroids are never held for all rows."""
+    norms = (centroids**2).sum(axis=1)
+    return np.concatenate([np.zeros(0, int), *((norms - 2 * x[k : k + SLICE] @ centroids.T).argmin(axis=1) for k in range(0, len(x), SLICE))])
 
 
 def assign(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -215,7 +231,8 @@ def search(anchors: DataFrame, blocks: DataFrame, centroids: np.ndarray, radii:
     """The states of the anchors after all waves."""
     d, first, last = centroids.shape[1], 0, FIRST
     while first < len(centroids):
-        pairs = wants(anchors, centroids, radii, parts, most, first, last, kind).join(blocks, ["list", "block"])
+        # Spark takes what anchors want for as small as the anchors; it is as many times larger as they visit blocks, so it isn't to be broadcast
+        pairs = wants(anchors, centroids, radii, parts, most, first, last, kind).join(blocks.hint("merge"), ["list", "block"])
         anchors = stored(kept(anchors, scored(pairs, same, most, d, kind), most), "anchors")
         first, last = last, last * WAVE
     return anchors
